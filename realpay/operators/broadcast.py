@@ -1,0 +1,34 @@
+"""Broadcast only behind a size check, with a shuffle join beyond it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A broadcast side is capped by rows; the operators project it to a few narrow
+# columns first, so this bounds it to a few tens of MB on every executor.
+DEFAULT_MAX_BROADCAST_ROWS = 500_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows.
+
+    Reads at most ``max_rows + 1`` rows per partition, so the check stays
+    cheap even when the answer is no.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                      materialize: bool = False) -> tuple[DataFrame, bool]:
+    """Return ``(side, broadcast?)`` for the small side of a join.
+
+    ``materialize=True`` first writes the side as a reliable checkpoint (in
+    the session's checkpoint directory), for sides that are small but costly
+    to compute (statistics tables): the count then reads the stored rows and
+    the join reads them again instead of recomputing them.
+    """
+    side = df.checkpoint(eager=True) if materialize else df
+    if row_count_at_most(side, max_rows):
+        return F.broadcast(side), True
+    return side, False

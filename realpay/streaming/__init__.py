@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed report is one batch pass over two files: it has no streams,
+watermarks, event-time windows or state, so nothing is built here. Every
+operator in ``realpay.operators`` is a plain DataFrame transformation and
+could be applied inside ``foreachBatch`` by a caller who needs that.
+"""
