@@ -20,7 +20,7 @@ from realpay.operators.outliers import box_stats, iqr_outliers
 from realpay.operators.profile import category_counts, describe_all, describe_numeric, missing_profile
 from realpay.operators.quantiles import exact_quantiles
 from realpay.operators.trends import month_label, monthly_trend
-from realpay.plans.ppp import merge_costs, ppp_inliers, rank_by_ppp, with_ppp
+from realpay.plans.ppp import merge_costs, ppp_frame, ppp_inliers, rank_by_ppp
 from realpay.session import configure
 from realpay.sources import fixtures
 
@@ -36,6 +36,11 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.jobs(spark, sf_dir)
 
 
+def _ppp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with their PPP salary (factors joined from the dimension)."""
+    return ppp_frame(_jobs(spark, sf_dir), fixtures.cost_living(spark, sf_dir))
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The postings (with their month label, as the report adds it before the
     merge) left-joined to the cost dimension."""
@@ -120,20 +125,20 @@ PPP_COLUMNS = ("job_id", "company_location", "salary_usd", "col_index", "col_plu
 
 
 def q_ppp_salary(spark, sf_dir):
-    return with_ppp(_merged(spark, sf_dir)).select(*PPP_COLUMNS)
+    return _ppp(spark, sf_dir).select(*PPP_COLUMNS)
 
 
 def q_iqr_filter(spark, sf_dir):
-    return ppp_inliers(_merged(spark, sf_dir)).select("job_id", "company_location", "salary_usd",
+    return ppp_inliers(_ppp(spark, sf_dir)).select("job_id", "company_location", "salary_usd",
                                                       "ppp_salary")
 
 
 def q_ppp_describe(spark, sf_dir):
-    return describe_numeric(ppp_inliers(_merged(spark, sf_dir)), "ppp_salary")
+    return describe_numeric(ppp_inliers(_ppp(spark, sf_dir)), "ppp_salary")
 
 
 def q_ppp_country_ranking(spark, sf_dir):
-    return rank_by_ppp(ppp_inliers(_merged(spark, sf_dir)))
+    return rank_by_ppp(ppp_inliers(_ppp(spark, sf_dir)))
 
 
 QUERIES: dict[str, Query] = {

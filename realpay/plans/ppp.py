@@ -24,13 +24,13 @@ COST_COLUMNS = {"col_index": COST_INDEX, "col_plus_rent": PLUS_RENT_INDEX, "lpp"
 
 def merge_costs(jobs: DataFrame, costs: DataFrame, location: str = "company_location",
                 country: str = "Country") -> DataFrame:
-    """Every posting with the three cost indices of its (trimmed) country."""
+    """Every posting with the three raw cost indices of its (trimmed) country."""
     return join_dimension(jobs, costs, location, country, COST_COLUMNS)
 
 
 def with_ppp(merged: DataFrame, salary: str = "salary_usd") -> DataFrame:
-    """Coerce the indices to numbers and add ``weighted_col``,
-    ``clamped_lpp`` and ``ppp_salary`` (same rows as the input)."""
+    """Coerce the indices of an already merged frame to numbers and add
+    ``weighted_col``, ``clamped_lpp`` and ``ppp_salary`` (same rows)."""
     out = merged.withColumns({c: strict_number(c) for c in COST_COLUMNS})
     out = out.withColumns({
         "weighted_col": weighted_index("col_index", "col_plus_rent"),
@@ -39,14 +39,44 @@ def with_ppp(merged: DataFrame, salary: str = "salary_usd") -> DataFrame:
     return out.withColumn("ppp_salary", ppp_salary(salary, "clamped_lpp", "weighted_col"))
 
 
-def ppp_population(merged: DataFrame) -> DataFrame:
+def cost_factors(costs: DataFrame, country: str = "Country") -> DataFrame:
+    """The dimension with its PPP factors precomputed, one row per country:
+    ``Country, col_index, col_plus_rent, lpp`` (numbers) plus
+    ``weighted_col`` and ``clamped_lpp``.
+
+    These depend on dimension columns only, so computing them before the join
+    costs one evaluation per country instead of one per posting; an
+    unmatched posting still gets NULL for all of them, as after the join.
+    """
+    num = costs.select(F.col(f"`{country}`").alias(country),
+                       *[strict_number(F.col(f"`{src}`")).alias(alias) for alias, src in COST_COLUMNS.items()])
+    return num.withColumns({
+        "weighted_col": weighted_index("col_index", "col_plus_rent"),
+        "clamped_lpp": clamp("lpp", *LPP_BOUNDS),
+    })
+
+
+FACTOR_COLUMNS = ("col_index", "col_plus_rent", "lpp", "weighted_col", "clamped_lpp")
+
+
+def ppp_frame(jobs: DataFrame, costs: DataFrame, location: str = "company_location",
+              country: str = "Country", salary: str = "salary_usd") -> DataFrame:
+    """Postings with coerced indices, ``weighted_col``, ``clamped_lpp`` and
+    ``ppp_salary``; equal to ``with_ppp(merge_costs(jobs, costs))`` but the
+    factors are joined precomputed from the (broadcast) dimension."""
+    merged = join_dimension(jobs, cost_factors(costs, country), location, country,
+                            {c: c for c in FACTOR_COLUMNS})
+    return merged.withColumn("ppp_salary", ppp_salary(salary, "clamped_lpp", "weighted_col"))
+
+
+def ppp_population(with_salary: DataFrame) -> DataFrame:
     """Rows that have a PPP salary (``dropna(subset=['ppp_salary'])``)."""
-    return with_ppp(merged).where(F.col("ppp_salary").isNotNull())
+    return with_salary.where(F.col("ppp_salary").isNotNull())
 
 
-def ppp_inliers(merged: DataFrame, k: float = 1.5) -> DataFrame:
+def ppp_inliers(with_salary: DataFrame, k: float = 1.5) -> DataFrame:
     """PPP rows inside the global IQR fences of ``ppp_salary`` (inclusive)."""
-    return iqr_filter(ppp_population(merged), "ppp_salary", k)
+    return iqr_filter(ppp_population(with_salary), "ppp_salary", k)
 
 
 def rank_by_ppp(final: DataFrame, key: str = "company_location", salary: str = "salary_usd",
