@@ -116,7 +116,8 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v"))
             for c in numeric])))
-        quart = exact_quantiles(long, "v", [p for p, _ in QUARTILES], by=["column"])
+        quart = exact_quantiles(long, "v", [p for p, _ in QUARTILES], by=["column"],
+                                max_groups=len(numeric))
         quart = quart.groupBy("column").agg(*[
             F.max(F.when(F.col(PROB) == p, F.col(VALUE))).alias(name)
             for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])

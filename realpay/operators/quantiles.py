@@ -42,12 +42,14 @@ _K = "__q_chunk"    # range chunk id
 _TOT = "__q_tot"    # rows of a group inside a chunk
 _OFF = "__q_off"    # rows of the group in earlier chunks
 _N = "__q_n"        # rows of the group
-_START = "__q_start"  # rows of earlier groups inside the same chunk
 _RANK = "__q_rank"  # wanted 0-based rank in the group
-_POS = "__q_pos"    # wanted 0-based position inside the chunk
+_POS = "__q_pos"    # wanted 0-based position among the group's rows in the chunk
 _ROLE = "__q_role"  # 0 = lower neighbour, 1 = upper neighbour
 _H = "__q_h"        # (n - 1) * p
-_CUM = "__q_cum"    # rows before this value inside the chunk
+_CUM = "__q_cum"    # rows of the group before this value inside the chunk
+
+# The wanted-rank table is broadcast only up to this many rows.
+_MAX_WANTED_ROWS = 1_000_000
 
 
 def _clean_values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -56,7 +58,13 @@ def _clean_values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
               .where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V))))
 
 
-def ranked_chunks(df: DataFrame, value: str, by: Sequence[str] = ()):
+def _num_chunks(spark, num_chunks: int | None) -> int:
+    if num_chunks:
+        return int(num_chunks)
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ranked_chunks(df: DataFrame, value: str, by: Sequence[str] = (), num_chunks: int | None = None):
     """Collapse duplicates and range-partition into chunks.
 
     Returns ``(chunked, chunks)``: ``chunked`` has ``by, __q_v, __q_c,
@@ -64,53 +72,71 @@ def ranked_chunks(df: DataFrame, value: str, by: Sequence[str] = ()):
     per (group, chunk) with the group's rows in the chunk, the offset of the
     chunk within the group, the group size and the start of the group inside
     the chunk.
+
+    The chunk id is the range partition's index, so both consumers of
+    ``chunked`` must read the same exchange output with the same layout:
+    the partition count is explicit (AQE neither coalesces nor locally reads
+    such an exchange), the exchange is reused by both branches of the plan,
+    and if exchange reuse is switched off the chunked rows are written as a
+    reliable checkpoint first so the ids become stored data. The count
+    defaults to ``spark.sql.shuffle.partitions``, so chunks shrink as the
+    cluster's configured parallelism grows.
     """
     by = list(by)
+    spark = df.sparkSession
     counted = _clean_values(df, value, by).groupBy(*by, _V).agg(F.count(F.lit(1)).alias(_C))
-    chunked = counted.repartitionByRange(*by, _V).withColumn(_K, F.spark_partition_id())
+    chunked = (counted.repartitionByRange(_num_chunks(spark, num_chunks), *by, _V)
+                      .withColumn(_K, F.spark_partition_id()))
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        chunked = chunked.checkpoint(eager=True)
     chunks = chunked.groupBy(*by, _K).agg(F.sum(_C).alias(_TOT))
     per_group = Window.partitionBy(*by) if by else Window.partitionBy()
     chunks = (chunks
               .withColumn(_OFF, F.sum(_TOT).over(per_group.orderBy(_K).rowsBetween(
                   Window.unboundedPreceding, Window.currentRow)) - F.col(_TOT))
-              .withColumn(_N, F.sum(_TOT).over(per_group))
-              .withColumn(_START, F.sum(_TOT).over(
-                  Window.partitionBy(_K).orderBy(*by).rowsBetween(
-                      Window.unboundedPreceding, Window.currentRow)) - F.col(_TOT)
-                  if by else F.lit(0).cast("bigint")))
+              .withColumn(_N, F.sum(_TOT).over(per_group)))
     return chunked, chunks
 
 
 def _wanted_ranks(chunks: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One row per (group, prob, neighbour) located in its chunk."""
+    """One row per (group, prob, neighbour) located in its chunk, with its
+    0-based position among the group's rows inside that chunk."""
     probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    t = chunks.select(*by, _K, _OFF, _TOT, _N, _START, F.explode(probs_arr).alias(PROB))
+    t = chunks.select(*by, _K, _OFF, _TOT, _N, F.explode(probs_arr).alias(PROB))
     t = t.withColumn(_H, (F.col(_N) - 1).cast("double") * F.col(PROB))
     neighbours = F.array(
         F.struct(F.lit(0).alias("r"), F.floor(F.col(_H)).alias("k")),
         F.struct(F.lit(1).alias("r"), F.ceil(F.col(_H)).alias("k")))
     t = t.select("*", F.explode(neighbours).alias("__nb"))
-    t = t.select(*by, _K, _OFF, _TOT, _START, PROB, _H,
+    t = t.select(*by, _K, _OFF, _TOT, PROB, _H,
                  F.col("__nb.r").alias(_ROLE), F.col("__nb.k").alias(_RANK))
     t = t.where((F.col(_RANK) >= F.col(_OFF)) & (F.col(_RANK) < F.col(_OFF) + F.col(_TOT)))
-    return t.select(*by, _K, PROB, _H, _ROLE,
-                    (F.col(_START) + F.col(_RANK) - F.col(_OFF)).alias(_POS))
+    return t.select(*by, _K, PROB, _H, _ROLE, (F.col(_RANK) - F.col(_OFF)).alias(_POS))
 
 
-def _pick(chunked: DataFrame, wanted: DataFrame, by: Sequence[str]) -> DataFrame:
+def _pick(chunked: DataFrame, wanted: DataFrame, by: Sequence[str], wanted_bounded: bool) -> DataFrame:
     """Values at the wanted positions, scanning only the chunks that hold one.
 
-    The set of wanted chunk ids is bounded by the number of range partitions,
-    so broadcasting it is safe at any data size.
+    Chunks are filtered by a broadcast semi-join on chunk id: the wanted ids
+    are bounded by the number of chunks. When the wanted table itself has a
+    proven bound (``2 * len(probs)`` rows per group and a known group count)
+    it is broadcast and serves both the filter and the final lookup; else the
+    distinct chunk ids are broadcast and the lookup is a regular join.
     """
-    ids = wanted.select(_K).distinct()
-    needed = chunked.join(F.broadcast(ids), _K, "left_semi")
-    in_chunk = Window.partitionBy(_K).orderBy(*by, _V).rowsBetween(
+    if wanted_bounded:
+        side = F.broadcast(wanted)
+        needed = chunked.join(side.select(_K), _K, "left_semi")
+    else:
+        side = wanted
+        needed = chunked.join(F.broadcast(wanted.select(_K).distinct()), _K, "left_semi")
+    in_chunk = Window.partitionBy(_K, *by).orderBy(_V).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    needed = needed.withColumn(_CUM, F.sum(_C).over(in_chunk) - F.col(_C)).select(_K, _V, _C, _CUM)
-    w, n = wanted.alias("w"), needed.alias("n")
-    cond = ((F.col("w." + _K) == F.col("n." + _K))
-            & (F.col("w." + _POS) >= F.col("n." + _CUM))
+    needed = needed.withColumn(_CUM, F.sum(_C).over(in_chunk) - F.col(_C))
+    w, n = side.alias("w"), needed.alias("n")
+    cond = F.col("w." + _K) == F.col("n." + _K)
+    for c in by:
+        cond = cond & F.col("w." + c).eqNullSafe(F.col("n." + c))
+    cond = (cond & (F.col("w." + _POS) >= F.col("n." + _CUM))
             & (F.col("w." + _POS) < F.col("n." + _CUM) + F.col("n." + _C)))
     return w.join(n, cond, "inner").select(
         *[F.col("w." + c).alias(c) for c in by], F.col("w." + PROB).alias(PROB),
@@ -129,12 +155,15 @@ def _interpolate(picked: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), method: str = "exact") -> DataFrame:
+                    by: Sequence[str] = (), method: str = "exact",
+                    num_chunks: int | None = None, max_groups: int | None = None) -> DataFrame:
     """Quantiles of ``value`` per group, long form ``by..., prob, value``.
 
     NULL and NaN values are skipped (pandas ``quantile``); a NULL group key is
     a group of its own (callers that follow pandas drop it first). Groups
-    without values produce no rows.
+    without values produce no rows. ``max_groups`` is a bound on the number
+    of groups known before running (e.g. the number of unpivoted columns);
+    with it, or without groups, the small wanted-rank table is broadcast.
     """
     by = list(by)
     probs = [float(p) for p in probs]
@@ -145,9 +174,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         return approx_quantiles(df, value, probs, by)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    chunked, chunks = ranked_chunks(df, value, by)
+    chunked, chunks = ranked_chunks(df, value, by, num_chunks)
     wanted = _wanted_ranks(chunks, by, probs)
-    return _interpolate(_pick(chunked, wanted, by), by)
+    bounded = not by or (max_groups is not None and 2 * len(probs) * max_groups <= _MAX_WANTED_ROWS)
+    return _interpolate(_pick(chunked, wanted, by, bounded), by)
 
 
 def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],
