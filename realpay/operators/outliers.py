@@ -1,8 +1,12 @@
 """IQR fences, outlier rows, inlier filter and box-plot statistics.
 
-Global fences are computed once as a one-row frame and used through a scalar
-subquery (``DataFrame.scalar()``), so the row filter stays a plain
-``Filter`` in the scan stage: no join, no broadcast of data.
+Global fences are two numbers. By default they are computed by one job (the
+distributed exact quantile plan) and the row filter receives them as double
+literals, so it stays a plain ``Filter`` in the scan stage and a downstream
+plan (e.g. quantiles of the inliers) is not planned around a nested
+subquery. With ``lazy=True`` the fences stay inside the plan as one scalar
+subquery (``DataFrame.scalar()``) and nothing runs until the caller acts.
+Neither form joins or broadcasts data.
 """
 
 from __future__ import annotations
@@ -26,22 +30,27 @@ def iqr_fences(df: DataFrame, value: str, k: float = 1.5, method: str = "exact")
                     (F.col("q3") + F.lit(float(k)) * iqr).alias(HIGH))
 
 
-def _fence_columns(df: DataFrame, value: str, k: float, method: str):
-    fences = iqr_fences(df, value, k, method).select(F.struct(LOW, HIGH).alias("f"))
-    f = fences.scalar()
-    return f[LOW], f[HIGH]
+def _fence_columns(df: DataFrame, value: str, k: float, method: str, lazy: bool):
+    fences = iqr_fences(df, value, k, method)
+    if lazy:
+        f = fences.select(F.struct(LOW, HIGH).alias("f")).scalar()
+        return f[LOW], f[HIGH]
+    row = fences.select(LOW, HIGH).first()
+    return F.lit(row[LOW]).cast("double"), F.lit(row[HIGH]).cast("double")
 
 
-def iqr_outliers(df: DataFrame, value: str, k: float = 1.5, method: str = "exact") -> DataFrame:
+def iqr_outliers(df: DataFrame, value: str, k: float = 1.5, method: str = "exact",
+                 lazy: bool = False) -> DataFrame:
     """Rows strictly outside the fences (``v < low or v > high``)."""
-    lo, hi = _fence_columns(df, value, k, method)
+    lo, hi = _fence_columns(df, value, k, method, lazy)
     v = F.col(value)
     return df.where((v < lo) | (v > hi))
 
 
-def iqr_filter(df: DataFrame, value: str, k: float = 1.5, method: str = "exact") -> DataFrame:
+def iqr_filter(df: DataFrame, value: str, k: float = 1.5, method: str = "exact",
+               lazy: bool = False) -> DataFrame:
     """Rows inside the fences, bounds included (``low <= v <= high``)."""
-    lo, hi = _fence_columns(df, value, k, method)
+    lo, hi = _fence_columns(df, value, k, method, lazy)
     v = F.col(value)
     return df.where((v >= lo) & (v <= hi))
 

@@ -54,6 +54,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "spark.checkpoint.dir is not set: name a folder every executor can reach "
+                "(HDFS/S3/shared storage); a machine-local folder cannot hold checkpoints on a cluster")
         # Local runs and tests only: a cluster names a shared folder itself.
         configured = tempfile.mkdtemp(prefix="realpay-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)

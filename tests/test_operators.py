@@ -95,21 +95,24 @@ def test_top_tokens(spark):
     assert got == [("sql", 2), ("go", 1), ("python", 1)]
 
 
-def test_iqr_outliers_strict_and_filter_inclusive(spark):
+@pytest.mark.parametrize("lazy", [False, True])
+def test_iqr_outliers_strict_and_filter_inclusive(spark, lazy):
     vals = [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, -5.5, 14.5, 100.0]
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     # q1=2.5, q3=7.5, iqr=5 -> fences -5 and 15 over the 11 values? compute with numpy
     import numpy as np
     q1, q3 = np.quantile(vals, 0.25), np.quantile(vals, 0.75)
     lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-    out = sorted(r["v"] for r in iqr_outliers(df, "v").collect())
-    inn = sorted(r["v"] for r in iqr_filter(df, "v").collect())
+    out = sorted(r["v"] for r in iqr_outliers(df, "v", lazy=lazy).collect())
+    inn = sorted(r["v"] for r in iqr_filter(df, "v", lazy=lazy).collect())
     assert out == sorted(v for v in vals if v < lo or v > hi)
     assert inn == sorted(v for v in vals if lo <= v <= hi)
     # fences on the boundary: inclusive filter keeps, strict outlier test skips
     edge = spark.createDataFrame([(0.0,), (0.0,), (10.0,), (10.0,), (-15.0,), (25.0,)], "v double")
-    assert sorted(r["v"] for r in iqr_filter(edge, "v").collect()) == [-15.0, 0.0, 0.0, 10.0, 10.0, 25.0]
-    assert iqr_outliers(edge, "v").count() == 0
+    assert sorted(r["v"] for r in iqr_filter(edge, "v", lazy=lazy).collect()) == [-15.0, 0.0, 0.0, 10.0, 10.0, 25.0]
+    assert iqr_outliers(edge, "v", lazy=lazy).count() == 0
+    empty = spark.createDataFrame([(None,), (None,)], "v double")
+    assert iqr_filter(empty, "v", lazy=lazy).count() == 0 and iqr_outliers(empty, "v", lazy=lazy).count() == 0
 
 
 def test_box_stats(spark):
