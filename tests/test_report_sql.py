@@ -1,0 +1,32 @@
+"""The SQL forms of the report's blocks equal the DataFrame operators."""
+
+from realpay.plans import catalog
+from realpay.plans import report_sql as rs
+from realpay.plans.ppp import ppp_inliers
+from realpay.sources import fixtures
+from tests.conftest import SF01
+
+
+def _same(a, b):
+    assert sorted(a.columns) == sorted(b.columns)
+    cols = sorted(a.columns)
+    assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
+    assert b.select(*cols).exceptAll(a.select(*cols)).count() == 0
+
+
+def test_sql_blocks_equal_operators(spark):
+    jobs = fixtures.jobs(spark, SF01)
+    _same(rs.top_skills_sql(spark, fixtures.skills(spark, SF01)), catalog.q_top_skills(spark, SF01))
+    _same(rs.remote_stats_sql(spark, jobs), catalog.q_remote_stats(spark, SF01))
+    _same(rs.geo_stats_sql(spark, jobs), catalog.q_geo_top10(spark, SF01))
+    merged = rs.merge_sql(spark, jobs, fixtures.cost_living(spark, SF01))
+    ref = catalog.q_col_join(spark, SF01).drop("month")
+    _same(merged, ref)
+    final = ppp_inliers(catalog._ppp(spark, SF01))
+    _same(rs.ranking_sql(spark, final), catalog.q_ppp_country_ranking(spark, SF01))
+
+
+def test_register_views(spark):
+    rs.register_views({"jobs_view": fixtures.jobs(spark, SF01)})
+    assert spark.sql("SELECT COUNT(*) AS n FROM jobs_view").first()["n"] == 15000
+    spark.catalog.dropTempView("jobs_view")
