@@ -1,8 +1,8 @@
 """IQR fences, outlier rows, inlier filter and box-plot statistics.
 
-Global fences are two numbers. By default they are computed by one job (the
-distributed exact quantile plan) and the row filter receives them as double
-literals, so it stays a plain ``Filter`` in the scan stage and a downstream
+Global fences are two numbers. By default they are computed by the
+distributed selection of :mod:`realpay.operators.selection` (a few scans, no
+full shuffle) and the row filter receives them as double literals, so it stays a plain ``Filter`` in the scan stage and a downstream
 plan (e.g. quantiles of the inliers) is not planned around a nested
 subquery. With ``lazy=True`` the fences stay inside the plan as one scalar
 subquery (``DataFrame.scalar()``) and nothing runs until the caller acts.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from realpay.operators.broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles, quantile_row
+from realpay.operators.selection import global_quantiles
 
 LOW, HIGH = "low_fence", "high_fence"
 
@@ -31,12 +32,23 @@ def iqr_fences(df: DataFrame, value: str, k: float = 1.5, method: str = "exact")
 
 
 def _fence_columns(df: DataFrame, value: str, k: float, method: str, lazy: bool):
+    """The two fences as columns: literals from the selection plan (default)
+    or one scalar subquery over the sort-based plan (``lazy=True``)."""
     fences = iqr_fences(df, value, k, method)
     if lazy:
         f = fences.select(F.struct(LOW, HIGH).alias("f")).scalar()
         return f[LOW], f[HIGH]
-    row = fences.select(LOW, HIGH).first()
-    return F.lit(row[LOW]).cast("double"), F.lit(row[HIGH]).cast("double")
+    if method == "exact":
+        q1, q3 = global_quantiles(df, value, [0.25, 0.75])
+        if q1 is None:
+            lo = hi = None
+        else:
+            iqr = q3 - q1
+            lo, hi = q1 - float(k) * iqr, q3 + float(k) * iqr
+    else:
+        row = fences.select(LOW, HIGH).first()
+        lo, hi = row[LOW], row[HIGH]
+    return F.lit(lo).cast("double"), F.lit(hi).cast("double")
 
 
 def iqr_outliers(df: DataFrame, value: str, k: float = 1.5, method: str = "exact",

@@ -14,12 +14,12 @@ from pyspark.sql import types as T
 
 from realpay.functions.rounding import round_half_even
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles
+from realpay.operators.selection import global_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
 
-# Pandas describe() labels and quartiles.
-DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
+# Pandas describe() quartile labels.
 QUARTILES = ((0.25, "25%"), (0.5, "50%"), (0.75, "75%"))
 
 
@@ -55,25 +55,34 @@ def missing_profile(df: DataFrame, with_pct: bool = True, scale: int = 2) -> Dat
     return long.select(*out)
 
 
-def describe_numeric(df: DataFrame, value: str, scale: int = 2, method: str = "exact") -> DataFrame:
+def describe_numeric(df: DataFrame, value: str, scale: int = 2, method: str = "exact",
+                     lazy: bool = False) -> DataFrame:
     """pandas ``Series.describe().round(scale)`` as ``stat, value`` rows.
 
     Quartiles are exact (linear rule), not ``df.summary()``'s approximate
-    ones; ``std`` of a single value is NULL.
+    ones; ``std`` of a single value is NULL. By default the quartiles come
+    from the distributed selection (a few scan jobs, run now) and the
+    moments from one lazy aggregate; ``lazy=True`` keeps everything in one
+    lazy plan using the sort-based exact quantiles.
     """
     v = F.col(value).cast("double")
     clean = df.select(v.alias(value)).where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     moments = clean.agg(
         F.count(F.lit(1)).cast("double").alias("count"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    moments_long = moments.select(F.inline(F.array(*[
-        F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
-        for s in ("count", "mean", "std", "min", "max")])))
-    labels = F.create_map(*[x for p, name in QUARTILES for x in (F.lit(p), F.lit(name))])
-    quart = exact_quantiles(clean, value, [p for p, _ in QUARTILES], method=method)
-    quart_long = quart.select(labels[F.col(PROB)].alias("stat"), F.col(VALUE).alias("value"))
-    return (moments_long.unionByName(quart_long)
-            .select("stat", round_half_even("value", scale).alias("value")))
+    cells = [F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
+             for s in ("count", "mean", "std", "min", "max")]
+    if method == "exact" and not lazy:
+        qs = global_quantiles(clean, value, [p for p, _ in QUARTILES])
+        cells += [F.struct(F.lit(name).alias("stat"), F.lit(q).cast("double").alias("value"))
+                  for (_, name), q in zip(QUARTILES, qs)]
+        long = moments.select(F.inline(F.array(*cells)))
+    else:
+        labels = F.create_map(*[x for p, name in QUARTILES for x in (F.lit(p), F.lit(name))])
+        quart = exact_quantiles(clean, value, [p for p, _ in QUARTILES], method=method)
+        long = moments.select(F.inline(F.array(*cells))).unionByName(
+            quart.select(labels[F.col(PROB)].alias("stat"), F.col(VALUE).alias("value")))
+    return long.select("stat", round_half_even("value", scale).alias("value"))
 
 
 def category_counts(df: DataFrame, column: str, count_name: str = "count") -> DataFrame:
