@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,15 +171,20 @@ def global_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability out of range: {p}")
-    base = _clean(df, value)
-    n, brackets = _initial(base, probs, accuracy)
-    if n == 0:
-        return [None] * len(probs)
-    for _ in range(max_passes):
-        if all(est <= max_bracket for _, _, est in brackets):
-            break
-        brackets = _refine(base, n, probs, brackets, accuracy)
-    found = _pick(base, n, probs, brackets)
+    # The passes re-read only this one column: keep it (memory, spilling to
+    # disk) instead of re-running the upstream plan per pass; released below.
+    base = _clean(df, value).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, brackets = _initial(base, probs, accuracy)
+        if n == 0:
+            return [None] * len(probs)
+        for _ in range(max_passes):
+            if all(est <= max_bracket for _, _, est in brackets):
+                break
+            brackets = _refine(base, n, probs, brackets, accuracy)
+        found = _pick(base, n, probs, brackets)
+    finally:
+        base.unpersist()
     out: list[float | None] = []
     missed = []
     for i, p in enumerate(probs):
