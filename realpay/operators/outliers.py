@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from realpay.operators.broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles, quantile_row
-from realpay.operators.selection import global_quantiles
+from realpay.operators.selection import global_quantiles, grouped_quantiles
 
 LOW, HIGH = "low_fence", "high_fence"
 
@@ -74,22 +75,38 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5,
 
     Quartiles use the linear rule; whiskers are the most extreme values
     inside the per-group fences; NULL groups and NULL values are left out.
-    The per-group fences (one row per group) are materialised, counted and
-    broadcast when small; otherwise they are joined by a shuffle join (AQE
-    splits a hot group). The join runs against the duplicate-collapsed
-    (group, value, count) rows, not against every input row.
+
+    Quartiles come from the grouped selection (scans only) when the group
+    count is within its checked bound; the per-group fences (one row per
+    group) are then a small frame broadcast onto the duplicate-collapsed
+    (group, value, count) rows. With more groups, the sort-based exact plan
+    computes them, they are materialised as a reliable checkpoint, counted,
+    and broadcast when small or shuffle-joined otherwise (AQE splits a hot
+    group).
     """
     base = df.where(F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias(value))
     base = base.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    q = exact_quantiles(base, value, [0.25, 0.5, 0.75], by=[group])
-    quart = q.groupBy(group).agg(*[
-        F.max(F.when(F.col(PROB) == p, F.col(VALUE))).alias(name)
-        for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    iqr = F.col("q75") - F.col("q25")
-    quart = quart.select(group, "q25", "q50", "q75",
-                         (F.col("q25") - F.lit(float(k)) * iqr).alias(LOW),
-                         (F.col("q75") + F.lit(float(k)) * iqr).alias(HIGH))
-    side, _ = checked_broadcast(quart, max_broadcast_groups, materialize=True)
+    probs = (0.25, 0.5, 0.75)
+    picked = grouped_quantiles(base, group, value, probs)
+    if picked is not None:
+        rows = []
+        for g in sorted({key[0] for key in picked}):
+            q25, q50, q75 = (picked[(g, p)] for p in probs)
+            iqr = q75 - q25
+            rows.append((g, q25, q50, q75, q25 - float(k) * iqr, q75 + float(k) * iqr))
+        schema = T.StructType([T.StructField(group, df.schema[group].dataType, True)] + [
+            T.StructField(c, T.DoubleType(), True) for c in ("q25", "q50", "q75", LOW, HIGH)])
+        side = F.broadcast(df.sparkSession.createDataFrame(rows, schema))   # <= max_groups rows
+    else:
+        q = exact_quantiles(base, value, list(probs), by=[group])
+        quart = q.groupBy(group).agg(*[
+            F.max(F.when(F.col(PROB) == p, F.col(VALUE))).alias(name)
+            for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        iqr = F.col("q75") - F.col("q25")
+        quart = quart.select(group, "q25", "q50", "q75",
+                             (F.col("q25") - F.lit(float(k)) * iqr).alias(LOW),
+                             (F.col("q75") + F.lit(float(k)) * iqr).alias(HIGH))
+        side, _ = checked_broadcast(quart, max_broadcast_groups, materialize=True)
     counted = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
     v = F.col(value)
     inside = (v >= F.col(LOW)) & (v <= F.col(HIGH))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from realpay.functions.rounding import round_half_even
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles
-from realpay.operators.selection import global_quantiles
+from realpay.operators.selection import global_quantiles, grouped_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -101,8 +101,8 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
     where pandas keeps first-seen order). ``count`` is the non-null count.
 
     Plan: one aggregation for all numeric moments; one unpivot of the numeric
-    columns into the grouped exact-quantile plan (groups = columns, a bound
-    known before running); one unpivot of the other columns into a
+    columns into the grouped exact selection (groups = columns, a bound known
+    before running); one unpivot of the other columns into a
     ``(column, value)`` count, whose per-column summary gives unique, top and
     freq (a hot value is pre-aggregated map-side).
     """
@@ -125,12 +125,18 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v"))
             for c in numeric])))
-        quart = exact_quantiles(long, "v", [p for p, _ in QUARTILES], by=["column"],
-                                max_groups=len(numeric))
-        quart = quart.groupBy("column").agg(*[
-            F.max(F.when(F.col(PROB) == p, F.col(VALUE))).alias(name)
-            for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-        parts.append(mom.join(quart, "column", "left"))
+        probs = [p for p, _ in QUARTILES]
+        picked = grouped_quantiles(long, "column", "v", probs, max_groups=max(len(numeric), 1))
+        if picked is not None:
+            rows = [(c, *[picked.get((c, p)) for p in probs]) for c in numeric]
+            quart = df.sparkSession.createDataFrame(
+                rows, "column string, q25 double, q50 double, q75 double")   # one row per column
+        else:
+            quart = exact_quantiles(long, "v", probs, by=["column"], max_groups=len(numeric))
+            quart = quart.groupBy("column").agg(*[
+                F.max(F.when(F.col(PROB) == p, F.col(VALUE))).alias(name)
+                for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        parts.append(mom.join(F.broadcast(quart), "column", "left"))
     if other:
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v"))

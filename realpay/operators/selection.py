@@ -200,3 +200,146 @@ def global_quantiles(df: DataFrame, value: str, probs: Sequence[float],
         for i in missed:
             out[i] = exact[probs[i]]
     return out
+
+
+# ---------------------------------------------------------------------------
+# Grouped selection: the same passes per (group, probability).
+# ---------------------------------------------------------------------------
+
+_G = "__s_g"
+DEFAULT_MAX_GROUPS = 1000
+
+
+def _grouped_base(df: DataFrame, group: str, value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    return (df.select(F.col(group).alias(_G), v.alias(_V))
+              .where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V))))
+
+
+def _bracket_table(spark, gtype, entries):
+    """Small frame ``group, p, lo, hi, r_lo, r_hi`` from driver-side brackets
+    (at most ``max_groups * len(probs)`` rows, checked before it is built)."""
+    from pyspark.sql import types as T
+    schema = T.StructType([
+        T.StructField(_G, gtype, True), T.StructField(_P, T.IntegerType(), False),
+        T.StructField("lo", T.DoubleType(), True), T.StructField("hi", T.DoubleType(), True),
+        T.StructField("r_lo", T.LongType(), False), T.StructField("r_hi", T.LongType(), False)])
+    return spark.createDataFrame(entries, schema)
+
+
+def _tag(base: DataFrame, table: DataFrame) -> DataFrame:
+    """Every row with each bracket of its group (broadcast equi-join on the
+    group, NULL-safe)."""
+    t = F.broadcast(table).alias("t")
+    b = base.alias("b")
+    return b.join(t, F.col("b." + _G).eqNullSafe(F.col("t." + _G)), "inner").select(
+        F.col("b." + _G).alias(_G), F.col("b." + _V).alias(_V), F.col("t." + _P).alias(_P),
+        "t.lo", "t.hi", "t.r_lo", "t.r_hi")
+
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
+                      accuracy: int = DEFAULT_ACCURACY, max_bracket: int = DEFAULT_MAX_BRACKET,
+                      max_groups: int = DEFAULT_MAX_GROUPS, max_passes: int = 6):
+    """Exact quantiles per group as ``{(group, prob): value}``, or ``None``
+    when there are more than ``max_groups`` groups (the caller then uses the
+    lazy sort-based plan, whose memory does not depend on the group count).
+    A NULL group key is a group; groups without values are absent."""
+    probs = [float(p) for p in probs]
+    spark = df.sparkSession
+    gtype = df.schema[group].dataType
+    base = _grouped_base(df, group, value).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        d = 3.0 / accuracy
+        grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
+        first = (base.groupBy(_G)
+                     .agg(F.count(F.lit(1)).alias("n"),
+                          F.percentile_approx(_V, F.array(*[F.lit(x) for x in grid]), accuracy).alias("q"))
+                     .limit(max_groups + 1).collect())
+        if len(first) > max_groups:
+            return None
+        sizes = {r[_G]: int(r["n"]) for r in first}
+        brackets = {}
+        for r in first:
+            approx = dict(zip(grid, r["q"]))
+            for i, p in enumerate(probs):
+                lo_p, hi_p = p - d, p + d
+                brackets[(r[_G], i)] = (None if lo_p <= 0.0 else approx[lo_p],
+                                        None if hi_p >= 1.0 else approx[hi_p],
+                                        (min(hi_p, 1.0) - max(lo_p, 0.0) + 2.0 / accuracy) * sizes[r[_G]])
+
+        def entries(keys):
+            out = []
+            for key in keys:
+                g, i = key
+                lo, hi, _ = brackets[key]
+                _, r_lo, r_hi = _targets(sizes[g], probs[i])
+                out.append((g, i, None if lo is None else float(lo), None if hi is None else float(hi), r_lo, r_hi))
+            return out
+
+        grid_r = [x / GRID for x in range(GRID + 1)]
+        err = 1.0 / GRID + 2.0 / accuracy
+        for _ in range(max_passes):
+            wide = [k for k, (_, _, est) in brackets.items() if est > max_bracket]
+            if not wide:
+                break
+            tagged = _tag(base, _bracket_table(spark, gtype, entries(wide)))
+            v = F.col(_V)
+            inside = (F.col("lo").isNull() | (v >= F.col("lo"))) & (F.col("hi").isNull() | (v <= F.col("hi")))
+            rows = (tagged.groupBy(_G, _P)
+                          .agg(F.count_if(F.col("lo").isNotNull() & (v < F.col("lo"))).alias("below"),
+                               F.count_if(inside).alias("inside"),
+                               F.percentile_approx(F.when(inside, v), F.array(*[F.lit(x) for x in grid_r]),
+                                                   accuracy).alias("s"))
+                          .collect())
+            for r in rows:
+                key = (r[_G], r[_P])
+                lo, hi, _ = brackets[key]
+                below, ins = int(r["below"]), int(r["inside"])
+                _, r_lo, r_hi = _targets(sizes[key[0]], probs[key[1]])
+                if ins == 0 or r_lo < below or r_hi >= below + ins:
+                    brackets[key] = (lo, hi, 0.0)     # the pick will miss and fall back
+                    continue
+                t_lo, t_hi = (r_lo - below) / max(ins - 1, 1), (r_hi - below) / max(ins - 1, 1)
+                g_lo, g_hi = t_lo - err, t_hi + err
+                brackets[key] = (lo if g_lo <= 0.0 else r["s"][int(math.floor(g_lo * GRID))],
+                                 hi if g_hi >= 1.0 else r["s"][int(math.ceil(g_hi * GRID))],
+                                 (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / accuracy) * ins)
+
+        tagged = _tag(base, _bracket_table(spark, gtype, entries(list(brackets))))
+        v = F.col(_V)
+        cls = (F.when(F.col("lo").isNotNull() & (v < F.col("lo")), F.lit(0))
+               .when(F.col("hi").isNotNull() & (v > F.col("hi")), F.lit(2)).otherwise(F.lit(1)))
+        g = (tagged.select(_G, _P, "r_lo", "r_hi", cls.alias(_CLS), v)
+                   .groupBy(_G, _P, "r_lo", "r_hi", _CLS, F.when(F.col(_CLS) == 1, v).alias(_IN))
+                   .agg(F.count(F.lit(1)).alias(_CNT)))
+        w = (Window.partitionBy(_G, _P).orderBy(_CLS, _IN)
+                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        g = g.where(F.col(_CLS) < 2).withColumn(_RUN, F.sum(_CNT).over(w) - F.col(_CNT))
+
+        def holds(r):
+            return (F.col(_RUN) <= F.col(r)) & (F.col(r) < F.col(_RUN) + F.col(_CNT))
+
+        picked = g.where((F.col(_CLS) == 1) & (holds("r_lo") | holds("r_hi"))).collect()
+        found = {}
+        for r in picked:
+            for rank in (r["r_lo"], r["r_hi"]):
+                if r[_RUN] <= rank < r[_RUN] + r[_CNT]:
+                    found[(r[_G], r[_P], rank)] = r[_IN]
+    finally:
+        base.unpersist()
+
+    out, missed = {}, []
+    for (gkey, i) in brackets:
+        h, r_lo, r_hi = _targets(sizes[gkey], probs[i])
+        a, b = found.get((gkey, i, r_lo)), found.get((gkey, i, r_hi))
+        if a is None or b is None:
+            missed.append(i)
+        else:
+            out[(gkey, probs[i])] = _interpolate(h, a, b)
+    if missed:
+        need = sorted({probs[i] for i in missed})
+        for r in exact_quantiles(df, value, need, by=[group]).collect():
+            key = (r[group], r[PROB])
+            if key not in out:
+                out[key] = r[VALUE]
+    return out

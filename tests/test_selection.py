@@ -85,3 +85,57 @@ def test_property(spark, values, probs):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     got = S.global_quantiles(df, "v", probs)
     assert got == pytest.approx(_expect(np.array(values), probs), rel=1e-12, abs=1e-6)
+
+
+@pytest.fixture(scope="module")
+def grouped(spark):
+    rng = np.random.default_rng(8)
+    n = 30000
+    g = rng.choice(["hot", "b", "c", None], size=n, p=[0.6, 0.2, 0.15, 0.05])
+    v = rng.normal(100, 30, n).round(2)
+    v[rng.random(n) < 0.35] = 42.0
+    v[rng.random(n) < 0.01] = np.nan
+    pdf = pd.DataFrame({"g": g, "v": v})
+    return pdf, spark.createDataFrame(pdf).repartition(8)
+
+
+def _check_grouped(res, pdf, probs):
+    for key, sub in pdf.groupby("g", dropna=False):
+        k = None if (isinstance(key, float) and np.isnan(key)) else key
+        vals = sub["v"].dropna().to_numpy()
+        for p in probs:
+            assert res[(k, p)] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12), (k, p)
+
+
+@pytest.mark.parametrize("max_bracket", [S.DEFAULT_MAX_BRACKET, 100])
+def test_grouped_paths(grouped, max_bracket):
+    pdf, df = grouped
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    _check_grouped(S.grouped_quantiles(df, "g", "v", probs, max_bracket=max_bracket), pdf, probs)
+
+
+def test_grouped_fallback_and_cap(grouped, monkeypatch):
+    pdf, df = grouped
+    assert S.grouped_quantiles(df, "g", "v", [0.5], max_groups=2) is None
+    real = S._tag
+
+    def shifted(base, table):       # brackets that miss every wanted rank
+        from pyspark.sql import functions as F
+        return real(base, table.withColumn("lo", F.lit(-5.0)).withColumn("hi", F.lit(-4.0)))
+
+    monkeypatch.setattr(S, "_tag", shifted)
+    _check_grouped(S.grouped_quantiles(df, "g", "v", [0.25, 0.75]), pdf, [0.25, 0.75])
+
+
+def test_box_stats_many_groups_use_sort_plan(spark):
+    from realpay.operators import box_stats
+    rng = np.random.default_rng(9)
+    n = 12000
+    pdf = pd.DataFrame({"g": rng.integers(0, S.DEFAULT_MAX_GROUPS + 200, n), "v": rng.exponential(3, n)})
+    got = {r["g"]: r for r in box_stats(spark.createDataFrame(pdf), "g", "v").collect()}
+    assert len(got) == pdf["g"].nunique()
+    for key, sub in list(pdf.groupby("g"))[:50]:
+        q1, q3 = sub["v"].quantile(0.25), sub["v"].quantile(0.75)
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        assert got[key]["q25"] == pytest.approx(q1, rel=1e-12)
+        assert got[key]["n_outliers"] == int(((sub["v"] < lo) | (sub["v"] > hi)).sum())
