@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from realpay.functions.rounding import round_half_even
 from realpay.operators.correlation import corr_matrix
 from realpay.operators.grouping import group_means, top_tokens
+from realpay.operators.materialize import materialize
 from realpay.operators.outliers import box_stats, iqr_outliers
 from realpay.operators.profile import category_counts, describe_all, describe_numeric, missing_profile
 from realpay.operators.quantiles import exact_quantiles
@@ -59,7 +60,7 @@ def q_col_missing_profile(spark, sf_dir):
 
 
 def q_salary_describe(spark, sf_dir):
-    return describe_numeric(_jobs(spark, sf_dir), "salary_usd")
+    return describe_numeric(materialize(_jobs(spark, sf_dir), ["salary_usd"]), "salary_usd")
 
 
 def q_col_describe_all(spark, sf_dir):
@@ -72,7 +73,7 @@ def q_quantiles(spark, sf_dir):
 
 
 def q_iqr_outliers(spark, sf_dir):
-    return iqr_outliers(_jobs(spark, sf_dir), "salary_usd").select("job_id", "salary_usd")
+    return iqr_outliers(materialize(_jobs(spark, sf_dir), ["job_id", "salary_usd"]), "salary_usd")
 
 
 def q_experience_counts(spark, sf_dir):
@@ -84,7 +85,8 @@ def q_corr_matrix(spark, sf_dir):
 
 
 def q_salary_box_stats(spark, sf_dir):
-    return box_stats(_jobs(spark, sf_dir), "experience_level", "salary_usd")
+    return box_stats(materialize(_jobs(spark, sf_dir), ["experience_level", "salary_usd"]),
+                     "experience_level", "salary_usd")
 
 
 def q_monthly_trend(spark, sf_dir):
@@ -129,16 +131,17 @@ def q_ppp_salary(spark, sf_dir):
 
 
 def q_iqr_filter(spark, sf_dir):
-    return ppp_inliers(_ppp(spark, sf_dir)).select("job_id", "company_location", "salary_usd",
-                                                      "ppp_salary")
+    return ppp_inliers(_ppp(spark, sf_dir),
+                       columns=["job_id", "company_location", "salary_usd", "ppp_salary"])
 
 
 def q_ppp_describe(spark, sf_dir):
-    return describe_numeric(ppp_inliers(_ppp(spark, sf_dir)), "ppp_salary")
+    return describe_numeric(ppp_inliers(_ppp(spark, sf_dir), columns=["ppp_salary"]), "ppp_salary")
 
 
 def q_ppp_country_ranking(spark, sf_dir):
-    return rank_by_ppp(ppp_inliers(_ppp(spark, sf_dir)))
+    return rank_by_ppp(ppp_inliers(_ppp(spark, sf_dir),
+                                   columns=["company_location", "salary_usd", "ppp_salary"]))
 
 
 QUERIES: dict[str, Query] = {

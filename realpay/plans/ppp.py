@@ -15,6 +15,7 @@ from realpay.functions.numbers import clamp, strict_number
 from realpay.functions.ppp import LPP_BOUNDS, ppp_salary, weighted_index
 from realpay.functions.rounding import round_half_away
 from realpay.operators.joins import join_dimension
+from realpay.operators.materialize import materialize
 from realpay.operators.outliers import iqr_filter
 from realpay.sources.fixtures import COST_INDEX, LPP_INDEX, PLUS_RENT_INDEX
 
@@ -74,9 +75,20 @@ def ppp_population(with_salary: DataFrame) -> DataFrame:
     return with_salary.where(F.col("ppp_salary").isNotNull())
 
 
-def ppp_inliers(with_salary: DataFrame, k: float = 1.5) -> DataFrame:
-    """PPP rows inside the global IQR fences of ``ppp_salary`` (inclusive)."""
-    return iqr_filter(ppp_population(with_salary), "ppp_salary", k)
+def ppp_inliers(with_salary: DataFrame, k: float = 1.5, columns=None,
+                stored: bool = True) -> DataFrame:
+    """PPP rows inside the global IQR fences of ``ppp_salary`` (inclusive).
+
+    The PPP population (narrowed to ``columns`` when given) is read twice —
+    by the fence computation and by the filter — so by default it is stored
+    once as a reliable checkpoint and both read the stored rows.
+    """
+    pop = ppp_population(with_salary)
+    if stored:
+        pop = materialize(pop, columns)
+    elif columns:
+        pop = pop.select(*columns)
+    return iqr_filter(pop, "ppp_salary", k)
 
 
 def rank_by_ppp(final: DataFrame, key: str = "company_location", salary: str = "salary_usd",

@@ -71,6 +71,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     if master:
         builder = builder.master(master)
     conf = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+            # stored copies written by materialize()/checkpoint() are removed
+            # once the frames that use them are garbage-collected
+            "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
             **RESULT_SETTINGS, **SCALE_SETTINGS}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
