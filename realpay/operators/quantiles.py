@@ -3,7 +3,9 @@
 Spark's ``percentile`` aggregate keeps a value->count map per group and merges
 it in one task, so a global quantile (or a group holding a third of all rows)
 ends in a single reducer holding every distinct value. The plan here is a
-distributed selection built from DataFrame operators only:
+distributed sort built from DataFrame operators only (lazy, any number of
+groups; :mod:`realpay.operators.selection` is the scan-only alternative used
+for eager global and few-group quantiles):
 
 1. ``groupBy(by, value).count()``: duplicates collapse map-side, so a hot
    value becomes one row per map task; the shuffle spreads (group, value)
@@ -15,8 +17,9 @@ distributed selection built from DataFrame operators only:
    per group and the group sizes, computed on that small table. The wanted
    ranks ``floor/ceil((n-1)p)`` are located in their chunk there too.
 4. Only the chunks that hold a wanted rank (at most ``2*len(probs)`` per group
-   and never more than the number of chunks) are re-read, ordered and scanned
-   with a running count to pick the values at those ranks.
+   and never more than the number of chunks) are re-read, ordered per
+   (chunk, group) and scanned with a running count to pick the values at
+   those ranks.
 5. ``lo + (hi - lo) * frac``: the interpolation rule of ``quantile_cont``,
    pandas ``quantile`` and Spark ``percentile``.
 
@@ -61,7 +64,10 @@ def _clean_values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
 def _num_chunks(spark, num_chunks: int | None) -> int:
     if num_chunks:
         return int(num_chunks)
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    except ValueError:      # a non-numeric setting: fall back to Spark's default
+        return 200
 
 
 def ranked_chunks(df: DataFrame, value: str, by: Sequence[str] = (), num_chunks: int | None = None):
@@ -70,8 +76,7 @@ def ranked_chunks(df: DataFrame, value: str, by: Sequence[str] = (), num_chunks:
     Returns ``(chunked, chunks)``: ``chunked`` has ``by, __q_v, __q_c,
     __q_chunk`` (one row per distinct value per group); ``chunks`` has one row
     per (group, chunk) with the group's rows in the chunk, the offset of the
-    chunk within the group, the group size and the start of the group inside
-    the chunk.
+    chunk within the group and the group size.
 
     The chunk id is the range partition's index, so both consumers of
     ``chunked`` must read the same exchange output with the same layout:

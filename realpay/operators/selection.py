@@ -45,6 +45,9 @@ _RUN = "__s_run"
 DEFAULT_ACCURACY = 10_000
 DEFAULT_MAX_BRACKET = 1_000_000
 GRID = 1000
+# A bracket that missed its rank: nothing falls inside, the pick misses it and
+# the exact fallback answers for it.
+_EMPTY = (math.inf, -math.inf, 0.0)
 
 
 def _targets(n: int, p: float) -> tuple[float, int, int]:
@@ -108,14 +111,14 @@ def _refine(base: DataFrame, n: int, probs, brackets, accuracy: int):
         below, inside, sketch = int(row[f"b{i}"]), int(row[f"c{i}"]), row[f"s{i}"]
         _, r_lo, r_hi = _targets(n, p)
         if inside == 0 or r_lo < below or r_hi >= below + inside:
-            out.append((lo, hi, float(inside)))      # keep; the final pass will fall back
+            out.append(_EMPTY)
             continue
         t_lo = (r_lo - below) / max(inside - 1, 1)
         t_hi = (r_hi - below) / max(inside - 1, 1)
         g_lo, g_hi = t_lo - err, t_hi + err
         new_lo = lo if g_lo <= 0.0 else sketch[int(math.floor(g_lo * GRID))]
         new_hi = hi if g_hi >= 1.0 else sketch[int(math.ceil(g_hi * GRID))]
-        out.append((new_lo, new_hi, (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / accuracy) * inside))
+        out.append((new_lo, new_hi, (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / GRID + 2.0 / accuracy) * inside))
     return out
 
 
@@ -297,13 +300,13 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
                 below, ins = int(r["below"]), int(r["inside"])
                 _, r_lo, r_hi = _targets(sizes[key[0]], probs[key[1]])
                 if ins == 0 or r_lo < below or r_hi >= below + ins:
-                    brackets[key] = (lo, hi, 0.0)     # the pick will miss and fall back
+                    brackets[key] = _EMPTY
                     continue
                 t_lo, t_hi = (r_lo - below) / max(ins - 1, 1), (r_hi - below) / max(ins - 1, 1)
                 g_lo, g_hi = t_lo - err, t_hi + err
                 brackets[key] = (lo if g_lo <= 0.0 else r["s"][int(math.floor(g_lo * GRID))],
                                  hi if g_hi >= 1.0 else r["s"][int(math.ceil(g_hi * GRID))],
-                                 (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / accuracy) * ins)
+                                 (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / GRID + 2.0 / accuracy) * ins)
 
         tagged = _tag(base, _bracket_table(spark, gtype, entries(list(brackets))))
         v = F.col(_V)
