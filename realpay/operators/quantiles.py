@@ -20,8 +20,10 @@ for eager global and few-group quantiles):
    and never more than the number of chunks) are re-read, ordered per
    (chunk, group) and scanned with a running count to pick the values at
    those ranks.
-5. ``lo + (hi - lo) * frac``: the interpolation rule of ``quantile_cont``,
-   pandas ``quantile`` and Spark ``percentile``.
+5. Linear interpolation between the two neighbours, rounded exactly as
+   ``quantile_cont`` rounds it (:mod:`realpay.functions.interpolation`); the
+   real-number rule is the one of pandas ``quantile`` and Spark
+   ``percentile``.
 
 Every task holds at most one chunk; small tables are keyed by chunk id so the
 large side is never re-shuffled to meet them. ``method="approx"`` uses
@@ -36,6 +38,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from realpay.functions.interpolation import lerp
+
 PROB = "prob"
 VALUE = "value"
 
@@ -155,7 +159,7 @@ def _interpolate(picked: DataFrame, by: Sequence[str]) -> DataFrame:
         F.first(_H).alias(_H))
     frac = F.col(_H) - F.floor(F.col(_H))
     value = (F.when(F.floor(F.col(_H)) == F.ceil(F.col(_H)), F.col("__lo"))
-             .otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * frac))
+             .otherwise(lerp(F.col("__lo"), F.col("__hi"), frac)))
     return g.select(*by, PROB, value.alias(VALUE))
 
 

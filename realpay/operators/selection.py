@@ -33,6 +33,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from realpay.functions.interpolation import lerp_value
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles
 
 _V = "__s_v"
@@ -58,7 +59,7 @@ def _targets(n: int, p: float) -> tuple[float, int, int]:
 def _interpolate(h: float, lo: float, hi: float) -> float:
     if math.floor(h) == math.ceil(h):
         return lo
-    return lo + (hi - lo) * (h - math.floor(h))
+    return lerp_value(lo, hi, h - math.floor(h))
 
 
 def _in_bracket(v, lo, hi):

@@ -1,8 +1,9 @@
-"""Every query key equals its DuckDB oracle at sf0.01 (exact doubles)."""
+"""Every query key equals its DuckDB oracle at sf0.01 and sf0.001 (exact doubles)."""
 
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from tests.conftest import SF001
 from tests.oracle_check import compare, duck
 
 KEYS = sorted(queries())
@@ -13,6 +14,11 @@ def con():
     return duck()
 
 
+@pytest.fixture(scope="module")
+def con_small():
+    return duck(SF001)
+
+
 def test_keys_have_oracles():
     assert sorted(oracle_sql()) == KEYS
     assert len(KEYS) == 19
@@ -22,3 +28,9 @@ def test_keys_have_oracles():
 def test_query_matches_oracle(spark, con, key):
     ok, msg = compare(spark, key, con=con)
     assert ok, msg
+
+
+@pytest.mark.parametrize("key", KEYS)
+def test_query_matches_oracle_on_smallest_data(spark, con_small, key):
+    ok, msg = compare(spark, key, sf_dir=SF001, con=con_small)
+    assert ok, msg
