@@ -6,7 +6,9 @@ from realpay.operators.grouping import group_means, top_tokens
 from realpay.operators.joins import join_dimension
 from realpay.operators.outliers import box_stats, iqr_fences, iqr_filter, iqr_outliers
 from realpay.operators.profile import category_counts, describe_all, describe_numeric, missing_profile
+from realpay.operators.materialize import materialize
 from realpay.operators.quantiles import approx_quantiles, exact_quantiles, quantile_row
+from realpay.operators.selection import global_quantiles, grouped_quantiles, quantile_frame
 from realpay.operators.trends import monthly_trend
 
 __all__ = [
@@ -18,13 +20,17 @@ __all__ = [
     "describe_all",
     "describe_numeric",
     "exact_quantiles",
+    "global_quantiles",
+    "grouped_quantiles",
     "group_means",
     "iqr_fences",
     "iqr_filter",
     "iqr_outliers",
     "join_dimension",
+    "materialize",
     "missing_profile",
     "monthly_trend",
+    "quantile_frame",
     "quantile_row",
     "row_count_at_most",
     "top_tokens",

@@ -347,3 +347,18 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
             if key not in out:
                 out[key] = r[VALUE]
     return out
+
+
+def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], method: str = "exact",
+                   lazy: bool = False) -> DataFrame:
+    """Global quantiles as a ``prob, value`` frame.
+
+    Default: exact values by selection (the passes run now; the frame holds
+    one row per probability). ``lazy=True`` returns the lazy sort-based plan
+    instead, and ``method="approx"`` the ``percentile_approx`` plan.
+    """
+    if lazy or method != "exact":
+        return exact_quantiles(df, value, probs, method=method)
+    probs = [float(p) for p in probs]
+    values = global_quantiles(df, value, probs)
+    return df.sparkSession.createDataFrame(list(zip(probs, values)), "prob double, value double")

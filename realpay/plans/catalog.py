@@ -19,7 +19,7 @@ from realpay.operators.grouping import group_means, top_tokens
 from realpay.operators.materialize import materialize
 from realpay.operators.outliers import box_stats, iqr_outliers
 from realpay.operators.profile import category_counts, describe_all, describe_numeric, missing_profile
-from realpay.operators.quantiles import exact_quantiles
+from realpay.operators.selection import quantile_frame
 from realpay.operators.trends import month_label, monthly_trend
 from realpay.plans.ppp import merge_costs, ppp_frame, ppp_inliers, rank_by_ppp
 from realpay.session import configure
@@ -69,7 +69,7 @@ def q_col_describe_all(spark, sf_dir):
 
 
 def q_quantiles(spark, sf_dir):
-    return exact_quantiles(_jobs(spark, sf_dir), "salary_usd", [0.25, 0.75])
+    return quantile_frame(_jobs(spark, sf_dir), "salary_usd", [0.25, 0.75])
 
 
 def q_iqr_outliers(spark, sf_dir):

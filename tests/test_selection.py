@@ -139,3 +139,13 @@ def test_box_stats_many_groups_use_sort_plan(spark):
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         assert got[key]["q25"] == pytest.approx(q1, rel=1e-12)
         assert got[key]["n_outliers"] == int(((sub["v"] < lo) | (sub["v"] > hi)).sum())
+
+
+def test_quantile_frame_forms_agree(data):
+    _, df = data
+    probs = [0.25, 0.5, 0.75]
+    eager = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs).collect()}
+    lazy = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs, lazy=True).collect()}
+    assert eager == lazy
+    approx = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs, method="approx").collect()}
+    assert set(approx) == set(probs)
