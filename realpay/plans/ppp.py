@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from realpay.functions.numbers import clamp, strict_number
 from realpay.functions.ppp import LPP_BOUNDS, ppp_salary, weighted_index
 from realpay.functions.rounding import round_half_away
+from realpay.functions.text import normalize_key
 from realpay.operators.joins import join_dimension
 from realpay.operators.materialize import materialize
 from realpay.operators.outliers import iqr_filter
@@ -92,11 +93,14 @@ def ppp_inliers(with_salary: DataFrame, k: float = 1.5, columns=None,
 
 
 def rank_by_ppp(final: DataFrame, key: str = "company_location", salary: str = "salary_usd",
-                min_jobs: int = 10, k: int = 10) -> DataFrame:
+                min_jobs: int = 10, k: int = 10, normalize: bool = False) -> DataFrame:
     """Countries by average PPP salary: at least ``min_jobs`` postings (after
     outlier removal), averages rounded like SQL ``ROUND``, sorted by the
     rounded value, ties by country, top ``k``. The raw (untrimmed) location
-    is the group key, as in the report."""
+    is the group key, as in the report; ``normalize=True`` groups by the
+    trimmed location instead, so padded spellings of a country merge."""
+    if normalize:
+        final = final.withColumn(key, normalize_key(key))
     agg = (final.groupBy(key)
                 .agg(F.avg(salary).alias("avg_nominal"), F.avg("ppp_salary").alias("avg_ppp"),
                      F.count(F.lit(1)).alias("job_count"))

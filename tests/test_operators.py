@@ -136,3 +136,10 @@ def test_join_dimension_broadcast_and_shuffle_paths(spark, bound):
     assert rows == [(1, 1.0), (2, 2.0), (2, 3.0), (3, None), (4, None)]
     if bound == 10:
         assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_describe_approx_method(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(1, 1001)], "v double")
+    got = {r["stat"]: r["value"] for r in describe_numeric(df, "v", method="approx").collect()}
+    assert set(got) == {"count", "mean", "std", "min", "25%", "50%", "75%", "max"}
+    assert abs(got["50%"] - 500.5) <= 1.0 and got["count"] == 1000.0

@@ -135,3 +135,16 @@ def test_ranking_drops_small_groups_after_outliers(spark):
     final = ppp_inliers(catalog._ppp(spark, SF01))
     top = rank_by_ppp(final, min_jobs=10, k=1000).toPandas()
     assert (top["job_count"] >= 10).all()
+
+
+def test_ranking_on_trimmed_keys_matches_pandas(spark, pd_flow):
+    _, _, final = pd_flow
+    f = final.assign(company_location=final["company_location"].str.strip())
+    agg = f.groupby("company_location").agg(avg_ppp=("ppp_salary", "mean"), n=("ppp_salary", "size"))
+    agg = agg[agg["n"] >= 10].reset_index()
+    agg["avg_ppp"] = agg["avg_ppp"].round(2)
+    exp = agg.sort_values(["avg_ppp", "company_location"], ascending=[False, True]).head(10)
+    got = rank_by_ppp(ppp_inliers(catalog._ppp(spark, SF01)), normalize=True).toPandas()
+    assert list(got["company_location"]) == list(exp["company_location"])
+    assert list(got["job_count"]) == list(exp["n"])
+    assert not any(x.startswith(" ") for x in got["company_location"])
