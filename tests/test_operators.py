@@ -143,3 +143,14 @@ def test_describe_approx_method(spark):
     got = {r["stat"]: r["value"] for r in describe_numeric(df, "v", method="approx").collect()}
     assert set(got) == {"count", "mean", "std", "min", "25%", "50%", "75%", "max"}
     assert abs(got["50%"] - 500.5) <= 1.0 and got["count"] == 1000.0
+
+
+def test_empty_inputs(spark):
+    empty = spark.createDataFrame([], "g string, v double, s string")
+    assert describe_all(empty).count() == 3
+    assert {r["stat"]: r["value"] for r in describe_numeric(empty, "v").collect()}["count"] == 0.0
+    assert box_stats(empty, "g", "v").count() == 0
+    assert iqr_filter(empty, "v").count() == 0 and iqr_outliers(empty, "v").count() == 0
+    assert missing_profile(empty).where("missing = 0").count() == 3
+    assert corr_matrix(empty, ["v"]).first()["corr"] is None
+    assert top_tokens(empty, "s").count() == 0
