@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from realpay.constants import INDEX_BOUNDS, INDEX_WEIGHT, LPP_BOUNDS, MIN_SALARY  # noqa: F401
 from realpay.functions.numbers import clamp
 
-# Fixed values of the report's PPP rule.
-INDEX_WEIGHT = 0.5            # weight of the cost-of-living index (the rest: plus-rent index)
-INDEX_BOUNDS = (40.0, 150.0)  # weighted cost index is clamped to this range
-LPP_BOUNDS = (30.0, 80.0)     # local purchasing power is clamped to this range
-MIN_SALARY = 2000.0           # salaries below this get no PPP salary
-
 
 def _as_col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)

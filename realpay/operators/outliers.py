@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from realpay.constants import IQR_MULTIPLIER
 from realpay.operators.broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles, quantile_row
 from realpay.operators.selection import global_quantiles, grouped_quantiles
@@ -22,7 +23,7 @@ from realpay.operators.selection import global_quantiles, grouped_quantiles
 LOW, HIGH = "low_fence", "high_fence"
 
 
-def iqr_fences(df: DataFrame, value: str, k: float = 1.5, method: str = "exact") -> DataFrame:
+def iqr_fences(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str = "exact") -> DataFrame:
     """One row: ``q1, q3, iqr, low_fence, high_fence`` over the whole column
     (``Q1 - k*IQR``, ``Q3 + k*IQR``, in that float order)."""
     q = quantile_row(df, value, [0.25, 0.75], method=method, names=["q1", "q3"])
@@ -52,7 +53,7 @@ def _fence_columns(df: DataFrame, value: str, k: float, method: str, lazy: bool)
     return F.lit(lo).cast("double"), F.lit(hi).cast("double")
 
 
-def iqr_outliers(df: DataFrame, value: str, k: float = 1.5, method: str = "exact",
+def iqr_outliers(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str = "exact",
                  lazy: bool = False) -> DataFrame:
     """Rows strictly outside the fences (``v < low or v > high``)."""
     lo, hi = _fence_columns(df, value, k, method, lazy)
@@ -60,7 +61,7 @@ def iqr_outliers(df: DataFrame, value: str, k: float = 1.5, method: str = "exact
     return df.where((v < lo) | (v > hi))
 
 
-def iqr_filter(df: DataFrame, value: str, k: float = 1.5, method: str = "exact",
+def iqr_filter(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str = "exact",
                lazy: bool = False) -> DataFrame:
     """Rows inside the fences, bounds included (``low <= v <= high``)."""
     lo, hi = _fence_columns(df, value, k, method, lazy)
@@ -68,7 +69,7 @@ def iqr_filter(df: DataFrame, value: str, k: float = 1.5, method: str = "exact",
     return df.where((v >= lo) & (v <= hi))
 
 
-def box_stats(df: DataFrame, group: str, value: str, k: float = 1.5,
+def box_stats(df: DataFrame, group: str, value: str, k: float = IQR_MULTIPLIER,
               max_broadcast_groups: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Box-plot data per group: ``group, q25, q50, q75, lo_whisker,
     hi_whisker, n_outliers``.

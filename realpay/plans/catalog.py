@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from realpay.constants import CORR_COLUMNS, SAMPLE_ROWS, SKILL_SEPARATOR, TOP_K
 from realpay.functions.rounding import round_half_even
 from realpay.operators.correlation import corr_matrix
 from realpay.operators.grouping import group_means, top_tokens
@@ -27,8 +28,6 @@ from realpay.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The report's numeric columns for the correlation matrix.
-CORR_COLUMNS = ("salary_usd", "years_experience", "benefits_score", "remote_ratio")
 TREND_SCALE = 4
 
 
@@ -99,7 +98,7 @@ def q_monthly_trend(spark, sf_dir):
 
 def q_top_skills(spark, sf_dir):
     configure(spark)
-    return top_tokens(fixtures.skills(spark, sf_dir), "required_skills", ",", k=10)
+    return top_tokens(fixtures.skills(spark, sf_dir), "required_skills", SKILL_SEPARATOR, k=TOP_K)
 
 
 def q_remote_stats(spark, sf_dir):
@@ -110,7 +109,7 @@ def q_remote_stats(spark, sf_dir):
 def q_geo_top10(spark, sf_dir):
     return group_means(_jobs(spark, sf_dir), "company_location",
                        {"avg_salary": "salary_usd", "avg_remote_ratio": "remote_ratio"}, "job_count",
-                       order_by="avg_salary", descending=True, k=10,
+                       order_by="avg_salary", descending=True, k=TOP_K,
                        columns_order=["company_location", "avg_salary", "job_count", "avg_remote_ratio"])
 
 
@@ -119,7 +118,7 @@ def q_col_join(spark, sf_dir):
 
 
 def q_merged_sample(spark, sf_dir):
-    return _merged(spark, sf_dir).orderBy(F.asc_nulls_last("job_id")).limit(6)
+    return _merged(spark, sf_dir).orderBy(F.asc_nulls_last("job_id")).limit(SAMPLE_ROWS)
 
 
 PPP_COLUMNS = ("job_id", "company_location", "salary_usd", "col_index", "col_plus_rent", "lpp",

@@ -18,10 +18,9 @@ from realpay.functions.text import normalize_key
 from realpay.operators.joins import join_dimension
 from realpay.operators.materialize import materialize
 from realpay.operators.outliers import iqr_filter
-from realpay.sources.fixtures import COST_INDEX, LPP_INDEX, PLUS_RENT_INDEX
+from realpay.constants import IQR_MULTIPLIER, MERGED_COLUMNS, MIN_JOBS, TOP_K
 
-# The merged column names of the report.
-COST_COLUMNS = {"col_index": COST_INDEX, "col_plus_rent": PLUS_RENT_INDEX, "lpp": LPP_INDEX}
+COST_COLUMNS = MERGED_COLUMNS
 
 
 def merge_costs(jobs: DataFrame, costs: DataFrame, location: str = "company_location",
@@ -76,7 +75,7 @@ def ppp_population(with_salary: DataFrame) -> DataFrame:
     return with_salary.where(F.col("ppp_salary").isNotNull())
 
 
-def ppp_inliers(with_salary: DataFrame, k: float = 1.5, columns=None,
+def ppp_inliers(with_salary: DataFrame, k: float = IQR_MULTIPLIER, columns=None,
                 stored: bool = True) -> DataFrame:
     """PPP rows inside the global IQR fences of ``ppp_salary`` (inclusive).
 
@@ -93,7 +92,7 @@ def ppp_inliers(with_salary: DataFrame, k: float = 1.5, columns=None,
 
 
 def rank_by_ppp(final: DataFrame, key: str = "company_location", salary: str = "salary_usd",
-                min_jobs: int = 10, k: int = 10, normalize: bool = False) -> DataFrame:
+                min_jobs: int = MIN_JOBS, k: int = TOP_K, normalize: bool = False) -> DataFrame:
     """Countries by average PPP salary: at least ``min_jobs`` postings (after
     outlier removal), averages rounded like SQL ``ROUND``, sorted by the
     rounded value, ties by country, top ``k``. The raw (untrimmed) location

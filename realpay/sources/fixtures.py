@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from realpay.constants import COST_INDEX, LPP_INDEX, PLUS_RENT_INDEX
 from realpay.functions.numbers import nan_to_null
 from realpay.sources.tables import load_table
 
@@ -30,10 +31,6 @@ def _null(dtype: str):
     return F.lit(None).cast(dtype)
 
 
-# The cost-of-living column names of the report's dimension.
-COST_INDEX = "Cost of Living Index"
-PLUS_RENT_INDEX = "Cost of Living Plus Rent Index"
-LPP_INDEX = "Local Purchasing Power Index"
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
