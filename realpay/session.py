@@ -83,3 +83,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def cluster_settings(input_bytes: int, total_cores: int, shuffle_fraction: float = 0.1,
+                     target_partition_bytes: int = 128 * 1024 ** 2) -> dict[str, str]:
+    """Partition sizing for a large run, from the input size and the cores.
+
+    * scan splits of 256 MiB (the operators read a few columns, so a split
+      decodes to far less than its on-disk size);
+    * enough shuffle partitions that the shuffled bytes (estimated as
+      ``shuffle_fraction`` of the input: projections are narrow and most
+      aggregates combine map-side) come to ``target_partition_bytes`` each,
+      never fewer than two per core; AQE then coalesces small ones;
+    * a partition is treated as skewed above four times the target (AQE
+      splits it in joins).
+
+    The exact-quantile sort plan takes its chunk count from
+    ``spark.sql.shuffle.partitions``, so this also sizes its chunks.
+    At 100 TB on 8,000 cores: 81,920 shuffle partitions of ~128 MiB.
+    """
+    shuffled = max(int(input_bytes * shuffle_fraction), 1)
+    partitions = max(2 * int(total_cores), -(-shuffled // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024 ** 2),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }

@@ -52,3 +52,11 @@ def test_entry_runs_with_stable_schema(spark):
     assert a.schema == b.schema
     assert a.columns == ["company_location", "avg_nominal_salary", "avg_ppp_salary", "job_count"]
     assert a.count() >= 0
+
+
+def test_cluster_settings_scale_with_input():
+    from realpay.session import cluster_settings
+    big = cluster_settings(100 * 1024 ** 4, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 81920
+    small = cluster_settings(10 * 1024 ** 2, 8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
