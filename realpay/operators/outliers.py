@@ -79,11 +79,12 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = IQR_MULTIPLIER,
 
     Quartiles come from the grouped selection (scans only) when the group
     count is within its checked bound; the per-group fences (one row per
-    group) are then a small frame broadcast onto the duplicate-collapsed
-    (group, value, count) rows. With more groups, the sort-based exact plan
-    computes them, they are materialised as a reliable checkpoint, counted,
-    and broadcast when small or shuffle-joined otherwise (AQE splits a hot
-    group).
+    group) are then a small frame broadcast onto the rows, and whiskers and
+    outlier counts are partial aggregates per group (no shuffle of values).
+    With more groups, the sort-based exact plan computes them, they are
+    materialised as a reliable checkpoint, counted, and broadcast when small
+    or shuffle-joined otherwise against the duplicate-collapsed
+    (group, value, count) rows (AQE splits a hot group).
     """
     base = df.where(F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias(value))
     base = base.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
@@ -97,7 +98,9 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = IQR_MULTIPLIER,
             rows.append((g, q25, q50, q75, q25 - float(k) * iqr, q75 + float(k) * iqr))
         schema = T.StructType([T.StructField(group, df.schema[group].dataType, True)] + [
             T.StructField(c, T.DoubleType(), True) for c in ("q25", "q50", "q75", LOW, HIGH)])
-        side = F.broadcast(df.sparkSession.createDataFrame(rows, schema))   # <= max_groups rows
+        fences = df.sparkSession.createDataFrame(rows, schema)      # <= max_groups rows
+        # map-side join; only partial aggregates per group cross the shuffle
+        joined = base.withColumn("__n", F.lit(1)).join(F.broadcast(fences), group, "inner")
     else:
         q = exact_quantiles(base, value, list(probs), by=[group])
         quart = q.groupBy(group).agg(*[
@@ -108,10 +111,11 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = IQR_MULTIPLIER,
                              (F.col("q25") - F.lit(float(k)) * iqr).alias(LOW),
                              (F.col("q75") + F.lit(float(k)) * iqr).alias(HIGH))
         side, _ = checked_broadcast(quart, max_broadcast_groups, materialize=True)
-    counted = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+        # many groups: join the duplicate-collapsed (group, value, count) rows
+        counted = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
+        joined = counted.join(side, group, "inner")
     v = F.col(value)
     inside = (v >= F.col(LOW)) & (v <= F.col(HIGH))
-    joined = counted.join(side, group, "inner")
     return joined.groupBy(group).agg(
         F.first("q25").alias("q25"), F.first("q50").alias("q50"), F.first("q75").alias("q75"),
         F.min(F.when(inside, v)).alias("lo_whisker"),
