@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from realpay.functions.numbers import strict_number
+
 # pandas' default NA strings.
 DEFAULT_NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
@@ -27,27 +29,64 @@ def tokens_to_null(c: Column, na_tokens=DEFAULT_NA_TOKENS) -> Column:
     return F.when(~c.isin(list(na_tokens)), c)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType,
+# Fixed value: whole numbers as pandas reads them into int64 (optional sign,
+# digits, surrounding blanks).
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
+
+
+def infer_types(raw: DataFrame) -> T.StructType:
+    """Column types as ``read_csv`` infers them, decided in ONE aggregation:
+    a column whose non-missing values are all whole numbers becomes bigint,
+    all numbers (see ``strict_number``) double, anything else string; a
+    column with no values at all is double (pandas: all-NaN float64)."""
+    from realpay.functions.numbers import NUMBER_PATTERN
+    aggs = []
+    for i, name in enumerate(raw.columns):
+        c = F.col(f"`{name}`")
+        aggs += [F.count(c).alias(f"n{i}"), F.count_if(c.rlike(INTEGER_PATTERN)).alias(f"i{i}"),
+                 F.count_if(c.rlike(NUMBER_PATTERN)).alias(f"d{i}")]
+    row = raw.agg(*aggs).first()
+    fields = []
+    for i, name in enumerate(raw.columns):
+        n, ints, nums = row[f"n{i}"], row[f"i{i}"], row[f"d{i}"]
+        if n == 0 or (nums == n and ints < n):
+            dtype = T.DoubleType()
+        elif ints == n:
+            dtype = T.LongType()
+        else:
+            dtype = T.StringType()
+        fields.append(T.StructField(name, dtype, True))
+    return T.StructType(fields)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                na_tokens=DEFAULT_NA_TOKENS, header: bool = True) -> DataFrame:
     """Read a delimited file into ``schema``.
 
-    Fields are read as strings, NA tokens become NULL, then each column is
-    converted with ``try_cast`` (a malformed number becomes NULL, as pandas
-    would store it in an object column that later coercion turns into NaN).
-    Doubles that parse to NaN become NULL.
+    Fields are read as strings and NA tokens become NULL. Float columns are
+    converted with ``strict_number`` (pandas' number syntax; anything else,
+    and NaN, becomes NULL); other typed columns with ``try_cast``.
+
+    Without ``schema`` the column names come from the header and the types
+    from :func:`infer_types` (one aggregation over the tokens-cleaned text).
     """
-    raw_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
-    raw = (spark.read.schema(raw_schema)
-           .option("header", header)
-           .option("ignoreLeadingWhiteSpace", False)
-           .option("ignoreTrailingWhiteSpace", False)
-           .csv(path))
+    reader = (spark.read.option("header", header)
+              .option("ignoreLeadingWhiteSpace", False)
+              .option("ignoreTrailingWhiteSpace", False))
+    if schema is None:
+        # every field as text first (no Spark inference pass), then pandas-like typing
+        raw = reader.option("inferSchema", False).csv(path)
+        cleaned = raw.select(*[tokens_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in raw.columns])
+        schema = infer_types(cleaned)
+    else:
+        raw_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
+        raw = reader.schema(raw_schema).csv(path)
     cols = []
     for field in schema:
-        c = tokens_to_null(F.col(field.name), na_tokens)
-        if not isinstance(field.dataType, T.StringType):
-            c = c.try_cast(field.dataType)
-            if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-                c = F.when(~F.isnan(c), c)
+        c = tokens_to_null(F.col(f"`{field.name}`"), na_tokens)
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            c = strict_number(c).cast(field.dataType)
+        elif not isinstance(field.dataType, T.StringType):
+            c = F.trim(c).try_cast(field.dataType)
         cols.append(c.alias(field.name))
     return raw.select(*cols)

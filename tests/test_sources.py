@@ -60,3 +60,18 @@ def test_cluster_settings_scale_with_input():
     assert int(big["spark.sql.shuffle.partitions"]) == 81920
     small = cluster_settings(10 * 1024 ** 2, 8)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_csv_type_inference_like_read_csv(spark):
+    d = tempfile.mkdtemp(prefix="realpay-csv-")
+    path = os.path.join(d, "costs.csv")
+    with open(path, "w") as f:
+        f.write("Rank,Country,Cost Index,Empty,Mixed\n")
+        f.write("1,Alpha,101.1,,x1\n2,Beta Land,NA,NA,2\n3, Gamma ,38.5,null,3.5\n")
+    df = read_table(spark, path)
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    assert types == {"Rank": "bigint", "Country": "string", "Cost Index": "double", "Empty": "double",
+                     "Mixed": "string"}
+    rows = df.orderBy("Rank").collect()
+    assert [r["Cost Index"] for r in rows] == [101.1, None, 38.5]
+    assert rows[2]["Country"] == " Gamma " and rows[0]["Empty"] is None
