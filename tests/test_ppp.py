@@ -148,3 +148,18 @@ def test_ranking_on_trimmed_keys_matches_pandas(spark, pd_flow):
     assert list(got["company_location"]) == list(exp["company_location"])
     assert list(got["job_count"]) == list(exp["n"])
     assert not any(x.startswith(" ") for x in got["company_location"])
+
+
+def test_ppp_from_a_csv_dimension(spark, tmp_path):
+    """The cost table read from a CSV file (inferred types, NA tokens) gives
+    the same PPP salaries as the frame it was written from."""
+    from realpay.sources import read_table
+    costs = fixtures.cost_living(spark, SF01)
+    path = str(tmp_path / "costs.csv")
+    costs.toPandas().to_csv(path, index=False)
+    from_csv = read_table(spark, path)
+    jobs = fixtures.jobs(spark, SF01)
+    cols = ["job_id", "weighted_col", "clamped_lpp", "ppp_salary"]
+    a = ppp_frame(jobs, costs).select(*cols)
+    b = ppp_frame(jobs, from_csv).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
