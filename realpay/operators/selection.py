@@ -253,14 +253,17 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
     gtype = df.schema[group].dataType
     base = _grouped_base(df, group, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # the group bound is checked first (a cheap distinct count that also
+        # fills the persisted column), so no sketch pass is wasted on a
+        # frame that will use the sort plan
+        if base.select(_G).distinct().limit(max_groups + 1).count() > max_groups:
+            return None
         d = 3.0 / accuracy
         grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
         first = (base.groupBy(_G)
                      .agg(F.count(F.lit(1)).alias("n"),
                           F.percentile_approx(_V, F.array(*[F.lit(x) for x in grid]), accuracy).alias("q"))
-                     .limit(max_groups + 1).collect())
-        if len(first) > max_groups:
-            return None
+                     .collect())                       # at most max_groups rows
         sizes = {r[_G]: int(r["n"]) for r in first}
         brackets = {}
         for r in first:
