@@ -8,6 +8,9 @@ value bracket around each wanted rank and sorts only the bracket:
    at ``p - d`` and ``p + d`` (``d`` a few times the sketch's rank error
    ``1/accuracy``), giving a bracket ``[lo_p, hi_p]`` per probability. The
    sketch is merged map-side; its size is bounded by ``accuracy``.
+   A column (or group) of at most ``max_bracket`` rows needs no bracket: it
+   is ranked whole in step 3 (a sketch bracket narrower than one rank step
+   could hold only one of the two neighbours).
 2. While a bracket may still hold more than ``max_bracket`` rows (very large
    columns): one aggregation with the exact count below and inside each
    bracket and a sketch of the inside values only, on a fixed grid; the
@@ -76,8 +79,16 @@ def _clean(df: DataFrame, value: str) -> DataFrame:
     return df.select(v.alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
 
 
-def _initial(base: DataFrame, probs: Sequence[float], accuracy: int):
-    d = 3.0 / accuracy
+def _margin(accuracy: int, max_bracket: int) -> float:
+    """Probability margin of a sketch bracket: three times the sketch's rank
+    error, and at least four ranks for any column that needs a bracket
+    (``n > max_bracket``), so both interpolation neighbours fall inside."""
+    return max(3.0 / accuracy, 4.0 / max_bracket)
+
+
+def _initial(base: DataFrame, probs: Sequence[float], accuracy: int,
+             max_bracket: int = DEFAULT_MAX_BRACKET):
+    d = _margin(accuracy, max_bracket)
     grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
     row = base.agg(F.count(F.lit(1)).alias("n"),
                    F.percentile_approx(_V, F.array(*[F.lit(g) for g in grid]), accuracy).alias("q")).first()
@@ -94,6 +105,7 @@ def _initial(base: DataFrame, probs: Sequence[float], accuracy: int):
 
 
 def _refine(base: DataFrame, n: int, probs, brackets, accuracy: int):
+    # margins below are at least four ranks of the bracket being narrowed
     """One pass of exact counts plus an in-bracket sketch; narrower brackets."""
     grid = [i / GRID for i in range(GRID + 1)]
     aggs = []
@@ -116,7 +128,8 @@ def _refine(base: DataFrame, n: int, probs, brackets, accuracy: int):
             continue
         t_lo = (r_lo - below) / max(inside - 1, 1)
         t_hi = (r_hi - below) / max(inside - 1, 1)
-        g_lo, g_hi = t_lo - err, t_hi + err
+        m = max(err, 4.0 / inside)
+        g_lo, g_hi = t_lo - m, t_hi + m
         new_lo = lo if g_lo <= 0.0 else sketch[int(math.floor(g_lo * GRID))]
         new_hi = hi if g_hi >= 1.0 else sketch[int(math.ceil(g_hi * GRID))]
         out.append((new_lo, new_hi, (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / GRID + 2.0 / accuracy) * inside))
@@ -179,9 +192,13 @@ def global_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     # disk) instead of re-running the upstream plan per pass; released below.
     base = _clean(df, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n, brackets = _initial(base, probs, accuracy)
+        n, brackets = _initial(base, probs, accuracy, max_bracket)
         if n == 0:
             return [None] * len(probs)
+        if n <= max_bracket:
+            # the whole column fits one bounded window: no bracket needed (a
+            # sketch bracket narrower than one rank step could miss a neighbour)
+            brackets = [(None, None, float(n)) for _ in probs]
         for _ in range(max_passes):
             if all(est <= max_bracket for _, _, est in brackets):
                 break
@@ -258,7 +275,7 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
         # frame that will use the sort plan
         if base.select(_G).distinct().limit(max_groups + 1).count() > max_groups:
             return None
-        d = 3.0 / accuracy
+        d = _margin(accuracy, max_bracket)
         grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
         first = (base.groupBy(_G)
                      .agg(F.count(F.lit(1)).alias("n"),
@@ -269,6 +286,9 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
         for r in first:
             approx = dict(zip(grid, r["q"]))
             for i, p in enumerate(probs):
+                if sizes[r[_G]] <= max_bracket:      # the whole group fits one window
+                    brackets[(r[_G], i)] = (None, None, float(sizes[r[_G]]))
+                    continue
                 lo_p, hi_p = p - d, p + d
                 brackets[(r[_G], i)] = (None if lo_p <= 0.0 else approx[lo_p],
                                         None if hi_p >= 1.0 else approx[hi_p],
@@ -307,7 +327,8 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
                     brackets[key] = _EMPTY
                     continue
                 t_lo, t_hi = (r_lo - below) / max(ins - 1, 1), (r_hi - below) / max(ins - 1, 1)
-                g_lo, g_hi = t_lo - err, t_hi + err
+                m = max(err, 4.0 / ins)
+                g_lo, g_hi = t_lo - m, t_hi + m
                 brackets[key] = (lo if g_lo <= 0.0 else r["s"][int(math.floor(g_lo * GRID))],
                                  hi if g_hi >= 1.0 else r["s"][int(math.ceil(g_hi * GRID))],
                                  (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / GRID + 2.0 / accuracy) * ins)

@@ -41,13 +41,15 @@ def test_fallback_when_bracket_misses(data, monkeypatch):
     vals, df = data
     real = S._initial
 
-    def wrong(base, probs, accuracy):
-        n, brackets = real(base, probs, accuracy)
+    def wrong(base, probs, accuracy, max_bracket):
+        n, brackets = real(base, probs, accuracy, max_bracket)
         return n, [(-5.0, -4.0, 1.0) for _ in brackets]    # brackets that hold no wanted rank
 
     monkeypatch.setattr(S, "_initial", wrong)
     probs = [0.25, 0.75]
-    assert S.global_quantiles(df, "v", probs) == pytest.approx(_expect(vals, probs), rel=1e-12)
+    # a small window bound, so the column is bracketed rather than ranked whole
+    got = S.global_quantiles(df, "v", probs, max_bracket=100)
+    assert got == pytest.approx(_expect(vals, probs), rel=1e-12)
 
 
 def test_empty_and_single(spark):
@@ -149,3 +151,20 @@ def test_quantile_frame_forms_agree(data):
     assert eager == lazy
     approx = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs, method="approx").collect()}
     assert set(approx) == set(probs)
+
+
+@pytest.mark.parametrize("n", [7, 1142, 5000])
+def test_no_fallback_on_small_or_medium_columns(spark, monkeypatch, n):
+    """Small columns are ranked whole; medium ones get a bracket wide enough
+    for both neighbours: neither may reach the sort-plan fallback."""
+    def forbidden(*a, **k):
+        raise AssertionError("fallback used")
+    monkeypatch.setattr(S, "exact_quantiles", forbidden)
+    rng = np.random.default_rng(n)
+    vals = rng.lognormal(11, 0.6, n)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    probs = [0.25, 0.5, 0.75]
+    assert S.global_quantiles(df, "v", probs, max_bracket=2000) == pytest.approx(_expect(vals, probs), rel=1e-12)
+    groups = spark.createDataFrame([(f"g{i % 3}", float(v)) for i, v in enumerate(vals)], "g string, v double")
+    got = S.grouped_quantiles(groups, "g", "v", probs, max_bracket=1500)
+    assert len(got) == 3 * len(probs)
