@@ -47,7 +47,7 @@ _CNT = "__s_cnt"
 _RUN = "__s_run"
 
 DEFAULT_ACCURACY = 10_000
-DEFAULT_MAX_BRACKET = 1_000_000
+DEFAULT_MAX_BRACKET = 50_000     # rows ranked in one window task (bounded memory)
 GRID = 1000
 # A bracket that missed its rank: nothing falls inside, the pick misses it and
 # the exact fallback answers for it.
