@@ -105,8 +105,8 @@ def _initial(base: DataFrame, probs: Sequence[float], accuracy: int,
 
 
 def _refine(base: DataFrame, n: int, probs, brackets, accuracy: int):
-    # margins below are at least four ranks of the bracket being narrowed
-    """One pass of exact counts plus an in-bracket sketch; narrower brackets."""
+    """One pass of exact counts plus an in-bracket sketch; narrower brackets
+    (with margins of at least four ranks of the bracket being narrowed)."""
     grid = [i / GRID for i in range(GRID + 1)]
     aggs = []
     for i, (lo, hi, _) in enumerate(brackets):
