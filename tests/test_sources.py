@@ -75,3 +75,14 @@ def test_csv_type_inference_like_read_csv(spark):
     rows = df.orderBy("Rank").collect()
     assert [r["Cost Index"] for r in rows] == [101.1, None, 38.5]
     assert rows[2]["Country"] == " Gamma " and rows[0]["Empty"] is None
+
+
+def test_run_report_writes_every_section(spark, tmp_path):
+    from realpay.plans.catalog import QUERIES
+    from realpay.plans.report import SECTIONS, run_report
+    assert sorted(SECTIONS) == sorted(QUERIES)
+    out = str(tmp_path / "report")
+    results = run_report(spark, SF001, out, sections=["missing_profile", "top_skills", "ppp_country_ranking"])
+    for name, df in results.items():
+        back = spark.read.parquet(os.path.join(out, name))
+        assert back.count() == df.count() and sorted(back.columns) == sorted(df.columns)
