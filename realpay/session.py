@@ -105,6 +105,9 @@ def cluster_settings(input_bytes: int, total_cores: int, shuffle_fraction: float
     shuffled = max(int(input_bytes * shuffle_fraction), 1)
     partitions = max(2 * int(total_cores), -(-shuffled // target_partition_bytes))
     return {
+        # context-level (set when the session starts): stored copies written by
+        # materialize() are deleted once nothing references them
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.files.maxPartitionBytes": str(256 * 1024 ** 2),
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
