@@ -8,9 +8,9 @@ value bracket around each wanted rank and sorts only the bracket:
    at ``p - d`` and ``p + d`` (``d`` a few times the sketch's rank error
    ``1/accuracy``), giving a bracket ``[lo_p, hi_p]`` per probability. The
    sketch is merged map-side; its size is bounded by ``accuracy``.
-   A column (or group) of at most ``max_bracket`` rows needs no bracket: it
-   is ranked whole in step 3 (a sketch bracket narrower than one rank step
-   could hold only one of the two neighbours).
+   A tiny column (or group, at most ``RANK_WHOLE_BELOW`` rows) gets no
+   bracket and is ranked whole in step 3; above that the bracket margin is
+   at least four ranks, so both interpolation neighbours fall inside.
 2. While a bracket may still hold more than ``max_bracket`` rows (very large
    columns): one aggregation with the exact count below and inside each
    bracket and a sketch of the inside values only, on a fixed grid; the
@@ -48,6 +48,7 @@ _RUN = "__s_run"
 
 DEFAULT_ACCURACY = 10_000
 DEFAULT_MAX_BRACKET = 50_000     # rows ranked in one window task (bounded memory)
+RANK_WHOLE_BELOW = 2_000         # columns/groups this small are ranked whole, no bracket
 GRID = 1000
 # A bracket that missed its rank: nothing falls inside, the pick misses it and
 # the exact fallback answers for it.
@@ -79,16 +80,15 @@ def _clean(df: DataFrame, value: str) -> DataFrame:
     return df.select(v.alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
 
 
-def _margin(accuracy: int, max_bracket: int) -> float:
+def _margin(accuracy: int) -> float:
     """Probability margin of a sketch bracket: three times the sketch's rank
-    error, and at least four ranks for any column that needs a bracket
-    (``n > max_bracket``), so both interpolation neighbours fall inside."""
-    return max(3.0 / accuracy, 4.0 / max_bracket)
+    error, and at least four ranks for any column that gets a bracket
+    (``n > RANK_WHOLE_BELOW``), so both interpolation neighbours fall inside."""
+    return max(3.0 / accuracy, 4.0 / RANK_WHOLE_BELOW)
 
 
-def _initial(base: DataFrame, probs: Sequence[float], accuracy: int,
-             max_bracket: int = DEFAULT_MAX_BRACKET):
-    d = _margin(accuracy, max_bracket)
+def _initial(base: DataFrame, probs: Sequence[float], accuracy: int):
+    d = _margin(accuracy)
     grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
     row = base.agg(F.count(F.lit(1)).alias("n"),
                    F.percentile_approx(_V, F.array(*[F.lit(g) for g in grid]), accuracy).alias("q")).first()
@@ -192,12 +192,12 @@ def global_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     # disk) instead of re-running the upstream plan per pass; released below.
     base = _clean(df, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n, brackets = _initial(base, probs, accuracy, max_bracket)
+        n, brackets = _initial(base, probs, accuracy)
         if n == 0:
             return [None] * len(probs)
-        if n <= max_bracket:
-            # the whole column fits one bounded window: no bracket needed (a
-            # sketch bracket narrower than one rank step could miss a neighbour)
+        if n <= min(RANK_WHOLE_BELOW, max_bracket):
+            # a tiny column is ranked whole (a sketch bracket could be
+            # narrower than one rank step and miss a neighbour)
             brackets = [(None, None, float(n)) for _ in probs]
         for _ in range(max_passes):
             if all(est <= max_bracket for _, _, est in brackets):
@@ -275,7 +275,7 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
         # frame that will use the sort plan
         if base.select(_G).distinct().limit(max_groups + 1).count() > max_groups:
             return None
-        d = _margin(accuracy, max_bracket)
+        d = _margin(accuracy)
         grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
         first = (base.groupBy(_G)
                      .agg(F.count(F.lit(1)).alias("n"),
@@ -286,7 +286,7 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
         for r in first:
             approx = dict(zip(grid, r["q"]))
             for i, p in enumerate(probs):
-                if sizes[r[_G]] <= max_bracket:      # the whole group fits one window
+                if sizes[r[_G]] <= min(RANK_WHOLE_BELOW, max_bracket):   # tiny group: ranked whole
                     brackets[(r[_G], i)] = (None, None, float(sizes[r[_G]]))
                     continue
                 lo_p, hi_p = p - d, p + d
