@@ -168,3 +168,19 @@ def test_no_fallback_on_small_or_medium_columns(spark, monkeypatch, n):
     groups = spark.createDataFrame([(f"g{i % 3}", float(v)) for i, v in enumerate(vals)], "g string, v double")
     got = S.grouped_quantiles(groups, "g", "v", probs, max_bracket=1500)
     assert len(got) == 3 * len(probs)
+
+
+@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_registered_queries_never_fall_back(spark, monkeypatch, sf_dir):
+    """Every registered query gets its quantiles from selection: the slower
+    sort-plan fallback is not reached on the given tables."""
+    from __spark_entry__ import queries
+
+    def forbidden(*a, **k):
+        raise AssertionError("selection fell back to the sort plan")
+    import realpay.operators.outliers as outliers_mod
+    import realpay.operators.profile as profile_mod
+    for mod in (S, outliers_mod, profile_mod):
+        monkeypatch.setattr(mod, "exact_quantiles", forbidden)
+    for key, q in queries().items():
+        q(spark, sf_dir).count()
