@@ -1,9 +1,11 @@
 """realpay: purchasing-power salary analytics on Spark DataFrames.
 
-Every public operator takes and returns a lazy ``DataFrame``; column names
-are arguments. Nothing collects rows to the driver, and no Python UDF runs
-in a hot path: all work is expressed with ``pyspark.sql.functions`` so it
-stays inside Catalyst and whole-stage code generation.
+Every public operator takes and returns a ``DataFrame``; column names are
+arguments. Most are purely lazy; quantile, fence and size-check steps run
+small jobs when called and pass at most a few numbers per group through the
+driver. No Python UDF runs in any plan: all work is expressed with
+``pyspark.sql.functions`` so it stays inside Catalyst and whole-stage code
+generation.
 
 Layout
 ------

@@ -1,4 +1,5 @@
-"""Operators: each takes and returns a lazy DataFrame."""
+"""Operators: each takes and returns a DataFrame (see the package notes on
+which steps run small jobs when called)."""
 
 from realpay.operators.broadcast import checked_broadcast, row_count_at_most
 from realpay.operators.correlation import corr_matrix

@@ -1,9 +1,11 @@
 """Purchasing-power flow: join costs, derive PPP salary, drop outliers, rank.
 
-One lazy plan from the scans to the top-10: the left join broadcasts the
-(size-checked) cost dimension, the PPP columns are plain expressions in the
-same codegen stage, the IQR fences arrive as one scalar subquery, and the
-ranking is a partial/final aggregate followed by ``TakeOrderedAndProject``.
+The left join broadcasts the (size-checked) cost dimension with its PPP
+factors precomputed, so the PPP salary is one expression in the scan's codegen
+stage; the PPP population is stored once (reliable checkpoint) because the
+IQR fences and the filter both read it; the fences come from the exact
+selection as two literals; the ranking is a partial/final aggregate followed
+by ``TakeOrderedAndProject``.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 """Data-quality report over a postings table (missing values, salary
-statistics, IQR outliers, experience-level counts), as lazy DataFrames.
+statistics, IQR outliers, experience-level counts), as DataFrames (the
+quartile and fence steps run their small jobs when the report is built).
 
 Columns that are absent are skipped at plan-building time, like the report's
 ``if column in df.columns`` guards.
