@@ -126,7 +126,7 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
             F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v"))
             for c in numeric])))
         probs = [p for p, _ in QUARTILES]
-        picked = grouped_quantiles(long, "column", "v", probs, max_groups=max(len(numeric), 1))
+        picked = grouped_quantiles(long, "column", "v", probs, known_groups=len(numeric))
         if picked is not None:
             rows = [(c, *[picked.get((c, p)) for p in probs]) for c in numeric]
             quart = df.sparkSession.createDataFrame(

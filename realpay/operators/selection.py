@@ -260,11 +260,15 @@ def _tag(base: DataFrame, table: DataFrame) -> DataFrame:
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
                       accuracy: int = DEFAULT_ACCURACY, max_bracket: int = DEFAULT_MAX_BRACKET,
-                      max_groups: int = DEFAULT_MAX_GROUPS, max_passes: int = 6):
+                      max_groups: int = DEFAULT_MAX_GROUPS, max_passes: int = 6,
+                      known_groups: int | None = None):
     """Exact quantiles per group as ``{(group, prob): value}``, or ``None``
     when there are more than ``max_groups`` groups (the caller then uses the
     lazy sort-based plan, whose memory does not depend on the group count).
-    A NULL group key is a group; groups without values are absent."""
+    A NULL group key is a group; groups without values are absent.
+    ``known_groups`` is an upper bound on the group count known before
+    running (e.g. the number of unpivoted columns); it replaces the
+    distinct-count check."""
     probs = [float(p) for p in probs]
     spark = df.sparkSession
     gtype = df.schema[group].dataType
@@ -273,7 +277,9 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
         # the group bound is checked first (a cheap distinct count that also
         # fills the persisted column), so no sketch pass is wasted on a
         # frame that will use the sort plan
-        if base.select(_G).distinct().limit(max_groups + 1).count() > max_groups:
+        if known_groups is not None and known_groups <= max_groups:
+            pass
+        elif base.select(_G).distinct().limit(max_groups + 1).count() > max_groups:
             return None
         d = _margin(accuracy)
         grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
