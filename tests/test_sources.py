@@ -86,3 +86,14 @@ def test_run_report_writes_every_section(spark, tmp_path):
     for name, df in results.items():
         back = spark.read.parquet(os.path.join(out, name))
         assert back.count() == df.count() and sorted(back.columns) == sorted(df.columns)
+
+
+def test_materialize_forms_agree(spark):
+    from realpay.operators.materialize import materialize
+    from realpay.session import ensure_checkpoint_dir
+    jobs = fixtures.jobs(spark, SF001)
+    a = materialize(jobs, ["job_id", "salary_usd"])
+    b = materialize(jobs, ["job_id", "salary_usd"], how="table")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    folder = ensure_checkpoint_dir(spark).rstrip("/").rsplit("/", 1)[-1]
+    assert all(folder in f and "realpay-table-" in f for f in b.inputFiles())
