@@ -13,10 +13,11 @@ DEFAULT_MAX_BROADCAST_ROWS = 500_000
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` has at most ``max_rows`` rows.
 
-    Reads at most ``max_rows + 1`` rows per partition, so the check stays
-    cheap even when the answer is no.
+    A plain ``count()``: one partial count per task and a single tiny
+    shuffle. (``limit(n + 1).count()`` would instead move up to ``n + 1``
+    rows from every partition into one task before counting.)
     """
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
