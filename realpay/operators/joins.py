@@ -25,8 +25,8 @@ def join_dimension(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str
     Only the key and the requested columns of the dimension are read.
 
     Strategy: the projected dimension is counted (partial counts per task)
-    and broadcast when within the bound, which keeps the fact side free of any shuffle. Beyond the bound it
-    is a shuffle join; fact rows whose key is NULL can never match, so they
+    and broadcast when within the bound, which keeps the fact side free of
+    any shuffle. Beyond the bound it is a shuffle join; fact rows whose key is NULL can never match, so they
     bypass the exchange (they would all hash to one partition) and are
     appended with NULL dimension columns.
     """

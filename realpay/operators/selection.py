@@ -278,7 +278,7 @@ def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[flo
         # fills the persisted column), so no sketch pass is wasted on a
         # frame that will use the sort plan
         bound_known = known_groups is not None and known_groups <= max_groups
-        if not bound_known and base.select(_G).distinct().limit(max_groups + 1).count() > max_groups:
+        if not bound_known and base.select(_G).distinct().count() > max_groups:
             return None
         d = _margin(accuracy)
         grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
