@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from realpay.llm import packing, simhash
+from realpay.llm import decontaminate, packing, simhash
 from realpay.llm.tables import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.drop("spans")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -16,5 +21,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_simhash, op10_packing)}
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+i AS (SELECT item_id, words, least(10, len(words)) AS n FROM (SELECT item_id, {_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+known AS (SELECT DISTINCT item_id, n, array_to_string(words[b : b + n - 1], ' ') AS passage FROM i, unnest(range(1, len(words) - n + 2)) AS t(b)),
+hits AS (SELECT w.doc_id, w.b, w.n, k.item_id
+         FROM (SELECT doc_id, b, n, array_to_string(words[b : b + n - 1], ' ') AS passage
+               FROM d, (SELECT DISTINCT n FROM known) AS s, unnest(range(1, len(words) - n + 2)) AS t(b)) AS w
+         JOIN known AS k ON w.passage = k.passage AND w.n = k.n),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(b, b + n)) AS t(p) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+           FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN listed USING (doc_id)""",
+}
