@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that one step works on; a single longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 18
 
 #: Lower-cases A-Z, leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
