@@ -71,9 +71,9 @@ def _filter_words(prints: DataFrame) -> np.ndarray:
     """A bit for every fingerprint modulo FILTER_BITS, as bytes; at most FILTER_BITS / 64 rows come to the driver."""
     bit = F.pmod("fp", F.lit(FILTER_BITS))
     rows = prints.select((bit / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(fp, {FILTER_BITS}) % 64 as int))").alias("bit"))
-    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words_ = np.zeros(FILTER_BITS // 64, np.uint64)
-    words_[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    words_[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return words_
 
 

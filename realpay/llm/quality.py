@@ -95,9 +95,9 @@ def train(texts: DataFrame) -> np.ndarray:
     model = spark.range(1).select(F.col("id").alias("gram"), F.lit(1.0 / CLASSES).alias("p"))
     for order in range(1, ORDER + 1):
         model = _discounted(counts[order], order, model)
-    rows = model.toPandas()  # as many rows for any corpus: CLASSES**ORDER
+    rows = model.select("gram", F.log2("p").cast("float").alias("bits")).toArrow()  # as many rows for any corpus: CLASSES**ORDER
     out = np.zeros(CLASSES**ORDER, np.float32)
-    out[rows["gram"].to_numpy()] = np.log2(rows["p"].to_numpy())
+    out[rows["gram"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
