@@ -20,6 +20,8 @@ from realpay.llm.tables import stored
 #: Vectors of a shard, about; it holds one tree in memory.
 SHARD_ROWS = 16_384
 LEAF_ROWS = 64
+#: Leaves whose products are computed at once.
+LEAVES = 16
 SCALE = 256
 
 
@@ -67,36 +69,36 @@ class BallTree:
         length = float(np.sqrt(query @ query))
         bounds = self.centre @ query + length * self.radius
         bounds += 1e-9 * (np.abs(bounds) + length * (self.radius + np.sqrt((self.centre**2).sum(axis=1)))) + 1e-6  # rounding
-        best: list[tuple[int, int]] = []
+        best: list[tuple[int, int]] = []  # the k best so far, the best first
         nodes = [(-bounds[0], 0)]
         while nodes:
-            bound, node = heapq.heappop(nodes)
-            least = best[0] if len(best) == k else (floor, -np.inf)
-            if -bound < max(least[0], floor):
-                break
-            if len(best) == k and -bound < least[0] + 1 and -self.least_id[node] < least[1]:
-                continue  # at most a tie, and ties go to the smaller id
-            if self.children[node]:
-                for child in self.children[node]:
-                    heapq.heappush(nodes, (-bounds[child], child))
-                continue
-            low, high = self.slices[node]
-            for score, i in zip(_products(self.x[low:high], query), self.ids[low:high].tolist()):
-                if i != own_id and score >= floor:
-                    entry = (score, -i)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-        return sorted(best, reverse=True)
-
-
-def _products(rows: np.ndarray, query: np.ndarray) -> list[int]:
+            least = best[-1] if len(best) == k else (floor, -np.inf)
+            leaves = []
+            while nodes and len(leaves) < LEAVES:
+                bound, node = heapq.heappop(nodes)
+                if -bound < least[0]:
+                    nodes = []
+                elif len(best) == k and -bound < least[0] + 1 and -self.least_id[node] < least[1]:
+                    continue  # at most a tie, and ties go to the smaller id
+                elif self.children[node]:
+                    for child in self.children[node]:
+                        heapq.heappush(nodes, (-bounds[child], child))
+                else:
+                    leaves.append(slice(*self.slices[node]))
+            if leaves:
+                scores = _products(np.concatenate([self.x[s] for s in leaves]), query)
+                ids = np.concatenate([self.ids[s] for s in leaves])
+                good = (scores >= least[0]) & (ids != own_id)
+                best = heapq.nlargest(k, best + list(zip(scores[good].tolist(), (-ids[good]).tolist())))
+        return best
+
+
+def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers, exact: in doubles where no partial sum can pass 2**53."""
     most = float(np.abs(rows).max(initial=0)) * float(np.abs(query).max(initial=0)) * len(query)
     if most < 2.0**53:
-        return (rows @ query).astype(np.int64).tolist()
-    return [sum(int(a) * int(b) for a, b in zip(row, query)) for row in rows.tolist()]
+        return (rows @ query).astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(row, query)) for row in rows.tolist()], dtype=object)
 
 
 def _search(batches, k: int):
