@@ -133,5 +133,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit word."""
     key = F.xxhash64("doc_id", "text").alias("doc_id")
-    hit = contamination(docs.select(key, "text"), items, window).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit["_key"], "left_anti")
+    hit = contamination(docs.select(key, "text"), items, window).where("contaminated").select(F.col("doc_id").alias("_rp_key")).distinct()
+    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit["_rp_key"], "left_anti")

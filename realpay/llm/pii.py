@@ -25,6 +25,8 @@ PATTERN_CONFIDENCE = 0.8
 INSTANCE_CONFIDENCE = 0.9
 #: Characters on either side in which context words are looked for.
 REACH = 80
+#: Rows that one step works on.
+STEP_ROWS = 500
 
 # An email's local part is found backwards from its @, which has the same result as a scan from the left:
 # the run before @ holds no @. No search below starts twice in the same run, so all are linear.
@@ -113,8 +115,8 @@ _ROWS_SQL = ("id long, base array<struct<kind: string, start: long, end: long>>,
 
 def _rows(batches):
     for batch in batches:
-        for low in range(0, len(batch), 500):
-            part = batch.slice(low, 500)
+        for low in range(0, len(batch), STEP_ROWS):
+            part = batch.slice(low, STEP_ROWS)
             base, seen = [], []
             for text in part.column(1).to_pylist():
                 own = base_spans(text) if text else []
@@ -207,14 +209,19 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     key = F.xxhash64("doc_id", "text")
     rows, added = _found(docs, key)
-    added = stored(rows.join(added, "row").groupBy(F.col("id").alias("_key")).agg(F.first("added").alias("_added")), "added_by_key")
-
-    @F.pandas_udf("string")
-    def replaced(text, spans):
-        return text.combine(spans, lambda t, s: _redacted(t, None if s is None else list(s)))
-
-    text = replaced("text", F.coalesce("_added", F.array().cast("array<struct<kind: string, start: long, end: long>>")))
-    out = docs.join(added, key == added["_key"], "left").withColumn("text", text)
+    added = stored(rows.join(added, "row").groupBy(F.col("id").alias("_rp_key")).agg(F.first("added").alias("_rp_added")), "added_by_key")
+    none = F.array().cast("array<struct<kind: string, start: long, end: long>>")
+    out = docs.join(added, key == added["_rp_key"], "left").select(*docs.columns, F.coalesce("_rp_added", none).alias("_rp_added"))
+
+    def replaced(batches):
+        for batch in batches:
+            for low in range(0, len(batch), STEP_ROWS):
+                part = batch.slice(low, STEP_ROWS)
+                texts = [_redacted(t, a) for t, a in zip(part.column("text").to_pylist(), part.column("_rp_added").to_pylist())]
+                at = part.schema.get_field_index("text")
+                yield part.drop_columns(["_rp_added"]).set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+    out = out.mapInArrow(replaced, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out

@@ -9,13 +9,13 @@ each order with those of the next lower one, sharded by n-gram; the finished tab
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from realpay.llm.tables import stored
-from realpay.llm.textbytes import column_bytes, steps
+from realpay.llm.textbytes import steps
 
 ORDER = 4
 CLASSES = 32
@@ -101,21 +101,20 @@ def train(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def _scorer(docs: DataFrame, model: np.ndarray):
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(rows: DataFrame, model: np.ndarray) -> DataFrame:
+    """``rows`` and, for each, ``_rp_bits`` per character of its ``text`` and the number of characters, ``_rp_size``."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("bits double, size long")
-    def score(text: pd.Series) -> pd.DataFrame:
-        bits, size = [], []
-        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
-        for _, data, offsets in steps(iter([batch])):
+    def score(batches):
+        for part, data, offsets in steps(batches):
             gram, first = grams(data, offsets)
             sums = np.concatenate([[0.0], np.cumsum(sent.value[gram], dtype=np.float64)])
-            size.append(np.diff(first))
-            bits.append(-(sums[first[1:]] - sums[first[:-1]]) / np.maximum(size[-1], 1))
-        return pd.DataFrame({"bits": np.concatenate(bits), "size": np.concatenate(size)}) if bits else pd.DataFrame({"bits": [], "size": []})
+            size = np.diff(first)
+            bits = -(sums[first[1:]] - sums[first[:-1]]) / np.maximum(size, 1)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits), pa.array(size)], names=[*part.schema.names, "_rp_bits", "_rp_size"])
 
-    return score
+    fields = [*rows.schema.fields, T.StructField("_rp_bits", T.DoubleType()), T.StructField("_rp_size", T.LongType())]
+    return rows.mapInArrow(score, T.StructType(fields))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -146,15 +145,14 @@ def _lang(docs: DataFrame):
 
 
 def _fit(docs: DataFrame, labels: DataFrame):
-    """The scorer, the scores of all rows, the thresholds, and the highest of these (None without any)."""
+    """The model, the scores of all rows, the thresholds, and the highest of these (None without any)."""
     trusted = stored(trusted_ids(labels), "trusted")
     sample = trusted.where("trains").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select("doc_id")
     model = train(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left_semi"))
-    score = _scorer(docs, model)
-    scores = docs.select("doc_id", _lang(docs).alias("lang"), score("text").alias("s")).select("doc_id", "lang", "s.bits", "s.size")
-    scores = stored(scores, "scores")
+    scores = _scored(docs.select("doc_id", _lang(docs).alias("lang"), "text"), model)
+    scores = stored(scores.select("doc_id", "lang", F.col("_rp_bits").alias("bits"), F.col("_rp_size").alias("size")), "scores")
     limits = stored(thresholds(scores, trusted), "thresholds")
-    return score, scores, limits, limits.agg(F.max("threshold")).first()[0]
+    return model, scores, limits, limits.agg(F.max("threshold")).first()[0]
 
 
 #: Bits that a text may need beyond its language's threshold, however short it is.
@@ -184,8 +182,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judged` keeps, as they are. Scores each text once more, which moves none."""
-    score, _, limits, highest = _fit(docs, labels)
-    rows = docs.withColumn("_s", score("text")).withColumn("_lang", _lang(docs))
-    rows = rows.join(limits.withColumnRenamed("lang", "_lang"), "_lang", "left")
-    threshold = None if highest is None else F.coalesce("threshold", F.lit(highest))
-    return rows.where(_passes(F.col("_s.bits"), F.col("_s.size"), threshold)).select(docs.columns)
+    model, _, limits, highest = _fit(docs, labels)
+    rows = _scored(docs, model).withColumn("_rp_lang", F.coalesce("lang", F.lit("")))
+    rows = rows.join(limits.toDF("_rp_lang", "_rp_threshold"), "_rp_lang", "left")
+    threshold = None if highest is None else F.coalesce("_rp_threshold", F.lit(highest))
+    return rows.where(_passes(F.col("_rp_bits"), F.col("_rp_size"), threshold)).select(docs.columns)

@@ -152,5 +152,5 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """
     kept = near_copies(docs, shingle=shingle, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1")
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_rp_row", F.row_number().over(one)).where("_rp_row = 1")
     return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
