@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from realpay.llm import decontaminate, packing, pii, quality, simhash, topk, url_filter, warc
+from realpay.llm import ctw, decontaminate, packing, pii, quality, simhash, topk, url_filter, warc
 from realpay.llm.tables import table
 
 
@@ -38,11 +38,15 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_url_filter, op4_simhash, op5_pii, op6_quality, op7_warc, op8_topk, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_url_filter, op4_simhash, op5_pii, op6_quality, op7_warc, op8_topk, op9_ctw, op10_packing)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
