@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from realpay.llm import ctw, decontaminate, packing, pii, quality, simhash, topk, url_filter, warc
+from realpay.llm import ctw, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, url_filter, warc
 from realpay.llm.tables import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return found.drop("spans")
@@ -46,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_url_filter, op4_simhash, op5_pii, op6_quality, op7_warc, op8_topk, op9_ctw, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_url_filter, op4_simhash, op5_pii, op6_quality, op7_warc, op8_topk, op9_ctw, op10_packing)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
