@@ -246,22 +246,21 @@ def _pieces(batches):
 # -- the whole
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``id, doc_id, text``: the doc_id itself as id where all differ; else the row's number in the order of
-    doc_id (nulls last) and text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    repeated = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null")
-    if repeated.isEmpty():
-        return rows.select(F.col("doc_id").alias("id"), "doc_id", "text")
-    by = [F.asc_nulls_last("doc_id"), F.asc_nulls_first("text")]
-    parts = shuffle_partitions(docs.sparkSession)
-    ordered = rows.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``id, text``, and ``id, doc_id`` if these differ: where a doc_id repeats or is null, the id is the row's
+    number in the order of doc_id (nulls last) and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    if rows.groupBy("id").count().where("count > 1 or id is null").isEmpty():
+        return rows.where("id is not null"), None
+    by = [F.asc_nulls_last("id"), F.asc_nulls_first("text")]
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *by).withColumn("part", F.spark_partition_id())
     ordered = stored(ordered.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*by))), "ordered")
     before, total = {}, 0
     for part, count in sorted((r["part"], r["count"]) for r in ordered.groupBy("part").count().collect()):
         before[part], total = total, total + count
     offset = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("part")]
-    return ordered.select((offset + F.col("nth")).cast("long").alias("id"), "doc_id", "text")
+    ordered = ordered.select((offset + F.col("nth")).cast("long").alias("number"), F.col("id").alias("doc_id"), "text").withColumnRenamed("number", "id")
+    return ordered.select("id", "text").where("id is not null"), ordered.select("id", "doc_id")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -305,8 +304,8 @@ def _cut(batches, with_kept: bool):
             n_spans.append(len(start))
             digest.append(hashlib.sha256(kept).hexdigest())
             kept_bytes.append(kept if with_kept else None)
-        columns = [rows.column("doc_id"), pa.array(size), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_bytes, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        columns = [rows.column("id"), pa.array(size), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_bytes, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
@@ -319,9 +318,10 @@ def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     is the earlier; rows without doc_id come after all others. Other columns are ignored, an empty table gives
     an empty result.
     """
-    numbered = _numbered(docs).where("id is not null")
-    texts = numbered.select("id", "doc_id", "text")
+    texts, names = _numbered(docs)
+    # texts meet their wanted runs and later their spans in two joins on id, which read one shuffle of them
     spans = repeated_spans(texts).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    out = texts.join(spans, "id", "left").mapInArrow(
-        lambda batches: _cut(batches, with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = texts.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(
+        lambda batches: _cut(batches, with_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.withColumnRenamed("id", "doc_id") if names is None else out.join(names, "id").select("doc_id", *out.columns[1:])
     return out if with_kept else out.drop("kept")
