@@ -23,6 +23,7 @@ LEAF_ROWS = 64
 #: Leaves whose products are computed at once.
 LEAVES = 16
 SCALE = 256
+LONG = 2**63 - 1
 
 
 def whole_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -117,7 +118,7 @@ def _search(batches, k: int):
                 tree = BallTree(np.array(vectors), np.array(ids))
                 vectors = []
             if tree is not None:
-                out += [(i, -j, score) for score, j in tree.search(np.array(x), i, k, -np.inf if floor is None else floor)]
+                out += [(i, -j, min(max(score, -LONG), LONG)) for score, j in tree.search(np.array(x), i, k, -np.inf if floor is None else floor)]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
 
@@ -133,7 +134,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
     """``query_id, rank, vec_id, score``: for each row where ``is_query`` holds, its ``k`` best among all other ids.
 
     Scores are inner products of the whole vectors (:func:`whole_vectors`); ties go to the smaller id. A query
-    and the vectors it is compared with have the same number of components. Fewer than ``k`` others: all of
+    and the vectors it is compared with have the same number of components. Scores and components beyond a
+    long are cut to its limits. Fewer than ``k`` others: all of
     them. A row that repeats an id is a candidate each time, and an id that repeats among the queries is one
     query for each different vector. Other columns are ignored; an empty table gives an empty result.
 
