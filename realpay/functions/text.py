@@ -12,12 +12,12 @@ def _as_col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
-def normalize_key(x, unicode_spaces: bool = False) -> Column:
+def normalize_key(x, unicode_spaces: bool = True) -> Column:
     """Trim a join key.
 
-    Default: SQL ``TRIM`` (ASCII space only, like Spark and DuckDB). With
-    ``unicode_spaces=True`` every Unicode space separator (NBSP, U+3000, ...)
-    is stripped from both ends as well, matching DuckDB's wider trim.
+    Every Unicode space separator (space, NBSP, U+3000, ...) is stripped from
+    both ends, as DuckDB's TRIM does; ``unicode_spaces=False`` strips the
+    ASCII space only, as Spark's.
     """
     c = _as_col(x)
     if unicode_spaces:

@@ -1,7 +1,6 @@
 """Operators: each takes and returns a DataFrame (see the package notes on
 which steps run small jobs when called)."""
 
-from realpay.operators.broadcast import checked_broadcast, row_count_at_most
 from realpay.operators.correlation import corr_matrix
 from realpay.operators.grouping import group_means, top_tokens
 from realpay.operators.joins import join_dimension
@@ -16,7 +15,6 @@ __all__ = [
     "approx_quantiles",
     "box_stats",
     "category_counts",
-    "checked_broadcast",
     "corr_matrix",
     "describe_all",
     "describe_numeric",
@@ -33,6 +31,5 @@ __all__ = [
     "monthly_trend",
     "quantile_frame",
     "quantile_row",
-    "row_count_at_most",
     "top_tokens",
 ]

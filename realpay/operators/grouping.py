@@ -12,8 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from realpay.functions.numbers import nan_to_null
 from realpay.functions.rounding import round_half_away
-from realpay.functions.text import split_tokens
+from realpay.functions.text import normalize_key, split_tokens
 
 
 def group_means(df: DataFrame, key: str, means: Mapping[str, str], count_name: str = "job_count",
@@ -22,9 +23,10 @@ def group_means(df: DataFrame, key: str, means: Mapping[str, str], count_name: s
     """``SELECT key, ROUND(AVG(x), scale) AS alias.., COUNT(*) AS count_name
     GROUP BY key ORDER BY order_by [LIMIT k]`` with SQL semantics: the NULL
     key is a group, ROUND is half away from zero, NULLs sort last, ties are
-    broken by the key (the sort uses the rounded value, as the SQL does).
+    broken by the key (the sort uses the rounded value, as the SQL does). NaN
+    counts as missing.
     """
-    aggs = [F.avg(F.col(src)).alias(alias) for alias, src in means.items()]
+    aggs = [F.avg(nan_to_null(F.col(src).cast("double"))).alias(alias) for alias, src in means.items()]
     out = df.groupBy(key).agg(*aggs, F.count(F.lit(1)).alias(count_name))
     if scale is not None:
         out = out.select(key, *[round_half_away(a, scale).alias(a) for a in means], count_name)
@@ -47,7 +49,7 @@ def top_tokens(df: DataFrame, column: str, sep: str = ",", k: int | None = 10,
     distinct tokens cross the shuffle. Ties are broken by the token.
     """
     tokens = df.select(F.explode(split_tokens(column, sep)).alias("__t"))
-    tokens = tokens.select(F.trim(F.col("__t")).alias(token_name)).where(F.col(token_name) != "")
+    tokens = tokens.select(normalize_key(F.col("__t")).alias(token_name)).where(F.col(token_name) != "")
     out = (tokens.groupBy(token_name).agg(F.count(F.lit(1)).alias(count_name))
                  .orderBy(F.desc(count_name), F.asc(token_name)))
     return out.limit(k) if k is not None else out

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from realpay.functions.text import normalize_key
-from realpay.operators.broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast
 
 _DK = "__dim_key"
+#: Stand-in keys of rows without key.
+_STAND_INS = 4096
 
 
 def join_dimension(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
                    columns: Mapping[str, str],
-                   normalize: Callable[[Column], Column] = normalize_key,
-                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                   normalize: Callable[[Column], Column] = normalize_key) -> DataFrame:
     """``SELECT f.*, d.col AS alias.. FROM facts f LEFT JOIN dim d ON
     normalize(f.key) = normalize(d.key)``.
 
@@ -24,24 +24,18 @@ def join_dimension(facts: DataFrame, dim: DataFrame, fact_key: str, dim_key: str
     columns; a dimension with duplicate normalised keys fans out, as in SQL.
     Only the key and the requested columns of the dimension are read.
 
-    Strategy: the projected dimension is counted (partial counts per task)
-    and broadcast when within the bound, which keeps the fact side free of
-    any shuffle. Beyond the bound it is a shuffle join; fact rows whose key is NULL can never match, so they
-    bypass the exchange (they would all hash to one partition) and are
-    appended with NULL dimension columns.
+    Spark picks the join from its size statistics, and AQE from the sizes at
+    run time: a small dimension is broadcast, else both sides are shuffled and
+    a hot key is split. A fact row without key can match nothing; it gets one
+    of many stand-in keys, so such rows do not meet in one partition.
     """
     d = dim.select(normalize(F.col(f"`{dim_key}`")).alias(_DK),
                    *[F.col(f"`{src}`").alias(alias) for alias, src in columns.items()])
     d = d.where(F.col(_DK).isNotNull())
-    side, is_broadcast = checked_broadcast(d, max_broadcast_rows)
     key = normalize(F.col(f"`{fact_key}`"))
-    if is_broadcast:
-        return facts.join(side, key == side[_DK], "left").drop(_DK)
-    keyed = facts.withColumn(_DK + "_f", key)
-    matched = (keyed.where(F.col(_DK + "_f").isNotNull())
-                    .join(side, F.col(_DK + "_f") == side[_DK], "left")
-                    .drop(_DK, _DK + "_f"))
-    unmatched = keyed.where(F.col(_DK + "_f").isNull()).drop(_DK + "_f")
-    for alias in columns:
-        unmatched = unmatched.withColumn(alias, F.lit(None).cast(d.schema[alias].dataType))
-    return matched.unionByName(unmatched)
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]), F.lit(_STAND_INS)).cast("string"))
+    keyed = facts.withColumns({_DK + "_n": key.isNull(), _DK + "_f": F.coalesce(key, spread)})
+    # the stand-in of a missing key must not match a dimension key that looks like it
+    side = d.withColumn(_DK + "_d", F.lit(False))
+    return (keyed.join(side, (F.col(_DK + "_f") == side[_DK]) & (F.col(_DK + "_n") == side[_DK + "_d"]), "left")
+                 .drop(_DK, _DK + "_f", _DK + "_n", _DK + "_d"))

@@ -1,8 +1,7 @@
-"""Cut lineage before multi-pass work: a reliable checkpoint or a written table."""
+"""Cut lineage before multi-pass work with a reliable checkpoint."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -10,30 +9,14 @@ from pyspark.sql import DataFrame
 from realpay.session import ensure_checkpoint_dir
 
 
-def materialize(df: DataFrame, columns: Sequence[str] | None = None,
-                how: str = "checkpoint") -> DataFrame:
+def materialize(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Store ``df`` (narrowed to ``columns``) and return the stored copy.
 
-    For operators that read their input more than once (exact quantiles
-    then a filter, moments, whiskers): the upstream plan — at scale a
-    shuffle join of two fact tables — runs once instead of once per pass,
-    and a lost executor costs a re-read of the stored rows rather than a
-    replay of the whole lineage. Only the needed columns are written.
-
-    ``how="checkpoint"`` (default): ``DataFrame.checkpoint()`` in the
-    session's checkpoint directory; Spark deletes it once unreferenced when
+    For inputs that are dear to compute (a join) and read more than once: the
+    upstream plan runs once instead of once per pass, and a lost executor
+    costs a re-read of the stored rows. Written to the session's checkpoint
+    directory; Spark deletes it once unreferenced when
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
-    ``how="table"``: a Parquet table in a fresh folder under the same
-    directory — columnar and compressed, so smaller at scale, but left for
-    the folder's own lifecycle policy to remove.
     """
-    if columns:
-        df = df.select(*columns)
-    if how == "checkpoint":
-        return df.checkpoint(eager=True)
-    if how == "table":
-        spark = df.sparkSession
-        path = ensure_checkpoint_dir(spark).rstrip("/") + "/realpay-table-" + uuid.uuid4().hex
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-    raise ValueError(f"unknown how {how!r}")
+    ensure_checkpoint_dir(df.sparkSession)
+    return (df.select(*columns) if columns else df).checkpoint(eager=True)

@@ -1,24 +1,18 @@
 """IQR fences, outlier rows, inlier filter and box-plot statistics.
 
-Global fences are two numbers. By default they are computed by the
-distributed selection of :mod:`realpay.operators.selection` (a few scans, no
-full shuffle) and the row filter receives them as double literals, so it stays a plain ``Filter`` in the scan stage and a downstream
-plan (e.g. quantiles of the inliers) is not planned around a nested
-subquery. With ``lazy=True`` the fences stay inside the plan as one scalar
-subquery (``DataFrame.scalar()``) and nothing runs until the caller acts.
-Neither form joins or broadcasts data.
+Global fences are two numbers from exact order statistics; the row filter gets them as literals, so it stays a
+plain ``Filter`` in the scan stage. NaN is a missing value: it lies neither inside nor outside.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from realpay.constants import IQR_MULTIPLIER
-from realpay.operators.broadcast import DEFAULT_MAX_BROADCAST_ROWS, checked_broadcast
-from realpay.operators.quantiles import PROB, VALUE, exact_quantiles, quantile_row
-from realpay.operators.selection import global_quantiles, grouped_quantiles
+from realpay.functions.numbers import nan_to_null
+from realpay.operators.quantiles import quantile_row
+from realpay.operators.selection import broadcast_if_small, global_quantiles, grouped_quantiles
 
 LOW, HIGH = "low_fence", "high_fence"
 
@@ -33,91 +27,49 @@ def iqr_fences(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str
                     (F.col("q3") + F.lit(float(k)) * iqr).alias(HIGH))
 
 
-def _fence_columns(df: DataFrame, value: str, k: float, method: str, lazy: bool):
-    """The two fences as columns: literals from the selection plan (default)
-    or one scalar subquery over the sort-based plan (``lazy=True``)."""
-    fences = iqr_fences(df, value, k, method)
-    if lazy:
-        f = fences.select(F.struct(LOW, HIGH).alias("f")).scalar()
-        return f[LOW], f[HIGH]
+def _fence_columns(df: DataFrame, value: str, k: float, method: str):
     if method == "exact":
         q1, q3 = global_quantiles(df, value, [0.25, 0.75])
-        if q1 is None:
-            lo = hi = None
-        else:
-            iqr = q3 - q1
-            lo, hi = q1 - float(k) * iqr, q3 + float(k) * iqr
+        lo, hi = (None, None) if q1 is None else (q1 - float(k) * (q3 - q1), q3 + float(k) * (q3 - q1))
     else:
-        row = fences.select(LOW, HIGH).first()
+        row = iqr_fences(df, value, k, method).first()
         lo, hi = row[LOW], row[HIGH]
     return F.lit(lo).cast("double"), F.lit(hi).cast("double")
 
 
-def iqr_outliers(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str = "exact",
-                 lazy: bool = False) -> DataFrame:
+def iqr_outliers(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str = "exact") -> DataFrame:
     """Rows strictly outside the fences (``v < low or v > high``)."""
-    lo, hi = _fence_columns(df, value, k, method, lazy)
-    v = F.col(value)
+    lo, hi = _fence_columns(df, value, k, method)
+    v = nan_to_null(F.col(value).cast("double"))
     return df.where((v < lo) | (v > hi))
 
 
-def iqr_filter(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str = "exact",
-               lazy: bool = False) -> DataFrame:
+def iqr_filter(df: DataFrame, value: str, k: float = IQR_MULTIPLIER, method: str = "exact") -> DataFrame:
     """Rows inside the fences, bounds included (``low <= v <= high``)."""
-    lo, hi = _fence_columns(df, value, k, method, lazy)
-    v = F.col(value)
+    lo, hi = _fence_columns(df, value, k, method)
+    v = nan_to_null(F.col(value).cast("double"))
     return df.where((v >= lo) & (v <= hi))
 
 
-def box_stats(df: DataFrame, group: str, value: str, k: float = IQR_MULTIPLIER,
-              max_broadcast_groups: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+def box_stats(df: DataFrame, group: str, value: str, k: float = IQR_MULTIPLIER) -> DataFrame:
     """Box-plot data per group: ``group, q25, q50, q75, lo_whisker,
     hi_whisker, n_outliers``.
 
     Quartiles use the linear rule; whiskers are the most extreme values
-    inside the per-group fences; NULL groups and NULL values are left out.
-
-    Quartiles come from the grouped selection (scans only) when the group
-    count is within its checked bound; the per-group fences (one row per
-    group) are then a small frame broadcast onto the rows, and whiskers and
-    outlier counts are partial aggregates per group (no shuffle of values).
-    With more groups, the sort-based exact plan computes them, they are
-    materialised as a reliable checkpoint, counted, and broadcast when small
-    or shuffle-joined otherwise against the duplicate-collapsed
-    (group, value, count) rows (AQE splits a hot group).
+    inside the per-group fences; NULL groups and missing values are left out.
+
+    The fences, a row per group, are joined to the rows: broadcast while their bytes are few, else as Spark plans
+    it (AQE splits a hot group). Whiskers and outlier counts are partial aggregates per group.
     """
-    base = df.where(F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias(value))
-    base = base.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    probs = (0.25, 0.5, 0.75)
-    picked = grouped_quantiles(base, group, value, probs)
-    if picked is not None:
-        rows = []
-        for g in sorted({key[0] for key in picked}):
-            q25, q50, q75 = (picked[(g, p)] for p in probs)
-            iqr = q75 - q25
-            rows.append((g, q25, q50, q75, q25 - float(k) * iqr, q75 + float(k) * iqr))
-        schema = T.StructType([T.StructField(group, df.schema[group].dataType, True)] + [
-            T.StructField(c, T.DoubleType(), True) for c in ("q25", "q50", "q75", LOW, HIGH)])
-        fences = df.sparkSession.createDataFrame(rows, schema)      # <= max_groups rows
-        # map-side join; only partial aggregates per group cross the shuffle
-        joined = base.withColumn("__n", F.lit(1)).join(F.broadcast(fences), group, "inner")
-    else:
-        q = exact_quantiles(base, value, list(probs), by=[group])
-        quart = q.groupBy(group).agg(*[
-            F.max(F.when(F.col(PROB) == p, F.col(VALUE))).alias(name)
-            for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-        iqr = F.col("q75") - F.col("q25")
-        quart = quart.select(group, "q25", "q50", "q75",
-                             (F.col("q25") - F.lit(float(k)) * iqr).alias(LOW),
-                             (F.col("q75") + F.lit(float(k)) * iqr).alias(HIGH))
-        side, _ = checked_broadcast(quart, max_broadcast_groups, materialize=True)
-        # many groups: join the duplicate-collapsed (group, value, count) rows
-        counted = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("__n"))
-        joined = counted.join(side, group, "inner")
-    v = F.col(value)
+    base = df.where(F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias("__v"))
+    base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    q = grouped_quantiles(base, group, "__v", (0.25, 0.5, 0.75)).toDF(group, "q25", "q50", "q75")
+    iqr = F.col("q75") - F.col("q25")
+    fences = q.select("*", (F.col("q25") - F.lit(float(k)) * iqr).alias(LOW), (F.col("q75") + F.lit(float(k)) * iqr).alias(HIGH)).checkpoint()
+    joined = base.join(broadcast_if_small(fences, group), group)
+    v = F.col("__v")
     inside = (v >= F.col(LOW)) & (v <= F.col(HIGH))
     return joined.groupBy(group).agg(
         F.first("q25").alias("q25"), F.first("q50").alias("q50"), F.first("q75").alias("q75"),
-        F.min(F.when(inside, v)).alias("lo_whisker"),
-        F.max(F.when(inside, v)).alias("hi_whisker"),
-        F.sum(F.when(~inside, F.col("__n")).otherwise(F.lit(0))).alias("n_outliers"))
+        F.min(F.when(inside, v)).alias("lo_whisker"), F.max(F.when(inside, v)).alias("hi_whisker"),
+        F.count_if(~inside).alias("n_outliers"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from realpay.functions.rounding import round_half_even
+from realpay.functions.numbers import nan_to_null
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles
-from realpay.operators.selection import global_quantiles, grouped_quantiles
+from realpay.operators.selection import global_quantiles, order_statistics
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -55,15 +56,13 @@ def missing_profile(df: DataFrame, with_pct: bool = True, scale: int = 2) -> Dat
     return long.select(*out)
 
 
-def describe_numeric(df: DataFrame, value: str, scale: int = 2, method: str = "exact",
-                     lazy: bool = False) -> DataFrame:
+def describe_numeric(df: DataFrame, value: str, scale: int = 2, method: str = "exact") -> DataFrame:
     """pandas ``Series.describe().round(scale)`` as ``stat, value`` rows.
 
     Quartiles are exact (linear rule), not ``df.summary()``'s approximate
-    ones; ``std`` of a single value is NULL. By default the quartiles come
-    from the distributed selection (a few scan jobs, run now) and the
-    moments from one lazy aggregate; ``lazy=True`` keeps everything in one
-    lazy plan using the sort-based exact quantiles.
+    ones; ``std`` of a single value is NULL. The quartiles come from exact
+    order statistics (a few aggregations, run now), the moments from one
+    lazy aggregate.
     """
     v = F.col(value).cast("double")
     clean = df.select(v.alias(value)).where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
@@ -72,7 +71,7 @@ def describe_numeric(df: DataFrame, value: str, scale: int = 2, method: str = "e
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     cells = [F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
              for s in ("count", "mean", "std", "min", "max")]
-    if method == "exact" and not lazy:
+    if method == "exact":
         qs = global_quantiles(clean, value, [p for p, _ in QUARTILES])
         cells += [F.struct(F.lit(name).alias("stat"), F.lit(q).cast("double").alias("value"))
                   for (_, name), q in zip(QUARTILES, qs)]
@@ -100,11 +99,10 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
     ``unique/top/freq`` (``top`` ties go to the smallest value, a fixed rule
     where pandas keeps first-seen order). ``count`` is the non-null count.
 
-    Plan: one aggregation for all numeric moments; one unpivot of the numeric
-    columns into the grouped exact selection (groups = columns, a bound known
-    before running); one unpivot of the other columns into a
-    ``(column, value)`` count, whose per-column summary gives unique, top and
-    freq (a hot value is pre-aggregated map-side).
+    NaN is missing, as NULL is. Plan: one aggregation for all numeric
+    moments; the numeric columns' order statistics with the column's number
+    as group; one ``(column, value)`` count of the other columns, whose
+    summary gives unique, top and freq (a hot value is combined map-side).
     """
     names = list(columns) if columns else df.columns
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -112,30 +110,18 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
     other = [c for c in names if not _is_numeric(fields[c])]
     parts = []
     if numeric:
-        def q(c):
-            return F.col(f"`{c}`")
+        num = {c: nan_to_null(F.col(f"`{c}`").cast("double")) for c in numeric}
         mom = df.agg(*[e for i, c in enumerate(numeric) for e in (
-            F.count(q(c)).alias(f"n{i}"), F.avg(q(c).cast("double")).alias(f"a{i}"),
-            F.stddev_samp(q(c).cast("double")).alias(f"s{i}"),
-            F.min(q(c).cast("double")).alias(f"lo{i}"), F.max(q(c).cast("double")).alias(f"hi{i}"))])
+            F.count(num[c]).alias(f"n{i}"), F.avg(num[c]).alias(f"a{i}"), F.stddev_samp(num[c]).alias(f"s{i}"),
+            F.min(num[c]).alias(f"lo{i}"), F.max(num[c]).alias(f"hi{i}"))])
         mom = mom.select(F.inline(F.array(*[F.struct(
             F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
             F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
             for i, c in enumerate(numeric)])))
-        long = df.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v"))
-            for c in numeric])))
-        probs = [p for p, _ in QUARTILES]
-        picked = grouped_quantiles(long, "column", "v", probs, known_groups=len(numeric))
-        if picked is not None:
-            rows = [(c, *[picked.get((c, p)) for p in probs]) for c in numeric]
-            quart = df.sparkSession.createDataFrame(
-                rows, "column string, q25 double, q50 double, q75 double")   # one row per column
-        else:
-            quart = exact_quantiles(long, "v", probs, by=["column"], max_groups=len(numeric))
-            quart = quart.groupBy("column").agg(*[
-                F.max(F.when(F.col(PROB) == p, F.col(VALUE))).alias(name)
-                for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), num[c].alias("v")) for i, c in enumerate(numeric)])))
+        found = {(r["i"], r[PROB]): r[VALUE] for r in order_statistics(long, "v", [p for p, _ in QUARTILES], ["i"]).collect()}
+        rows = [(c, *[found.get((i, p)) for p, _ in QUARTILES]) for i, c in enumerate(numeric)]
+        quart = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")   # one row per column
         parts.append(mom.join(F.broadcast(quart), "column", "left"))
     if other:
         long = df.select(F.inline(F.array(*[

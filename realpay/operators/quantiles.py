@@ -1,219 +1,46 @@
-"""Exact quantiles (linear interpolation) that never put a whole group in one task.
-
-Spark's ``percentile`` aggregate keeps a value->count map per group and merges
-it in one task, so a global quantile (or a group holding a third of all rows)
-ends in a single reducer holding every distinct value. The plan here is a
-distributed sort built from DataFrame operators only (lazy, any number of
-groups; :mod:`realpay.operators.selection` is the scan-only alternative used
-for eager global and few-group quantiles):
-
-1. ``groupBy(by, value).count()``: duplicates collapse map-side, so a hot
-   value becomes one row per map task; the shuffle spreads (group, value)
-   pairs by hash.
-2. ``repartitionByRange(by, value)``: sampled range bounds split every group,
-   hot ones included, into contiguous value chunks of bounded size;
-   ``spark_partition_id()`` names the chunk.
-3. Per (group, chunk) totals (a tiny partial aggregate), their running offsets
-   per group and the group sizes, computed on that small table. The wanted
-   ranks ``floor/ceil((n-1)p)`` are located in their chunk there too.
-4. Only the chunks that hold a wanted rank (at most ``2*len(probs)`` per group
-   and never more than the number of chunks) are re-read, ordered per
-   (chunk, group) and scanned with a running count to pick the values at
-   those ranks.
-5. Linear interpolation between the two neighbours, rounded exactly as
-   ``quantile_cont`` rounds it (:mod:`realpay.functions.interpolation`); the
-   real-number rule is the one of pandas ``quantile`` and Spark
-   ``percentile``.
-
-Every task holds at most one chunk; small tables are keyed by chunk id so the
-large side is never re-shuffled to meet them. ``method="approx"`` uses
-``percentile_approx`` (one sketch per group) when an exact answer is not
-needed.
-"""
+"""Quantiles per group: exact (:mod:`realpay.operators.selection`) or approximate (one bounded sketch per group)."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from realpay.functions.interpolation import lerp
+from realpay.operators.selection import global_quantiles, order_statistics
 
 PROB = "prob"
 VALUE = "value"
 
-_V = "__q_v"        # the value
-_C = "__q_c"        # multiplicity of (group, value)
-_K = "__q_chunk"    # range chunk id
-_TOT = "__q_tot"    # rows of a group inside a chunk
-_OFF = "__q_off"    # rows of the group in earlier chunks
-_N = "__q_n"        # rows of the group
-_RANK = "__q_rank"  # wanted 0-based rank in the group
-_POS = "__q_pos"    # wanted 0-based position among the group's rows in the chunk
-_ROLE = "__q_role"  # 0 = lower neighbour, 1 = upper neighbour
-_H = "__q_h"        # (n - 1) * p
-_CUM = "__q_cum"    # rows of the group before this value inside the chunk
-
-# The wanted-rank table is broadcast only up to this many rows.
-_MAX_WANTED_ROWS = 1_000_000
-
-
-def _clean_values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    v = F.col(value).cast("double")
-    return (df.select(*[F.col(c) for c in by], v.alias(_V))
-              .where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V))))
-
-
-def _num_chunks(spark, num_chunks: int | None) -> int:
-    if num_chunks:
-        return int(num_chunks)
-    try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    except ValueError:      # a non-numeric setting: fall back to Spark's default
-        return 200
-
-
-def ranked_chunks(df: DataFrame, value: str, by: Sequence[str] = (), num_chunks: int | None = None):
-    """Collapse duplicates and range-partition into chunks.
-
-    Returns ``(chunked, chunks)``: ``chunked`` has ``by, __q_v, __q_c,
-    __q_chunk`` (one row per distinct value per group); ``chunks`` has one row
-    per (group, chunk) with the group's rows in the chunk, the offset of the
-    chunk within the group and the group size.
-
-    The chunk id is the range partition's index, so both consumers of
-    ``chunked`` must read the same exchange output with the same layout:
-    the partition count is explicit (AQE neither coalesces nor locally reads
-    such an exchange), the exchange is reused by both branches of the plan,
-    and if exchange reuse is switched off the chunked rows are written as a
-    reliable checkpoint first so the ids become stored data. The count
-    defaults to ``spark.sql.shuffle.partitions``, so chunks shrink as the
-    cluster's configured parallelism grows.
-    """
-    by = list(by)
-    spark = df.sparkSession
-    counted = _clean_values(df, value, by).groupBy(*by, _V).agg(F.count(F.lit(1)).alias(_C))
-    chunked = (counted.repartitionByRange(_num_chunks(spark, num_chunks), *by, _V)
-                      .withColumn(_K, F.spark_partition_id()))
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        chunked = chunked.checkpoint(eager=True)
-    chunks = chunked.groupBy(*by, _K).agg(F.sum(_C).alias(_TOT))
-    per_group = Window.partitionBy(*by) if by else Window.partitionBy()
-    chunks = (chunks
-              .withColumn(_OFF, F.sum(_TOT).over(per_group.orderBy(_K).rowsBetween(
-                  Window.unboundedPreceding, Window.currentRow)) - F.col(_TOT))
-              .withColumn(_N, F.sum(_TOT).over(per_group)))
-    return chunked, chunks
-
-
-def _wanted_ranks(chunks: DataFrame, by: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One row per (group, prob, neighbour) located in its chunk, with its
-    0-based position among the group's rows inside that chunk."""
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    t = chunks.select(*by, _K, _OFF, _TOT, _N, F.explode(probs_arr).alias(PROB))
-    t = t.withColumn(_H, (F.col(_N) - 1).cast("double") * F.col(PROB))
-    neighbours = F.array(
-        F.struct(F.lit(0).alias("r"), F.floor(F.col(_H)).alias("k")),
-        F.struct(F.lit(1).alias("r"), F.ceil(F.col(_H)).alias("k")))
-    t = t.select("*", F.explode(neighbours).alias("__nb"))
-    t = t.select(*by, _K, _OFF, _TOT, PROB, _H,
-                 F.col("__nb.r").alias(_ROLE), F.col("__nb.k").alias(_RANK))
-    t = t.where((F.col(_RANK) >= F.col(_OFF)) & (F.col(_RANK) < F.col(_OFF) + F.col(_TOT)))
-    return t.select(*by, _K, PROB, _H, _ROLE, (F.col(_RANK) - F.col(_OFF)).alias(_POS))
-
-
-def _pick(chunked: DataFrame, wanted: DataFrame, by: Sequence[str], wanted_bounded: bool) -> DataFrame:
-    """Values at the wanted positions, scanning only the chunks that hold one.
-
-    Chunks are filtered by a broadcast semi-join on chunk id: the wanted ids
-    are bounded by the number of chunks. When the wanted table itself has a
-    proven bound (``2 * len(probs)`` rows per group and a known group count)
-    it is broadcast and serves both the filter and the final lookup; else the
-    distinct chunk ids are broadcast and the lookup is a regular join.
-    """
-    if wanted_bounded:
-        side = F.broadcast(wanted)
-        needed = chunked.join(side.select(_K), _K, "left_semi")
-    else:
-        side = wanted
-        needed = chunked.join(F.broadcast(wanted.select(_K).distinct()), _K, "left_semi")
-    in_chunk = Window.partitionBy(_K, *by).orderBy(_V).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    needed = needed.withColumn(_CUM, F.sum(_C).over(in_chunk) - F.col(_C))
-    w, n = side.alias("w"), needed.alias("n")
-    cond = F.col("w." + _K) == F.col("n." + _K)
-    for c in by:
-        cond = cond & F.col("w." + c).eqNullSafe(F.col("n." + c))
-    cond = (cond & (F.col("w." + _POS) >= F.col("n." + _CUM))
-            & (F.col("w." + _POS) < F.col("n." + _CUM) + F.col("n." + _C)))
-    return w.join(n, cond, "inner").select(
-        *[F.col("w." + c).alias(c) for c in by], F.col("w." + PROB).alias(PROB),
-        F.col("w." + _H).alias(_H), F.col("w." + _ROLE).alias(_ROLE), F.col("n." + _V).alias(_V))
-
 
-def _interpolate(picked: DataFrame, by: Sequence[str]) -> DataFrame:
-    g = picked.groupBy(*by, PROB).agg(
-        F.max(F.when(F.col(_ROLE) == 0, F.col(_V))).alias("__lo"),
-        F.max(F.when(F.col(_ROLE) == 1, F.col(_V))).alias("__hi"),
-        F.first(_H).alias(_H))
-    frac = F.col(_H) - F.floor(F.col(_H))
-    value = (F.when(F.floor(F.col(_H)) == F.ceil(F.col(_H)), F.col("__lo"))
-             .otherwise(lerp(F.col("__lo"), F.col("__hi"), frac)))
-    return g.select(*by, PROB, value.alias(VALUE))
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                    by: Sequence[str] = (), method: str = "exact",
-                    num_chunks: int | None = None, max_groups: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), method: str = "exact") -> DataFrame:
     """Quantiles of ``value`` per group, long form ``by..., prob, value``.
 
-    NULL and NaN values are skipped (pandas ``quantile``); a NULL group key is
-    a group of its own (callers that follow pandas drop it first). Groups
-    without values produce no rows. ``max_groups`` is a bound on the number
-    of groups known before running (e.g. the number of unpivoted columns);
-    with it, or without groups, the small wanted-rank table is broadcast.
+    NULL and NaN values are skipped; a NULL group key is a group of its own. Groups without values have no rows.
     """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    for p in probs:
-        if not 0.0 <= p <= 1.0:
-            raise ValueError(f"probability out of range: {p}")
     if method == "approx":
         return approx_quantiles(df, value, probs, by)
     if method != "exact":
         raise ValueError(f"unknown method {method!r}")
-    chunked, chunks = ranked_chunks(df, value, by, num_chunks)
-    wanted = _wanted_ranks(chunks, by, probs)
-    bounded = not by or (max_groups is not None and 2 * len(probs) * max_groups <= _MAX_WANTED_ROWS)
-    return _interpolate(_pick(chunked, wanted, by, bounded), by)
+    if by:
+        return order_statistics(df, value, probs, by)
+    found = zip(map(float, probs), global_quantiles(df, value, probs))
+    return df.sparkSession.createDataFrame([x for x in found if x[1] is not None], f"{PROB} double, {VALUE} double")
 
 
-def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                     by: Sequence[str] = (), accuracy: int = 10000) -> DataFrame:
-    """``percentile_approx`` per group (bounded sketch per group; rank error
-    at most ``n / accuracy``); same long shape as :func:`exact_quantiles`."""
-    by = list(by)
-    probs = [float(p) for p in probs]
-    base = _clean_values(df, value, by)
-    g = base.groupBy(*by).agg(
-        F.percentile_approx(_V, F.array(*[F.lit(p) for p in probs]), accuracy).alias("__qs"))
-    probs_arr = F.array(*[F.lit(p) for p in probs])
-    return (g.select(*by, "__qs", F.posexplode(probs_arr).alias("__i", PROB))
+def approx_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int = 10000) -> DataFrame:
+    """``percentile_approx`` per group (rank error at most ``n / accuracy``); the same long form."""
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    v = F.col(value).cast("double")
+    g = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v")).groupBy(*by).agg(
+        F.percentile_approx("__v", wanted, accuracy).alias("__qs"))
+    return (g.select(*by, "__qs", F.posexplode(wanted).alias("__i", PROB))
              .select(*by, PROB, F.element_at(F.col("__qs"), F.col("__i") + 1).alias(VALUE)))
 
 
-def quantile_row(df: DataFrame, value: str, probs: Sequence[float], method: str = "exact",
-                 names: Sequence[str] | None = None) -> DataFrame:
-    """Global quantiles as ONE row with a column per probability (names
-    default to ``q<percent>``), handy for scalar subqueries."""
+def quantile_row(df: DataFrame, value: str, probs: Sequence[float], method: str = "exact", names: Sequence[str] | None = None) -> DataFrame:
+    """Global quantiles as ONE row with a column per probability (names default to ``q<percent>``)."""
     probs = [float(p) for p in probs]
     names = list(names) if names else [f"q{p * 100:g}".replace(".", "_") for p in probs]
     long = exact_quantiles(df, value, probs, method=method)
-    return long.agg(*[F.max(F.when(F.col(PROB) == F.lit(p), F.col(VALUE))).alias(n)
-                      for p, n in zip(probs, names)])
-
-
-def scalar(df: DataFrame, column: str) -> Column:
-    """A one-row DataFrame's column as a scalar subquery expression."""
-    return df.select(column).scalar()
+    return long.agg(*[F.max(F.when(F.col(PROB) == F.lit(p), F.col(VALUE))).alias(n) for p, n in zip(probs, names)])

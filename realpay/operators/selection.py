@@ -1,30 +1,19 @@
-"""Exact global quantiles by distributed selection (scans, no full shuffle).
-
-For a whole column (no groups) the exact quantile only needs the values at
-two ranks per probability. Instead of sorting the column, this narrows a
-value bracket around each wanted rank and sorts only the bracket:
-
-1. One aggregation: the row count ``n`` and a ``percentile_approx`` sketch
-   at ``p - d`` and ``p + d`` (``d`` a few times the sketch's rank error
-   ``1/accuracy``), giving a bracket ``[lo_p, hi_p]`` per probability. The
-   sketch is merged map-side; its size is bounded by ``accuracy``.
-   A tiny column (or group, at most ``RANK_WHOLE_BELOW`` rows) gets no
-   bracket and is ranked whole in step 3; above that the bracket margin is
-   at least four ranks, so both interpolation neighbours fall inside.
-2. While a bracket may still hold more than ``max_bracket`` rows (very large
-   columns): one aggregation with the exact count below and inside each
-   bracket and a sketch of the inside values only, on a fixed grid; the
-   bracket around the wanted in-bracket rank shrinks by about ``1/grid``
-   per pass.
-3. One final aggregation classifies every row as below / inside / above
-   its bracket and collapses inside values to ``(value, count)`` (a hot
-   value is one row); a window per probability over its bracket (bounded)
-   turns counts into exact ranks and picks the wanted values.
-
-Only the picked values (at most ``2 * len(probs)``) reach the driver. If a
-wanted rank is not inside its bracket (the sketch's guarantee did not
-hold), that probability is recomputed with the sort-based exact plan of
-:mod:`realpay.operators.quantiles`, so the answer is exact either way.
+"""Order statistics by exact histograms (scans and small aggregates, no sort of the column).
+
+Per group and wanted rank, a bracket of values is narrowed until it is one value or holds few rows:
+
+1. Every value gets a bin that follows its sign and exponent (``BINS_PER_OCTAVE`` bins between powers of
+   two). One aggregation counts each (group, bin) and keeps its least and greatest value; running counts over
+   a group's bins tell which bin holds the rank. Counts are exact and merged by key, so no task merges more
+   than its share of bins.
+2. While a bracket has two different ends and more than ``FEW_ROWS`` rows, only its rows are binned again, in
+   ``BINS`` equal parts from end to end. Both ends fall in different bins, so every pass narrows it; a bin with
+   equal ends is done, however many rows hold that value.
+3. What is left holds at most ``FEW_ROWS`` rows per bracket: they are counted by value, and running counts give
+   the value at each rank.
+
+With groups, brackets are rows of a small stored table keyed by group, so any number of groups takes the same
+path. Without, there are a few of them, and they are literals.
 """
 
 from __future__ import annotations
@@ -32,362 +21,178 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from realpay.functions.interpolation import lerp_value
-from realpay.operators.quantiles import PROB, VALUE, exact_quantiles
+from realpay.functions.interpolation import lerp, lerp_value
+from realpay.session import ensure_checkpoint_dir
 
-_V = "__s_v"
-_P = "__s_p"      # index of the probability
-_CLS = "__s_cls"  # 0 below, 1 inside, 2 above the bracket
-_IN = "__s_in"    # the value when inside, else NULL
-_CNT = "__s_cnt"
-_RUN = "__s_run"
+BINS_PER_OCTAVE = 32
+BINS = 1024
+FEW_ROWS = 20_000
+#: Bytes up to which a table of brackets is broadcast; beyond, Spark plans the join.
+BROADCAST_BYTES = 8 * 1024 ** 2
 
-DEFAULT_ACCURACY = 10_000
-DEFAULT_MAX_BRACKET = 50_000     # rows ranked in one window task (bounded memory)
-RANK_WHOLE_BELOW = 2_000         # columns/groups this small are ranked whole, no bracket
-GRID = 1000
-# A bracket that missed its rank: nothing falls inside, the pick misses it and
-# the exact fallback answers for it.
-_EMPTY = (math.inf, -math.inf, 0.0)
+_KEY = ["g", "lo", "hi"]
 
 
-def _targets(n: int, p: float) -> tuple[float, int, int]:
-    h = float(n - 1) * p
-    return h, int(math.floor(h)), int(math.ceil(h))
+def broadcast_if_small(df: DataFrame, key: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, a key and a few numbers each, come to at most ``max_bytes``.
+    For stored or small tables: it reads ``df`` once."""
+    size = df.agg(F.sum(F.octet_length(F.col(key).cast("string")) + F.lit(16 * len(df.columns)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
-def _interpolate(h: float, lo: float, hi: float) -> float:
-    if math.floor(h) == math.ceil(h):
-        return lo
-    return lerp_value(lo, hi, h - math.floor(h))
+def _first_bin(v: Column) -> Column:
+    octave = F.floor(F.least(F.log2(F.abs(v)) * BINS_PER_OCTAVE, F.lit(1e5))) + 100_000
+    return F.when(v == 0, F.lit(0)).when(v > 0, octave).otherwise(-octave)
 
 
-def _in_bracket(v, lo, hi):
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (v >= F.lit(float(lo)))
-    if hi is not None:
-        cond = cond & (v <= F.lit(float(hi)))
-    return cond
+def _next_bin(v: Column, lo: Column, hi: Column) -> Column:
+    # halves, so that the width of the widest bracket does not overflow
+    part = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    return F.least(F.floor(part * BINS), F.lit(BINS - 1))
 
 
-def _clean(df: DataFrame, value: str) -> DataFrame:
-    v = F.col(value).cast("double")
-    return df.select(v.alias(_V)).where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V)))
-
-
-def _margin(accuracy: int) -> float:
-    """Probability margin of a sketch bracket: three times the sketch's rank
-    error, and at least four ranks for any column that gets a bracket
-    (``n > RANK_WHOLE_BELOW``), so both interpolation neighbours fall inside."""
-    return max(3.0 / accuracy, 4.0 / RANK_WHOLE_BELOW)
-
-
-def _initial(base: DataFrame, probs: Sequence[float], accuracy: int):
-    d = _margin(accuracy)
-    grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
-    row = base.agg(F.count(F.lit(1)).alias("n"),
-                   F.percentile_approx(_V, F.array(*[F.lit(g) for g in grid]), accuracy).alias("q")).first()
-    n = int(row["n"])
-    if n == 0:
-        return 0, None
-    approx = dict(zip(grid, row["q"]))
-    brackets = []
-    for p in probs:
-        lo_p, hi_p = p - d, p + d
-        brackets.append((None if lo_p <= 0.0 else approx[lo_p], None if hi_p >= 1.0 else approx[hi_p],
-                         (min(hi_p, 1.0) - max(lo_p, 0.0) + 2.0 / accuracy) * n))
-    return n, brackets
-
-
-def _refine(base: DataFrame, n: int, probs, brackets, accuracy: int):
-    """One pass of exact counts plus an in-bracket sketch; narrower brackets
-    (with margins of at least four ranks of the bracket being narrowed)."""
-    grid = [i / GRID for i in range(GRID + 1)]
-    aggs = []
-    for i, (lo, hi, _) in enumerate(brackets):
-        v = F.col(_V)
-        below = F.count_if(v < F.lit(float(lo))) if lo is not None else F.lit(0).cast("bigint")
-        inside = _in_bracket(v, lo, hi)
-        aggs += [below.alias(f"b{i}"), F.count_if(inside).alias(f"c{i}"),
-                 F.percentile_approx(F.when(inside, v), F.array(*[F.lit(g) for g in grid]), accuracy)
-                  .alias(f"s{i}")]
-    row = base.agg(*aggs).first()
-    out = []
-    err = 1.0 / GRID + 2.0 / accuracy
-    for i, p in enumerate(probs):
-        lo, hi, _ = brackets[i]
-        below, inside, sketch = int(row[f"b{i}"]), int(row[f"c{i}"]), row[f"s{i}"]
-        _, r_lo, r_hi = _targets(n, p)
-        if inside == 0 or r_lo < below or r_hi >= below + inside:
-            out.append(_EMPTY)
-            continue
-        t_lo = (r_lo - below) / max(inside - 1, 1)
-        t_hi = (r_hi - below) / max(inside - 1, 1)
-        m = max(err, 4.0 / inside)
-        g_lo, g_hi = t_lo - m, t_hi + m
-        new_lo = lo if g_lo <= 0.0 else sketch[int(math.floor(g_lo * GRID))]
-        new_hi = hi if g_hi >= 1.0 else sketch[int(math.ceil(g_hi * GRID))]
-        out.append((new_lo, new_hi, (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / GRID + 2.0 / accuracy) * inside))
-    return out
+def _running(partition: Sequence[str], order: str) -> Column:
+    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.sum("c").over(w) - F.col("c")
+
+
+def _holds(before: str = "before", c: str = "c") -> Column:
+    return (F.col(before) <= F.col("rank")) & (F.col("rank") < F.col(before) + F.col(c))
+
 
+def _inside(base: DataFrame, brackets: DataFrame) -> DataFrame:
+    own = brackets.select(*_KEY, "before").distinct()
+    own = broadcast_if_small(own, "g").withColumnRenamed("g", "bg")
+    return base.join(own, (F.col("g") == F.col("bg")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).drop("bg")
 
-def _pick_frame(base: DataFrame, n: int, probs, brackets):
-    """Rows holding the wanted ranks (lazy) and the wanted (prob, rank) pairs."""
-    # one literal struct per probability; explode is a narrow Generate (no join)
-    entries = F.array(*[
-        F.struct(F.lit(i).alias(_P),
-                 (F.lit(None) if lo is None else F.lit(float(lo))).cast("double").alias("lo"),
-                 (F.lit(None) if hi is None else F.lit(float(hi))).cast("double").alias("hi"))
-        for i, (lo, hi, _) in enumerate(brackets)])
-    v = F.col(_V)
-    tagged = base.select(v, F.inline(entries))
-    cls = (F.when(F.col("lo").isNotNull() & (v < F.col("lo")), F.lit(0))
-           .when(F.col("hi").isNotNull() & (v > F.col("hi")), F.lit(2)).otherwise(F.lit(1)))
-    tagged = tagged.select(F.col(_P), cls.alias(_CLS), v)
-    g = (tagged.groupBy(_P, _CLS, F.when(F.col(_CLS) == 1, v).alias(_IN))
-               .agg(F.count(F.lit(1)).alias(_CNT)))
-    w = Window.partitionBy(_P).orderBy(_CLS, _IN).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.where(F.col(_CLS) < 2).withColumn(_RUN, F.sum(_CNT).over(w) - F.col(_CNT))
-    want = []
-    for i, p in enumerate(probs):
-        _, r_lo, r_hi = _targets(n, p)
-        want += [(i, r_lo), (i, r_hi)]
-    hit = F.lit(False)
-    for i, r in set(want):
-        hit = hit | ((F.col(_P) == i) & (F.col(_RUN) <= r) & (F.lit(r) < F.col(_RUN) + F.col(_CNT)))
-    return g.where((F.col(_CLS) == 1) & hit).select(_P, _IN, _RUN, _CNT), want
-
-
-def _pick(base: DataFrame, n: int, probs, brackets):
-    """Exact values at the wanted ranks inside each bracket (missing = missed)."""
-    frame, want = _pick_frame(base, n, probs, brackets)
-    picked = frame.collect()   # at most 2 * len(probs) rows
-    found = {}
-    for row in picked:
-        for i, r in set(want):
-            if row[_P] == i and row[_RUN] <= r < row[_RUN] + row[_CNT]:
-                found[(i, r)] = row[_IN]
-    return found
-
-
-def global_quantiles(df: DataFrame, value: str, probs: Sequence[float],
-                     accuracy: int = DEFAULT_ACCURACY, max_bracket: int = DEFAULT_MAX_BRACKET,
-                     max_passes: int = 6) -> list[float | None]:
-    """Exact linear-interpolation quantiles of a whole column, as Python
-    floats (``None`` when the column has no values).
-
-    Runs a few scan-and-aggregate jobs (see the module notes); every value
-    equals ``quantile_cont`` / pandas ``quantile`` / Spark ``percentile``.
+
+def _ranked(counted: DataFrame, brackets: DataFrame) -> DataFrame:
+    """Counted bins of brackets with the wanted ranks that fall into each."""
+    wanted = brackets.select(*_KEY, "p", "side", "rank", "h")
+    return counted.join(wanted, _KEY).where(_holds())
+
+
+def order_statistics(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """``by..., prob, value``: exact quantiles with linear interpolation, rounded as ``quantile_cont`` does.
+
+    NULL and NaN values are skipped; a NULL group key is a group; a group without values has no rows. Runs a few
+    aggregations over ``df`` now (it is read once per pass, so store it first if it is dear to compute).
     """
     probs = [float(p) for p in probs]
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability out of range: {p}")
-    # The passes re-read only this one column: keep it (memory, spilling to
-    # disk) instead of re-running the upstream plan per pass; released below.
-    base = _clean(df, value).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n, brackets = _initial(base, probs, accuracy)
-        if n == 0:
-            return [None] * len(probs)
-        if n <= min(RANK_WHOLE_BELOW, max_bracket):
-            # a tiny column is ranked whole (a sketch bracket could be
-            # narrower than one rank step and miss a neighbour)
-            brackets = [(None, None, float(n)) for _ in probs]
-        for _ in range(max_passes):
-            if all(est <= max_bracket for _, _, est in brackets):
-                break
-            brackets = _refine(base, n, probs, brackets, accuracy)
-        found = _pick(base, n, probs, brackets)
-    finally:
-        base.unpersist()
-    out: list[float | None] = []
-    missed = []
-    for i, p in enumerate(probs):
-        h, r_lo, r_hi = _targets(n, p)
-        if (i, r_lo) in found and (i, r_hi) in found:
-            out.append(_interpolate(h, found[(i, r_lo)], found[(i, r_hi)]))
-        else:
-            out.append(None)
-            missed.append(i)
-    if missed:
-        # the sketch guarantee did not hold for these: sort-based exact plan
-        exact = {r[PROB]: r[VALUE] for r in exact_quantiles(df, value, [probs[i] for i in missed]).collect()}
-        for i in missed:
-            out[i] = exact[probs[i]]
+    ensure_checkpoint_dir(df.sparkSession)
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    v = F.col(value).cast("double")
+    base = df.select(group.alias("g"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+    bins = base.groupBy("g", _first_bin(F.col("v")).alias("bin")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bins = bins.select("*", _running(["g"], "bin").alias("before"), F.sum("c").over(Window.partitionBy("g")).alias("n"))
+    h = [(F.col("n") - 1).cast("double") * F.lit(p) for p in probs]
+    wanted = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"), end(x).cast("long").alias("rank"), x.alias("h"))
+                       for i, x in enumerate(h) for side, end in ((0, F.floor), (1, F.ceil))])
+    state = bins.select("g", "lo", "hi", "before", "c", F.inline(wanted)).where(_holds())
+    state = state.select("g", "p", "side", "rank", "h", "lo", "hi", "before", "c").checkpoint()
+
+    wide = (F.col("lo") < F.col("hi")) & (F.col("c") > FEW_ROWS)
+    while not state.where(wide).isEmpty():
+        left = state.where(wide)
+        rows = _inside(base, left)
+        bins = rows.groupBy(*_KEY, "before", _next_bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
+        bins = bins.withColumn("before", F.col("before") + _running(_KEY, "bin"))
+        new = _ranked(bins, left).select("g", "p", "side", "rank", "h", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), "before", "c")
+        state = state.where(~wide).unionByName(new).checkpoint()
+
+    few = F.col("lo") < F.col("hi")
+    values = _inside(base, state.where(few)).groupBy(*_KEY, "before", "v").agg(F.count(F.lit(1)).alias("c"))
+    values = values.withColumn("before", F.col("before") + _running(_KEY, "v"))
+    picked = _ranked(values, state.where(few)).select("g", "p", "side", "h", "v")
+    picked = picked.unionByName(state.where(~few).select("g", "p", "side", "h", F.col("lo").alias("v")))
+    ends = picked.groupBy("g", "p").agg(F.first("h").alias("h"), F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"),
+                                        F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
+    between = lerp(F.col("a"), F.col("b"), F.col("h") - F.floor("h"))
+    found = F.when(F.floor("h") == F.ceil("h"), F.col("a")).otherwise(between)
+    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("p") + 1)
+    return ends.select(*[F.col("g")[c].alias(c) for c in by], prob.alias("prob"), found.alias("value"))
+
+
+def global_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+    """Quantiles of a whole column as Python floats (``None`` when it has no values).
+
+    The same passes as :func:`order_statistics`. Without groups there are at most two brackets per probability
+    and a bounded number of bins (4,200 octaves of BINS_PER_OCTAVE, or BINS, or FEW_ROWS values per bracket), so
+    the counts come to the driver and the brackets go out as literals: no join and no window.
+    """
+    probs = [float(p) for p in probs]
+    for p in probs:
+        if not 0.0 <= p <= 1.0:
+            raise ValueError(f"probability out of range: {p}")
+    v = F.col(value).cast("double")
+    base = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    v = F.col("v")
+    counted = base.groupBy(_first_bin(v).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    bins = sorted((r["bin"], r["c"], r["lo"], r["hi"]) for r in counted.collect())
+    n = sum(c for _, c, _, _ in bins)
+    if not n:
+        return [None] * len(probs)
+    ranks = sorted({end(float(n - 1) * p) for p in probs for end in (math.floor, math.ceil)})
+    at = _locate(bins, 0, ranks)
+    while wide := sorted({b for b in at.values() if b[0] < b[1] and b[3] > FEW_ROWS}):
+        rows = base.select("v", _literal_brackets(v, wide))
+        counted = rows.groupBy("i", _next_bin(v, F.col("lo"), F.col("hi")).alias("bin")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
+        for i, bracket in enumerate(wide):
+            own = sorted((r["bin"], r["c"], r["least"], r["most"]) for r in counted if r["i"] == i)
+            at |= _locate(own, bracket[2], [r for r, b in at.items() if b == bracket])
+    few = sorted({b for b in at.values() if b[0] < b[1]})
+    if few:
+        counted = base.select("v", _literal_brackets(v, few)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).collect()
+        for i, bracket in enumerate(few):
+            own = sorted((r["v"], r["c"], r["v"], r["v"]) for r in counted if r["i"] == i)
+            at |= _locate(own, bracket[2], [r for r, b in at.items() if b == bracket])
+    out = []
+    for p in probs:
+        h = float(n - 1) * p
+        low, high = at[math.floor(h)][0], at[math.ceil(h)][0]
+        out.append(low if math.floor(h) == math.ceil(h) else lerp_value(low, high, h - math.floor(h)))
     return out
 
 
-# ---------------------------------------------------------------------------
-# Grouped selection: the same passes per (group, probability).
-# ---------------------------------------------------------------------------
+def _locate(bins: list, before: int, ranks: Sequence[int]) -> dict[int, tuple]:
+    """Of each rank, the (least, greatest, rows before, rows) of its bin; ``bins``: (bin, rows, least, greatest)."""
+    out = {}
+    for _, c, lo, hi in bins:
+        for rank in ranks:
+            if before <= rank < before + c:
+                out[rank] = (lo, hi, before, c)
+        before += c
+    return out
 
-_G = "__s_g"
-DEFAULT_MAX_GROUPS = 1000
 
+def _literal_brackets(v: Column, brackets: list) -> Column:
+    """A row for each of the brackets that ``v`` lies in, as ``i, lo, hi``."""
+    all_ = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(b[0])).alias("lo"), F.lit(float(b[1])).alias("hi")) for i, b in enumerate(brackets)])
+    return F.inline(F.filter(all_, lambda b: (v >= b["lo"]) & (v <= b["hi"])))
 
-def _grouped_base(df: DataFrame, group: str, value: str) -> DataFrame:
-    v = F.col(value).cast("double")
-    return (df.select(F.col(group).alias(_G), v.alias(_V))
-              .where(F.col(_V).isNotNull() & ~F.isnan(F.col(_V))))
-
-
-def _bracket_table(spark, gtype, entries):
-    """Small frame ``group, p, lo, hi, r_lo, r_hi`` from driver-side brackets
-    (at most ``max_groups * len(probs)`` rows, checked before it is built)."""
-    from pyspark.sql import types as T
-    schema = T.StructType([
-        T.StructField(_G, gtype, True), T.StructField(_P, T.IntegerType(), False),
-        T.StructField("lo", T.DoubleType(), True), T.StructField("hi", T.DoubleType(), True),
-        T.StructField("r_lo", T.LongType(), False), T.StructField("r_hi", T.LongType(), False)])
-    return spark.createDataFrame(entries, schema)
-
-
-def _tag(base: DataFrame, table: DataFrame) -> DataFrame:
-    """Every row with each bracket of its group (broadcast equi-join on the
-    group, NULL-safe)."""
-    t = F.broadcast(table).alias("t")
-    b = base.alias("b")
-    return b.join(t, F.col("b." + _G).eqNullSafe(F.col("t." + _G)), "inner").select(
-        F.col("b." + _G).alias(_G), F.col("b." + _V).alias(_V), F.col("t." + _P).alias(_P),
-        "t.lo", "t.hi", "t.r_lo", "t.r_hi")
-
-
-def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float],
-                      accuracy: int = DEFAULT_ACCURACY, max_bracket: int = DEFAULT_MAX_BRACKET,
-                      max_groups: int = DEFAULT_MAX_GROUPS, max_passes: int = 6,
-                      known_groups: int | None = None):
-    """Exact quantiles per group as ``{(group, prob): value}``, or ``None``
-    when there are more than ``max_groups`` groups (the caller then uses the
-    lazy sort-based plan, whose memory does not depend on the group count).
-    A NULL group key is a group; groups without values are absent.
-    ``known_groups`` is an upper bound on the group count known before
-    running (e.g. the number of unpivoted columns); it replaces the
-    distinct-count check."""
+
+def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:
+    """``group, q0, q1, ...``: one row per group, a column per probability in the order given."""
     probs = [float(p) for p in probs]
-    spark = df.sparkSession
-    gtype = df.schema[group].dataType
-    base = _grouped_base(df, group, value).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        # the group bound is checked first (a cheap distinct count that also
-        # fills the persisted column), so no sketch pass is wasted on a
-        # frame that will use the sort plan
-        bound_known = known_groups is not None and known_groups <= max_groups
-        if not bound_known and base.select(_G).distinct().count() > max_groups:
-            return None
-        d = _margin(accuracy)
-        grid = sorted({min(max(p - d, 0.0), 1.0) for p in probs} | {min(max(p + d, 0.0), 1.0) for p in probs})
-        first = (base.groupBy(_G)
-                     .agg(F.count(F.lit(1)).alias("n"),
-                          F.percentile_approx(_V, F.array(*[F.lit(x) for x in grid]), accuracy).alias("q"))
-                     .collect())                       # at most max_groups rows
-        sizes = {r[_G]: int(r["n"]) for r in first}
-        brackets = {}
-        for r in first:
-            approx = dict(zip(grid, r["q"]))
-            for i, p in enumerate(probs):
-                if sizes[r[_G]] <= min(RANK_WHOLE_BELOW, max_bracket):   # tiny group: ranked whole
-                    brackets[(r[_G], i)] = (None, None, float(sizes[r[_G]]))
-                    continue
-                lo_p, hi_p = p - d, p + d
-                brackets[(r[_G], i)] = (None if lo_p <= 0.0 else approx[lo_p],
-                                        None if hi_p >= 1.0 else approx[hi_p],
-                                        (min(hi_p, 1.0) - max(lo_p, 0.0) + 2.0 / accuracy) * sizes[r[_G]])
-
-        def entries(keys):
-            out = []
-            for key in keys:
-                g, i = key
-                lo, hi, _ = brackets[key]
-                _, r_lo, r_hi = _targets(sizes[g], probs[i])
-                out.append((g, i, None if lo is None else float(lo), None if hi is None else float(hi), r_lo, r_hi))
-            return out
-
-        grid_r = [x / GRID for x in range(GRID + 1)]
-        err = 1.0 / GRID + 2.0 / accuracy
-        for _ in range(max_passes):
-            wide = [k for k, (_, _, est) in brackets.items() if est > max_bracket]
-            if not wide:
-                break
-            tagged = _tag(base, _bracket_table(spark, gtype, entries(wide)))
-            v = F.col(_V)
-            inside = (F.col("lo").isNull() | (v >= F.col("lo"))) & (F.col("hi").isNull() | (v <= F.col("hi")))
-            rows = (tagged.groupBy(_G, _P)
-                          .agg(F.count_if(F.col("lo").isNotNull() & (v < F.col("lo"))).alias("below"),
-                               F.count_if(inside).alias("inside"),
-                               F.percentile_approx(F.when(inside, v), F.array(*[F.lit(x) for x in grid_r]),
-                                                   accuracy).alias("s"))
-                          .collect())
-            for r in rows:
-                key = (r[_G], r[_P])
-                lo, hi, _ = brackets[key]
-                below, ins = int(r["below"]), int(r["inside"])
-                _, r_lo, r_hi = _targets(sizes[key[0]], probs[key[1]])
-                if ins == 0 or r_lo < below or r_hi >= below + ins:
-                    brackets[key] = _EMPTY
-                    continue
-                t_lo, t_hi = (r_lo - below) / max(ins - 1, 1), (r_hi - below) / max(ins - 1, 1)
-                m = max(err, 4.0 / ins)
-                g_lo, g_hi = t_lo - m, t_hi + m
-                brackets[key] = (lo if g_lo <= 0.0 else r["s"][int(math.floor(g_lo * GRID))],
-                                 hi if g_hi >= 1.0 else r["s"][int(math.ceil(g_hi * GRID))],
-                                 (min(g_hi, 1.0) - max(g_lo, 0.0) + 2.0 / GRID + 2.0 / accuracy) * ins)
-
-        tagged = _tag(base, _bracket_table(spark, gtype, entries(list(brackets))))
-        v = F.col(_V)
-        cls = (F.when(F.col("lo").isNotNull() & (v < F.col("lo")), F.lit(0))
-               .when(F.col("hi").isNotNull() & (v > F.col("hi")), F.lit(2)).otherwise(F.lit(1)))
-        g = (tagged.select(_G, _P, "r_lo", "r_hi", cls.alias(_CLS), v)
-                   .groupBy(_G, _P, "r_lo", "r_hi", _CLS, F.when(F.col(_CLS) == 1, v).alias(_IN))
-                   .agg(F.count(F.lit(1)).alias(_CNT)))
-        w = (Window.partitionBy(_G, _P).orderBy(_CLS, _IN)
-                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        g = g.where(F.col(_CLS) < 2).withColumn(_RUN, F.sum(_CNT).over(w) - F.col(_CNT))
-
-        def holds(r):
-            return (F.col(_RUN) <= F.col(r)) & (F.col(r) < F.col(_RUN) + F.col(_CNT))
-
-        picked = g.where((F.col(_CLS) == 1) & (holds("r_lo") | holds("r_hi"))).collect()
-        found = {}
-        for r in picked:
-            for rank in (r["r_lo"], r["r_hi"]):
-                if r[_RUN] <= rank < r[_RUN] + r[_CNT]:
-                    found[(r[_G], r[_P], rank)] = r[_IN]
-    finally:
-        base.unpersist()
-
-    out, missed = {}, []
-    for (gkey, i) in brackets:
-        h, r_lo, r_hi = _targets(sizes[gkey], probs[i])
-        a, b = found.get((gkey, i, r_lo)), found.get((gkey, i, r_hi))
-        if a is None or b is None:
-            missed.append(i)
-        else:
-            out[(gkey, probs[i])] = _interpolate(h, a, b)
-    if missed:
-        need = sorted({probs[i] for i in missed})
-        for r in exact_quantiles(df, value, need, by=[group]).collect():
-            key = (r[group], r[PROB])
-            if key not in out:
-                out[key] = r[VALUE]
-    return out
+    long = order_statistics(df, value, sorted(set(probs)), [group])
+    return long.groupBy(group).agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"q{i}") for i, p in enumerate(probs)])
 
 
-def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], method: str = "exact",
-                   lazy: bool = False) -> DataFrame:
-    """Global quantiles as a ``prob, value`` frame.
+def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], method: str = "exact") -> DataFrame:
+    """Global quantiles as a ``prob, value`` frame, a row per probability also for a column without values."""
+    from realpay.operators.quantiles import exact_quantiles
 
-    Default: exact values by selection (the passes run now; the frame holds
-    one row per probability). ``lazy=True`` returns the lazy sort-based plan
-    instead, and ``method="approx"`` the ``percentile_approx`` plan.
-    """
-    if lazy or method != "exact":
+    if method != "exact":
         return exact_quantiles(df, value, probs, method=method)
     probs = [float(p) for p in probs]
-    values = global_quantiles(df, value, probs)
-    return df.sparkSession.createDataFrame(list(zip(probs, values)), "prob double, value double")
+    return df.sparkSession.createDataFrame(list(zip(probs, global_quantiles(df, value, probs))), "prob double, value double")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from realpay.functions.numbers import nan_to_null
+
 
 def month_label(date_col: str, dtype=None, fmt: str = "yyyy-MM") -> Column:
     """``YYYY-MM`` label; strings are parsed as ``yyyy-MM-dd`` (ANSI: a bad
@@ -34,7 +36,7 @@ def monthly_trend(df: DataFrame, date_col: str, id_col: str, means: Mapping[str,
     base = df.select(month, F.col(id_col), *[F.col(src) for src in means.values()])
     agg = (base.where(F.col("month").isNotNull()).groupBy("month")
                .agg(F.count(F.col(id_col)).alias(count_name),
-                    *[F.avg(F.col(src)).alias(alias) for alias, src in means.items()]))
+                    *[F.avg(nan_to_null(F.col(src).cast("double"))).alias(alias) for alias, src in means.items()]))
     growth = dict(growth or {})
     w = Window.orderBy("month")
     fill = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -17,23 +17,25 @@ from realpay.constants import CORR_COLUMNS, SAMPLE_ROWS, SKILL_SEPARATOR, TOP_K
 from realpay.functions.rounding import round_half_even
 from realpay.operators.correlation import corr_matrix
 from realpay.operators.grouping import group_means, top_tokens
-from realpay.operators.materialize import materialize
 from realpay.operators.outliers import box_stats, iqr_outliers
 from realpay.operators.profile import category_counts, describe_all, describe_numeric, missing_profile
 from realpay.operators.selection import quantile_frame
 from realpay.operators.trends import month_label, monthly_trend
 from realpay.plans.ppp import merge_costs, ppp_frame, ppp_inliers, rank_by_ppp
+from realpay.plans.quality import optional_columns, quality_frame
 from realpay.session import configure
 from realpay.sources import fixtures
+from realpay.sources.csv import infer_types, tokens_to_null
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TREND_SCALE = 4
 
 
-def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _jobs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Postings with the wanted columns only (all without any): tables that these don't need are not joined."""
     configure(spark)
-    return fixtures.jobs(spark, sf_dir)
+    return fixtures.jobs(spark, sf_dir, columns)
 
 
 def _ppp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +43,12 @@ def _ppp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppp_frame(_jobs(spark, sf_dir), fixtures.cost_living(spark, sf_dir))
 
 
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _merged(spark: SparkSession, sf_dir: str, before=lambda jobs: jobs) -> DataFrame:
     """The postings (with their month label, as the report adds it before the
     merge) left-joined to the cost dimension."""
     jobs = _jobs(spark, sf_dir)
     jobs = jobs.withColumn("month", month_label("posting_date", jobs.schema["posting_date"].dataType))
-    return merge_costs(jobs, fixtures.cost_living(spark, sf_dir))
+    return merge_costs(before(jobs), fixtures.cost_living(spark, sf_dir))
 
 
 def q_missing_profile(spark, sf_dir):
@@ -59,7 +61,7 @@ def q_col_missing_profile(spark, sf_dir):
 
 
 def q_salary_describe(spark, sf_dir):
-    return describe_numeric(materialize(_jobs(spark, sf_dir), ["salary_usd"]), "salary_usd")
+    return describe_numeric(_jobs(spark, sf_dir, "salary_usd"), "salary_usd")
 
 
 def q_col_describe_all(spark, sf_dir):
@@ -68,46 +70,55 @@ def q_col_describe_all(spark, sf_dir):
 
 
 def q_quantiles(spark, sf_dir):
-    return quantile_frame(_jobs(spark, sf_dir), "salary_usd", [0.25, 0.75])
+    return quantile_frame(_jobs(spark, sf_dir, "salary_usd"), "salary_usd", [0.25, 0.75])
 
 
 def q_iqr_outliers(spark, sf_dir):
-    return iqr_outliers(materialize(_jobs(spark, sf_dir), ["job_id", "salary_usd"]), "salary_usd")
+    return iqr_outliers(_jobs(spark, sf_dir, "job_id", "salary_usd"), "salary_usd")
 
 
 def q_experience_counts(spark, sf_dir):
-    return category_counts(_jobs(spark, sf_dir), "experience_level")
+    return category_counts(_jobs(spark, sf_dir, "experience_level"), "experience_level")
 
 
 def q_corr_matrix(spark, sf_dir):
-    return corr_matrix(_jobs(spark, sf_dir), CORR_COLUMNS)
+    return corr_matrix(_jobs(spark, sf_dir, *CORR_COLUMNS), CORR_COLUMNS)
 
 
 def q_salary_box_stats(spark, sf_dir):
-    return box_stats(materialize(_jobs(spark, sf_dir), ["experience_level", "salary_usd"]),
-                     "experience_level", "salary_usd")
+    return box_stats(_jobs(spark, sf_dir, "experience_level", "salary_usd"), "experience_level", "salary_usd")
 
 
-def q_monthly_trend(spark, sf_dir):
-    out = monthly_trend(_jobs(spark, sf_dir), "posting_date", "job_id",
+def _trend(jobs: DataFrame) -> DataFrame:
+    out = monthly_trend(jobs, "posting_date", "job_id",
                         {"avg_salary": "salary_usd", "avg_years_experience": "years_experience"},
                         growth={"job_growth": "job_count", "salary_growth": "avg_salary"})
     rounded = ("avg_salary", "avg_years_experience", "job_growth", "salary_growth")
     return out.select("month", "job_count", *[round_half_even(c, TREND_SCALE).alias(c) for c in rounded])
 
 
+def q_monthly_trend(spark, sf_dir):
+    return _trend(_jobs(spark, sf_dir, "job_id", "posting_date", "salary_usd", "years_experience"))
+
+
+def q_monthly_trend_text(spark, sf_dir):
+    """The same from dates that come as text."""
+    jobs = _jobs(spark, sf_dir, "job_id", "posting_date", "salary_usd", "years_experience")
+    return _trend(jobs.withColumn("posting_date", F.date_format("posting_date", "yyyy-MM-dd")))
+
+
 def q_top_skills(spark, sf_dir):
     configure(spark)
     return top_tokens(fixtures.skills(spark, sf_dir), "required_skills", SKILL_SEPARATOR, k=TOP_K)
 
 
 def q_remote_stats(spark, sf_dir):
-    return group_means(_jobs(spark, sf_dir), "remote_ratio", {"avg_salary": "salary_usd"},
+    return group_means(_jobs(spark, sf_dir, "remote_ratio", "salary_usd"), "remote_ratio", {"avg_salary": "salary_usd"},
                        "job_count", order_by="remote_ratio")
 
 
 def q_geo_top10(spark, sf_dir):
-    return group_means(_jobs(spark, sf_dir), "company_location",
+    return group_means(_jobs(spark, sf_dir, "company_location", "salary_usd", "remote_ratio"), "company_location",
                        {"avg_salary": "salary_usd", "avg_remote_ratio": "remote_ratio"}, "job_count",
                        order_by="avg_salary", descending=True, k=TOP_K,
                        columns_order=["company_location", "avg_salary", "job_count", "avg_remote_ratio"])
@@ -118,7 +129,11 @@ def q_col_join(spark, sf_dir):
 
 
 def q_merged_sample(spark, sf_dir):
-    return _merged(spark, sf_dir).orderBy(F.asc_nulls_last("job_id")).limit(SAMPLE_ROWS)
+    # a left join keeps every posting: the first rows of the join come from the first postings
+    def first(df):
+        return df.orderBy(F.asc_nulls_last("job_id")).limit(SAMPLE_ROWS)
+
+    return first(_merged(spark, sf_dir, first))
 
 
 PPP_COLUMNS = ("job_id", "company_location", "salary_usd", "col_index", "col_plus_rent", "lpp",
@@ -143,6 +158,31 @@ def q_ppp_country_ranking(spark, sf_dir):
                                    columns=["company_location", "salary_usd", "ppp_salary"]))
 
 
+def q_csv_na_tokens(spark, sf_dir):
+    """Missing-value tokens and inferred types of the cost table's text columns."""
+    configure(spark)
+    costs = fixtures.city_costs(spark, sf_dir)
+    text = costs.select(*[tokens_to_null(F.col(f"`{c}`")).alias(c) for c, t in costs.dtypes if t == "string"])
+    types = {f.name: f.dataType.simpleString() for f in infer_types(text)}
+    named = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    return missing_profile(text, with_pct=False).select("column", named[F.col("column")].alias("type"), "missing")
+
+
+def q_sql_remote(spark, sf_dir):
+    """A frame registered by name and queried with SQL."""
+    _jobs(spark, sf_dir, "remote_ratio", "salary_usd").createOrReplaceTempView("realpay_postings")
+    return spark.sql("SELECT remote_ratio, count(*) AS job_count, min(salary_usd) AS least, max(salary_usd) AS most "
+                     "FROM realpay_postings GROUP BY remote_ratio")
+
+
+def q_optional_columns(spark, sf_dir):
+    return optional_columns(_jobs(spark, sf_dir, "experience_level", "salary_usd"), ["salary_usd", "experience_level", "bonus_usd"])
+
+
+def q_quality_report(spark, sf_dir):
+    return quality_frame(_jobs(spark, sf_dir, "job_id", "salary_usd", "experience_level", "remote_ratio"))
+
+
 QUERIES: dict[str, Query] = {
     "missing_profile": q_missing_profile,
     "col_missing_profile": q_col_missing_profile,
@@ -163,4 +203,9 @@ QUERIES: dict[str, Query] = {
     "merged_sample": q_merged_sample,
     "ppp_salary": q_ppp_salary,
     "ppp_country_ranking": q_ppp_country_ranking,
+    "monthly_trend_text": q_monthly_trend_text,
+    "csv_na_tokens": q_csv_na_tokens,
+    "sql_remote": q_sql_remote,
+    "optional_columns": q_optional_columns,
+    "quality_report": q_quality_report,
 }

@@ -8,7 +8,8 @@ constants are cast to DOUBLE so no DECIMAL arithmetic creeps in.
 
 from __future__ import annotations
 
-from realpay.functions.numbers import NUMBER_PATTERN
+# Number syntax of the report, written out here once more so that the oracle stands by itself.
+NUMBER_SYNTAX = r"^\s*[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
 
 def r_even(expr: str, scale: int = 2) -> str:
@@ -18,17 +19,18 @@ def r_even(expr: str, scale: int = 2) -> str:
 
 JOBS = """jobs AS (
   SELECT o.o_orderkey AS job_id,
-    CASE WHEN o.o_orderkey % 97 = 0 THEN NULL WHEN o.o_orderkey % 50 = 0 THEN o.o_totalprice * 6
+    CASE WHEN o.o_orderkey % 97 = 0 OR o.o_orderkey % 101 = 0 THEN NULL WHEN o.o_orderkey % 50 = 0 THEN o.o_totalprice * 6
          ELSE o.o_totalprice END AS salary_usd,
     CASE WHEN o.o_orderkey % 31 = 0 THEN NULL ELSE o.o_orderpriority END AS experience_level,
     o.o_orderkey % 21 AS years_experience,
-    CASE WHEN o.o_orderkey % 13 = 0 THEN NULL ELSE c.c_acctbal / 1000 END AS benefits_score,
+    CASE WHEN o.o_orderkey % 13 = 0 OR o.o_orderkey % 43 = 0 THEN NULL ELSE c.c_acctbal / 1000 END AS benefits_score,
     CASE WHEN o.o_orderkey % 29 = 0 THEN NULL ELSE (o.o_orderkey % 3) * 50 END AS remote_ratio,
     CASE WHEN o.o_orderkey % 41 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS posting_date,
     CASE WHEN o.o_orderkey % 37 = 0 THEN NULL
+         WHEN o.o_orderkey % 7 = 0 THEN concat(chr(160), n.n_name, chr(160))
          WHEN o.o_orderkey % 2 = 0 THEN concat(' ', n.n_name, ' ') ELSE n.n_name END AS company_location
-  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON n.n_nationkey = c.c_nationkey)"""
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey)"""
 
 COST_LIVING = """cost_living AS (
   SELECT n_nationkey + 1 AS "Rank",
@@ -57,6 +59,7 @@ CITY_COSTS = """city_costs AS (
 SKILLS = """skills AS (
   SELECT p_partkey AS job_id,
     CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN ' , '
+         WHEN p_partkey % 5 = 0 THEN replace(p_name, ' ', concat(chr(160), ',', chr(160)))
          ELSE replace(p_name, ' ', ' , ') END AS required_skills
   FROM part)"""
 
@@ -69,7 +72,7 @@ MERGED = """merged AS (
 
 
 def _num(col: str) -> str:
-    pat = NUMBER_PATTERN.replace("'", "''")
+    pat = NUMBER_SYNTAX.replace("'", "''")
     return (f"CASE WHEN regexp_matches({col}, '{pat}') "
             f"THEN TRY_CAST(trim({col}) AS DOUBLE) END")
 
@@ -192,7 +195,28 @@ SELECT f.g AS experience_level, q25, q50, q75,
   CAST(sum(CASE WHEN v < lo OR v > hi THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers
 FROM b JOIN f ON b.g = f.g GROUP BY f.g, q25, q50, q75"""
     sal = "SELECT salary_usd AS v FROM jobs WHERE salary_usd IS NOT NULL AND NOT isnan(salary_usd)"
+    trend = _with(JOBS) + ", " + trend
+    tokens = "'', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null'"
+    na = "\nUNION ALL ".join(f"""SELECT '{c}' AS "column", CASE WHEN count(v) = 0 THEN 'double'
+  WHEN count(*) FILTER (regexp_matches(v, '^\\s*[+-]?[0-9]+\\s*$')) = count(v) THEN 'bigint'
+  WHEN count(*) FILTER (regexp_matches(v, '{NUMBER_SYNTAX}')) = count(v) THEN 'double' ELSE 'string' END AS type,
+  count(*) - count(v) AS missing FROM (SELECT CASE WHEN "{c}" NOT IN ({tokens}) THEN "{c}" END AS v FROM city_costs)""" for c in CITY_OTHER)
+    report_columns = ["job_id", "salary_usd", "experience_level", "remote_ratio"]
+    report = "\nUNION ALL ".join(
+        [f"SELECT 'missing' AS section, '{c}' AS name, (count(*) - count({c}))::DOUBLE AS value FROM jobs" for c in report_columns]
+        + [f"SELECT 'salary_stats' AS section, stat AS name, value FROM ({_describe_sql(sal)})",
+           """SELECT 'salary_outliers' AS section, 'rows' AS name, count(*)::DOUBLE AS value FROM jobs, f
+WHERE salary_usd < q1 - 1.5::DOUBLE * (q3 - q1) OR salary_usd > q3 + 1.5::DOUBLE * (q3 - q1)""",
+           "SELECT 'category_counts' AS section, experience_level AS name, count(*)::DOUBLE AS value FROM jobs WHERE experience_level IS NOT NULL GROUP BY experience_level"])
     return {
+        "monthly_trend_text": trend,
+        "csv_na_tokens": _with(CITY_COSTS) + na,
+        "sql_remote": _with(JOBS) + """SELECT remote_ratio, count(*) AS job_count, min(salary_usd) AS least, max(salary_usd) AS most
+FROM jobs GROUP BY remote_ratio""",
+        "optional_columns": _with(JOBS) + """SELECT 'salary_usd' AS "column", true AS present, count(salary_usd) AS non_null FROM jobs
+UNION ALL SELECT 'experience_level', true, count(experience_level) FROM jobs UNION ALL SELECT 'bonus_usd', false, NULL::BIGINT""",
+        "quality_report": _with(JOBS) + """, f AS (SELECT quantile_cont(salary_usd, 0.25) AS q1, quantile_cont(salary_usd, 0.75) AS q3 FROM jobs)
+""" + report,
         "missing_profile": _with(JOBS, _missing_sql("jobs", JOB_COLUMNS, True)),
         "col_missing_profile": _with(CITY_COSTS, _missing_sql("city_costs", CITY_COLUMNS, False)),
         "salary_describe": _with(JOBS) + _describe_sql(sal),
@@ -211,7 +235,7 @@ WHERE salary_usd < q1 - 1.5::DOUBLE * (q3 - q1) OR salary_usd > q3 + 1.5::DOUBLE
 WHERE experience_level IS NOT NULL GROUP BY experience_level""",
         "corr_matrix": _with(JOBS) + _corr_sql(),
         "salary_box_stats": _with(JOBS) + ", " + box,
-        "monthly_trend": _with(JOBS) + ", " + trend,
+        "monthly_trend": trend,
         "top_skills": _with(SKILLS) + """, s AS (SELECT trim(unnest(string_split(required_skills, ','))) AS skill FROM skills)
 SELECT skill, count(*) AS count FROM s WHERE skill != '' GROUP BY skill
 ORDER BY count DESC, skill ASC LIMIT 10""",

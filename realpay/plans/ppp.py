@@ -1,6 +1,6 @@
 """Purchasing-power flow: join costs, derive PPP salary, drop outliers, rank.
 
-The left join broadcasts the (size-checked) cost dimension with its PPP
+The left join meets the cost dimension (which Spark broadcasts by its size) with its PPP
 factors precomputed, so the PPP salary is one expression in the scan's codegen
 stage; the PPP population is stored once (reliable checkpoint) because the
 IQR fences and the filter both read it; the fences come from the exact
@@ -74,7 +74,7 @@ def ppp_frame(jobs: DataFrame, costs: DataFrame, location: str = "company_locati
 
 def ppp_population(with_salary: DataFrame) -> DataFrame:
     """Rows that have a PPP salary (``dropna(subset=['ppp_salary'])``)."""
-    return with_salary.where(F.col("ppp_salary").isNotNull())
+    return with_salary.where(F.col("ppp_salary").isNotNull() & ~F.isnan("ppp_salary"))
 
 
 def ppp_inliers(with_salary: DataFrame, k: float = IQR_MULTIPLIER, columns=None,

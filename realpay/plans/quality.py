@@ -1,14 +1,14 @@
-"""Data-quality report over a postings table (missing values, salary
-statistics, IQR outliers, experience-level counts), as DataFrames (the
-quartile and fence steps run their small jobs when the report is built).
+"""Data-quality report over a postings table: missing values, salary statistics, IQR outliers, experience levels.
 
-Columns that are absent are skipped at plan-building time, like the report's
-``if column in df.columns`` guards.
+Columns that are absent are skipped when the plan is built, like the report's ``if column in df.columns`` guards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from realpay.operators.outliers import iqr_outliers
 from realpay.operators.profile import category_counts, describe_numeric, missing_profile
@@ -23,3 +23,28 @@ def quality_report(jobs: DataFrame, salary: str = "salary_usd",
     if category in jobs.columns:
         report["category_counts"] = category_counts(jobs, category)
     return report
+
+
+def quality_frame(jobs: DataFrame, salary: str = "salary_usd", category: str = "experience_level") -> DataFrame:
+    """The report as one frame ``section, name, value``; of the outliers, their number."""
+    parts = quality_report(jobs, salary, category)
+    rows = {
+        "missing": lambda d: d.select("column", F.col("missing").cast("double")),
+        "salary_stats": lambda d: d.select("stat", "value"),
+        "salary_outliers": lambda d: d.agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("rows"), "n"),
+        "category_counts": lambda d: d.select(category, F.col("count").cast("double")),
+    }
+    out = None
+    for section, df in parts.items():
+        own = rows[section](df).toDF("name", "value").select(F.lit(section).alias("section"), "name", "value")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def optional_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``column, present, non_null`` for each of ``names``: NULL counts for a column that is not there."""
+    there = [n for n in names if n in df.columns]
+    counts = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(there)])
+    cells = [F.struct(F.lit(n).alias("column"), F.lit(n in there).alias("present"),
+                      (F.col(f"n{there.index(n)}") if n in there else F.lit(None)).cast("bigint").alias("non_null")) for n in names]
+    return counts.select(F.inline(F.array(*cells)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from realpay.functions.numbers import strict_number
+from realpay.functions.numbers import NUMBER_PATTERN, strict_number
 
 # pandas' default NA strings.
 DEFAULT_NA_TOKENS = (
@@ -36,57 +36,64 @@ INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 def infer_types(raw: DataFrame) -> T.StructType:
     """Column types as ``read_csv`` infers them, decided in ONE aggregation:
-    a column whose non-missing values are all whole numbers becomes bigint,
+    a column whose non-missing values are all whole numbers of 64 bits becomes bigint,
     all numbers (see ``strict_number``) double, anything else string; a
     column with no values at all is double (pandas: all-NaN float64)."""
-    from realpay.functions.numbers import NUMBER_PATTERN
     aggs = []
     for i, name in enumerate(raw.columns):
         c = F.col(f"`{name}`")
         aggs += [F.count(c).alias(f"n{i}"), F.count_if(c.rlike(INTEGER_PATTERN)).alias(f"i{i}"),
-                 F.count_if(c.rlike(NUMBER_PATTERN)).alias(f"d{i}")]
+                 F.count_if(c.rlike(NUMBER_PATTERN)).alias(f"d{i}"),
+                 F.count(F.trim(c).try_cast("bigint")).alias(f"l{i}")]
     row = raw.agg(*aggs).first()
     fields = []
     for i, name in enumerate(raw.columns):
         n, ints, nums = row[f"n{i}"], row[f"i{i}"], row[f"d{i}"]
         if n == 0 or (nums == n and ints < n):
             dtype = T.DoubleType()
-        elif ints == n:
-            dtype = T.LongType()
+        elif ints == n:  # beyond 64 bits: a number still, as a double
+            dtype = T.LongType() if row[f"l{i}"] == n else T.DoubleType()
         else:
             dtype = T.StringType()
         fields.append(T.StructField(name, dtype, True))
     return T.StructType(fields)
 
 
+def _typed(c: Column, name: str, dtype: T.DataType, lenient: bool) -> Column:
+    if isinstance(dtype, T.StringType):
+        return c
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        # infinity and nan have no digits to lose: only text that is no number at all is bad
+        value, bad = strict_number(c).cast(dtype), ~c.rlike(NUMBER_PATTERN) & (F.lower(F.trim(c)) != "nan")
+    else:
+        value = F.trim(c).try_cast(dtype)
+        bad = c.isNotNull() & value.isNull()
+    if lenient:
+        return value
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"column {name}: not a {dtype.simpleString()}: "), c)).cast(dtype)).otherwise(value)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
-               na_tokens=DEFAULT_NA_TOKENS, header: bool = True) -> DataFrame:
-    """Read a delimited file into ``schema``.
+               na_tokens=DEFAULT_NA_TOKENS, header: bool = True, lenient: bool = False,
+               multi_line: bool = False) -> DataFrame:
+    """Read a delimited file into ``schema``, its columns found by their names in the header (by position
+    without header); a column that is not there is an error.
 
-    Fields are read as strings and NA tokens become NULL. Float columns are
-    converted with ``strict_number`` (pandas' number syntax; anything else,
-    and NaN, becomes NULL); other typed columns with ``try_cast``.
+    Every field is read as text, with doubled quotes inside quotes. NA tokens become NULL. Float columns take
+    pandas' number syntax (``strict_number``), other typed columns what casts to them. A value that is neither
+    is an error, or NULL with ``lenient``. ``multi_line`` allows line breaks inside quotes; a file is then read by
+    one task, as its lines can't be told apart elsewhere.
 
-    Without ``schema`` the column names come from the header and the types
-    from :func:`infer_types` (one aggregation over the tokens-cleaned text).
+    Without ``schema`` the types come from :func:`infer_types` (one aggregation over the cleaned text).
     """
-    reader = (spark.read.option("header", header)
-              .option("ignoreLeadingWhiteSpace", False)
-              .option("ignoreTrailingWhiteSpace", False))
-    if schema is None:
-        # every field as text first (no Spark inference pass), then pandas-like typing
-        raw = reader.option("inferSchema", False).csv(path)
-        cleaned = raw.select(*[tokens_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in raw.columns])
-        schema = infer_types(cleaned)
-    else:
-        raw_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
-        raw = reader.schema(raw_schema).csv(path)
-    cols = []
-    for field in schema:
-        c = tokens_to_null(F.col(f"`{field.name}`"), na_tokens)
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = strict_number(c).cast(field.dataType)
-        elif not isinstance(field.dataType, T.StringType):
-            c = F.trim(c).try_cast(field.dataType)
-        cols.append(c.alias(field.name))
-    return raw.select(*cols)
+    raw = (spark.read.option("header", header).option("inferSchema", False).option("escape", '"').option("multiLine", multi_line)
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    if schema is not None and not header:
+        raw = raw.toDF(*[f.name for f in schema][:len(raw.columns)])
+    if schema is not None:
+        missing = [f.name for f in schema if f.name not in raw.columns]
+        if missing:
+            raise ValueError(f"{path} has no column {', '.join(missing)}")
+    cleaned = raw.select(*[tokens_to_null(F.col(f"`{c}`"), na_tokens).alias(c) for c in raw.columns])
+    schema = schema or infer_types(cleaned)
+    return cleaned.select(*[_typed(F.col(f"`{f.name}`"), f.name, f.dataType, lenient).alias(f.name) for f in schema])

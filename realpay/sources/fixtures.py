@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from realpay.constants import COST_INDEX, LPP_INDEX, PLUS_RENT_INDEX
 from realpay.functions.numbers import nan_to_null
-from realpay.sources.tables import load_table
+from realpay.sources.tables import load_table, nan_as_null
 
 
 
@@ -33,36 +33,46 @@ def _null(dtype: str):
 
 
 
-def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FROM_CUSTOMER = {"benefits_score", "company_location"}
+_FROM_NATION = {"company_location"}
+JOB_COLUMNS = ("job_id", "salary_usd", "experience_level", "years_experience", "benefits_score", "remote_ratio", "posting_date", "company_location")
+
+
+def jobs(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
     """Job postings: ``job_id, salary_usd, experience_level, years_experience,
-    benefits_score, remote_ratio, posting_date, company_location``.
+    benefits_score, remote_ratio, posting_date, company_location``, or only ``columns``.
 
-    orders -> customer is a large equi-join (sort-merge, AQE splits a hot
-    customer); customer -> nation has a 25-row side that Spark broadcasts on
-    its own size estimate.
+    Left joins on unique keys, so every order is one posting and a table that no
+    wanted column needs is not joined at all. orders -> customer is a large
+    equi-join (sort-merge, AQE splits a hot customer); customer -> nation has a
+    25-row side that Spark broadcasts on its own size estimate. Salaries and
+    scores hold NaN as well as NULL; both are missing, and NULL from here on.
     """
-    o = load_table(spark, sf_dir, "orders").select(
+    columns = list(columns or JOB_COLUMNS)
+    j = load_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    c = load_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    n = load_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = (o.join(c, o["o_custkey"] == c["c_custkey"])
-          .join(n, c["c_nationkey"] == n["n_nationkey"]))
+    if _FROM_CUSTOMER & set(columns):
+        c = load_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+        j = j.join(c, j["o_custkey"] == c["c_custkey"], "left")
+    if _FROM_NATION & set(columns):
+        n = load_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        j = j.join(n, j["c_nationkey"] == n["n_nationkey"], "left")
     k = F.col("o_orderkey")
-    return j.select(
-        k.alias("job_id"),
-        F.when(k % 97 == 0, _null("double"))
-         .when(k % 50 == 0, F.col("o_totalprice") * 6)
-         .otherwise(F.col("o_totalprice")).alias("salary_usd"),
-        F.when(k % 31 == 0, _null("string")).otherwise(F.col("o_orderpriority")).alias("experience_level"),
-        (k % 21).alias("years_experience"),
-        F.when(k % 13 == 0, _null("double")).otherwise(F.col("c_acctbal") / 1000).alias("benefits_score"),
-        F.when(k % 29 == 0, F.lit(None).cast("bigint")).otherwise((k % 3) * 50).alias("remote_ratio"),
-        F.when(k % 41 == 0, F.lit(None).cast("date"))
-         .otherwise(F.to_date(F.col("o_orderdate"))).alias("posting_date"),
-        F.when(k % 37 == 0, _null("string"))
-         .when(k % 2 == 0, F.concat(F.lit(" "), F.col("n_name"), F.lit(" ")))
-         .otherwise(F.col("n_name")).alias("company_location"),
-    )
+    nbsp = F.lit("\u00a0")
+    made = {
+        "job_id": lambda: k,
+        "salary_usd": lambda: F.when(k % 97 == 0, _null("double")).when(k % 101 == 0, F.lit(float("nan")))
+                               .when(k % 50 == 0, F.col("o_totalprice") * 6).otherwise(F.col("o_totalprice")),
+        "experience_level": lambda: F.when(k % 31 == 0, _null("string")).otherwise(F.col("o_orderpriority")),
+        "years_experience": lambda: k % 21,
+        "benefits_score": lambda: F.when(k % 13 == 0, _null("double")).when(k % 43 == 0, F.lit(float("nan")))
+                                   .otherwise(F.col("c_acctbal") / 1000),
+        "remote_ratio": lambda: F.when(k % 29 == 0, F.lit(None).cast("bigint")).otherwise((k % 3) * 50),
+        "posting_date": lambda: F.when(k % 41 == 0, F.lit(None).cast("date")).otherwise(F.to_date(F.col("o_orderdate"))),
+        "company_location": lambda: F.when(k % 37 == 0, _null("string")).when(k % 7 == 0, F.concat(nbsp, F.col("n_name"), nbsp))
+                                     .when(k % 2 == 0, F.concat(F.lit(" "), F.col("n_name"), F.lit(" "))).otherwise(F.col("n_name")),
+    }
+    return nan_as_null(j.select(*[made[c]().alias(c) for c in columns]))
 
 
 def cost_living(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,5 +131,6 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("job_id"),
         F.when(k % 17 == 0, _null("string"))
          .when(k % 19 == 0, F.lit(" , "))
+         .when(k % 5 == 0, F.replace(F.col("p_name"), F.lit(" "), F.lit("\u00a0,\u00a0")))
          .otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit(" , "))).alias("required_skills"),
     )

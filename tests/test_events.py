@@ -19,8 +19,8 @@ def test_events_quantiles_and_fences(events):
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     expect = [con.execute(f"SELECT quantile_cont(value, {p}) FROM events").fetchone()[0] for p in probs]
     assert global_quantiles(events, "value", probs) == expect
-    lazy = {r["prob"]: r["value"] for r in exact_quantiles(events, "value", probs).collect()}
-    assert [lazy[p] for p in probs] == expect
+    long = {r["prob"]: r["value"] for r in exact_quantiles(events, "value", probs).collect()}
+    assert [long[p] for p in probs] == expect
     n_out = con.execute("""WITH f AS (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.75) q3 FROM events)
         SELECT count(*) FROM events, f WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""").fetchone()[0]
     assert n_out == 463
@@ -33,4 +33,4 @@ def test_events_grouped_by_type(events):
     rows = con.execute("""SELECT event_type, quantile_cont(value, 0.5) FROM events GROUP BY event_type""").fetchall()
     from realpay.operators import grouped_quantiles
     got = grouped_quantiles(events, "event_type", "value", [0.5])
-    assert {k: v for (k, _), v in got.items()} == dict(rows)
+    assert {r["event_type"]: r["q0"] for r in got.collect()} == dict(rows)

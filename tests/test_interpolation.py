@@ -36,8 +36,8 @@ def test_quantiles_bitwise_equal_duckdb(spark, seed):
         df = spark.createDataFrame([(float(v),) for v in vals], "v double")
         duck = [con.execute(f"SELECT quantile_cont(x, {p}) FROM (SELECT unnest(?::DOUBLE[]) x)",
                             [vals.tolist()]).fetchone()[0] for p in probs]
-        sort_plan = {r["prob"]: r["value"] for r in exact_quantiles(df, "v", probs).collect()}
-        assert [sort_plan[p] for p in probs] == duck
+        long = {r["prob"]: r["value"] for r in exact_quantiles(df, "v", probs).collect()}
+        assert [long[p] for p in probs] == duck
         assert global_quantiles(df, "v", probs) == duck
 
 

@@ -2,11 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from realpay.plans.catalog import QUERIES
+from realpay.plans.oracle import oracle_sql
 from tests.conftest import SF001
 from tests.oracle_check import compare, duck
 
-KEYS = sorted(queries())
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def con_small():
 
 def test_keys_have_oracles():
     assert sorted(oracle_sql()) == KEYS
-    assert len(KEYS) == 19
+    assert len(KEYS) == 24
 
 
 @pytest.mark.parametrize("key", KEYS)

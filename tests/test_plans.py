@@ -4,11 +4,10 @@ single-task exact percentile aggregate."""
 
 import pytest
 
-from __spark_entry__ import queries
 from realpay.plans import catalog
 from tests.conftest import SF01
 
-KEYS = sorted(queries())
+KEYS = sorted(catalog.QUERIES)
 
 
 def _plan(df) -> str:
@@ -22,7 +21,7 @@ def _full_plan(df) -> str:
 
 @pytest.mark.parametrize("key", KEYS)
 def test_no_python_in_plan(spark, key):
-    text = _full_plan(queries()[key](spark, SF01))
+    text = _full_plan(catalog.QUERIES[key](spark, SF01))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF"):
         assert node not in text, (key, node)
 
@@ -30,7 +29,7 @@ def test_no_python_in_plan(spark, key):
 @pytest.mark.parametrize("key", ["quantiles", "salary_describe", "ppp_country_ranking", "salary_box_stats",
                                  "col_describe_all"])
 def test_no_single_reducer_percentile(spark, key):
-    text = _full_plan(queries()[key](spark, SF01))
+    text = _full_plan(catalog.QUERIES[key](spark, SF01))
     assert "percentile(" not in text.lower().replace("percentile_approx", "")
 
 
@@ -42,7 +41,7 @@ def test_dimension_join_is_broadcast(spark):
 
 @pytest.mark.parametrize("key", ["top_skills", "geo_top10", "ppp_country_ranking", "merged_sample"])
 def test_topk_is_take_ordered(spark, key):
-    text = _full_plan(queries()[key](spark, SF01))
+    text = _full_plan(catalog.QUERIES[key](spark, SF01))
     assert "TakeOrderedAndProject" in text
 
 

@@ -21,8 +21,8 @@ def _pd_jobs(o, c, n):
     j = o.merge(c, left_on="o_custkey", right_on="c_custkey").merge(n, left_on="c_nationkey", right_on="n_nationkey")
     k = j["o_orderkey"]
     sal = np.where(k % 50 == 0, j["o_totalprice"] * 6, j["o_totalprice"]).astype(float)
-    sal[(k % 97 == 0).to_numpy()] = np.nan
-    loc = np.where(k % 2 == 0, " " + j["n_name"] + " ", j["n_name"]).astype(object)
+    sal[((k % 97 == 0) | (k % 101 == 0)).to_numpy()] = np.nan
+    loc = np.where(k % 7 == 0, "\u00a0" + j["n_name"] + "\u00a0", np.where(k % 2 == 0, " " + j["n_name"] + " ", j["n_name"])).astype(object)
     loc[(k % 37 == 0).to_numpy()] = None
     return pd.DataFrame({"job_id": k, "salary_usd": sal, "company_location": loc})
 
@@ -82,8 +82,8 @@ def test_branch_counts_match_pandas(spark, pd_flow):
     m, pop, final = pd_flow
     ppp = catalog._ppp(spark, SF01)
     assert ppp.count() == len(m) == 15000
-    assert ppp_population(ppp).count() == len(pop) == 11370
-    assert ppp_inliers(ppp).count() == len(final) == 11190
+    assert ppp_population(ppp).count() == len(pop) == 11253
+    assert ppp_inliers(ppp).count() == len(final) == 11075
 
 
 def test_ppp_values_match_pandas(spark, pd_flow):

@@ -1,4 +1,4 @@
-"""Exact global quantiles by selection: equal to numpy on every path."""
+"""Exact order statistics by histograms: equal to numpy on every path."""
 
 import numpy as np
 import pandas as pd
@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from realpay.operators import selection as S
-from realpay.operators.profile import describe_numeric
+from realpay.operators.quantiles import approx_quantiles, exact_quantiles
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -22,62 +22,64 @@ def data(spark):
     return v[~np.isnan(v)], spark.createDataFrame(pd.DataFrame({"v": v})).repartition(8)
 
 
+@pytest.fixture
+def passes(monkeypatch):
+    """Counts the passes over the brackets' rows."""
+    seen = []
+    real = S._next_bin
+    monkeypatch.setattr(S, "_next_bin", lambda *a: seen.append(1) or real(*a))
+    return seen
+
+
 def _expect(vals, probs):
     return [float(np.quantile(vals, p)) for p in probs]
 
 
-def test_direct_path(data):
+def test_one_histogram_is_enough_for_small_columns(data, passes):
     vals, df = data
     assert S.global_quantiles(df, "v", PROBS) == pytest.approx(_expect(vals, PROBS), rel=1e-12)
+    assert not passes
 
 
-def test_refinement_path(data):
+def test_brackets_narrow(data, passes, monkeypatch):
     vals, df = data
-    probs = [0.25, 0.5, 0.9]
-    assert S.global_quantiles(df, "v", probs, max_bracket=200) == pytest.approx(_expect(vals, probs), rel=1e-12)
+    monkeypatch.setattr(S, "FEW_ROWS", 3)
+    assert S.global_quantiles(df, "v", PROBS) == pytest.approx(_expect(vals, PROBS), rel=1e-12)
+    assert 1 <= len(passes) <= 6
 
 
-def test_fallback_when_bracket_misses(data, monkeypatch):
-    vals, df = data
-    real = S._initial
+def test_a_hot_value_ends_its_bracket(spark, passes, monkeypatch):
+    """80 % equal values: two passes at most, however small the bound."""
+    monkeypatch.setattr(S, "FEW_ROWS", 100)
+    rng = np.random.default_rng(4)
+    vals = np.where(rng.random(20000) < 0.8, 50000.0, rng.uniform(20000, 90000, 20000))
+    df = spark.createDataFrame(pd.DataFrame({"v": vals}))
+    assert S.global_quantiles(df, "v", [0.25, 0.5, 0.75]) == pytest.approx(_expect(vals, [0.25, 0.5, 0.75]))
+    assert len(passes) <= 2
 
-    def wrong(base, probs, accuracy):
-        n, brackets = real(base, probs, accuracy)
-        return n, [(-5.0, -4.0, 1.0) for _ in brackets]    # brackets that hold no wanted rank
 
-    monkeypatch.setattr(S, "_initial", wrong)
-    probs = [0.25, 0.75]
-    # a small window bound, so the column is bracketed rather than ranked whole
-    got = S.global_quantiles(df, "v", probs, max_bracket=100)
-    assert got == pytest.approx(_expect(vals, probs), rel=1e-12)
+def test_infinities_zeros_and_extremes(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW_ROWS", 1)
+    vals = [float("-inf"), -1.7e308, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 1.0, 1.0000000000000002, 1.7e308, float("inf"), float("inf")]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    for i, want in enumerate(sorted(vals)):
+        assert S.global_quantiles(df, "v", [i / (len(vals) - 1)])[0] == want
 
 
 def test_empty_and_single(spark):
     empty = spark.createDataFrame([(None,), (float("nan"),)], "v double")
     assert S.global_quantiles(empty, "v", [0.5]) == [None]
+    assert S.quantile_frame(empty, "v", [0.5]).collect()[0]["value"] is None
     one = spark.createDataFrame([(3.5,)], "v double")
     assert S.global_quantiles(one, "v", [0.0, 0.5, 1.0]) == [3.5, 3.5, 3.5]
+    with pytest.raises(ValueError):
+        S.global_quantiles(one, "v", [1.5])
 
 
-def test_describe_lazy_and_eager_agree(data):
+def test_no_sketch_in_exact_plans(data):
     _, df = data
-    eager = {r["stat"]: r["value"] for r in describe_numeric(df, "v").collect()}
-    lazy = {r["stat"]: r["value"] for r in describe_numeric(df, "v", lazy=True).collect()}
-    assert eager == lazy
-
-
-def test_no_shuffle_of_the_column(spark, data):
-    """The final pick aggregates map-side: its only exchanges carry partial
-    aggregates and the small bracket rows, never a range partitioning."""
-    _, df = data
-    base = S._clean(df, "v")
-    n, brackets = S._initial(base, [0.5], S.DEFAULT_ACCURACY)
-    frame, _ = S._pick_frame(base, n, [0.5], brackets)
-    plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert "rangepartitioning" not in plan
-    assert "partial_count" in plan
-    assert "Join" not in plan
-    assert S._pick(base, n, [0.5], brackets)
+    text = exact_quantiles(df, "v", [0.5])._jdf.queryExecution().toString()
+    assert "percentile_approx" not in text and "rangepartitioning" not in text
 
 
 @settings(max_examples=12, deadline=None)
@@ -85,102 +87,53 @@ def test_no_shuffle_of_the_column(spark, data):
        st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 1.0]), min_size=1, max_size=3, unique=True))
 def test_property(spark, values, probs):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    got = S.global_quantiles(df, "v", probs)
-    assert got == pytest.approx(_expect(np.array(values), probs), rel=1e-12, abs=1e-6)
+    assert S.global_quantiles(df, "v", probs) == pytest.approx(_expect(np.array(values), probs), rel=1e-12, abs=1e-6)
 
 
-@pytest.fixture(scope="module")
-def grouped(spark):
+@pytest.mark.parametrize("few", [S.FEW_ROWS, 2])
+def test_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW_ROWS", few)
     rng = np.random.default_rng(8)
-    n = 30000
-    g = rng.choice(["hot", "b", "c", None], size=n, p=[0.6, 0.2, 0.15, 0.05])
-    v = rng.normal(100, 30, n).round(2)
-    v[rng.random(n) < 0.35] = 42.0
-    v[rng.random(n) < 0.01] = np.nan
-    pdf = pd.DataFrame({"g": g, "v": v})
-    return pdf, spark.createDataFrame(pdf).repartition(8)
+    n = 20000
+    pdf = pd.DataFrame({"g": rng.choice(["hot", "b", "c", None], size=n, p=[0.6, 0.2, 0.15, 0.05]), "v": rng.normal(100, 30, n).round(2)})
+    pdf.loc[rng.random(n) < 0.35, "v"] = 42.0
+    pdf.loc[rng.random(n) < 0.01, "v"] = np.nan
+    got = {r["g"]: r for r in S.grouped_quantiles(spark.createDataFrame(pdf).repartition(8), "g", "v", [0.0, 0.25, 0.5, 1.0]).collect()}
+    for key, rows in pdf.groupby("g", dropna=False):
+        row = got[None if pd.isna(key) else key]
+        assert [row[f"q{i}"] for i in range(4)] == pytest.approx(_expect(rows["v"].dropna().to_numpy(), [0.0, 0.25, 0.5, 1.0]), rel=1e-12)
 
 
-def _check_grouped(res, pdf, probs):
-    for key, sub in pdf.groupby("g", dropna=False):
-        k = None if (isinstance(key, float) and np.isnan(key)) else key
-        vals = sub["v"].dropna().to_numpy()
-        for p in probs:
-            assert res[(k, p)] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12), (k, p)
-
-
-@pytest.mark.parametrize("max_bracket", [S.DEFAULT_MAX_BRACKET, 100])
-def test_grouped_paths(grouped, max_bracket):
-    pdf, df = grouped
-    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    _check_grouped(S.grouped_quantiles(df, "g", "v", probs, max_bracket=max_bracket), pdf, probs)
-
-
-def test_grouped_fallback_and_cap(grouped, monkeypatch):
-    pdf, df = grouped
-    assert S.grouped_quantiles(df, "g", "v", [0.5], max_groups=2) is None
-    real = S._tag
-
-    def shifted(base, table):       # brackets that miss every wanted rank
-        from pyspark.sql import functions as F
-        return real(base, table.withColumn("lo", F.lit(-5.0)).withColumn("hi", F.lit(-4.0)))
-
-    monkeypatch.setattr(S, "_tag", shifted)
-    _check_grouped(S.grouped_quantiles(df, "g", "v", [0.25, 0.75]), pdf, [0.25, 0.75])
-
-
-def test_box_stats_many_groups_use_sort_plan(spark):
+def test_many_groups_take_the_same_path(spark):
     from realpay.operators import box_stats
     rng = np.random.default_rng(9)
-    n = 12000
-    pdf = pd.DataFrame({"g": rng.integers(0, S.DEFAULT_MAX_GROUPS + 200, n), "v": rng.exponential(3, n)})
+    n = 20000
+    pdf = pd.DataFrame({"g": rng.integers(0, 5000, n), "v": rng.exponential(3, n)})
     got = {r["g"]: r for r in box_stats(spark.createDataFrame(pdf), "g", "v").collect()}
     assert len(got) == pdf["g"].nunique()
-    for key, sub in list(pdf.groupby("g"))[:50]:
-        q1, q3 = sub["v"].quantile(0.25), sub["v"].quantile(0.75)
+    for key, rows in list(pdf.groupby("g"))[:200]:
+        q1, q3 = rows["v"].quantile(0.25), rows["v"].quantile(0.75)
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         assert got[key]["q25"] == pytest.approx(q1, rel=1e-12)
-        assert got[key]["n_outliers"] == int(((sub["v"] < lo) | (sub["v"] > hi)).sum())
+        assert got[key]["n_outliers"] == int(((rows["v"] < lo) | (rows["v"] > hi)).sum())
 
 
-def test_quantile_frame_forms_agree(data):
+def test_frames_agree(data):
     _, df = data
     probs = [0.25, 0.5, 0.75]
-    eager = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs).collect()}
-    lazy = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs, lazy=True).collect()}
-    assert eager == lazy
-    approx = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs, method="approx").collect()}
-    assert set(approx) == set(probs)
-
-
-@pytest.mark.parametrize("n", [7, 1142, 5000])
-def test_no_fallback_on_small_or_medium_columns(spark, monkeypatch, n):
-    """Small columns are ranked whole; medium ones get a bracket wide enough
-    for both neighbours: neither may reach the sort-plan fallback."""
-    def forbidden(*a, **k):
-        raise AssertionError("fallback used")
-    monkeypatch.setattr(S, "exact_quantiles", forbidden)
-    rng = np.random.default_rng(n)
-    vals = rng.lognormal(11, 0.6, n)
-    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    probs = [0.25, 0.5, 0.75]
-    assert S.global_quantiles(df, "v", probs, max_bracket=2000) == pytest.approx(_expect(vals, probs), rel=1e-12)
-    groups = spark.createDataFrame([(f"g{i % 3}", float(v)) for i, v in enumerate(vals)], "g string, v double")
-    got = S.grouped_quantiles(groups, "g", "v", probs, max_bracket=1500)
-    assert len(got) == 3 * len(probs)
-
-
-@pytest.mark.parametrize("sf_dir", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def test_registered_queries_never_fall_back(spark, monkeypatch, sf_dir):
-    """Every registered query gets its quantiles from selection: the slower
-    sort-plan fallback is not reached on the given tables."""
-    from __spark_entry__ import queries
-
-    def forbidden(*a, **k):
-        raise AssertionError("selection fell back to the sort plan")
-    import realpay.operators.outliers as outliers_mod
-    import realpay.operators.profile as profile_mod
-    for mod in (S, outliers_mod, profile_mod):
-        monkeypatch.setattr(mod, "exact_quantiles", forbidden)
-    for key, q in queries().items():
-        q(spark, sf_dir).count()
+    frame = {r["prob"]: r["value"] for r in S.quantile_frame(df, "v", probs).collect()}
+    assert frame == {r["prob"]: r["value"] for r in exact_quantiles(df, "v", probs).collect()}
+    assert {r["prob"] for r in S.quantile_frame(df, "v", probs, method="approx").collect()} == set(probs)
+    assert approx_quantiles(df, "v", probs).count() == 3
+
+
+@pytest.mark.parametrize("key, most", [("ppp_describe", 16), ("salary_describe", 6)])
+def test_few_jobs(spark, key, most):
+    from realpay.plans.catalog import QUERIES
+    group = f"jobs-{key}"
+    spark.sparkContext.setJobGroup(group, key)
+    try:
+        QUERIES[key](spark, "/root/testdata/sf0.001").collect()
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= most
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -35,7 +35,7 @@ def test_shuffle_join_with_hot_key_is_whole_and_split(spark, hot):
     try:
         for k, v in keys.items():
             spark.conf.set(k, v)
-        out = join_dimension(facts, dim, "loc", "country", {"x": "x"}, max_broadcast_rows=1)
+        out = join_dimension(facts, dim, "loc", "country", {"x": "x"})
         rows = out.collect()   # runs this DataFrame's own plan, so its final AQE plan is inspectable
         assert len(rows) == len(pdf)
         assert sum(1 for r in rows if r["x"] == 99.0) == len(pdf) // 3

@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import types as T
 
 from realpay.plans.quality import quality_report
@@ -23,7 +24,7 @@ def test_csv_na_tokens(spark):
     assert [got[k] for k in "abcdef"] == [None] * 6
     assert got["g"] == " padded " and got["h"] == "2.5" and got[None] == "-"
     typed = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
-    vals = {r["name"]: r["value"] for r in read_table(spark, path, typed).collect()}
+    vals = {r["name"]: r["value"] for r in read_table(spark, path, typed, lenient=True).collect()}
     assert vals["h"] == 2.5 and vals["j"] == 1000.0 and vals["e"] is None and vals["g"] is None
 
 
@@ -88,12 +89,66 @@ def test_run_report_writes_every_section(spark, tmp_path):
         assert back.count() == df.count() and sorted(back.columns) == sorted(df.columns)
 
 
-def test_materialize_forms_agree(spark):
+def test_materialize_keeps_rows(spark):
     from realpay.operators.materialize import materialize
-    from realpay.session import ensure_checkpoint_dir
     jobs = fixtures.jobs(spark, SF001)
     a = materialize(jobs, ["job_id", "salary_usd"])
-    b = materialize(jobs, ["job_id", "salary_usd"], how="table")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    folder = ensure_checkpoint_dir(spark).rstrip("/").rsplit("/", 1)[-1]
-    assert all(folder in f and "realpay-table-" in f for f in b.inputFiles())
+    assert a.columns == ["job_id", "salary_usd"] and a.exceptAll(jobs.select(*a.columns)).count() == 0
+
+
+def _csv(text):
+    path = os.path.join(tempfile.mkdtemp(prefix="realpay-csv-"), "t.csv")
+    with open(path, "w") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_columns_are_found_by_name(spark):
+    path = _csv("id,name,score\n1,x,5.5\n")
+    schema = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("id", T.LongType()), T.StructField("name", T.StringType())])
+    assert tuple(read_table(spark, path, schema).first()) == (5.5, 1, "x")
+    with pytest.raises(ValueError):
+        read_table(spark, path, T.StructType([T.StructField("absent", T.StringType())]))
+
+
+def test_csv_quotes_and_line_breaks(spark):
+    path = _csv('id,name\n1,"x\ny"\n2,"a ""b"" c"\n')
+    rows = [tuple(r) for r in read_table(spark, path, multi_line=True).orderBy("id").collect()]
+    assert rows == [(1, "x\ny"), (2, 'a "b" c')]
+
+
+def test_csv_bad_values_raise_unless_lenient(spark):
+    path = _csv("a,b\n1,99999999999999999999\n2,3\n")
+    assert [r["b"] for r in read_table(spark, path).orderBy("a").collect()] == [1e20, 3.0]
+    typed = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    assert [r["b"] for r in read_table(spark, path, typed, lenient=True).orderBy("a").collect()] == [None, 3]
+    with pytest.raises(Exception, match="not a bigint"):
+        read_table(spark, path, typed).collect()
+    dates = _csv("d\n2024-01-05\nsoon\n")
+    with pytest.raises(Exception, match="not a date"):
+        read_table(spark, dates, T.StructType([T.StructField("d", T.DateType())])).collect()
+
+
+def test_only_needed_tables_are_read(spark):
+    from realpay.plans import catalog
+    for key in ("salary_describe", "quantiles", "iqr_outliers", "experience_counts", "monthly_trend", "remote_stats"):
+        for frame in [fixtures.jobs(spark, SF001, ("job_id", "salary_usd"))] + ([catalog.QUERIES[key](spark, SF001)] if key in ("experience_counts", "monthly_trend", "remote_stats") else []):
+            plan = frame._jdf.queryExecution().toString()
+            assert "customer.parquet" not in plan and "nation.parquet" not in plan, key
+    assert "nation.parquet" not in catalog.QUERIES["corr_matrix"](spark, SF001)._jdf.queryExecution().toString()
+
+
+def test_register_tables_raises_on_a_missing_one(spark, tmp_path):
+    from realpay.sources.tables import register_tables
+    register_tables(spark, SF001, ["region"])
+    assert spark.sql("SELECT count(*) FROM region").first()[0] == 5
+    with pytest.raises(Exception):
+        register_tables(spark, str(tmp_path), ["region"])
+
+
+def test_quality_frame_skips_absent_columns(spark):
+    from realpay.plans.quality import optional_columns, quality_frame
+    jobs = fixtures.jobs(spark, SF001)
+    assert {r["section"] for r in quality_frame(jobs).select("section").distinct().collect()} == {"missing", "salary_stats", "salary_outliers", "category_counts"}
+    assert {r["section"] for r in quality_frame(jobs.drop("salary_usd")).select("section").distinct().collect()} == {"missing", "category_counts"}
+    assert [tuple(r) for r in optional_columns(jobs, ["job_id", "nope"]).collect()] == [("job_id", True, jobs.count()), ("nope", False, None)]
