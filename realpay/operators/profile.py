@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from realpay.functions.rounding import round_half_even
 from realpay.functions.numbers import nan_to_null
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles
-from realpay.operators.selection import global_quantiles, order_statistics
+from realpay.operators.selection import column_quantiles, global_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -100,8 +100,7 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
     where pandas keeps first-seen order). ``count`` is the non-null count.
 
     NaN is missing, as NULL is. Plan: one aggregation for all numeric
-    moments; the numeric columns' order statistics with the column's number
-    as group; one ``(column, value)`` count of the other columns, whose
+    moments; the quartiles of all numeric columns in the same passes; one ``(column, value)`` count of the other columns, whose
     summary gives unique, top and freq (a hot value is combined map-side).
     """
     names = list(columns) if columns else df.columns
@@ -118,9 +117,7 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
             F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
             F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
             for i, c in enumerate(numeric)])))
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), num[c].alias("v")) for i, c in enumerate(numeric)])))
-        found = {(r["i"], r[PROB]): r[VALUE] for r in order_statistics(long, "v", [p for p, _ in QUARTILES], ["i"]).collect()}
-        rows = [(c, *[found.get((i, p)) for p, _ in QUARTILES]) for i, c in enumerate(numeric)]
+        rows = [(c, *found) for c, found in zip(numeric, column_quantiles(df, numeric, [p for p, _ in QUARTILES]))]
         quart = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")   # one row per column
         parts.append(mom.join(F.broadcast(quart), "column", "left"))
     if other:

@@ -63,9 +63,9 @@ def _holds(before: str = "before", c: str = "c") -> Column:
     return (F.col(before) <= F.col("rank")) & (F.col("rank") < F.col(before) + F.col(c))
 
 
-def _inside(base: DataFrame, brackets: DataFrame) -> DataFrame:
-    own = brackets.select(*_KEY, "before").distinct()
-    own = broadcast_if_small(own, "g").withColumnRenamed("g", "bg")
+def _inside(base: DataFrame, brackets: DataFrame, size: int) -> DataFrame:
+    own = brackets.select(*_KEY, "before").distinct().withColumnRenamed("g", "bg")
+    own = F.broadcast(own) if size <= BROADCAST_BYTES else own
     return base.join(own, (F.col("g") == F.col("bg")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).drop("bg")
 
 
@@ -99,21 +99,27 @@ def order_statistics(df: DataFrame, value: str, probs: Sequence[float], by: Sequ
     state = bins.select("g", "lo", "hi", "before", "c", F.inline(wanted)).where(_holds())
     state = state.select("g", "p", "side", "rank", "h", "lo", "hi", "before", "c").checkpoint()
 
-    wide = (F.col("lo") < F.col("hi")) & (F.col("c") > FEW_ROWS)
-    while not state.where(wide).isEmpty():
+    open_ = F.col("lo") < F.col("hi")
+    wide = open_ & (F.col("c") > FEW_ROWS)
+
+    def look():
+        """Whether a bracket is wide, and the bytes of the open ones."""
+        each = F.octet_length(F.col("g").cast("string")) + F.lit(64)
+        return state.agg(F.max(wide), F.coalesce(F.sum(F.when(open_, each)), F.lit(0))).first()
+
+    while (seen := look())[0]:
         left = state.where(wide)
-        rows = _inside(base, left)
+        rows = _inside(base, left, seen[1])
         bins = rows.groupBy(*_KEY, "before", _next_bin(F.col("v"), F.col("lo"), F.col("hi")).alias("bin")).agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
         bins = bins.withColumn("before", F.col("before") + _running(_KEY, "bin"))
         new = _ranked(bins, left).select("g", "p", "side", "rank", "h", F.col("new_lo").alias("lo"), F.col("new_hi").alias("hi"), "before", "c")
         state = state.where(~wide).unionByName(new).checkpoint()
 
-    few = F.col("lo") < F.col("hi")
-    values = _inside(base, state.where(few)).groupBy(*_KEY, "before", "v").agg(F.count(F.lit(1)).alias("c"))
+    values = _inside(base, state.where(open_), seen[1]).groupBy(*_KEY, "before", "v").agg(F.count(F.lit(1)).alias("c"))
     values = values.withColumn("before", F.col("before") + _running(_KEY, "v"))
-    picked = _ranked(values, state.where(few)).select("g", "p", "side", "h", "v")
-    picked = picked.unionByName(state.where(~few).select("g", "p", "side", "h", F.col("lo").alias("v")))
+    picked = _ranked(values, state.where(open_)).select("g", "p", "side", "h", "v")
+    picked = picked.unionByName(state.where(~open_).select("g", "p", "side", "h", F.col("lo").alias("v")))
     ends = picked.groupBy("g", "p").agg(F.first("h").alias("h"), F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"),
                                         F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
     between = lerp(F.col("a"), F.col("b"), F.col("h") - F.floor("h"))
@@ -122,63 +128,75 @@ def order_statistics(df: DataFrame, value: str, probs: Sequence[float], by: Sequ
     return ends.select(*[F.col("g")[c].alias(c) for c in by], prob.alias("prob"), found.alias("value"))
 
 
-def global_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Quantiles of a whole column as Python floats (``None`` when it has no values).
+def column_quantiles(df: DataFrame, values: Sequence[str], probs: Sequence[float]) -> list[list[float | None]]:
+    """Quantiles of whole columns as Python floats, a list per column (``None`` where it has no values).
 
-    The same passes as :func:`order_statistics`. Without groups there are at most two brackets per probability
-    and a bounded number of bins (4,200 octaves of BINS_PER_OCTAVE, or BINS, or FEW_ROWS values per bracket), so
-    the counts come to the driver and the brackets go out as literals: no join and no window.
+    The same passes as :func:`order_statistics`. There are at most two brackets per column and probability, and a
+    bounded number of bins (2,100 octaves of BINS_PER_OCTAVE for either sign, or BINS, or FEW_ROWS values per
+    bracket), so the counts come to the driver and the brackets go out as literals: no join and no window.
     """
     probs = [float(p) for p in probs]
     for p in probs:
         if not 0.0 <= p <= 1.0:
             raise ValueError(f"probability out of range: {p}")
-    v = F.col(value).cast("double")
-    base = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    cells = [F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(values)]
+    base = df.select(F.inline(F.array(*cells))) if len(cells) > 1 else df.select(cells[0]["k"].alias("k"), cells[0]["v"].alias("v"))
+    base = base.where(F.col("v").isNotNull() & ~F.isnan("v"))
     v = F.col("v")
-    counted = base.groupBy(_first_bin(v).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    bins = sorted((r["bin"], r["c"], r["lo"], r["hi"]) for r in counted.collect())
-    n = sum(c for _, c, _, _ in bins)
-    if not n:
-        return [None] * len(probs)
-    ranks = sorted({end(float(n - 1) * p) for p in probs for end in (math.floor, math.ceil)})
-    at = _locate(bins, 0, ranks)
-    while wide := sorted({b for b in at.values() if b[0] < b[1] and b[3] > FEW_ROWS}):
-        rows = base.select("v", _literal_brackets(v, wide))
+    counted = base.groupBy("k", _first_bin(v).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    at, sizes = {}, []
+    for k in range(len(values)):
+        bins = sorted((r["bin"], r["c"], r["lo"], r["hi"]) for r in counted if r["k"] == k)
+        sizes.append(n := sum(c for _, c, _, _ in bins))
+        at |= _locate(k, bins, 0, {end(float(n - 1) * p) for p in probs for end in (math.floor, math.ceil)} if n else ())
+    while wide := sorted({b for b in at.values() if b[1] < b[2] and b[4] > FEW_ROWS}):
+        rows = base.select("v", _literal_brackets(wide))
         counted = rows.groupBy("i", _next_bin(v, F.col("lo"), F.col("hi")).alias("bin")).agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")).collect()
-        for i, bracket in enumerate(wide):
-            own = sorted((r["bin"], r["c"], r["least"], r["most"]) for r in counted if r["i"] == i)
-            at |= _locate(own, bracket[2], [r for r, b in at.items() if b == bracket])
-    few = sorted({b for b in at.values() if b[0] < b[1]})
-    if few:
-        counted = base.select("v", _literal_brackets(v, few)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).collect()
-        for i, bracket in enumerate(few):
-            own = sorted((r["v"], r["c"], r["v"], r["v"]) for r in counted if r["i"] == i)
-            at |= _locate(own, bracket[2], [r for r, b in at.items() if b == bracket])
-    out = []
-    for p in probs:
-        h = float(n - 1) * p
-        low, high = at[math.floor(h)][0], at[math.ceil(h)][0]
-        out.append(low if math.floor(h) == math.ceil(h) else lerp_value(low, high, h - math.floor(h)))
-    return out
+        at |= _narrowed(at, wide, [(r["i"], r["bin"], r["c"], r["least"], r["most"]) for r in counted])
+    if few := sorted({b for b in at.values() if b[1] < b[2]}):
+        counted = base.select("v", _literal_brackets(few)).groupBy("i", "v").agg(F.count(F.lit(1)).alias("c")).collect()
+        at |= _narrowed(at, few, [(r["i"], r["v"], r["c"], r["v"], r["v"]) for r in counted])
+
+    def value(k: int, p: float) -> float | None:
+        if not sizes[k]:
+            return None
+        h = float(sizes[k] - 1) * p
+        low, high = at[k, math.floor(h)][1], at[k, math.ceil(h)][1]
+        return low if math.floor(h) == math.ceil(h) else lerp_value(low, high, h - math.floor(h))
+
+    return [[value(k, p) for p in probs] for k in range(len(values))]
 
 
-def _locate(bins: list, before: int, ranks: Sequence[int]) -> dict[int, tuple]:
-    """Of each rank, the (least, greatest, rows before, rows) of its bin; ``bins``: (bin, rows, least, greatest)."""
+def global_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+    """:func:`column_quantiles` of one column."""
+    return column_quantiles(df, [value], probs)[0]
+
+
+def _locate(k: int, bins: list, before: int, ranks) -> dict[tuple, tuple]:
+    """Of each rank of column ``k``, the (k, least, greatest, rows before, rows) of its bin; ``bins``: (bin, rows,
+    least, greatest), sorted."""
     out = {}
     for _, c, lo, hi in bins:
         for rank in ranks:
             if before <= rank < before + c:
-                out[rank] = (lo, hi, before, c)
+                out[k, rank] = (k, lo, hi, before, c)
         before += c
     return out
 
 
-def _literal_brackets(v: Column, brackets: list) -> Column:
-    """A row for each of the brackets that ``v`` lies in, as ``i, lo, hi``."""
-    all_ = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(b[0])).alias("lo"), F.lit(float(b[1])).alias("hi")) for i, b in enumerate(brackets)])
-    return F.inline(F.filter(all_, lambda b: (v >= b["lo"]) & (v <= b["hi"])))
+def _narrowed(at: dict, brackets: list, counted: list) -> dict[tuple, tuple]:
+    out = {}
+    for i, bracket in enumerate(brackets):
+        out |= _locate(bracket[0], sorted(r[1:] for r in counted if r[0] == i), bracket[3], [rank for (_, rank), b in at.items() if b == bracket])
+    return out
+
+
+def _literal_brackets(brackets: list) -> Column:
+    """A row for each of the brackets that the row's ``k`` and ``v`` lie in, as ``i, k, lo, hi``."""
+    all_ = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(b[0]).alias("k"), F.lit(float(b[1])).alias("lo"), F.lit(float(b[2])).alias("hi"))
+                     for i, b in enumerate(brackets)])
+    return F.inline(F.filter(all_, lambda b: (b["k"] == F.col("k")) & (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"])))
 
 
 def grouped_quantiles(df: DataFrame, group: str, value: str, probs: Sequence[float]) -> DataFrame:
