@@ -6,10 +6,11 @@ zeros and ones counted there. A node's weighted probability is half its own esti
 of its children's, so the prediction mixes the estimates of all depths, weighted by how well each has coded
 the training text.
 
-Spark counts the contexts and weights the tree, a subtree for each last byte. The tree keeps the most frequent
-contexts, NODES at most however long the text, so the finished table has a bound (NODES x 256 x 8 bytes, 134
-MB; half of it or less for the bytes that texts use) and goes to every executor. The rarer contexts under a
-node share one leaf, and their bytes count there.
+The tree holds every context of the training text, so it grows with the corpus. It is dealt by the TOP nearest
+bytes: each subtree below is weighted on its own, the few levels above are aggregated and joined. What is
+kept of it is the score of every string of DEPTH + 1 bytes that any text holds. Texts look their strings up
+in two ways with the same result: the COMMON most frequent from a table of bounded size on every executor, all
+others by a join.
 """
 
 from __future__ import annotations
@@ -19,26 +20,30 @@ import zlib
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from realpay.llm.tables import stored
+from realpay.llm.tables import shuffle_partitions, stored
 from realpay.llm.textbytes import LOWER, NOT_SPACE, joined_words, prefix_sums, range_hashes, steps, words
 
 DEPTH = 5
-#: Contexts of the tree, at most.
-NODES = 1 << 16
+#: Contexts of so many bytes deal the tree.
+TOP = 3
+#: Strings that are sent to every executor, at most: 12 bytes each, 25 MB. The others are joined.
+COMMON = 1 << 21
 END = 0x0A  # no word holds it
 #: Training: documents whose crc32(doc_id as text) modulo FOLDS is not 0.
 FOLDS = 10
-#: Different codes that a partition counts before it hands them on.
-COUNTED = 1 << 21
+#: Strings that a partition counts before it hands them on.
+COUNTED = 1 << 20
+#: Strings whose subtrees are worked on together, about.
+SUBTREES = 1 << 16
 #: Bytes of text whose tokens are looked up together.
 BLOCK_BYTES = 1 << 23
 _END_TOKEN = np.uint64(0xE4D)
+_HALF = math.log(0.5)
 
 
 def held_out(doc_id):
@@ -56,46 +61,71 @@ def _tokens(data: np.ndarray, offsets: np.ndarray):
     return data, starts, ends, first, np.append(starts, len(data))[first]
 
 
-def _streams(data: np.ndarray, row_bytes: np.ndarray):
-    """Each row's bytes and END, with their contexts: arrays of the byte, the one before, and so on; and the
-    first position of each row. Before a row's first byte stand ENDs."""
+def _codes(data: np.ndarray, row_bytes: np.ndarray):
+    """For each byte of a row, and an END after its last: the byte and the DEPTH before it as a number, the
+    byte lowest and the nearest next. Also the first position of each row. Before a row's first byte stand ENDs."""
     length = np.diff(row_bytes)
     base = np.cumsum(length + DEPTH + 1) - (length + DEPTH + 1)
     buffer = np.full(int((length + DEPTH + 1).sum()), END, dtype=np.uint8)
     buffer[np.arange(len(data)) + np.repeat(base + DEPTH - row_bytes[:-1], length)] = data
     at = np.arange(int((length + 1).sum())) + np.repeat(DEPTH * np.arange(1, len(length) + 1), length + 1)
-    return [buffer[at - d] for d in range(DEPTH + 1)], np.concatenate([[0], np.cumsum(length + 1)])
+    code = np.zeros(len(at), np.int64)
+    for before in range(DEPTH, -1, -1):
+        code = code << 8 | buffer[at - before]
+    return code, np.concatenate([[0], np.cumsum(length + 1)])
 
 
-# -- training
+# -- counting
+
+
+def _added_up(parts: list) -> list:
+    """One pair of arrays, keys and counts, from many."""
+    keys, which = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return [(keys, np.bincount(which, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64))]
+
+
+def _counted(parts: list) -> pa.RecordBatch:
+    (keys, n), = _added_up(parts)
+    return pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array(np.where(keys & 1, 0, n)), pa.array(n)], names=["code", "n", "total"])
 
 
 def _count(batches):
-    """How often each byte follows each context of DEPTH bytes; the nearest byte is the second lowest of the code."""
-    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for _, data, offsets in steps(batches, limit=1 << 20):
+    """How often each string occurs in training texts, and in all."""
+    parts, held = [], 0
+    for rows, data, offsets in steps(batches, limit=1 << 20):
         data, _, _, _, row_bytes = _tokens(data, offsets)
-        seen, _ = _streams(data, row_bytes)
-        code = np.zeros(len(seen[0]), np.int64)
-        for d in range(DEPTH, -1, -1):
-            code = code << 8 | seen[d]
-        new, n = np.unique(code, return_counts=True)
-        codes, which = np.unique(np.concatenate([codes, new]), return_inverse=True)
-        counts = np.bincount(which, np.concatenate([counts, n]), len(codes)).astype(np.int64)
-        if len(codes) > COUNTED:
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
-            codes, counts = codes[:0], counts[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+        code, first = _codes(data, row_bytes)
+        out = rows.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64)
+        parts.append(np.unique(code << 1 | np.repeat(out, np.diff(first)), return_counts=True))
+        held += len(parts[-1][0])
+        if held > COUNTED:
+            parts = _added_up(parts)
+            held = len(parts[0][0])
+            if held > COUNTED // 2:
+                yield _counted(parts)
+                parts, held = [], 0
+    if parts:
+        yield _counted(parts)
+
+
+def strings(rows: DataFrame) -> DataFrame:
+    """``code, n, total`` for every string of DEPTH + 1 bytes in ``rows`` (``text, held_out``): how often it
+    occurs in texts that are not held out, and in all."""
+    counts = rows.select("text", "held_out").mapInArrow(_count, "code long, n long, total long")
+    return stored(counts.groupBy("code").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "strings")
+
+
+# -- the tree
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, after moving small arguments up; x > 0."""
-    shift = np.zeros_like(x)
     small = x < 10
     y = np.where(small, x + 10, x)
+    shift = np.ones_like(x)
     for i in range(10):
-        shift += np.where(small, np.log(np.where(small, x + i, 1.0)), 0.0)
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
+        shift *= np.where(small, x + i, 1.0)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
 def _log_kt(ones: np.ndarray, both: np.ndarray) -> np.ndarray:
@@ -103,164 +133,175 @@ def _log_kt(ones: np.ndarray, both: np.ndarray) -> np.ndarray:
     return _log_gamma(ones + 0.5) + _log_gamma(both - ones + 0.5) - _log_gamma(both + 1.0) - 2 * math.lgamma(0.5)
 
 
-def _decisions(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ones, and both, at each of the decision nodes 1..255, from counts of bytes (contexts x 256)."""
-    n = byte_counts.reshape(len(byte_counts), 256)
-    both, ones = np.zeros(n.shape), np.zeros(n.shape)
-    level = n
-    for depth in range(7, -1, -1):
-        pairs = level.reshape(len(n), level.shape[1] // 2, 2)
-        both[:, 1 << depth : 2 << depth] = pairs.sum(axis=2)
-        ones[:, 1 << depth : 2 << depth] = pairs[:, :, 1]
-        level = pairs.sum(axis=2)
-    return ones, both
+def _weigh(ones: np.ndarray, both: np.ndarray, below: np.ndarray | None):
+    """The estimate of a one, its share in the mixture, and the log of the weighted probability. ``below``: the
+    sum of the children's logs, None at the deepest level."""
+    estimate, own = (ones + 0.5) / (both + 1), _log_kt(ones, both)
+    if below is None:
+        return estimate, np.ones(len(own)), own
+    weighted = np.logaddexp(own, below) + _HALF
+    return estimate, np.exp(own + _HALF - weighted), weighted
+
+
+def _above(depth: int) -> int:
+    """Masks a key (context, then decision as the lowest byte) to that of its context of ``depth`` bytes."""
+    return (1 << 8 * (depth + 1)) - 1
+
+
+class _Level(NamedTuple):
+    """The nodes of one depth: their keys, ascending; where in that level each node of the next deeper one, or
+    each decision of each string, belongs; the counts, and what :func:`_weigh` makes of them."""
+
+    keys: np.ndarray
+    parents: np.ndarray
+    ones: np.ndarray
+    both: np.ndarray
+    estimate: np.ndarray
+    share: np.ndarray
+    weighted: np.ndarray
+
+
+def _decisions(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each string, the keys of the eight decisions of its byte below its whole context, and the outcomes."""
+    bit = np.arange(8)
+    byte = (code & 255)[:, None]
+    return code[:, None] & ~255 | 1 << bit | byte >> 8 - bit, byte >> 7 - bit & 1
+
+
+def _levels(code: np.ndarray, n: np.ndarray) -> list[_Level]:
+    """The tree of these strings from depth DEPTH up to TOP."""
+    keys, outcome = _decisions(code)
+    ones, both, below, out = (outcome * n[:, None]).ravel(), np.repeat(n, 8), None, []
+    keys = keys.ravel()
+    for depth in range(DEPTH, TOP - 1, -1):
+        keys, parents = np.unique(keys & _above(depth), return_inverse=True)
+        ones, both = (np.bincount(parents, x, len(keys)) for x in (ones, both))
+        below = None if depth == DEPTH else np.bincount(parents, out[-1].weighted, len(keys))
+        out.append(_Level(keys, parents, ones, both, *_weigh(ones, both, below)))
+    return out
 
 
-class Model(NamedTuple):
-    """The tree as a table: ``children[i, b]`` is the context that byte b before context i makes, or -1, and
-    ``log10[i, column[b]]`` scores byte b where context i is as deep as the tree goes. Context 0 is empty."""
+def _whole_groups(batches):
+    """Tables of about SUBTREES rows that hold all rows of each of their groups, in the order of ``group``."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= SUBTREES:
+            table = pa.Table.from_batches(held)
+            group = table["group"].to_numpy()
+            cut = int(np.searchsorted(group, group[-1]))
+            if cut:
+                yield table.slice(0, cut)
+                held, n = table.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held)
 
-    children: np.ndarray
-    column: np.ndarray
-    log10: np.ndarray
 
-    def scores(self, seen: list) -> np.ndarray:
-        """log10 of the probability of each byte ``seen[0]`` after ``seen[1]``, before it ``seen[2]``, ..."""
-        node = np.zeros(len(seen[0]), np.int32)
-        leaf = node
-        for before in seen[1:]:
-            node = self.children[node, self.column[before]]  # -1 is the last row, of -1
-            leaf = np.where(node >= 0, node, leaf)
-        return self.log10[leaf, self.column[seen[0]]]
+def _strings_of(table: pa.Table) -> tuple[np.ndarray, ...]:
+    code, n, total = (table[c].to_numpy() for c in ("code", "n", "total"))
+    order = np.argsort(code)
+    return code[order], n[order].astype(np.float64), total[order]
 
 
-def _subtree(rows) -> tuple[list, np.ndarray, np.ndarray]:
-    """The contexts that end in one byte: (depth, codes, probability of a one at each decision) of those of each
-    depth, as leaves, mixed over all depths from that byte on. Of that byte alone: the log of the weighted
-    probability, and the counts of bytes.
+def _subtrees(batches):
+    for table in _whole_groups(batches):
+        code, n, _ = _strings_of(table)
+        top = _levels(code, n)[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (top.keys, top.ones, top.both, top.weighted)], names=["key", "ones", "both", "below"])
 
-    ``rows``: ``depth, context, byte, n`` of every context of the tree that ends in that byte.
-    """
-    levels, parents = [], [None]
-    for d in range(1, DEPTH + 1):
-        own = rows[rows["depth"] == d]
-        contexts, at = np.unique(own["context"].to_numpy(), return_inverse=True)
-        n = np.zeros((len(contexts), 256))
-        n[at, own["byte"].to_numpy()] = own["n"].to_numpy()
-        if levels:  # the farthest byte is the highest of the code; without it, the context above
-            parents.append(np.searchsorted(levels[-1][0], contexts % (1 << 8 * (d - 1))))
-        levels.append((contexts, n))
-    mixing, below = [None] * DEPTH, None
-    for d in range(DEPTH - 1, -1, -1):  # from the deepest up: weighted probabilities
-        n = levels[d][1]
-        ones, both = _decisions(n)
-        estimate, own = (ones + 0.5) / (both + 1), _log_kt(ones, both)
-        if d == DEPTH - 1:
-            mixing[d], below = (estimate, np.ones(()), estimate), own
-            continue
-        rest = n.copy()
-        np.subtract.at(rest, parents[d + 1], levels[d + 1][1])
-        ones, both = _decisions(rest)
-        split = _log_kt(ones, both)
-        np.add.at(split, parents[d + 1], below)
-        below = np.logaddexp(own, split) + math.log(0.5)
-        mixing[d] = estimate, np.exp(own + math.log(0.5) - below), (ones + 0.5) / (both + 1)
-    out, mixed, left = [], np.zeros((1, 256)), np.ones((1, 256))
-    for d, (estimate, weight, rest) in enumerate(mixing):  # and down: the mixture at each leaf
-        if d:
-            mixed, left = mixed[parents[d]], left[parents[d]]
-        mixed, left = mixed + left * weight * estimate, left * (1 - weight)
-        out.append((d + 1, levels[d][0], mixed + left * rest))
-    return out, below[0], levels[0][1][0]
-
-
-def _byte_probabilities(one: np.ndarray) -> np.ndarray:
-    """The probability of each byte, from that of a one at each decision."""
-    out, byte = np.ones((len(one), 256)), np.arange(256)
-    for bit in range(8):
-        p = one[:, 1 << bit | byte >> 8 - bit]
-        out *= np.where(byte >> 7 - bit & 1, p, 1 - p)
-    return out
 
-
-def _least_count(contexts: DataFrame) -> float:
-    """A count that at most NODES contexts reach, from a histogram of the counts' logarithms, in eighths."""
+def _weigh_rows(batches):
+    for batch in batches:
+        ones, both, below = (batch.column(c).to_numpy() for c in ("ones", "both", "below"))
+        columns = [batch.column("key"), *(pa.array(x) for x in (ones, both, *_weigh(ones, both, below)))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "ones", "both", "estimate", "share", "below"])
+
+
+def _string_scores(batches):
+    """Rows are strings, and the nodes at depth TOP with what is mixed above them."""
+    for table in _whole_groups(batches):
+        code, n, total = _strings_of(table.filter(table["total"].is_valid()))
+        above = table.filter(table["total"].is_null()).sort_by("code")
+        mixed, left = (above[c].to_numpy() for c in ("mixed", "left"))
+        levels = _levels(code, n)
+        for i in range(len(levels) - 1, -1, -1):  # down: the mixture of all depths
+            level = levels[i]
+            if i < len(levels) - 1:
+                parents = levels[i + 1].parents
+                mixed, left = mixed[parents], left[parents]
+            mixed, left = mixed + left * level.share * level.estimate, left * (1 - level.share)
+        one = np.clip(mixed, 1e-15, 1 - 1e-15)[levels[0].parents].reshape(-1, 8)
+        outcome = _decisions(code)[1]
+        log10 = np.log10(np.where(outcome, one, 1 - one)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total), pa.array(log10)], names=["code", "total", "log10"])
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "group").sortWithinPartitions("group")
+
+
+def tree_scores(counts: DataFrame) -> DataFrame:
+    """``code, total, log10`` of :func:`strings`: how probable the last byte of each is after the others.
+
+    A string that no training text holds has a count of zero there and is scored all the same. Without any
+    training text all bytes are equally likely.
+    """
+    own = counts.select(F.shiftright("code", 8).bitwiseAND((1 << 8 * TOP) - 1).alias("group"), "*")
+    nodes = stored(_dealt(own).mapInArrow(_subtrees, "key long, ones double, both double, below double"), "subtrees")
+    # above TOP: a node has 256 children at most, and all sums combine before the shuffle
+    up, rows = [], nodes
+    for depth in range(TOP - 1, -1, -1):
+        sums = [F.sum(c).alias(c) for c in ("ones", "both", "below")]
+        rows = rows.groupBy(F.col("key").bitwiseAND(_above(depth)).alias("key")).agg(*sums)
+        rows = stored(rows.mapInArrow(_weigh_rows, "key long, ones double, both double, estimate double, share double, below double"), f"level_{depth}")
+        up.append(rows)
+    down = up[-1].select("key", (F.col("share") * F.col("estimate")).alias("mixed"), (1 - F.col("share")).alias("left"))
+    for depth, rows in zip(range(TOP - 1), up[-2::-1]):
+        rows = rows.withColumn("up", F.col("key").bitwiseAND(_above(depth))).join(down.withColumnRenamed("key", "up"), "up")
+        mixed = F.col("mixed") + F.col("left") * F.col("share") * F.col("estimate")
+        down = rows.select("key", mixed.alias("mixed"), (F.col("left") * (1 - F.col("share"))).alias("left"))
+    nodes = nodes.select("key", F.col("key").bitwiseAND(_above(TOP - 1)).alias("up")).join(down.withColumnRenamed("key", "up"), "up")
+    nodes = nodes.select(F.shiftright("key", 8).alias("group"), F.col("key").alias("code"), "mixed", "left")
+    rows = _dealt(own.unionByName(nodes, allowMissingColumns=True))
+    return stored(rows.mapInArrow(_string_scores, "code long, total long, log10 double"), "scored_strings")
+
+
+def _least_count(scored: DataFrame, most: int) -> float:
+    """A count that about ``most`` strings reach at most, from a histogram of the counts' logarithms, in eighths."""
     eighth = F.floor(8 * F.log2("total"))
-    bins = sorted(contexts.groupBy(eighth.alias("bin")).count().collect(), reverse=True)
+    bins = sorted(scored.groupBy(eighth.alias("bin")).count().collect(), reverse=True)
     taken, least = 0, 1.0
     for b, n in bins:
         taken += n
-        if taken >= NODES:
+        if taken > most:
             return 2 ** ((b + 1) / 8)
         least = 2 ** (b / 8)
     return least
 
 
-def _columns(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the training text, and the column of each byte; those that never occur share the last."""
-    seen = np.flatnonzero(byte_counts)
-    column = np.full(256, len(seen), np.uint8 if len(seen) < 256 else np.int16)
-    column[seen] = np.arange(len(seen))
-    return seen, column
-
-
-def _table(one: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """log10 of the probability of the bytes ``seen``, and of each of the others, which get equal parts of the rest."""
-    p = _byte_probabilities(one)
-    others = np.delete(p, seen, axis=1)
-    rest = others.mean(axis=1, keepdims=True) if others.shape[1] else np.ones((len(p), 1))
-    return np.log10(np.concatenate([p[:, seen], rest], axis=1)).astype(np.float32)
-
-
-def train(texts: DataFrame) -> Model:
-    """The weighted tree of all ``text``; without any, every byte is equally likely."""
-    counts = texts.select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "contexts")
-    byte_counts = np.zeros((1, 256))
-    for row in counts.groupBy((F.col("code") % 256).alias("byte")).agg(F.sum("n").alias("n")).collect():
-        byte_counts[0, row["byte"]] = row["n"]
-    by_depth = F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), (F.col("code") % (1 << 8 * (d + 1))).alias("code")) for d in range(1, DEPTH + 1))))
-    longer = counts.select("n", by_depth.alias("x")).groupBy("x.depth", "x.code").agg(F.sum("n").alias("n"))
-    longer = stored(longer.select("depth", F.shiftright("code", 8).alias("context"), (F.col("code") % 256).cast("int").alias("byte"), "n"), "depths")
-    contexts = longer.groupBy("depth", "context").agg(F.sum("n").alias("total"))
-    kept = contexts.where(F.col("total") >= _least_count(contexts)).select("depth", "context")
-    rows = stored(longer.join(kept, ["depth", "context"]).withColumn("last", F.col("context") % 256), "tree")
-
-    def top(rows):
-        _, weighted, n = _subtree(rows)
-        return pd.DataFrame({"weighted": [weighted.tobytes()], "n": [n.tobytes()]})
-
-    tops = rows.groupBy("last").applyInPandas(top, "weighted binary, n binary").collect()  # 256 at most
-    ones, both = _decisions(byte_counts)
-    estimate, own = (ones + 0.5) / (both + 1), _log_kt(ones, both)
-    ones, both = _decisions(byte_counts - sum(np.frombuffer(t["n"]) for t in tops))
-    split = _log_kt(ones, both) + sum(np.frombuffer(t["weighted"]) for t in tops)
-    weight = np.exp(own - np.logaddexp(own, split))
-    rest = (ones + 0.5) / (both + 1)
-    seen, column = _columns(byte_counts[0])
-
-    def leaves(rows):
-        out = []
-        for depth, contexts, p in _subtree(rows)[0]:
-            table = _table(weight * estimate + (1 - weight) * p, seen)
-            out += [(depth, int(c), row.tobytes()) for c, row in zip(contexts, table)]
-        return pd.DataFrame(out, columns=["depth", "context", "log10"])
-
-    found = rows.groupBy("last").applyInPandas(leaves, "depth int, context long, log10 binary").toArrow()
-    depth, context = found["depth"].to_numpy(), found["context"].to_numpy()
-    order = np.lexsort([context, depth])
-    depth, context = depth[order], context[order]
-    log10 = np.empty((len(order) + 1, len(seen) + 1), np.float32)
-    log10[0] = _table(weight * estimate + (1 - weight) * rest, seen)
-    for i, row in enumerate(found["log10"].take(pa.array(order)), 1):
-        log10[i] = np.frombuffer(row.as_py(), np.float32)
-    children, above, first = np.full((len(order) + 2, len(seen) + 1), -1, np.int32), np.zeros(1, np.int64), 0
-    for d in range(1, DEPTH + 1):
-        low, high = np.searchsorted(depth, [d, d + 1])
-        parent = first + np.searchsorted(above, context[low:high] % (1 << 8 * (d - 1)))
-        children[parent, column[context[low:high] >> 8 * (d - 1)]] = np.arange(low, high) + 1
-        above, first = context[low:high], low + 1
-    return Model(children, column, log10)
+class Common(NamedTuple):
+    """The scores of the most frequent strings."""
+
+    codes: np.ndarray
+    log10: np.ndarray
+
+    def look_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The score of each, 0 for one that is not here, and whether it is."""
+        if not len(self.codes):
+            return np.zeros(len(code)), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        here = self.codes[at] == code
+        return np.where(here, self.log10[at], 0.0), here
+
+
+def _common(scored: DataFrame) -> tuple[Common, DataFrame]:
+    """The COMMON most frequent strings at most, and the rest."""
+    least = _least_count(scored, COMMON)
+    found = scored.where(F.col("total") >= least).select("code", F.col("log10").cast("float").alias("log10")).toArrow()
+    code = found["code"].to_numpy()
+    order = np.argsort(code)
+    return Common(code[order], found["log10"].to_numpy()[order]), scored.where(F.col("total") < least).select("code", F.col("log10").cast("float").alias("log10"))
 
 
 # -- scoring
@@ -276,77 +317,100 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+_PAIRS = [("n_pairs", pa.list_(pa.int64())), ("steps", pa.binary()), ("times", pa.binary())]
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())),
-                    ("n_bytes", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("token", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())),
-                    ("n_pairs", pa.list_(pa.int64())), ("steps", pa.binary()), ("times", pa.binary())])
+                    ("n_bytes", pa.list_(pa.int64())), ("score", pa.list_(pa.float64())), ("token", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), *_PAIRS,
+                    ("code", pa.list_(pa.int64())), *((f"code_{name}", kind) for name, kind in _PAIRS)])
 _BLOCK_SQL = ("block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_bytes array<long>, score array<double>, "
-              "token array<long>, n array<long>, n_pairs array<long>, steps binary, times binary")
-
+              "token array<long>, n array<long>, n_pairs array<long>, steps binary, times binary, "
+              "code array<long>, code_n_pairs array<long>, code_steps binary, code_times binary")
 
-def _block(number: int, docs: list, tokens: list) -> pa.RecordBatch:
-    """One row: the documents, their different tokens with the training count here, and which document has which.
 
-    Tokens are numbered as they first appear; a document's tokens are the steps from one number to the next.
-    """
-    hashes = np.concatenate(tokens)
-    doc_ids, held, n_tokens, n_bytes, score = (np.concatenate([d[i] for d in docs]) if i else sum((d[0] for d in docs), []) for i in range(5))
-    doc = np.repeat(np.arange(len(doc_ids)), n_tokens)
-    unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+def _pairs(values: np.ndarray, doc: np.ndarray, n_docs: int):
+    """The different values, numbered as they first appear; the number of each value; and which document has
+    which, how often: the number of pairs per document, the steps from one number to the next, and the times."""
+    unique, first, inverse = np.unique(values, return_index=True, return_inverse=True)
     by_first = np.argsort(first, kind="stable")
     number_of = np.empty(len(unique), np.int64)
     number_of[by_first] = np.arange(len(unique))
     own = number_of[inverse]
-    pairs, times = np.unique(doc * len(unique) + own, return_counts=True)
-    pair_doc, pair_token = pairs // len(unique), pairs % len(unique)
-    step = np.diff(pair_token, prepend=0)
+    pairs, times = np.unique(doc * max(len(unique), 1) + own, return_counts=True)
+    pair_doc, pair_value = pairs // max(len(unique), 1), pairs % max(len(unique), 1)
+    step = np.diff(pair_value, prepend=0)
     starts = np.flatnonzero(np.diff(pair_doc, prepend=-1))
-    step[starts] = pair_token[starts]
-    trained = np.bincount(own, ~held[doc], len(unique)).astype(np.int64)
-    row = [number, doc_ids, held.tolist(), n_tokens, n_bytes, score, unique[by_first].view(np.int64), trained, np.bincount(pair_doc, minlength=len(doc_ids)), _packed(step), _packed(times)]
+    step[starts] = pair_value[starts]
+    return unique[by_first], own, [np.bincount(pair_doc, minlength=n_docs), _packed(step), _packed(times)]
+
+
+def _unpaired(n_pairs: np.ndarray, steps_: bytes, times: bytes):
+    """The document, the number of the value and the times of each pair."""
+    step, own = _unpacked(steps_), n_pairs[n_pairs > 0]
+    first = np.cumsum(own) - own
+    sums = np.cumsum(step)
+    return np.repeat(np.arange(len(n_pairs)), n_pairs), sums - np.repeat(sums[first] - step[first], own), _unpacked(times)
+
+
+def _block(number: int, docs: list, tokens: list, codes: list) -> pa.RecordBatch:
+    """One row: the documents, their different tokens with the training count here, the different strings whose
+    scores they lack, and which document has which."""
+    doc_ids, held, n_tokens, n_bytes, score, n_codes = (np.concatenate([d[i] for d in docs]) if i else sum((d[0] for d in docs), []) for i in range(6))
+    every = np.arange(len(doc_ids))
+    doc = np.repeat(every, n_tokens)
+    token, own, pairs = _pairs(np.concatenate(tokens), doc, len(doc_ids))
+    trained = np.bincount(own, ~held[doc], len(token)).astype(np.int64)
+    code, _, code_pairs = _pairs(np.concatenate(codes), np.repeat(every, n_codes), len(doc_ids))
+    row = [number, doc_ids, held.tolist(), n_tokens, n_bytes, score, token.view(np.int64), trained, *pairs, code, *code_pairs]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
 
-def _blocks(batches, model: Model):
-    part, number, docs, tokens, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
+def _blocks(batches, common: Common):
+    part, number, docs, tokens, codes, size = TaskContext.get().partitionId() << 32, 0, [], [], [], 0
     for rows, data, offsets in steps(batches):
         size += len(data)
         data, starts, ends, first, row_bytes = _tokens(data, offsets)
-        seen, at = _streams(data, row_bytes)
-        score = np.add.reduceat(model.scores(seen), at[:-1], dtype=np.float64)
+        code, at = _codes(data, row_bytes)
+        unique, which = np.unique(code, return_inverse=True)
+        log10, here = common.look_up(unique)
+        score = np.add.reduceat(log10[which], at[:-1])
+        lacking = np.flatnonzero(~here[which])
         n = np.diff(first)
         own = np.empty(len(starts) + len(n), np.uint64)
         is_end = np.zeros(len(own), bool)
         is_end[np.cumsum(n + 1) - 1] = True
         own[is_end] = _END_TOKEN
         own[~is_end] = range_hashes(prefix_sums(data), starts, ends)
-        docs.append((rows.column("doc_id").to_pylist(), rows.column("held_out").to_numpy(zero_copy_only=False), n + 1, np.diff(at), score))
+        docs.append((rows.column("doc_id").to_pylist(), rows.column("held_out").to_numpy(zero_copy_only=False), n + 1, np.diff(at), score,
+                     np.diff(np.searchsorted(lacking, at))))
         tokens.append(own)
+        codes.append(code[lacking])
         if size >= BLOCK_BYTES:
-            yield _block(part + number, docs, tokens)
-            number, docs, tokens, size = number + 1, [], [], 0
+            yield _block(part + number, docs, tokens, codes)
+            number, docs, tokens, codes, size = number + 1, [], [], [], 0
     if docs:
-        yield _block(part + number, docs, tokens)
+        yield _block(part + number, docs, tokens, codes)
 
 
 def _finish(batches, trained: int, vocabulary: int):
     for batch in batches:
         for row in range(len(batch)):
             get = lambda name: batch.column(name)[row].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            raw = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
+            bytes_ = get("n_bytes")
             c = get("n").astype(np.int64)
             if batch.column("place")[row].is_valid:
                 c[get("place")] = get("c")
-            n_pairs = get("n_pairs")
-            step, times = (_unpacked(batch.column(x)[row].as_py()) for x in ("steps", "times"))
-            first = np.cumsum(n_pairs) - n_pairs
-            sums = np.cumsum(step)
-            token = sums - np.repeat(sums[first] - step[first], n_pairs)
+            doc, token, times = _unpaired(get("n_pairs"), raw("steps"), raw("times"))
             p = np.log10((c + 0.1) / (trained + 0.1 * (vocabulary + 1)))
-            base = np.add.reduceat(times * p[token], first)
-            known = np.add.reduceat(times * (c[token] > 0), first)
-            bytes_ = get("n_bytes")
-            score = get("score")
+            base = np.bincount(doc, times * p[token], len(bytes_))
+            known = np.bincount(doc, times * (c[token] > 0), len(bytes_)).astype(np.int64)
+            score = get("score").copy()
+            if batch.column("code_place")[row].is_valid:
+                log10 = np.empty(len(get("code_place")))
+                log10[get("code_place")] = get("code_log10")
+                doc, code, times = _unpaired(get("code_n_pairs"), raw("code_steps"), raw("code_times"))
+                score += np.bincount(doc, times * log10[code], len(bytes_))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[row].values, pa.array(get("held_out")), pa.array(get("n_tokens")), pa.array(known.astype(np.int64)), pa.array(np.full(len(bytes_), trained)),
+                [batch.column("doc_id")[row].values, pa.array(get("held_out")), pa.array(get("n_tokens")), pa.array(known), pa.array(np.full(len(bytes_), trained)),
                  pa.array(base), pa.array(score), pa.array(bytes_), pa.array(-score / math.log10(2) / bytes_)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
@@ -362,10 +426,12 @@ def scores(docs: DataFrame) -> DataFrame:
     empty table gives an empty result. Tokens are told apart by 64-bit hashes.
 
     The base line needs the count of every token in all documents. Texts are taken in blocks, and a block asks
-    for each of its different tokens once: a token has at most one row per block, however common it is.
+    for each of its different tokens once: a token has at most one row per block, however common it is. So do
+    the strings of the tree that are not among the common ones.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(rows.where("not held_out")))
+    common, rest = _common(tree_scores(strings(rows)))
+    sent = docs.sparkSession.sparkContext.broadcast(common)
     blocks = stored(rows.mapInArrow(lambda batches: _blocks(batches, sent.value), _BLOCK_SQL), "blocks")
     asked = blocks.select("block", F.posexplode(F.arrays_zip("token", "n")).alias("place", "x")).select("block", "place", "x.token", "x.n")
     by_token = Window.partitionBy("token")
@@ -373,9 +439,12 @@ def scores(docs: DataFrame) -> DataFrame:
     shared = stored(asked.where("blocks > 1").select("block", "place", "c", (F.col("n") > 0).alias("trains"), (F.col("nth") == 1).alias("is_first")), "shared_tokens")
     # different training tokens: each of those in one block alone, and one of each shared one's
     own = blocks.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"), F.sum(F.size(F.filter("n", lambda x: x > 0))).alias("kinds")).first()
-    common = shared.agg(F.count_if("trains").alias("places"), F.count_if(F.expr("is_first and c > 0")).alias("kinds")).first()
-    trained, vocabulary = own["tokens"] or 0, (own["kinds"] or 0) - common["places"] + common["kinds"]
+    of_shared = shared.agg(F.count_if("trains").alias("places"), F.count_if(F.expr("is_first and c > 0")).alias("kinds")).first()
+    trained, vocabulary = own["tokens"] or 0, (own["kinds"] or 0) - of_shared["places"] + of_shared["kinds"]
     answers = shared.groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("x")).select("block", F.col("x.place").alias("place"), F.col("x.c").alias("c"))
-    out = blocks.drop("token").join(answers, "block", "left")
+    lacking = blocks.select("block", F.posexplode("code").alias("place", "code")).join(rest, "code")
+    lacking = lacking.groupBy("block").agg(F.collect_list(F.struct("place", "log10")).alias("x"))
+    lacking = lacking.select("block", F.col("x.place").alias("code_place"), F.col("x.log10").alias("code_log10"))
+    out = blocks.drop("token", "code").join(answers, "block", "left").join(lacking, "block", "left")
     return out.mapInArrow(lambda batches: _finish(batches, trained, vocabulary),
                           "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")

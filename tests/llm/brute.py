@@ -1,5 +1,6 @@
 """Plain versions of the operators' rules, one text at a time."""
 
+import functools
 import hashlib
 import math
 import re
@@ -117,6 +118,51 @@ def unigram(docs):
     return [(o, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for ws, o in zip(tokens, out)]
 
 
+def context_tree(docs, depth=5):
+    """log10 of the probability of each text: context-tree weighting by its definition, for each binary decision."""
+    rows = [b"".join(w + b" " for w in re.findall(rb"[^\x20\x09-\x0D]+", low(t).encode())) + b"\n" for _, t in docs]
+    out = [d is not None and zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in docs]
+    counts, children = defaultdict(lambda: [0, 0]), defaultdict(set)
+
+    def decisions(text):
+        padded = b"\n" * depth + text
+        for i in range(depth, len(padded)):
+            context = padded[i - depth : i][::-1]  # the nearest byte first
+            bits = f"{padded[i]:08b}"
+            yield [(bits[:k], int(bits[k]), context) for k in range(8)]
+
+    for text, o in zip(rows, out):
+        for path in decisions(text) if not o else ():
+            for node, bit, context in path:
+                for d in range(depth + 1):
+                    counts[node, context[:d]][bit] += 1
+                    if d:
+                        children[node, context[: d - 1]].add(context[:d])
+
+    @functools.cache
+    def own(node, context):
+        a, b = counts.get((node, context), (0, 0))
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - 2 * math.lgamma(0.5)
+
+    @functools.cache
+    def weighted(node, context):
+        if len(context) == depth:
+            return own(node, context)
+        x, y = own(node, context), sum(weighted(node, c) for c in children.get((node, context), ()))
+        return max(x, y) + math.log1p(math.exp(-abs(x - y))) + math.log(0.5)
+
+    @functools.cache
+    def one(node, whole, d):
+        a, b = counts.get((node, whole[:d]), (0, 0))
+        estimate = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return estimate
+        share = math.exp(own(node, whole[:d]) + math.log(0.5) - weighted(node, whole[:d]))
+        return share * estimate + (1 - share) * one(node, whole, d + 1)
+
+    return [sum(math.log10(p if bit else 1 - p) for path in decisions(t) for node, bit, context in path for p in [one(node, context, 0)]) for t in rows]
+
+
 def kneser_ney(texts, order, classes, symbols):
     """p(gram) by dictionaries; symbols: text -> list of classes."""
     top = Counter()

@@ -342,22 +342,44 @@ def test_scores(spark, docs, no_docs):
     assert ctw.scores(no_docs).count() == 0
 
 
+def test_tree_equals_its_definition(spark, monkeypatch):
+    """Whether all, some or none of the strings are among the common ones, and however the subtrees are dealt."""
+    rows = [r for r in DOCS if r[0] not in (10, 11)] + [(i, f"the cat sat on the mat {i} times, the dog {i % 7} did not") for i in range(100, 160)]
+    rows += [(9, "été the dog"), (40, "zebra quiz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted((str(d), round(s, 3)) for (d, _), s in zip(rows, brute.context_tree(rows)))
+    for common, subtrees, block in ((1 << 21, 1 << 16, 1 << 23), (300, 50, 600), (0, 1, 1)):
+        monkeypatch.setattr(ctw, "COMMON", common)
+        monkeypatch.setattr(ctw, "SUBTREES", subtrees)
+        monkeypatch.setattr(ctw, "BLOCK_BYTES", block)
+        found = ctw.scores(df).collect()
+        assert [d for d, _ in want] == sorted(str(r["doc_id"]) for r in found)
+        got = sorted((str(r["doc_id"]), r["score"]) for r in found)
+        assert all(d == e and abs(s - t) < 2e-3 + 1e-6 * abs(t) for (d, s), (e, t) in zip(got, want))
+
+
 def test_tree_gives_probabilities(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat " * 20,), ("été the dog",), (None,)], "text string")
-    model = ctw.train(texts)
-    unseen = 256 - (model.log10.shape[1] - 1)
-    total = (10.0 ** model.log10[:, :-1].astype(float)).sum(axis=1) + unseen * 10.0 ** model.log10[:, -1].astype(float)
-    assert np.allclose(total, 1, atol=1e-3)
-    flat = ctw.train(texts.limit(0))
-    assert np.allclose(10.0 ** flat.log10.astype(float), 1 / 256)
-
-
-def test_one_context_is_weighted_by_hand(spark):
-    """Bytes after no context at all: KT over the eight decisions of "a a a", END; deeper contexts mix in."""
-    ones, both = ctw._decisions(np.bincount([97] * 3, minlength=256)[None].astype(float))
-    kt = np.exp(ctw._log_kt(ones, both))[0]
-    assert np.isclose(kt[1], 0.5 * 0.75 * 5 / 6)  # three zeros: 1/2, 3/4, 5/6
-    assert both[0, 1] == 3 and ones[0, 1] == 0
+    """The 256 bytes after a context, known or not, share one."""
+    texts = spark.createDataFrame([("the cat sat on the mat " * 20, False), ("été the dog", False), (None, False), ("held out", True)], "text string, held_out boolean")
+    counts = ctw.strings(texts)
+    bytes_ = spark.range(256).withColumnRenamed("id", "byte")
+    contexts = [int.from_bytes(c.encode(), "big") << 8 for c in ("the c", "zzzzz", " dog ")]
+    for base in contexts:
+        asked = bytes_.select((F.col("byte") + base).alias("code"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("total"))
+        both = counts.unionByName(asked).groupBy("code").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        scored = ctw.tree_scores(both).where(F.shiftright("code", 8) == base >> 8)
+        assert np.isclose(scored.agg(F.sum(F.pow(F.lit(10.0), "log10"))).first()[0], 1, atol=1e-9)
+    flat = ctw.tree_scores(ctw.strings(texts.withColumn("held_out", F.lit(True)))).agg(F.min("log10"), F.max("log10")).first()
+    assert np.allclose(10.0 ** np.array(flat), 1 / 256)
+
+
+def test_one_context_is_weighted_by_hand():
+    """The decisions of "a a a" below one context: KT over them."""
+    code = np.array([0x6161616161 << 8 | 97])
+    level = ctw._levels(code, np.array([3.0]))[0]
+    at = int(np.flatnonzero(level.keys & 255 == 1)[0])
+    assert np.isclose(np.exp(level.weighted[at]), 0.5 * 0.75 * 5 / 6)  # three zeros: 1/2, 3/4, 5/6
+    assert level.both[at] == 3 and level.ones[at] == 0
 
 
 def test_tree_beats_words_on_held_out_text(spark):
