@@ -371,7 +371,7 @@ def _blocks(batches, common: Common):
         code, at = _codes(data, row_bytes)
         unique, which = np.unique(code, return_inverse=True)
         log10, here = common.look_up(unique)
-        score = np.add.reduceat(log10[which], at[:-1])
+        score = np.add.reduceat(log10[which], at[:-1], dtype=np.float64)
         lacking = np.flatnonzero(~here[which])
         n = np.diff(first)
         own = np.empty(len(starts) + len(n), np.uint64)
@@ -442,7 +442,8 @@ def scores(docs: DataFrame) -> DataFrame:
     of_shared = shared.agg(F.count_if("trains").alias("places"), F.count_if(F.expr("is_first and c > 0")).alias("kinds")).first()
     trained, vocabulary = own["tokens"] or 0, (own["kinds"] or 0) - of_shared["places"] + of_shared["kinds"]
     answers = shared.groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("x")).select("block", F.col("x.place").alias("place"), F.col("x.c").alias("c"))
-    lacking = blocks.select("block", F.posexplode("code").alias("place", "code")).join(rest, "code")
+    # without the hint Spark would judge the exploded strings by the size of the lists' files, and might send them to all
+    lacking = blocks.select("block", F.posexplode("code").alias("place", "code")).join(rest.hint("merge"), "code")
     lacking = lacking.groupBy("block").agg(F.collect_list(F.struct("place", "log10")).alias("x"))
     lacking = lacking.select("block", F.col("x.place").alias("code_place"), F.col("x.log10").alias("code_log10"))
     out = blocks.drop("token", "code").join(answers, "block", "left").join(lacking, "block", "left")
