@@ -2,8 +2,9 @@
 
 Bootstrapping (as in Snowball, Agichtein and Gravano, 2000): the spans of the fixed forms are seeds. The
 words around a seed induce lexical patterns. Each round scores the graph of patterns and instances: a pattern
-by the share of known instances of one kind among all that it extracts, an instance by all trusted patterns
-that extract it. Instances that pass are known in the next round.
+by the known instances of one kind that it extracts against those that are of another kind or can't be of this
+one, an instance by all trusted patterns that extract it. What may be of the kind but is not known yet counts
+neither way. Instances that pass are known in the next round, until a round adds none.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from realpay.llm.tables import stored
 
 KINDS = ("email", "ip", "card", "phone")
 
-ROUNDS = 3
-#: Share of known instances (one more counted as unknown) from which a pattern is trusted.
+#: Share of known instances among these and the negative ones (one more counted) from which a pattern is trusted:
+#: without negative ones it takes four.
 PATTERN_CONFIDENCE = 0.8
 #: Score from which an instance is known: it takes two trusted patterns, or one that is nearly sure.
 INSTANCE_CONFIDENCE = 0.9
@@ -79,8 +80,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _loose_spans(text: str, taken: list) -> list[tuple[int, int, list[str]]]:
-    """Spans that may be identifiers and touch none of the base spans, with the kinds they may be of."""
-    out = []
+    """Spans that may be identifiers and touch none of the base spans, with the kinds they may be of; after these,
+    numbers that can't be of any."""
+    out, others = [], []
     for form, kinds in _LOOSE:
         for m in form.finditer(text):
             start, end = m.span()
@@ -88,9 +90,9 @@ def _loose_spans(text: str, taken: list) -> list[tuple[int, int, list[str]]]:
                 end -= 1
             digits = len(_NOT_DIGIT.sub("", text[start:end]))
             of = kinds or [k for k, ok in (("card", 13 <= digits <= 19), ("phone", 7 <= digits <= 15)) if ok]
-            if of and end > start and all(end <= s or e <= start for _, s, e in taken) and all(end <= s or e <= start for s, e, _ in out):
-                out.append((start, end, list(of)))
-    return out
+            if end > start and all(end <= s or e <= start for _, s, e in taken) and all(end <= s or e <= start for s, e, _ in out):
+                (out if of else others).append((start, end, list(of)))
+    return out + [x for x in others if all(x[1] <= s or e <= x[0] for s, e, _ in out)]
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -128,29 +130,27 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(base, _ROWS.field(1).type), pa.array(seen, _ROWS.field(2).type)], schema=_ROWS)
 
 
-def learned(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def learned(seen: DataFrame) -> DataFrame:
     """``instance, kind`` of the identifiers without a fixed form that the patterns vouch for.
 
     ``seen``: ``instance, kind`` (null if not a seed), ``may_be, pattern``, one row per place. Places are
     combined to distinct links first, so copies of a text add neither weight nor work.
     """
     links = stored(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind"), F.max("may_be").alias("may_be")), "links")
-    known = stored(links.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known")), "known")
-    out = None
-    for _ in range(rounds):
+    known = stored(links.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("known"), F.lit(True).alias("seed")), "known")
+    while True:
         by_kind = [F.count_if(F.col("known") == k).alias(k) for k in KINDS]
-        counts = links.join(known, "instance", "left").groupBy("pattern").agg(F.count("*").alias("links"), *by_kind)
-        best = F.array_max(F.array(*(F.struct(F.col(k).alias("n"), F.lit(k).alias("kind")) for k in KINDS)))
-        trusted = counts.select("pattern", best.kind.alias("as_kind"), (best.n / (F.col("links") + 1)).alias("confidence")).where(F.col("confidence") >= PATTERN_CONFIDENCE)
+        against = [F.count_if(F.coalesce(F.col("known") != k, ~F.array_contains("may_be", k))).alias(f"not_{k}") for k in KINDS]
+        counts = links.join(known, "instance", "left").groupBy("pattern").agg(*by_kind, *against)
+        best = F.array_max(F.array(*(F.struct((F.col(k) / (F.col(k) + F.col(f"not_{k}") + 1)).alias("confidence"), F.lit(k).alias("kind")) for k in KINDS)))
+        trusted = counts.select("pattern", best.kind.alias("as_kind"), best.confidence.alias("confidence")).where(F.col("confidence") >= PATTERN_CONFIDENCE)
         vouched = links.where("kind is null").join(trusted, "pattern").where("array_contains(may_be, as_kind)")
         scores = vouched.groupBy("instance", "as_kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         new = scores.where(F.col("score") >= INSTANCE_CONFIDENCE).groupBy("instance").agg(F.max(F.struct("score", "as_kind")).alias("best"))
-        new = stored(new.select("instance", F.col("best.as_kind").alias("known")).join(known, "instance", "left_anti"), "learned")
+        new = stored(new.select("instance", F.col("best.as_kind").alias("known"), F.lit(False).alias("seed")).join(known, "instance", "left_anti"), "learned")
         if new.isEmpty():
-            break
-        out = new if out is None else out.unionByName(new)
-        known = known.unionByName(new)
-    return out if out is not None else known.limit(0)
+            return known.where("not seed").drop("seed")
+        known = stored(known.unionByName(new), "known")
 
 
 def _added(rows: DataFrame) -> DataFrame:

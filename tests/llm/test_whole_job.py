@@ -2,10 +2,44 @@
 
 import numpy as np
 
-from realpay.llm import quality
+from realpay.llm import pii, quality
 from tests.llm import brute
 
 
+# -- 5
+
+
+def found(spark, texts):
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return [out[i] for i in range(len(texts))]
+
+
+def test_as_many_unseen_as_seeds_are_found(spark):
+    seeds = [f"some text {i}; my phone number +1 555 01{i:02d} 99{i:02d} is new, so is w{i}" for i in range(30)]
+    unseen = [f"she said my phone number 555-01{i:02d}-22{i:02d} is new to her" for i in range(30)]
+    # numbers of the same form where seeds of two kinds stand, and where most numbers can't be a phone's
+    mixed = [f"then entry value +1 555 03{i:02d} 99{i:02d} was kept" for i in range(10)] + [f"then entry value a{i}@b.example was kept" for i in range(10)]
+    orders = [f"on our order ref +1 555 04{i:02d} 99{i:02d} got lost" for i in range(10)] + [f"on our order ref {100 + i} got lost" for i in range(10)]
+    clean = [f"then entry value 555-05{i:02d}-11{i:02d} was kept" for i in range(10)] + [f"on our order ref 555-06{i:02d}-11{i:02d} got lost" for i in range(10)]
+    out = found(spark, seeds + unseen + mixed + orders + clean)
+    at = unseen[0].index("555")
+    assert out[30:60] == [f"phone:{at}:{at + 13}"] * 30
+    assert out[-len(clean):] == [""] * len(clean)
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """Each context is known by the instances of the one before: more rounds than three."""
+    texts = []
+    for step in range(7):
+        for i in range(12):
+            number = f"555-{step:02d}{i:02d}-7{i:03d}"
+            seed = f"+1 {number}" if step == 0 else number
+            texts.append(f"a{step} b{step} {seed} c{step} d{step}")
+            if step < 6:  # the same number in the next context
+                texts.append(f"a{step + 1} b{step + 1} {seed} c{step + 1} d{step + 1}")
+    assert all(out.startswith("phone:") for out in found(spark, texts))
+
+
 # -- 6
 
 PROSE = "the of and to in that was with this from house river stone winter letter walk".split()
