@@ -2,8 +2,9 @@
 
 Winnowing (Schleimer, Wilkerson, Aiken, 2003) keeps, of every window of consecutive k-gram hashes, the least.
 Two texts that share ``window`` words share all k-grams inside, so they keep the same fingerprint there:
-no shared span of that length escapes. Documents' fingerprints are joined with the items', and each hit is
-extended to the windows around it, which must then agree word by word.
+no shared span of that length escapes. Here the fingerprints only choose: a document's windows whose fingerprint
+is in a filter of the items' are joined with the items' windows by all their words. Hits are not extended, as
+every window is looked at.
 """
 
 from __future__ import annotations
