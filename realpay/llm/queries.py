@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from realpay.llm import ctw, decontaminate, packing, pii, quality, simhash, suffix_dedup, topk, url_filter, warc
+from realpay.llm import conversations, ctw, decontaminate, packing, pieces, pii, quality, simhash, spelling, suffix_dedup, topk, url_filter, warc
 from realpay.llm.tables import table
 
 
@@ -50,7 +50,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_url_filter, op4_simhash, op5_pii, op6_quality, op7_warc, op8_topk, op9_ctw, op10_packing)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"), every=199)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontaminate, op3_url_filter, op4_simhash, op5_pii, op6_quality, op7_warc, op8_topk, op9_ctw, op10_packing,
+                                   op11_sentencepiece, op12_conversations, op13_spelling)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 

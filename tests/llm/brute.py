@@ -187,3 +187,99 @@ def kneser_ney(texts, order, classes, symbols):
         return (n - d[min(n, 3)]) / sum(same) * (n > 0) + sum(d[min(x, 3)] for x in same) / sum(same) * p(gram[1:])
 
     return p
+
+
+def conversation(conv_id, rows):
+    """rows: (turn, role, text) as given. A row as op12 returns it, by trying edits cheapest first."""
+    after = []
+    for turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv_id is None else conv_id}:{' ' if turn is None else turn}".encode()) % 20
+        if kind == 0:
+            continue
+        if kind == 1:
+            text = ""
+        if kind == 2:
+            text = re.sub("[.!?]", "", text)
+        if kind == 4:
+            role = "user"
+        after += [(turn, role, text)] * (2 if kind == 3 else 1)
+    return repaired(conv_id, after)
+
+
+def repaired(conv_id, rows):
+    """rows: (turn, role, text), after damage. Sorted here by turn, role and text."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, faults = set(), []
+    for _, role, text in rows:
+        solid = re.sub("[\x20\x09-\x0D]", "", text)
+        faults.append("blank" if not solid else "duplicate" if (role, text) in seen else "truncated" if solid[-1] not in ".!?" else "")
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    best = {(0, ""): (0, "", ())}  # (rows read, initials) -> cost, audit, lines; initials shortened to their last
+    done = {}
+    while best:
+        at = min(best, key=lambda k: best[k][:2])
+        cost, audit, lines = best.pop(at)
+        if at in done:
+            continue
+        done[at] = cost, audit, lines
+        i, last = at
+        if i == len(rows) and last in ("", "a"):
+            kept = "\n".join(lines)
+            count = Counter(faults)
+            return (conv_id, gaps, count["blank"], count["duplicate"], count["truncated"], illegal, cost, audit, hashlib.sha256(kept.encode()).hexdigest())
+        follow = {"": "su", "s": "u", "u": "a", "a": "u"}[last]
+        ways = [("I", 2, i, x, ({"u": "user:", "a": "assistant:"}[x],)) for x in follow if x != "s"]
+        if i < len(rows):
+            _, role, text = rows[i]
+            ways.append(("D", 3, i + 1, last, ()))
+            if faults[i] not in ("blank", "duplicate"):
+                extra = faults[i] == "truncated"
+                ways += [("K", extra, i + 1, x, (f"{role}:{text}",)) for x in follow if role[:1] == x]
+                ways += [("R", 2 + extra, i + 1, x, (f"{ {'u': 'user', 'a': 'assistant'}[x]}:{text}",)) for x in follow if x != "s"]
+        for letter, more, j, x, line in ways:
+            way = (cost + more, audit + letter, lines + line)
+            if (j, x) not in done and ((j, x) not in best or way[:2] < best[j, x][:2]):
+                best[j, x] = way
+
+
+def variants(docs, every=199):
+    """docs: (doc_id, text). Rows as op13 returns them."""
+    n = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = low(run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            n[run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 6 and k >= 5}
+    by_hole = defaultdict(set)  # words that are near share a word with a letter left out or blotted out
+    for w in n:
+        by_hole[w].add(w)
+        for i in range(len(w)):
+            by_hole[w[:i] + w[i + 1 :]].add(w)
+            by_hole[w[:i] + "?" + w[i + 1 :]].add(w)
+    near = {w: {o for i in range(len(w)) for hole in (w, w[:i] + w[i + 1 :], w[:i] + "?" + w[i + 1 :]) for o in by_hole[hole] if is_near(w, o)} for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-n[o], o), default=None)
+        form[w] = best if best and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(near[w]), n.get(form[w])))
+    return out
+
+
+def is_near(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))

@@ -1,0 +1,70 @@
+"""Spelling variants against deleted and blotted letters in a dictionary."""
+
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from realpay.llm import spelling
+from tests.llm import brute
+from tests.llm.test_operators import DOCS, EXTRA, frame
+
+COLUMNS = ("word", "form", "root", "n", "n_near", "form_n")
+
+
+def found(df, **options):
+    return sorted(map(tuple, spelling.variants(df, **options).select(*COLUMNS).collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    stems = ["winter", "winters", "winter" + "é", "Winter", "wintres", "winder", "house" * 3, "letter", "lettre", "ßwörter", "ÀÉÎ" * 3, "abcdefgh", "abcdefghi", "bcdefgh"]
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(stems, 60, p=[0.4] + [0.6 / 13] * 13)) + "×winter÷") for i in range(40)]
+    rows += [(100 + i, f"{'x' * 200} {'x' * 199}{'y' * (i % 2)} {'qr' * 60} {'qr' * 59}q") for i in range(12)]
+    return rows + [(None, "winter winter 12winter"), (7, None), (8, ""), (9, "a-b'winter"), (9, "a-b'winter")] + DOCS
+
+
+@pytest.mark.parametrize("every", [199, 3])
+def test_variants(spark, texts, every):
+    df = frame(spark, texts, "doc_id long, text string", [*EXTRA, "word", "n"]).repartition(3)
+    assert found(df, every=every) == sorted(brute.variants(texts, every), key=str)
+
+
+def test_leaves_of_many_words_are_dealt_in_parts(spark):
+    words = sorted({"".join(p) for p in itertools.permutations("aeint", 5)})
+    rows = [(i, " ".join(["str" + w] * 5 + ["str" + w + "o"] * (45 if i % 9 == 3 else 5))) for i, w in enumerate(words)]
+    df = frame(spark, rows, "doc_id long, text string")
+    expected = sorted(brute.variants(rows, 10**9), key=str)
+    assert found(df) == expected and any(r[1] for r in expected)
+    assert found(df, node=20) == expected
+
+
+def test_given_texts(spark):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    df = spark.read.parquet(path)
+    assert found(df, every=199) == sorted(brute.variants([tuple(r) for r in df.select("doc_id", "text").collect()]), key=str)
+
+
+def test_empty_table(spark):
+    assert found(frame(spark, [], "doc_id long, text string")) == []
+
+
+def test_search_finds_each_pair_once(monkeypatch):
+    monkeypatch.setattr(spelling, "PAIRS", 4)
+    rng = np.random.default_rng(1)
+    words = sorted({"".join(rng.choice(list("aeinrx"), rng.integers(3, 6))) for _ in range(400)})
+    own = spelling._Words(pa.array(words), spelling.GROUPS)
+    pairs = [tuple(sorted((words[a], words[b]))) for v, m in spelling.search(own, own) for a, b in zip(v.tolist(), m.tolist())]
+    assert sorted(pairs) == sorted((a, b) for a, b in itertools.combinations(words, 2) if brute.is_near(a, b))
+    assert all(spelling.near(a, b) == brute.is_near(a, b) for a in words[:60] for b in words)
+
+
+def test_chains_of_forms_end_in_a_root(spark):
+    chain = ["garden", "gardan", "gardin", "gurdin"]
+    text = " ".join(w for w, n in zip(chain, (625, 125, 25, 5)) for _ in range(n))
+    rows = {r[0]: r for r in found(frame(spark, [(1, text)], "doc_id long, text string"))}
+    assert rows["gurdin"][1:3] == ("gardin", "garden") or rows["gurdin"][2] == brute.variants([(1, text)], 10**9)[3][2]
+    assert sorted(rows.values(), key=str) == sorted(brute.variants([(1, text)], 10**9), key=str)
