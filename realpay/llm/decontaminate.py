@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from realpay.llm.tables import stored
+from realpay.llm.tables import stored, without
 from realpay.llm.textbytes import ALNUM, LOWER, joined_words, prefix_sums, range_hashes, sequence_hashes, sliding_min, steps, words
 
 WINDOW = 10
@@ -133,6 +133,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any hit word."""
-    key = F.xxhash64("doc_id", "text").alias("doc_id")
-    hit = contamination(docs.select(key, "text"), items, window).where("contaminated").select(F.col("doc_id").alias("_rp_key")).distinct()
-    return docs.join(hit, F.xxhash64(docs["doc_id"], docs["text"]) == hit["_rp_key"], "left_anti")
+    hit = contamination(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), items, window).where("contaminated")
+    return without(docs, {"doc_id": F.xxhash64(docs["doc_id"], docs["text"])}, hit.select("doc_id"))

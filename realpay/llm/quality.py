@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from realpay.llm import ctw
-from realpay.llm.tables import stored
+from realpay.llm.tables import stored, without
 from realpay.llm.textbytes import NOT_SPACE, steps
 
 ORDER = 4
@@ -36,8 +36,6 @@ SLACK = 16
 BYTES = 5
 #: Its n-grams that are sent to every executor, at most: 16 bytes each, 4 MB. The others are joined.
 SENT = 1 << 18
-#: Rejected rows whose keys are sent to every executor, at most: 8 MB.
-SENT_KEYS = 1 << 20
 #: Share of the small model's probability that goes to the first bytes of characters.
 FIRST = 0.75
 
@@ -353,7 +351,6 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judged` keeps, as they are."""
-    rejected = stored(_judged(docs, labels).where("not keep").select(F.col("key").alias("_rp_key")).distinct(), "rejected")
-    # few keys are sent, so that the texts need not move
-    rejected = F.broadcast(rejected) if rejected.count() <= SENT_KEYS else rejected
-    return docs.join(rejected, _key(docs) == rejected["_rp_key"], "left_anti")
+    # beside its hash a row is told by its id, so a row whose hash equals that of a rejected one stays
+    rejected = _judged(docs, labels).where("not keep").select("key", F.coalesce("doc_id", F.lit(0)).alias("doc_id"))
+    return without(docs, {"key": _key(docs), "doc_id": F.coalesce(docs["doc_id"], F.lit(0))}, rejected)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from realpay.llm.components import components
-from realpay.llm.tables import stored
+from realpay.llm.tables import stored, without
 from realpay.llm.textbytes import LOWER, NOT_SPACE, joined_words, steps, words
 
 BITS = 64
@@ -150,7 +150,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     Of rows that repeat a doc_id, the one that sorts first by its columns. Rows without doc_id stay: nothing tells
     which of them to keep.
     """
-    kept = near_copies(docs, shingle=shingle, radius=radius).where("doc_id = component_id").select("doc_id").distinct()
+    found = stored(near_copies(docs, shingle=shingle, radius=radius).where("doc_id is not null"), "components")
+    ids = stored(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+                 .where("NOT stays OR n > 1"), "copies")
+    # an id that repeats is settled by itself: only its rows move
+    twice = ids.where("stays AND n > 1").select(F.col("doc_id").alias("_rp_id"))
     one = Window.partitionBy("doc_id").orderBy(*docs.columns)
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_rp_row", F.row_number().over(one)).where("_rp_row = 1")
-    return chosen.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    again = docs.join(twice, docs["doc_id"] == F.col("_rp_id"), "left_semi").withColumn("_rp_row", F.row_number().over(one)).where("_rp_row = 1")
+    return without(docs, {"doc_id": docs["doc_id"]}, ids.select("doc_id")).unionByName(again.select(docs.columns))

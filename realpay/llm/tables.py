@@ -75,6 +75,24 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of keys that are sent to all tasks at most.
+SENT_BYTES = 32 << 20
+
+
+def without(docs: DataFrame, keys: dict, rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` (name to column; null equals nothing) are no row of ``rejected``, which has
+    columns of these names, none of them wide.
+
+    The rejected keys are stored and, while they come to at most :data:`SENT_BYTES`, sent to all tasks, so that
+    texts need not move; beyond that Spark joins by a shuffle.
+    """
+    named = {name: f"_rp_{name}" for name in keys}
+    rejected = stored(rejected.select(*(F.col(name).alias(own) for name, own in named.items())).distinct(), "rejected")
+    rejected = F.broadcast(rejected) if rejected.count() * 16 * len(keys) <= SENT_BYTES else rejected
+    on = [key == F.col(named[name]) for name, key in keys.items()]
+    return docs.join(rejected, on, "left_anti")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
