@@ -25,7 +25,9 @@ from realpay.plans.ppp import merge_costs, ppp_frame, ppp_inliers, rank_by_ppp
 from realpay.plans.quality import optional_columns, quality_frame
 from realpay.session import configure
 from realpay.sources import fixtures
-from realpay.sources.csv import infer_types, tokens_to_null
+from realpay.sources.csv import infer_types, read_table, tokens_to_null
+from realpay.sources.tables import sql_over
+from realpay.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -168,11 +170,18 @@ def q_csv_na_tokens(spark, sf_dir):
     return missing_profile(text, with_pct=False).select("column", named[F.col("column")].alias("type"), "missing")
 
 
+def q_csv_scan(spark, sf_dir):
+    """The cost table written as CSV files into the shared folder and read again, its types inferred."""
+    configure(spark)
+    path = Store(spark).path("city_costs_csv")
+    fixtures.city_costs(spark, sf_dir).write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_table(spark, path)
+
+
 def q_sql_remote(spark, sf_dir):
-    """A frame registered by name and queried with SQL."""
-    _jobs(spark, sf_dir, "remote_ratio", "salary_usd").createOrReplaceTempView("realpay_postings")
-    return spark.sql("SELECT remote_ratio, count(*) AS job_count, min(salary_usd) AS least, max(salary_usd) AS most "
-                     "FROM realpay_postings GROUP BY remote_ratio")
+    """A frame queried with SQL under a name that only the query knows."""
+    return sql_over(spark, "SELECT remote_ratio, count(*) AS job_count, min(salary_usd) AS least, max(salary_usd) AS most "
+                    "FROM {postings} GROUP BY remote_ratio", postings=_jobs(spark, sf_dir, "remote_ratio", "salary_usd"))
 
 
 def q_optional_columns(spark, sf_dir):
@@ -205,6 +214,7 @@ QUERIES: dict[str, Query] = {
     "ppp_country_ranking": q_ppp_country_ranking,
     "monthly_trend_text": q_monthly_trend_text,
     "csv_na_tokens": q_csv_na_tokens,
+    "csv_scan": q_csv_scan,
     "sql_remote": q_sql_remote,
     "optional_columns": q_optional_columns,
     "quality_report": q_quality_report,

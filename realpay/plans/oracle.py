@@ -211,6 +211,9 @@ WHERE salary_usd < q1 - 1.5::DOUBLE * (q3 - q1) OR salary_usd > q3 + 1.5::DOUBLE
     return {
         "monthly_trend_text": trend,
         "csv_na_tokens": _with(CITY_COSTS) + na,
+        "csv_scan": _with(CITY_COSTS) + """SELECT "Rank", "Country", CAST(nullif("Cost of Living Index", 'n/a') AS BIGINT) AS "Cost of Living Index",
+  CAST(nullif("Cost of Living Plus Rent Index", '') AS BIGINT) AS "Cost of Living Plus Rent Index", "Groceries Index", "Local Purchasing Power Index"
+FROM city_costs""",
         "sql_remote": _with(JOBS) + """SELECT remote_ratio, count(*) AS job_count, min(salary_usd) AS least, max(salary_usd) AS most
 FROM jobs GROUP BY remote_ratio""",
         "optional_columns": _with(JOBS) + """SELECT 'salary_usd' AS "column", true AS present, count(salary_usd) AS non_null FROM jobs

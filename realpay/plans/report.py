@@ -22,7 +22,7 @@ SECTIONS = (
     "missing_profile", "salary_describe", "quantiles", "iqr_outliers", "experience_counts",
     "corr_matrix", "salary_box_stats", "monthly_trend", "top_skills", "remote_stats", "geo_top10",
     "col_missing_profile", "col_describe_all", "col_join", "merged_sample", "ppp_salary",
-    "iqr_filter", "ppp_describe", "ppp_country_ranking", "monthly_trend_text", "csv_na_tokens",
+    "iqr_filter", "ppp_describe", "ppp_country_ranking", "monthly_trend_text", "csv_na_tokens", "csv_scan",
     "sql_remote", "optional_columns", "quality_report",
 )
 

@@ -2,9 +2,11 @@
 
 pandas ``read_csv`` treats a family of strings (``NA``, ``null``, ``n/a``,
 ``NaN``, empty, ...) as missing; Spark's CSV reader only the empty field. The
-reader below takes an explicit schema (no inference pass over the data),
-reads every field as written, and turns the tokens into NULL before casting,
-so a token never becomes a parse error under ANSI mode.
+reader below reads every field as written and turns the tokens into NULL before casting, so a token never becomes a
+parse error under ANSI mode.
+
+What can't be placed is refused, as pandas refuses it: a file whose header differs from the others', a record with more
+fields than the header, and a quoted line break where lines are read one by one.
 """
 
 from __future__ import annotations
@@ -34,9 +36,13 @@ def tokens_to_null(c: Column, na_tokens=DEFAULT_NA_TOKENS) -> Column:
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
+# Fixed value: what pandas reads into bool.
+BOOLEAN_PATTERN = "^(True|TRUE|true|False|FALSE|false)$"
+
+
 def infer_types(raw: DataFrame) -> T.StructType:
     """Column types as ``read_csv`` infers them, decided in ONE aggregation:
-    a column whose non-missing values are all whole numbers of 64 bits becomes bigint,
+    a column whose non-missing values are all truth values becomes boolean, all whole numbers of 64 bits bigint,
     all numbers (see ``strict_number``) double, anything else string; a
     column with no values at all is double (pandas: all-NaN float64)."""
     aggs = []
@@ -44,7 +50,7 @@ def infer_types(raw: DataFrame) -> T.StructType:
         c = F.col(f"`{name}`")
         aggs += [F.count(c).alias(f"n{i}"), F.count_if(c.rlike(INTEGER_PATTERN)).alias(f"i{i}"),
                  F.count_if(c.rlike(NUMBER_PATTERN)).alias(f"d{i}"),
-                 F.count(F.trim(c).try_cast("bigint")).alias(f"l{i}")]
+                 F.count(F.trim(c).try_cast("bigint")).alias(f"l{i}"), F.count_if(c.rlike(BOOLEAN_PATTERN)).alias(f"b{i}")]
     row = raw.agg(*aggs).first()
     fields = []
     for i, name in enumerate(raw.columns):
@@ -53,6 +59,8 @@ def infer_types(raw: DataFrame) -> T.StructType:
             dtype = T.DoubleType()
         elif ints == n:  # beyond 64 bits: a number still, as a double
             dtype = T.LongType() if row[f"l{i}"] == n else T.DoubleType()
+        elif row[f"b{i}"] == n:
+            dtype = T.BooleanType()
         else:
             dtype = T.StringType()
         fields.append(T.StructField(name, dtype, True))
@@ -73,6 +81,77 @@ def _typed(c: Column, name: str, dtype: T.DataType, lenient: bool) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit(f"column {name}: not a {dtype.simpleString()}: "), c)).cast(dtype)).otherwise(value)
 
 
+#: Column of the records that Spark's reader finds malformed.
+_BAD = "__bad_record"
+#: Stands for no value at all, so that an empty field stays an empty text.
+_NO_NULL = "\0"
+#: A field put behind a record.
+_BEHIND = "\1"
+
+
+def _column_names(header: list[str | None]) -> list[str]:
+    """Names as pandas gives them: ``Unnamed: 2`` for none, ``id``, ``id.1``, ... for repeated ones."""
+    out: list[str] = []
+    for i, name in enumerate(header):
+        name = own = f"Unnamed: {i}" if name in (None, "") else name
+        k = 0
+        while name in out or (k and name in header):
+            k += 1
+            name = f"{own}.{k}"
+        out.append(name)
+    return out
+
+
+def _fields(line: Column, n: int) -> list[Column]:
+    """The first ``n`` fields of a record, NULL where it has fewer."""
+    record = F.from_csv(line, ", ".join(f"c{i} string" for i in range(n)), {"escape": '"', "nullValue": _NO_NULL,
+                                                                          "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    return [record[f"c{i}"] for i in range(n)]
+
+
+def _refuse_lines(spark: SparkSession, path: str, header: list[str] | None, quotes: bool) -> None:
+    """Raise if a line has an odd number of quotes (a quoted line break), or a file does not have ``header``. One scan."""
+    lines = spark.read.text(path)
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2 == 1
+    checks = [F.min(F.when(F.lit(quotes) & odd, F.substring("value", 1, 80))).alias("odd")]
+    if header is None:
+        found = lines.agg(*checks).first()
+    else:
+        same = [F.coalesce(field, F.lit("")) == F.lit(name or "") for field, name in zip(_fields(F.col("value"), len(header)), header)]
+        own = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(*checks, F.bool_or(F.array_min(F.array(*same))).alias("same"))
+        found = own.agg(F.min("odd").alias("odd"), F.min(F.when(~F.col("same"), F.col("file"))).alias("other")).first()
+        if found["other"]:
+            raise ValueError(f"{found['other']}: its header differs from that of other files")
+    if found["odd"]:
+        raise ValueError(f"{path}: a quoted field goes on behind the end of its line; read with multi_line=True: {found['odd']}")
+
+
+def _records(spark: SparkSession, path: str, header: bool, lenient: bool, multi_line: bool) -> DataFrame:
+    """All fields as text. A record with more fields than the header is an error when it is read, unless ``lenient``."""
+    reader = (spark.read.option("inferSchema", False).option("escape", '"').option("multiLine", multi_line).option("nullValue", _NO_NULL)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    first = reader.option("header", False).csv(path).first()
+    if first is None:
+        raise ValueError(f"{path} has no columns")
+    names = _column_names(list(first)) if header else [f"_c{i}" for i in range(len(first))]
+    renamed = header and names != list(first)
+    if not lenient or renamed:
+        _refuse_lines(spark, path, list(first) if renamed else None, not multi_line and not lenient)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _BAD)])
+    # Spark compares each file's header with the schema; renamed columns were compared above
+    raw = (reader.option("header", header).option("enforceSchema", renamed).option("columnPruning", False)
+           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).schema(schema).csv(path))
+    if not lenient:
+        # a record is also malformed with fewer fields: those are missing values, as in pandas. Fields put behind it tell
+        # which it is, as the last column is one of them only then
+        last = _fields(F.concat(_BAD, F.lit(f",{_BEHIND}" * len(names))), len(names))[-1]
+        more = F.coalesce(last != _BEHIND, F.lit(True))
+        message = F.concat(F.lit(f"{path}: expected {len(names)} fields, saw more, in the record that begins with "), F.coalesce(f"`{names[0]}`", F.lit("nothing")),
+                           F.lit(": "), F.substring(_BAD, 1, 200))
+        raw = raw.where(F.coalesce(F.when(F.col(_BAD).isNotNull() & more, F.raise_error(message).cast("boolean")), F.lit(True)))
+    return raw.drop(_BAD)
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                na_tokens=DEFAULT_NA_TOKENS, header: bool = True, lenient: bool = False,
                multi_line: bool = False) -> DataFrame:
@@ -84,10 +163,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     is an error, or NULL with ``lenient``. ``multi_line`` allows line breaks inside quotes; a file is then read by
     one task, as its lines can't be told apart elsewhere.
 
+    Refused are a file with another header than the others (when it is read), a record with more fields than the
+    header (when it is read; with ``lenient`` the rest is left out), and, without ``multi_line``, a line with an odd
+    number of quotes (now, by one scan of the lines; not with ``lenient``). A record with fewer fields has NULL in
+    the rest. Columns without a name, or with one that stood before, are named as pandas names them.
+
     Without ``schema`` the types come from :func:`infer_types` (one aggregation over the cleaned text).
     """
-    raw = (spark.read.option("header", header).option("inferSchema", False).option("escape", '"').option("multiLine", multi_line)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    raw = _records(spark, path, header, lenient, multi_line)
     if schema is not None and not header:
         raw = raw.toDF(*[f.name for f in schema][:len(raw.columns)])
     if schema is not None:

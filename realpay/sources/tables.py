@@ -39,6 +39,22 @@ def nan_as_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
+def sql_over(spark: SparkSession, query: str, **frames: DataFrame) -> DataFrame:
+    """Run ``query`` over ``frames``, which it names in braces: ``sql_over(spark, "SELECT * FROM {costs}", costs=df)``.
+
+    The names belong to this query alone: the session's views stay as they are, and two queries may use one name for
+    different frames.
+    """
+    before = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    missing = [n for n in frames if "{" + n + "}" not in query]
+    if missing:
+        raise ValueError(f"the query does not name {', '.join(missing)}")
+    out = spark.sql(query, **frames)
+    for view in {t.name for t in spark.catalog.listTables() if t.isTemporary} - before:
+        spark.catalog.dropTempView(view)
+    return out
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Register the tables as temporary views (``con.register`` in SQL terms).
 

@@ -152,3 +152,27 @@ def test_quality_frame_skips_absent_columns(spark):
     assert {r["section"] for r in quality_frame(jobs).select("section").distinct().collect()} == {"missing", "salary_stats", "salary_outliers", "category_counts"}
     assert {r["section"] for r in quality_frame(jobs.drop("salary_usd")).select("section").distinct().collect()} == {"missing", "category_counts"}
     assert [tuple(r) for r in optional_columns(jobs, ["job_id", "nope"]).collect()] == [("job_id", True, jobs.count()), ("nope", False, None)]
+
+
+def test_sql_over_leaves_the_catalog_as_it_is(spark):
+    from realpay.sources.tables import sql_over
+
+    spark.range(3).createOrReplaceTempView("costs")
+    before = sorted(t.name for t in spark.catalog.listTables())
+    one, two = (sql_over(spark, "SELECT count(*) AS n FROM {costs} WHERE id < 5", costs=spark.range(n)) for n in (9, 4))
+    assert sorted(t.name for t in spark.catalog.listTables()) == before
+    assert one.first()["n"] == 5 and two.first()["n"] == 4 and spark.table("costs").count() == 3
+    with pytest.raises(ValueError, match="does not name"):
+        sql_over(spark, "SELECT 1", costs=spark.range(1))
+
+
+def test_store_deletes_what_it_stored(spark):
+    from realpay.store import Store
+
+    with pytest.raises(RuntimeError):
+        with Store(spark) as store:
+            kept = store.keep(spark.range(5).withColumnRenamed("id", "x"), "numbers")
+            folder = store._paths[0].removeprefix("file:")
+            assert kept.count() == 5 and os.path.isdir(folder)
+            raise RuntimeError
+    assert not os.path.exists(folder)
