@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from realpay.constants import IQR_MULTIPLIER
 from realpay.functions.numbers import nan_to_null
 from realpay.operators.quantiles import quantile_row
-from realpay.operators.selection import broadcast_if_small, global_quantiles, grouped_quantiles
+from realpay.operators.selection import broadcast_if_small, fenced_groups, global_quantiles
 
 LOW, HIGH = "low_fence", "high_fence"
 
@@ -58,15 +58,16 @@ def box_stats(df: DataFrame, group: str, value: str, k: float = IQR_MULTIPLIER)
     Quartiles use the linear rule; whiskers are the most extreme values
     inside the per-group fences; NULL groups and missing values are left out.
 
-    The fences, a row per group, are joined to the rows: broadcast while their bytes are few, else as Spark plans
-    it (AQE splits a hot group). Whiskers and outlier counts are partial aggregates per group.
+    The fences, a row per group, are joined to the rows: of few groups the driver has them and sends them; else they are
+    stored, broadcast while their bytes are few, else joined as Spark plans it (AQE splits a hot group). Whiskers and outlier counts are partial aggregates per group.
     """
     base = df.where(F.col(group).isNotNull()).select(group, F.col(value).cast("double").alias("__v"))
     base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    q = grouped_quantiles(base, group, "__v", (0.25, 0.5, 0.75)).toDF(group, "q25", "q50", "q75")
+    q, few = fenced_groups(base, group, "__v", (0.25, 0.5, 0.75))
+    q = q.toDF(group, "q25", "q50", "q75")
     iqr = F.col("q75") - F.col("q25")
-    fences = q.select("*", (F.col("q25") - F.lit(float(k)) * iqr).alias(LOW), (F.col("q75") + F.lit(float(k)) * iqr).alias(HIGH)).checkpoint()
-    joined = base.join(broadcast_if_small(fences, group), group)
+    fences = q.select("*", (F.col("q25") - F.lit(float(k)) * iqr).alias(LOW), (F.col("q75") + F.lit(float(k)) * iqr).alias(HIGH))
+    joined = base.join(F.broadcast(fences) if few else broadcast_if_small(fences.checkpoint(), group), group)
     v = F.col("__v")
     inside = (v >= F.col(LOW)) & (v <= F.col(HIGH))
     return joined.groupBy(group).agg(

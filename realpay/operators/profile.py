@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from realpay.functions.rounding import round_half_even
-from realpay.functions.numbers import nan_to_null
 from realpay.operators.quantiles import PROB, VALUE, exact_quantiles
-from realpay.operators.selection import column_quantiles, global_quantiles
+from realpay.operators.selection import Summary, column_summaries, local_frame
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -28,7 +27,7 @@ def _is_numeric(dtype) -> bool:
     return isinstance(dtype, _NUMERIC)
 
 
-def _missing(df: DataFrame, name: str):
+def is_missing(df: DataFrame, name: str):
     c = F.col(f"`{name}`")
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
@@ -44,11 +43,15 @@ def missing_profile(df: DataFrame, with_pct: bool = True, scale: int = 2) -> Dat
     """
     cols = df.columns
     agg = df.agg(F.count(F.lit(1)).alias("__rows"),
-                 *[F.count_if(_missing(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)])
+                 *[F.count_if(is_missing(df, c)).alias(f"__m{i}") for i, c in enumerate(cols)])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"),
                                  F.col(f"__m{i}").alias("missing"))
                         for i, c in enumerate(cols)])
-    long = agg.select("__rows", F.inline(entries))
+    return missing_rows(agg.select("__rows", F.inline(entries)), with_pct, scale)
+
+
+def missing_rows(long: DataFrame, with_pct: bool = True, scale: int = 2) -> DataFrame:
+    """``column, missing[, percentage]`` from counts ``column, missing, __rows``."""
     out = [F.col("column"), F.col("missing")]
     if with_pct:
         pct = F.col("missing").cast("double") / F.col("__rows").cast("double") * F.lit(100.0)
@@ -60,27 +63,31 @@ def describe_numeric(df: DataFrame, value: str, scale: int = 2, method: str = "e
     """pandas ``Series.describe().round(scale)`` as ``stat, value`` rows.
 
     Quartiles are exact (linear rule), not ``df.summary()``'s approximate
-    ones; ``std`` of a single value is NULL. The quartiles come from exact
-    order statistics (a few aggregations, run now), the moments from one
-    lazy aggregate.
+    ones; ``std`` of a single value is NULL. All comes from the passes of the
+    exact order statistics, run now: the first one also merges the moments.
+    ``method="approx"`` takes approximate quartiles and is lazy.
     """
+    if method == "exact":
+        return described(df.sparkSession, column_summaries(df, [value], [p for p, _ in QUARTILES])[0], scale)
     v = F.col(value).cast("double")
     clean = df.select(v.alias(value)).where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
     moments = clean.agg(
         F.count(F.lit(1)).cast("double").alias("count"), F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    cells = [F.struct(F.lit(s).alias("stat"), F.col(s).alias("value"))
-             for s in ("count", "mean", "std", "min", "max")]
-    if method == "exact":
-        qs = global_quantiles(clean, value, [p for p, _ in QUARTILES])
-        cells += [F.struct(F.lit(name).alias("stat"), F.lit(q).cast("double").alias("value"))
-                  for (_, name), q in zip(QUARTILES, qs)]
-        long = moments.select(F.inline(F.array(*cells)))
-    else:
-        labels = F.create_map(*[x for p, name in QUARTILES for x in (F.lit(p), F.lit(name))])
-        quart = exact_quantiles(clean, value, [p for p, _ in QUARTILES], method=method)
-        long = moments.select(F.inline(F.array(*cells))).unionByName(
-            quart.select(labels[F.col(PROB)].alias("stat"), F.col(VALUE).alias("value")))
+    cells = [F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in ("count", "mean", "std", "min", "max")]
+    labels = F.create_map(*[x for p, name in QUARTILES for x in (F.lit(p), F.lit(name))])
+    quart = exact_quantiles(clean, value, [p for p, _ in QUARTILES], method=method)
+    long = moments.select(F.inline(F.array(*cells))).unionByName(
+        quart.select(labels[F.col(PROB)].alias("stat"), F.col(VALUE).alias("value")))
+    return long.select("stat", round_half_even("value", scale).alias("value"))
+
+
+def described(spark, found: Summary, scale: int = 2) -> DataFrame:
+    """The rows of ``describe`` from a column's summary."""
+    stats = {"count": float(found.n), "mean": found.mean, "std": found.std, "min": found.least,
+             **{name: q for (_, name), q in zip(QUARTILES, found.quantiles)}, "max": found.most}
+    rows = [{"stat": name, "value": value} for name, value in stats.items()]
+    long = local_frame(spark, rows, T.StructType([T.StructField("stat", T.StringType()), T.StructField("value", T.DoubleType())]))
     return long.select("stat", round_half_even("value", scale).alias("value"))
 
 
@@ -99,8 +106,8 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
     ``unique/top/freq`` (``top`` ties go to the smallest value, a fixed rule
     where pandas keeps first-seen order). ``count`` is the non-null count.
 
-    NaN is missing, as NULL is. Plan: one aggregation for all numeric
-    moments; the quartiles of all numeric columns in the same passes; one ``(column, value)`` count of the other columns, whose
+    NaN is missing, as NULL is. Plan: moments and quartiles of all numeric
+    columns in the same passes, run now; one ``(column, value)`` count of the other columns, whose
     summary gives unique, top and freq (a hot value is combined map-side).
     """
     names = list(columns) if columns else df.columns
@@ -109,17 +116,11 @@ def describe_all(df: DataFrame, scale: int = 2, columns: Sequence[str] | None =
     other = [c for c in names if not _is_numeric(fields[c])]
     parts = []
     if numeric:
-        num = {c: nan_to_null(F.col(f"`{c}`").cast("double")) for c in numeric}
-        mom = df.agg(*[e for i, c in enumerate(numeric) for e in (
-            F.count(num[c]).alias(f"n{i}"), F.avg(num[c]).alias(f"a{i}"), F.stddev_samp(num[c]).alias(f"s{i}"),
-            F.min(num[c]).alias(f"lo{i}"), F.max(num[c]).alias(f"hi{i}"))])
-        mom = mom.select(F.inline(F.array(*[F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-            F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
-            for i, c in enumerate(numeric)])))
-        rows = [(c, *found) for c, found in zip(numeric, column_quantiles(df, numeric, [p for p, _ in QUARTILES]))]
-        quart = df.sparkSession.createDataFrame(rows, "column string, q25 double, q50 double, q75 double")   # one row per column
-        parts.append(mom.join(F.broadcast(quart), "column", "left"))
+        cells = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
+        rows = [dict(zip(["column", *cells], (c, x.n, x.mean, x.std, x.least, *x.quantiles, x.most)))
+                for c, x in zip(numeric, column_summaries(df, numeric, [p for p, _ in QUARTILES]))]
+        parts.append(local_frame(df.sparkSession, rows, T.StructType([T.StructField("column", T.StringType()), T.StructField("count", T.LongType()),
+                                                                      *(T.StructField(c, T.DoubleType()) for c in cells[1:])])))
     if other:
         long = df.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v"))
