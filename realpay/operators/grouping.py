@@ -83,7 +83,8 @@ def frequent_candidates(tokens: DataFrame, token: str, k: int, counters: int) ->
     ``2 * error`` rows, ``error`` being a fixed share of all rows. So the k-th estimate less its error is a floor: what may
     reach it is a candidate, if the floor is above what a missed value can have.
     """
-    summary = tokens.agg(F.call_function("approx_top_k", F.col(f"`{token}`"), F.lit(_REPORTED), F.lit(counters)).alias("top"), F.count(token).alias("n"))
+    reported = min(_REPORTED, counters)
+    summary = tokens.agg(F.call_function("approx_top_k", F.col(f"`{token}`"), F.lit(reported), F.lit(counters)).alias("top"), F.count(token).alias("n"))
     rows = summary.select("n", F.posexplode_outer("top").alias("place", "item")).select("n", "place", "item.*").collect()
     estimates = [r["count"] for r in rows if r["count"] is not None]
     table = 1 << math.ceil(math.log2(counters / _LOAD))
@@ -91,7 +92,7 @@ def frequent_candidates(tokens: DataFrame, token: str, k: int, counters: int) ->
     if len(estimates) < k:
         return None
     floor = sorted(estimates, reverse=True)[k - 1] - error
-    if floor <= 2 * error or (len(estimates) == _REPORTED and min(estimates) + error >= floor):
+    if floor <= 2 * error or (len(estimates) == reported and min(estimates) + error >= floor):
         return None
     names = [r["item"] for r in rows if r["count"] + error >= floor]
     if sum(len(n) for n in names) > _SENT // 4:

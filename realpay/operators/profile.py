@@ -54,7 +54,7 @@ def missing_rows(long: DataFrame, with_pct: bool = True, scale: int = 2) -> Data
     """``column, missing[, percentage]`` from counts ``column, missing, __rows``."""
     out = [F.col("column"), F.col("missing")]
     if with_pct:
-        pct = F.col("missing").cast("double") / F.col("__rows").cast("double") * F.lit(100.0)
+        pct = F.try_divide(F.col("missing").cast("double"), F.col("__rows").cast("double")) * F.lit(100.0)
         out.append(round_half_even(pct, scale).alias("percentage"))
     return long.select(*out)
 

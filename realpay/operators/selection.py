@@ -132,11 +132,15 @@ def _first_pass(base: DataFrame, probs: Sequence[float], moments: bool = False,
     whole = Window.partitionBy("g")
     bins = bins.select("*", _running(["g"], "bin").alias("before"), F.sum("c").over(whole).alias("n"))
     if moments:
-        bins = bins.withColumn("mean", F.sum(F.col("m") * (F.col("c") / F.col("n"))).over(whole))
-        off = F.col("m") - F.col("mean")
+        # deviations from a value of the column's own size lose no digits to it
+        bins = bins.withColumns({"least": F.min("lo").over(whole), "most": F.max("hi").over(whole)})
+        bins = bins.withColumn("off", F.when(F.abs("least") < float("inf"), F.col("m") - F.col("least")).otherwise(F.col("m")))
+        bins = bins.withColumn("shift", F.sum(F.col("off") * (F.col("c") / F.col("n"))).over(whole))
         # a bin of one value has no spread, also if it is infinite
         spread = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.col("s"))
-        bins = bins.withColumns({"squares": F.sum(F.col("c") * (spread + off * off)).over(whole), "least": F.min("lo").over(whole), "most": F.max("hi").over(whole)})
+        off = F.col("off") - F.col("shift")
+        bins = bins.withColumns({"mean": F.col("shift") + F.when(F.abs("least") < float("inf"), F.col("least")).otherwise(0.0),
+                                 "squares": F.sum(F.col("c") * (spread + off * off)).over(whole)})
     h = [(F.col("n") - 1).cast("double") * F.lit(p) for p in probs]
     wanted = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(side).alias("side"), end(x).cast("long").alias("rank"), x.alias("h"))
                        for i, x in enumerate(h) for side, end in ((0, F.floor), (1, F.ceil))])

@@ -32,6 +32,8 @@ from realpay.store import Store
 Query = Callable[[SparkSession, str], DataFrame]
 
 TREND_SCALE = 4
+#: Counters of the frequent-item summary of :func:`q_top_names`.
+NAME_COUNTERS = 16_384
 
 
 def _jobs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -40,7 +42,7 @@ def _jobs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return fixtures.jobs(spark, sf_dir, columns)
 
 
-def _ppp(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ppp_salaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings with their PPP salary (factors joined from the dimension)."""
     return ppp_frame(_jobs(spark, sf_dir), fixtures.cost_living(spark, sf_dir))
 
@@ -114,6 +116,12 @@ def q_top_skills(spark, sf_dir):
     return top_tokens(fixtures.skills(spark, sf_dir), "required_skills", SKILL_SEPARATOR, k=TOP_K)
 
 
+def q_top_names(spark, sf_dir):
+    """Tokens of a vocabulary that grows with the data, of which a few are frequent."""
+    configure(spark)
+    return top_tokens(fixtures.name_lists(spark, sf_dir), "names", SKILL_SEPARATOR, k=TOP_K, token_name="name", summary=NAME_COUNTERS)
+
+
 def q_remote_stats(spark, sf_dir):
     return group_means(_jobs(spark, sf_dir, "remote_ratio", "salary_usd"), "remote_ratio", {"avg_salary": "salary_usd"},
                        "job_count", order_by="remote_ratio")
@@ -143,20 +151,22 @@ PPP_COLUMNS = ("job_id", "company_location", "salary_usd", "col_index", "col_plu
 
 
 def q_ppp_salary(spark, sf_dir):
-    return _ppp(spark, sf_dir).select(*PPP_COLUMNS)
+    return ppp_salaries(spark, sf_dir).select(*PPP_COLUMNS)
+
+
+INLIER_COLUMNS = ("job_id", "company_location", "salary_usd", "ppp_salary")
 
 
 def q_iqr_filter(spark, sf_dir):
-    return ppp_inliers(_ppp(spark, sf_dir),
-                       columns=["job_id", "company_location", "salary_usd", "ppp_salary"])
+    return ppp_inliers(ppp_salaries(spark, sf_dir), columns=INLIER_COLUMNS)
 
 
 def q_ppp_describe(spark, sf_dir):
-    return describe_numeric(ppp_inliers(_ppp(spark, sf_dir), columns=["ppp_salary"]), "ppp_salary")
+    return describe_numeric(ppp_inliers(ppp_salaries(spark, sf_dir), columns=["ppp_salary"]), "ppp_salary")
 
 
 def q_ppp_country_ranking(spark, sf_dir):
-    return rank_by_ppp(ppp_inliers(_ppp(spark, sf_dir),
+    return rank_by_ppp(ppp_inliers(ppp_salaries(spark, sf_dir),
                                    columns=["company_location", "salary_usd", "ppp_salary"]))
 
 
@@ -206,6 +216,7 @@ QUERIES: dict[str, Query] = {
     "salary_box_stats": q_salary_box_stats,
     "monthly_trend": q_monthly_trend,
     "top_skills": q_top_skills,
+    "top_names": q_top_names,
     "remote_stats": q_remote_stats,
     "geo_top10": q_geo_top10,
     "col_join": q_col_join,

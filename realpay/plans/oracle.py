@@ -242,6 +242,10 @@ WHERE experience_level IS NOT NULL GROUP BY experience_level""",
         "top_skills": _with(SKILLS) + """, s AS (SELECT trim(unnest(string_split(required_skills, ','))) AS skill FROM skills)
 SELECT skill, count(*) AS count FROM s WHERE skill != '' GROUP BY skill
 ORDER BY count DESC, skill ASC LIMIT 10""",
+        "top_names": """WITH l AS (SELECT 'Customer ' || o_custkey || CASE WHEN o_orderkey % 3 = 0 THEN ' , ' || o_orderpriority ELSE '' END
+  || CASE WHEN o_orderkey % 5 = 0 THEN ',Shift ' || (o_custkey % 7) ELSE '' END AS names FROM orders),
+s AS (SELECT trim(unnest(string_split(names, ','))) AS name FROM l)
+SELECT name, count(*) AS count FROM s WHERE name != '' GROUP BY name ORDER BY count DESC, name ASC LIMIT 10""",
         "remote_stats": _with(JOBS) + """SELECT remote_ratio, round(avg(salary_usd), 2) AS avg_salary,
   count(*) AS job_count FROM jobs GROUP BY remote_ratio ORDER BY remote_ratio NULLS LAST""",
         "geo_top10": _with(JOBS) + """SELECT company_location, round(avg(salary_usd), 2) AS avg_salary,

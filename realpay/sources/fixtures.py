@@ -9,6 +9,7 @@ from the given tables so that every query's work grows with the data:
 * ``city_costs``  one row per customer: a cost table that grows with the data,
                   used by the dimension-profile reports
 * ``skills``      one comma-separated skill list per part
+* ``name_lists``  one comma-separated list per order, of many different names
 
 The deterministic NULL / padding / junk injections (by key residue) exist
 because the given tables contain no NULLs, no padded names and no outliers,
@@ -134,3 +135,16 @@ def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(k % 5 == 0, F.replace(F.col("p_name"), F.lit(" "), F.lit("\u00a0,\u00a0")))
          .otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit(" , "))).alias("required_skills"),
     )
+
+
+def name_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``names`` lists from orders: the customer's own name, on every third order a priority, on every fifth the clerk's
+    shift. The names grow with the data; the few others are frequent."""
+    o = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    k = F.col("o_orderkey")
+    return o.select(
+        k.alias("job_id"),
+        F.concat(F.lit("Customer "), F.col("o_custkey").cast("string"),
+                 F.when(k % 3 == 0, F.concat(F.lit(" , "), F.col("o_orderpriority"))).otherwise(""),
+                 F.when(k % 5 == 0, F.concat(F.lit(",Shift "), (F.col("o_custkey") % 7).cast("string"))).otherwise("")).alias("names"),
+    )

@@ -80,7 +80,7 @@ def pd_flow():
 
 def test_branch_counts_match_pandas(spark, pd_flow):
     m, pop, final = pd_flow
-    ppp = catalog._ppp(spark, SF01)
+    ppp = catalog.ppp_salaries(spark, SF01)
     assert ppp.count() == len(m) == 15000
     assert ppp_population(ppp).count() == len(pop) == 11253
     assert ppp_inliers(ppp).count() == len(final) == 11075
@@ -88,7 +88,7 @@ def test_branch_counts_match_pandas(spark, pd_flow):
 
 def test_ppp_values_match_pandas(spark, pd_flow):
     m, _, _ = pd_flow
-    got = catalog._ppp(spark, SF01).select("job_id", "ppp_salary").toPandas().set_index("job_id")["ppp_salary"]
+    got = catalog.ppp_salaries(spark, SF01).select("job_id", "ppp_salary").toPandas().set_index("job_id")["ppp_salary"]
     exp = m.set_index("job_id")["ppp_salary"].astype(float)
     both = pd.concat([got.rename("g"), exp.rename("e")], axis=1)
     assert both["g"].isna().equals(both["e"].isna())
@@ -119,7 +119,7 @@ def test_dimension_side_factors_equal_row_side(spark):
 
 
 def test_clamp_branches_are_hit(spark):
-    ppp = catalog._ppp(spark, SF01)
+    ppp = catalog.ppp_salaries(spark, SF01)
     row = ppp.agg(
         F.count_if(F.col("weighted_col") == 40.0).alias("w_lo"),
         F.count_if(F.col("weighted_col") == 150.0).alias("w_hi"),
@@ -132,7 +132,7 @@ def test_clamp_branches_are_hit(spark):
 
 
 def test_ranking_drops_small_groups_after_outliers(spark):
-    final = ppp_inliers(catalog._ppp(spark, SF01))
+    final = ppp_inliers(catalog.ppp_salaries(spark, SF01))
     top = rank_by_ppp(final, min_jobs=10, k=1000).toPandas()
     assert (top["job_count"] >= 10).all()
 
@@ -144,7 +144,7 @@ def test_ranking_on_trimmed_keys_matches_pandas(spark, pd_flow):
     agg = agg[agg["n"] >= 10].reset_index()
     agg["avg_ppp"] = agg["avg_ppp"].round(2)
     exp = agg.sort_values(["avg_ppp", "company_location"], ascending=[False, True]).head(10)
-    got = rank_by_ppp(ppp_inliers(catalog._ppp(spark, SF01)), normalize=True).toPandas()
+    got = rank_by_ppp(ppp_inliers(catalog.ppp_salaries(spark, SF01)), normalize=True).toPandas()
     assert list(got["company_location"]) == list(exp["company_location"])
     assert list(got["job_count"]) == list(exp["n"])
     assert not any(x.startswith(" ") for x in got["company_location"])
