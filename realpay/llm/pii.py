@@ -10,6 +10,7 @@ neither way. Instances that pass are known in the next round, until a round adds
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,7 +83,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def _loose_spans(text: str, taken: list) -> list[tuple[int, int, list[str]]]:
     """Spans that may be identifiers and touch none of the base spans, with the kinds they may be of; after these,
     numbers that can't be of any."""
-    out, others = [], []
+    apart = _Apart()
+    for _, start, end in taken:
+        apart.add(start, end)
+    out, others, found = [], [], _Apart()
     for form, kinds in _LOOSE:
         for m in form.finditer(text):
             start, end = m.span()
@@ -90,9 +94,30 @@ def _loose_spans(text: str, taken: list) -> list[tuple[int, int, list[str]]]:
                 end -= 1
             digits = len(_NOT_DIGIT.sub("", text[start:end]))
             of = kinds or [k for k, ok in (("card", 13 <= digits <= 19), ("phone", 7 <= digits <= 15)) if ok]
-            if end > start and all(end <= s or e <= start for _, s, e in taken) and all(end <= s or e <= start for s, e, _ in out):
+            if end > start and apart.free(start, end) and found.free(start, end):
+                if of:
+                    found.add(start, end)
                 (out if of else others).append((start, end, list(of)))
-    return out + [x for x in others if all(x[1] <= s or e <= x[0] for s, e, _ in out)]
+    return out + [x for x in others if found.free(x[0], x[1])]
+
+
+class _Apart:
+    """Spans put together where they overlap, in order, so that a look takes a binary search."""
+
+    def __init__(self):
+        self.starts, self.ends = [], []
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether no span overlaps start:end."""
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        high = bisect_left(self.starts, end)
+        low = bisect_right(self.ends, start, 0, high)
+        if low < high:
+            start, end = min(start, self.starts[low]), max(end, self.ends[high - 1])
+        self.starts[low:high], self.ends[low:high] = [start], [end]
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:

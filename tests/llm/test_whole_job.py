@@ -80,3 +80,22 @@ def test_large_model_is_kneser_ney(spark):
             assert np.isclose(bits[code], -np.log2(own(gram) + (with_left(gram) - own(gram)) * lowest), rtol=1e-5)
     after = 0x20746865 << 8  # " the" and each byte
     assert np.isclose(quality._lowest(after + np.arange(256), small).sum(), 1, atol=1e-3)
+
+
+def test_many_loose_numbers_take_linear_time():
+    import time
+
+    text = " ".join(f"555-{i % 9999:04d}-{i % 997:03d} 4539{i:010d}" for i in range(150_000))
+    start = time.time()
+    found = pii._loose_spans(text, pii.base_spans(text))
+    assert len(found) > 100_000 and time.time() - start < 20
+
+
+def test_spans_apart():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        apart, spans = pii._Apart(), []
+        for a, n in zip(rng.integers(0, 60, 12).tolist(), rng.integers(1, 9, 12).tolist()):
+            assert apart.free(a, a + n) == all(a + n <= s or e <= a for s, e in spans)
+            apart.add(a, a + n)
+            spans.append((a, a + n))
