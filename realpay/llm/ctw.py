@@ -6,7 +6,8 @@ zeros and ones counted there. A node's weighted probability is half its own esti
 of its children's, so the prediction mixes the estimates of all depths, weighted by how well each has coded
 the training text.
 
-The tree holds every context of the training text, so it grows with the corpus. It is dealt by the TOP nearest
+The tree holds every context of up to DEPTH bytes of the training text, no matter how rare: it grows with the corpus
+until all strings of that length have been seen, and a text's bytes further back are not used. It is dealt by the TOP nearest
 bytes: each subtree below is weighted on its own, the few levels above are aggregated and joined. What is
 kept of it is the score of every string of DEPTH + 1 bytes that any text holds. Texts look their strings up
 in two ways with the same result: the COMMON most frequent from a table of bounded size on every executor, all
