@@ -98,8 +98,6 @@ def cluster_settings(input_bytes: int, total_cores: int, shuffle_fraction: float
     * a partition is treated as skewed above four times the target (AQE
       splits it in joins).
 
-    The exact-quantile sort plan takes its chunk count from
-    ``spark.sql.shuffle.partitions``, so this also sizes its chunks.
     At 100 TB on 8,000 cores: 81,920 shuffle partitions of ~128 MiB.
     """
     shuffled = max(int(input_bytes * shuffle_fraction), 1)
