@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from realpay.llm.tables import stored, without
@@ -88,6 +88,16 @@ def item_windows(items: DataFrame, window: int = WINDOW, id_column: str = "item_
     return rows.select("id", F.explode("found").alias("w")).select("id", "w.size", "w.fp", "w.passage").distinct()
 
 
+def _merged(hits: DataFrame) -> DataFrame:
+    """``row, spans``: the hits of each row, put together where they overlap or touch. Linear in a row's hits."""
+    order = Window.partitionBy("row").orderBy("begin", "size")
+    before = F.max(F.col("begin") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = hits.select("row", "begin", "size", F.when(F.col("begin") <= before, 0).otherwise(1).alias("opens"))
+    numbered = opens.withColumn("span", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = numbered.groupBy("row", "span").agg(F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("size")).alias("end"))
+    return spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Which words of each document lie in an occurrence of a window of an item.
 
@@ -115,12 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     windows = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("w")).select("row", "w.begin", "w.size", "w.passage")
     passages = known.select("passage", "size").distinct()
     hits = stored(windows.join(passages, ["passage", "size"], "left_semi"), "hits")
-    ranges = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", (F.col("begin") + F.col("size")).alias("end")))).alias("ranges"))
-    merged = F.expr("""aggregate(ranges, cast(array() as array<struct<begin: long, end: long>>), (all, x) ->
-        if(size(all) > 0 and element_at(all, -1).end >= x.begin,
-           concat(slice(all, 1, size(all) - 1), array(named_struct('begin', element_at(all, -1).begin, 'end', greatest(element_at(all, -1).end, x.end)))),
-           concat(all, array(named_struct('begin', x.begin, 'end', x.end)))))""")
-    ranges = ranges.select("row", merged.alias("spans"))
+    ranges = _merged(hits)
     listed = hits.select("row", "passage", "size").distinct().join(known.where("id is not null").select("passage", "size", "id"), ["passage", "size"])
     listed = listed.select("row", "id").distinct().groupBy("row").agg(F.array_sort(F.collect_list(F.col("id").cast("string"))).alias("ids"))
     none = F.array().cast("array<struct<begin: bigint, end: bigint>>")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from realpay.llm import pii, quality
+from realpay.llm import decontaminate, pii, quality
 from tests.llm import brute
 
 
@@ -99,3 +99,16 @@ def test_spans_apart():
             assert apart.free(a, a + n) == all(a + n <= s or e <= a for s, e in spans)
             apart.add(a, a + n)
             spans.append((a, a + n))
+
+
+# -- 2
+
+
+def test_many_separate_hits_of_one_text(spark):
+    """A one-word item that a long text says again and again, each time a span of its own."""
+    text = " ".join(("the", f"w{i}")[i % 2] for i in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, "the end"), (3, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the"), (8, "The end")], "item_id long, text string")
+    out = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
+    assert (out[1]["n_hit"], out[1]["n_items"], len(out[1]["spans"])) == (100_000, 1, 100_000)
+    assert [tuple(x) for x in out[2]["spans"]] == [(0, 2)] and out[2]["n_items"] == 2 and not out[3]["contaminated"]
