@@ -6,14 +6,21 @@ can share a window. So runs are dealt by anchor. Equal runs need no sorting: all
 texts of the different runs of an anchor, which differ around it, get a suffix array by two-stage sorting (Itoh
 and Tanaka, 1999): only suffixes smaller than their successors are sorted directly, the rest is induced by
 scans of the buckets. Adjacent suffixes with a common prefix of LENGTH bytes are the same window.
+
+A line that stands in very many different contexts is one anchor of very many different runs. Such runs are cut
+into shorter pieces, dealt by the bytes that all windows of a piece share; a key that is still too large for one
+array is handed back and cut again, down to single windows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,11 +34,28 @@ SLICE = 1 << 19
 _POSITION = np.uint64((1 << 20) - 1)
 #: Runs of which a partition drops those equal to an earlier one before it hands them on.
 HELD_RUNS = 1 << 20
-#: Runs of an anchor beyond which they are cut into shorter ones, dealt by what all windows of one share.
-CROWD = 4096
-CUT = 16
-#: Bytes of one suffix array, about.
-ARRAY_BYTES = 1 << 19
+#: How many places of the anchor the windows of a piece may have: runs are uncut (0) first, then cut in turn.
+CUTS = (0, 16, 4, 1)
+#: One document in so many is looked at to find the anchors of very many runs.
+LOOK = 16
+
+
+class Bounds(NamedTuple):
+    """What one task holds at once. The result is the same for all values.
+
+    crowd: runs of an anchor beyond which they are cut as the second of CUTS says; as the third and fourth beyond
+    256 and 4,096 times as many. key_bytes: pieces of one key beyond which these are cut again. array_bytes: one
+    suffix array, about. hot: runs of an anchor among the documents looked at, beyond which its runs are
+    salted.
+    """
+
+    crowd: int = 4096
+    key_bytes: int = 1 << 20
+    array_bytes: int = 1 << 19
+    hot: int = 256
+
+    def cut(self, crowd: int) -> int:
+        return CUTS[sum(crowd > self.crowd * times for times in (1, 1 << 8, 1 << 12))]
 
 
 # -- runs of windows
@@ -81,6 +105,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
     return doc[first], start[first], np.append(reach[first[1:] - 1], reach[-1]) - number[first]
 
 
+_RUN_SQL = "anchor long, same long, id long, place long"
 _RUN = pa.schema([("anchor", pa.int64()), ("same", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
 
 
@@ -177,11 +202,12 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int = LENGTH) ->
 
 
 def _repeats(pieces: list):
-    """Spans of the windows of ``pieces`` (id, start, bytes) that also start earlier in one of them."""
-    ids, starts = (np.array([p[i] for p in pieces], np.int64) for i in range(2))
-    text = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
-    ends = np.cumsum([len(p[2]) for p in pieces])
-    begin = ends - [len(p[2]) for p in pieces]
+    """Spans of the windows of ``pieces`` that also start earlier in one of them."""
+    ids, starts = np.array([p.id for p in pieces], np.int64), np.array([p.start for p in pieces], np.int64)
+    text = np.frombuffer(b"".join(p.data for p in pieces), np.uint8)
+    sizes = np.array([len(p.data) for p in pieces])
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
     order = suffix_array(text)
     piece = np.searchsorted(ends, order, "right")
     whole = order + LENGTH <= ends[piece]
@@ -195,52 +221,126 @@ def _repeats(pieces: list):
     return _merged(ids[piece][again], start[again], start[again] + LENGTH)
 
 
-def _spans_batch(doc, start, end) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["id", "start", "end"])
+# -- pieces
 
 
-def _array_spans(batches):
-    """Pieces come by key; those of one key go into the same array."""
-    pieces, size, last = [], 0, None
-    for batch in batches:
-        for key, doc, start, data in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "start", "piece"))):
-            if size >= ARRAY_BYTES and key != last:
-                yield _spans_batch(*_repeats(pieces))
-                pieces, size = [], 0
-            pieces.append((doc, start, data))
-            size, last = size + len(data), key
-    if pieces:
-        yield _spans_batch(*_repeats(pieces))
+class Piece(NamedTuple):
+    """Windows in a row, with their bytes; ``ahead``: where in the first one the anchor stands."""
+
+    cut: int
+    key: int
+    id: int
+    start: int
+    ahead: int
+    data: bytes
+
+
+def _cut_pieces(piece: Piece, cut: int):
+    """Windows are equal only if the anchor stands at the same place in them: groups of ``cut`` such places, each
+    dealt by the bytes that all of its windows hold."""
+    low, n = 0, len(piece.data) - LENGTH + 1
+    while low < n:
+        group = (piece.ahead - low) // cut
+        front = piece.ahead - group * cut
+        high = min(front + 1, n)
+        shared = piece.data[front : front - cut + 1 + LENGTH]
+        key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([group])).digest(), "little", signed=True)
+        yield Piece(cut, key, piece.id, piece.start + low, piece.ahead - low, piece.data[low : high - 1 + LENGTH])
+        low = high
+
+
+def _distinct(pieces):
+    """The first of equal pieces, and the spans (id, start, end) of the others."""
+    first, spans = {}, []
+    for piece in pieces:
+        # cut alike and with the same key and bytes, the anchor's place is the same
+        like = piece.cut, piece.key, piece.data
+        other = first.setdefault(like, piece)
+        if other is not piece:
+            if (piece.id, piece.start) < (other.id, other.start):
+                first[like], piece = piece, other
+            spans.append((piece.id, piece.start, piece.start + len(piece.data)))
+    return list(first.values()), spans
+
 
+_PIECE = pa.schema([("cut", pa.int32()), ("key", pa.int64()), ("id", pa.int64()), ("start", pa.int64()), ("ahead", pa.int32()), ("data", pa.binary())])
+#: Pieces have no end; spans have one, no bytes, and their id as key.
+_FOUND = pa.schema([*_PIECE, ("end", pa.int64())])
+_FOUND_SQL = "cut int, key long, id long, start long, ahead int, data binary, end long"
 
-def _pieces(batches):
-    """Cut the wanted runs out of the texts."""
+
+def _pieces_batch(pieces, spans) -> pa.RecordBatch:
+    rows = [(*p, None) for p in pieces] + [(-1, doc, doc, start, None, None, end) for doc, start, end in spans]
+    columns = zip(*rows) if rows else [()] * len(_FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
+
+
+def _spans_batch(doc, start, end) -> pa.RecordBatch:
+    none = {f.name: pa.nulls(len(doc), f.type) for f in _FOUND}
+    found = {**none, "key": pa.array(doc, pa.int64()), "id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())}
+    return pa.RecordBatch.from_arrays([found[f.name] for f in _FOUND], schema=_FOUND)
+
+
+def _pieces(batches, bounds: Bounds):
+    """The wanted runs with their bytes, cut if their anchor has too many."""
     for rows, data, offsets in steps(batches):
         whole = data.tobytes()
-        keys, ids, starts, out = [], [], [], []
+        uncut, cut = [], []
         for i, (doc, wanted) in enumerate(zip(rows.column("id").to_pylist(), rows.column("wanted").to_pylist())):
-            text = whole[offsets[i] : offsets[i + 1]]
             for run in wanted:
                 start, n, ahead = run["place"] >> 16, run["place"] >> 8 & 255, run["place"] & 255
-                if run["crowd"] <= CROWD:
-                    cuts = [(run["anchor"], start, start + n)]
+                low = int(offsets[i]) + start
+                piece = Piece(0, run["anchor"], doc, start, ahead, whole[low : low + n - 1 + LENGTH])
+                size = bounds.cut(run["crowd"])
+                if size:
+                    cut.extend(_cut_pieces(piece, size))
                 else:
-                    # windows are equal only if the anchor stands at the same place in them: groups of CUT such
-                    # places, each dealt by the bytes that all of its windows hold
-                    anchor, cuts, low = start + ahead, [], start
-                    while low < start + n:
-                        group = (anchor - low) // CUT
-                        high = min(anchor - group * CUT + 1, start + n)
-                        shared = text[anchor - group * CUT : anchor - (group + 1) * CUT + 1 + LENGTH]
-                        key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, salt=bytes([group])).digest(), "little", signed=True)
-                        cuts.append((key, low, high))
-                        low = high
-                for key, low, high in cuts:
-                    keys.append(key)
-                    ids.append(doc)
-                    starts.append(low)
-                    out.append(text[low : high - 1 + LENGTH])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(out, pa.binary())], names=["key", "id", "start", "piece"])
+                    uncut.append(piece)
+        cut, spans = _distinct(cut)
+        yield _pieces_batch(uncut + cut, spans)
+
+
+def _array_spans(batches, bounds: Bounds):
+    """Pieces come in the order of cut, key, id and start; those of one key go into the same array. A key with too
+    many gives none of its spans: its pieces are handed back, cut again. Pieces of one window with the same key are
+    equal, so the first stands for all before. Spans are handed on."""
+    pieces, size = [], 0
+    own, own_size, last, crowded = [], 0, None, False
+
+    def again():
+        return _pieces_batch(*_distinct(part for p in own for part in _cut_pieces(p, CUTS[CUTS.index(p.cut) + 1])))
+
+    for batch in batches:
+        is_span = batch.column("end").is_valid()
+        yield batch.filter(is_span)
+        batch = batch.filter(pc.invert(is_span))
+        for piece in map(Piece._make, zip(*(batch.column(f.name).to_pylist() for f in _PIECE))):
+            if last != (piece.cut, piece.key):
+                if crowded:
+                    yield again()
+                else:
+                    pieces += own
+                    size += own_size
+                own, own_size, last, crowded = [], 0, (piece.cut, piece.key), False
+                if size >= bounds.array_bytes:
+                    yield _spans_batch(*_repeats(pieces))
+                    pieces, size = [], 0
+            own.append(piece)
+            own_size += len(piece.data)
+            if own_size >= bounds.key_bytes and len(own) > 1:
+                if piece.cut == CUTS[-1]:
+                    yield _spans_batch(*_repeats(own))
+                    own = own[:1]
+                else:
+                    yield again()
+                    own, crowded = [], True
+                own_size = sum(len(p.data) for p in own)
+    if crowded:
+        yield again()
+    else:
+        pieces += own
+    if pieces:
+        yield _spans_batch(*_repeats(pieces))
 
 
 # -- the whole
@@ -263,19 +363,49 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return ordered.select("id", "text").where("id is not null"), ordered.select("id", "doc_id")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def _hot_anchors(docs: DataFrame, bounds: Bounds) -> DataFrame:
+    """``anchor, crowd``: anchors that have very many runs in the documents looked at, and an estimate for all.
+
+    An anchor here has one in 65,536 of the runs looked at, so there are at most as many. It is only
+    dealt otherwise: no row depends on what is found here.
+    """
+    looked = docs.where(F.pmod(F.xxhash64("id", F.lit("look")), F.lit(LOOK)) == 0).select("id", "text").mapInArrow(_all_runs, _RUN_SQL)
+    counts = stored(looked.where("same is not null").groupBy("anchor").agg(F.count("*").alias("n")), "anchor_counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.where(F.col("n") > max(bounds.hot, total >> 16)).select("anchor", (F.col("n") * LOOK).alias("hot"))
+
+
+def _settled(pieces: DataFrame, bounds: Bounds) -> DataFrame:
+    """Spans of the pieces' windows; the pieces of too large keys are cut and dealt again, for each of CUTS at most."""
+    parts, spans = shuffle_partitions(pieces.sparkSession), []
+    for _ in CUTS:
+        pieces = pieces.repartition(parts, "cut", "key").sortWithinPartitions("cut", "key", "id", "start")
+        found = stored(pieces.mapInArrow(lambda batches: _array_spans(batches, bounds), _FOUND_SQL), "piece_spans")
+        spans.append(found.where("end is not null").select("id", "start", "end"))
+        pieces = found.where("end is null")
+        if pieces.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, spans)
+
+
+def repeated_spans(docs: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """``id, start, end`` of bytes that a window covers which also starts earlier; spans may overlap.
 
     ``docs`` has one row per ``id`` (``id, text``), none null.
     """
-    runs = docs.select("id", "text").mapInArrow(_all_runs, "anchor long, same long, id long, place long")
+    parts = shuffle_partitions(docs.sparkSession)
+    runs = docs.select("id", "text").mapInArrow(_all_runs, _RUN_SQL)
     is_span = F.col("same").isNull()
     runs = runs.select(F.when(is_span, F.xxhash64("id")).otherwise(F.col("anchor")).alias("anchor"), "same", "id",
                        F.when(is_span, F.col("anchor")).alias("end"), "place")
-    equal, by_anchor = Window.partitionBy("anchor", "same"), Window.partitionBy("anchor")
-    runs = runs.repartition(shuffle_partitions(docs.sparkSession), "anchor")
+    # the runs of a hot anchor are salted by their bytes, so equal ones still meet
+    runs = runs.join(F.broadcast(_hot_anchors(docs, bounds)), "anchor", "left")
+    runs = runs.withColumn("salt", F.when(F.col("hot").isNull() | F.col("same").isNull(), 0).otherwise(F.pmod("same", F.lit(parts))).cast("int"))
+    equal, by_anchor = Window.partitionBy("anchor", "salt", "same"), Window.partitionBy("anchor", "salt")
+    runs = runs.repartition(parts, "anchor", "salt")
     runs = runs.withColumn("first", F.min(F.struct("id", "place")).over(equal))
-    runs = runs.withColumns({"kinds": F.min("same").over(by_anchor) != F.max("same").over(by_anchor), "crowd": F.count("same").over(by_anchor)})
+    runs = runs.withColumns({"kinds": (F.min("same").over(by_anchor) != F.max("same").over(by_anchor)) | F.col("hot").isNotNull(),
+                             "crowd": F.coalesce("hot", F.count("same").over(by_anchor))})
     again = F.col("first") != F.struct("id", "place")
     found = runs.select("anchor", "id", "place", "end", "crowd", F.col("same").isNull().alias("is_span"), again.alias("again"), "kinds")
     found = stored(found.where("is_span or again or kinds"), "runs")
@@ -283,9 +413,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     start = F.shiftright("place", 16)
     spans = spans.unionByName(found.where("not is_span and again").select("id", start.alias("start"), (start + F.shiftright("place", 8) % 256 - 1 + LENGTH).alias("end")))
     wanted = found.where("not is_span and not again and kinds").groupBy("id").agg(F.collect_list(F.struct("anchor", "place", "crowd")).alias("wanted"))
-    pieces = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(_pieces, "key long, id long, start long, piece binary")
-    pieces = pieces.repartition(shuffle_partitions(docs.sparkSession), "key").sortWithinPartitions("key")
-    return spans.unionByName(pieces.mapInArrow(_array_spans, "id long, start long, end long"))
+    pieces = docs.join(wanted, "id").select("id", "text", "wanted").mapInArrow(lambda batches: _pieces(batches, bounds), _FOUND_SQL)
+    return spans.unionByName(_settled(pieces, bounds))
 
 
 def _cut(batches, with_kept: bool):
@@ -308,7 +437,7 @@ def _cut(batches, with_kept: bool):
         yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, with_kept: bool = False, bounds: Bounds = Bounds()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for each row of ``docs`` (``doc_id, text``); with
     ``with_kept`` also ``kept``, the bytes that stay.
 
@@ -320,7 +449,7 @@ def without_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     texts, names = _numbered(docs)
     # texts meet their wanted runs and later their spans in two joins on id, which read one shuffle of them
-    spans = repeated_spans(texts).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(texts, bounds).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     out = texts.join(spans, "id", "left").select("id", "text", "spans").mapInArrow(
         lambda batches: _cut(batches, with_kept), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     out = out.withColumnRenamed("id", "doc_id") if names is None else out.join(names, "id").select("doc_id", *out.columns[1:])

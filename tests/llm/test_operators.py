@@ -73,31 +73,53 @@ def test_repeated_passages(spark, docs):
 
 
 def test_repeated_passages_keeps_bytes(spark):
-    own = frame(spark, [(1, "ab" * 80), (2, "z" + "ab" * 70)], "doc_id long, text string")
-    kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.without_repeats(own, with_kept=True).collect()}
-    assert kept == {1: b"ab", 2: b"z"} or hashlib.sha256(kept[2]).hexdigest() == brute.repeats([(1, "ab" * 80), (2, "z" + "ab" * 70)])[1][4]
-
-
-def test_crowded_anchors_are_cut(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", 0)
-    own = [(i, f"{'pre' * (i % 4)} {i} {PASSAGE} {i % 3} {PASSAGE[:200]}") for i in range(12)]
-    runs = [(i, t.encode()) for i, t in own]
-    batch = suffix_dedup.pa.RecordBatch.from_pydict({"id": [i for i, _ in own], "text": [t for _, t in own]})
-    pieces = []
-    for part in suffix_dedup._all_runs([batch]):
-        wanted = {}
-        for r in part.to_pylist():
-            if r["same"] is not None:
-                wanted.setdefault(r["id"], []).append({"anchor": r["anchor"], "place": r["place"], "crowd": 1})
-        full = suffix_dedup.pa.RecordBatch.from_pydict({"id": [i for i, _ in own], "text": [t for _, t in own], "wanted": [wanted.get(i, []) for i, _ in own]})
-        for out in suffix_dedup._pieces([full]):
-            pieces += out.to_pylist()
-    keys = {}
-    for p in pieces:  # every window stands in a piece, and equal windows get equal keys
-        data = dict(runs)[p["id"]]
-        assert data[p["start"] : p["start"] + len(p["piece"])] == p["piece"]
-        for k in range(len(p["piece"]) - 99):
-            assert keys.setdefault(p["piece"][k : k + 100], p["key"]) == p["key"]
+    own = [(1, "ab" * 80), (2, "z" + "ab" * 70)]
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.without_repeats(frame(spark, own, "doc_id long, text string"), with_kept=True).collect()}
+    # the first 100 bytes of each kind of window stand once in document 1: only its first 2 windows are new
+    assert kept == {1: b"ab", 2: b"z"}
+    assert [hashlib.sha256(kept[i]).hexdigest() for i in (1, 2)] == [r[4] for r in brute.repeats(own)]
+
+
+LINE = "one line of ninety bytes that stands in every document of the corpus, between other words."
+
+
+@pytest.mark.parametrize("bounds", [(0, 1 << 20, 1 << 19, 256), (0, 400, 200, 0), (2, 3000, 900, 1), (1 << 30, 2000, 500, 256)])
+def test_repeated_passages_with_hot_lines(spark, bounds):
+    """Runs cut at once, keys cut again down to single windows, salted anchors: the same rows in every way."""
+    rng = np.random.default_rng(11)
+    around = ["".join(rng.choice(list("abcdefgh "), 60)) for _ in range(9)]
+    own = [(i, f"{around[i % 9]}{i % 7}{LINE}{i % 5}{around[i % 4]} {i % 3} {PASSAGE[: 40 * (i % 6)]}") for i in range(150)]
+    own += [(150, None), (151, ""), (152, LINE * 4), (153, "a" * 500), (154, "a" * 700)]
+    found = suffix_dedup.without_repeats(frame(spark, own, "doc_id long, text string"), bounds=suffix_dedup.Bounds(*bounds))
+    assert rows(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(brute.repeats(own))
+
+
+def test_a_hot_line_does_not_fill_a_task():
+    """One line of 90 bytes in 30,000 different contexts: no array grows with their number."""
+    import tracemalloc
+
+    bounds, rng = suffix_dedup.Bounds(), np.random.default_rng(5)
+    front, back = (rng.integers(97, 123, (30_000, 30), np.uint8) for _ in range(2))
+    cut = [part for i in range(30_000) for part in suffix_dedup._cut_pieces(
+        suffix_dedup.Piece(0, 7, i, 0, 55, front[i].tobytes() + LINE.encode() + back[i].tobytes()), 16)]
+    names = suffix_dedup._PIECE.names
+    for finer in (4, 1, None):
+        cut.sort()
+        held = [suffix_dedup.pa.RecordBatch.from_pylist([dict(zip(names, p)) for p in cut[k : k + 10_000]], suffix_dedup._FOUND) for k in range(0, len(cut), 10_000)]
+        tracemalloc.start()
+        spans, cut, peak = 0, [], 0
+        for out in suffix_dedup._array_spans(held, bounds):
+            peak = max(peak, tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            found = out.to_pylist()
+            spans += sum(r["end"] is not None for r in found)
+            cut += [suffix_dedup.Piece(*(r[n] for n in names)) for r in found if r["end"] is None]
+            tracemalloc.start()
+        tracemalloc.stop()
+        assert peak < 200 << 20
+        assert all(p.cut == finer for p in cut)
+        if not cut:
+            break
 
 
 # -- 2
