@@ -133,6 +133,20 @@ def test_decontamination(spark, docs):
     assert kept == ordered([(d, t) for d, t in DOCS if not brute.contaminated(t, ITEMS)[4]])
 
 
+@pytest.mark.parametrize("pairs", [0, 1, 32])
+def test_decontamination_of_frequent_fingerprints(spark, pairs):
+    """A k-gram in many surroundings, paired or joined by windows: the same rows."""
+    rng = np.random.default_rng(2)
+    some = [f"w{i}" for i in range(6)]
+    common = "the same five words again".split()
+    texts = [" ".join([*rng.choice(some, 7), *common, *rng.choice(some, 7), *common[: i % 5]]) for i in range(60)]
+    items = [(i, " ".join(t.split()[i % 4 : 12 + i % 7])) for i, t in enumerate(texts[:40])] + [(90, "a a a a a a a a a a a"), (91, "w1 w2"), (None, texts[41])]
+    own = [(i, f"{t} {texts[-i]}") for i, t in enumerate(texts)] + [(70, "a " * 40), (71, None)]
+    found = decontaminate.contamination(frame(spark, own, "doc_id long, text string"), frame(spark, items, "item_id long, text string"), pairs=pairs)
+    wanted = [(i, *brute.contaminated(t, items)) for i, t in own]
+    assert rows(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == ordered(wanted)
+
+
 def test_decontamination_with_an_empty_side(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs, none).where("contaminated").count() == 0
