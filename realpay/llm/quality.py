@@ -29,6 +29,8 @@ SPACE, CAPITAL, DIGIT, BEYOND, MARK, SIGN, DROPPED = 26, 27, 28, 29, 30, 31, 255
 TRUSTED = 20_000
 #: Quantile of the trusted documents' scores, by language, up to which a document passes.
 QUANTILE = 0.995
+#: Documents below which a language's quantile is the maximum of its scores.
+FEW = 200
 #: Bits that a text may need beyond its language's threshold, however short it is: without them, 12 of the 3,027 clean
 #: documents of sf0.1 are lost that have under 40 characters, with them 4 more of the 953 others stay.
 SLACK = 16
@@ -292,30 +294,44 @@ def _scored(rows: DataFrame, model: DataFrame) -> DataFrame:
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """``doc_id, trains``: documents that every label of theirs calls good and none toxic.
 
-    Half of them, by hash, may train the model; the other half sets the thresholds.
+    Of the half with even hashes the TRUSTED with the least hashes train the model; all others set the thresholds.
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return good.where("quality = 1 and toxic = 0").select("doc_id", (F.xxhash64("doc_id") % 2 == 0).alias("trains"))
+    trusted = stored(good.where("quality = 1 and toxic = 0").select("doc_id"), "trusted")
+    sample = trusted.where(F.xxhash64("doc_id") % 2 == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
+    sample = F.broadcast(stored(sample, "sample").withColumn("trains", F.lit(True)))
+    return trusted.join(sample, "doc_id", "left").select("doc_id", F.coalesce("trains", F.lit(False)).alias("trains"))
 
 
 def thresholds(scores: DataFrame, trusted: DataFrame) -> DataFrame:
     """``lang, threshold, worst_threshold`` from the trusted documents that did not train the model: quantiles of
-    ``bits`` and ``worst`` over all of them, on scores rounded up to 0.01."""
+    ``bits`` and ``worst`` over all of them, on scores rounded up to 0.01.
+
+    With fewer than FEW documents of a language its quantile is their maximum; what they lack of FEW is made up for by
+    the quantile of all languages, where that is higher.
+    """
     own = scores.where("size > 0").join(trusted.where("not trains"), "doc_id", "left_semi")
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.ceil(F.col(c) * 100).alias("bin")) for c in ("bits", "worst"))))
-    bins = own.select("lang", each.alias("x")).groupBy("lang", "x.of", "x.bin").agg(F.count("*").alias("n"))
-    within = "over (partition by lang, of"
-    ranked = bins.select("lang", "of", "bin", F.expr(f"sum(n) {within} order by bin)").alias("upto"), F.expr(f"sum(n) {within})").alias("total"))
-    at = ranked.where(F.col("upto") >= QUANTILE * F.col("total")).groupBy("lang", "of").agg((F.min("bin") / 100).alias("at"))
-    limit = lambda c: F.max(F.when(F.col("of") == c, F.col("at")))
-    return at.groupBy("lang").agg(limit("bits").alias("threshold"), limit("worst").alias("worst_threshold"))
+    bins = stored(own.select("lang", each.alias("x")).groupBy("lang", "x.of", "x.bin").agg(F.count("*").alias("n")), "score_bins")
+    by_lang = _quantiles(bins, "lang", "of")
+    pooled = _quantiles(bins.groupBy("of", "bin").agg(F.sum("n").alias("n")), "of").select("of", F.col("at").alias("pooled"))
+    lacks = F.greatest(F.lit(0), FEW - F.col("total")) / FEW
+    at = F.ceil((F.col("at") + lacks * F.greatest(F.lit(0.0), F.col("pooled") - F.col("at"))) * 100) / 100
+    limit = lambda c: F.max(F.when(F.col("of") == c, at))
+    return by_lang.join(F.broadcast(pooled), "of").groupBy("lang").agg(limit("bits").alias("threshold"), limit("worst").alias("worst_threshold"))
+
+
+def _quantiles(bins: DataFrame, *keys: str) -> DataFrame:
+    """``keys, total, at``: rows and QUANTILE of each group of ``bins`` (``keys, bin, n``)."""
+    within = f"over (partition by {', '.join(keys)}"
+    ranked = bins.select(*keys, "bin", F.expr(f"sum(n) {within} order by bin)").alias("upto"), F.expr(f"sum(n) {within})").alias("total"))
+    return ranked.where(F.col("upto") >= QUANTILE * F.col("total")).groupBy(*keys).agg(F.max("total").alias("total"), (F.min("bin") / 100).alias("at"))
 
 
 def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The scores of all rows of ``docs``, each with its :func:`_key`, the thresholds and ``keep``."""
-    trusted = stored(trusted_ids(labels), "trusted")
-    sample = trusted.where("trains").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select("doc_id", F.lit(True).alias("trains"))
-    sample = F.broadcast(stored(sample, "sample"))
+    trusted = stored(trusted_ids(labels), "split")
+    sample = F.broadcast(trusted.where("trains"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = probabilities(rows.join(sample, "doc_id", "left").select("text", F.coalesce("trains", F.lit(False)).alias("trains")))
     rows = docs.select(_key(docs).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["lang"], F.lit("")).alias("lang"), "text")

@@ -435,6 +435,38 @@ def test_tokens_are_those_of_the_tokenizers_file():
         assert packing.token_ids(text or "").tolist() == own.encode(text or "", add_special_tokens=False).ids
 
 
+def packed(sizes, window, most):
+    """Lengths of the pieces of each full window, and what is left open: best fit into ``most`` windows."""
+    full, open_ = [], []
+    for size in sizes:
+        full += [[window]] * (size // window)
+        size %= window
+        while size:
+            fits = [w for w in open_ if window - sum(w) >= size]
+            if not fits and len(open_) < most:
+                open_.append([])
+                fits = open_[-1:]
+            own = max(fits or open_, key=sum)
+            own.append(min(size, window - sum(own)))
+            size -= own[-1]
+            if sum(own) == window:
+                full.append(own)
+                open_ = [w for w in open_ if w is not own]
+    return full, sum(map(sum, open_))
+
+
+def test_one_partition_is_packed_by_best_fit(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i, " a" * int(n)) for i, n in enumerate(rng.integers(0, 90, 300))] + [(999, " a" * 5_000)]
+    full, left = packed([len(packing.token_ids(t)) + 1 for _, t in docs], 64, 3)
+    by_sequence = {}
+    for p in sorted(packing.pack(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), window=64, open_windows=3).collect(), key=lambda p: p["offset"]):
+        by_sequence.setdefault(p["sequence_id"], []).append(p["length"])
+    last = left // 64 + (left % 64).bit_count()
+    in_order = [lengths for _, lengths in sorted(by_sequence.items())]
+    assert in_order[: len(full)] == full and sum(map(sum, in_order[len(full) :])) == left and len(in_order) - len(full) == last
+
+
 def test_packing_round_trip(spark, docs, no_docs):
     pieces = packing.pack(docs, with_ids=True).cache()
     found = pieces.collect()

@@ -63,6 +63,29 @@ def test_bad_words_in_good_prose_are_found(spark, monkeypatch):
         assert r["keep"] == sent[r["doc_id"]]["keep"]
 
 
+def test_thresholds_are_quantiles_of_all_that_did_not_train(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRUSTED", 40)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1200)] + [(5, 1, 1), (6, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    trains = {r["doc_id"]: r["trains"] for r in quality.trusted_ids(labels).collect()}
+    assert sorted(trains) == [i for i in range(1200) if i not in (5, 6)] and sum(trains.values()) == 40
+    rng = np.random.default_rng(4)
+    rows = [(i, "few" if i % 40 == 0 else "many", int(i % 7 > 0), *rng.gamma(3, 2, 2).tolist()) for i in range(1300)]
+    scores = spark.createDataFrame(rows, "doc_id long, lang string, size long, bits double, worst double")
+    found = {r["lang"]: (r["threshold"], r["worst_threshold"]) for r in quality.thresholds(scores, quality.trusted_ids(labels)).collect()}
+
+    def at(values):  # the least score, rounded up, with QUANTILE of all not above it
+        values = sorted(np.ceil(np.array(values) * 100).astype(int).tolist())
+        return values[int(np.ceil(quality.QUANTILE * len(values))) - 1] / 100
+
+    held = [r for r in rows if r[2] and not trains.get(r[0], True)]
+    assert {r[1] for r in held} == {"few", "many"} == set(found)
+    for column in (0, 1):
+        many, few, pooled = (at([r[3 + column] for r in held if r[1] in langs]) for langs in ({"many"}, {"few"}, {"few", "many"}))
+        assert found["many"][column] == many
+        n = sum(r[1] == "few" for r in held)
+        assert abs(found["few"][column] - (few + (1 - n / quality.FEW) * max(0, pooled - few))) <= 0.0101
+
+
 def test_large_model_is_kneser_ney(spark):
     texts = ["The cat sat on the mat.", "The dog, 12 of them; été!", "aaaa bbbb the cat", ""]
     others = ["The cat ate 漢字", "zz Z9"]
