@@ -1,30 +1,38 @@
 """Web archives: records written and read back, and their index in global order.
 
 Spark writes a record per page, as text files whose line separator is the blank lines that end a WARC record.
-Every archive file that is read back gives a run of index entries sorted by URL key and time. Runs are dealt
-to ranges of keys, and each range merges its runs with a loser tree (Knuth, vol. 3, 5.4.1).
+Every archive file that is read back gives a run of index entries sorted by URL key and time. The runs are stored
+and dealt to ranges of keys, and each range merges its pieces of runs with a loser tree (Knuth, vol. 3, 5.4.1).
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
+from itertools import batched, groupby, pairwise
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from realpay.llm import urls
 from realpay.llm.tables import new_path, shuffle_partitions, stored
+from realpay.llm.textbytes import column_bytes
 
 #: Payloads of fewer bytes are always stored.
 LEAST_BYTES = 100
-#: Records of one archive file, at most; a file is read by one task.
+#: Records of one archive file, at most; a file is read by one task, as a stream.
 FILE_RECORDS = 2_000
-#: Index entries that one range merges, about.
-RANGE_ROWS = 500_000
+#: Index entries that one range merges, about; a task holds them as Arrow columns.
+RANGE_ROWS = 100_000
+#: Entries of a run whose keys are unpacked at once.
+STEP_ROWS = 256
+#: Payload bytes of read records that are handed on at once, about.
+OUT_BYTES = 8 << 20
 #: Fixed values of the format.
 CRLF = "\r\n"
+VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:page:"
 #: 2024-01-01, the time of page 0; page n is taken n seconds later, where no time is given.
@@ -54,7 +62,7 @@ def records(pages: DataFrame) -> DataFrame:
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size"), F.lit(CRLF * 2))
     length = F.octet_length(http) + F.when(again, 0).otherwise(F.col("size"))
     lines = [
-        F.lit("WARC/1.1"),
+        F.lit(VERSION),
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
         F.concat(F.lit(f"WARC-Record-ID: <{RECORD_ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
         F.concat(F.lit("WARC-Date: "), _utc(capture_time(F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
@@ -73,22 +81,67 @@ def write_archives(pages: DataFrame, path: str) -> None:
     records(pages).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def parse(data: bytes):
-    """(offset, length, headers, block) of each record of an archive."""
+def parse(data: bytes, whole: bool = True):
+    """(offset, length, headers, block) of each record of an archive.
+
+    Without ``whole``, ``data`` may end inside a record, which is left out.
+    """
     at = 0
     while at < len(data):
-        body = data.index(b"\r\n\r\n", at) + 4
-        head = data[at : body - 4].decode().split("\r\n")
-        if not head[0].startswith("WARC/"):
+        body = data.find(b"\r\n\r\n", at) + 4
+        if body < 4 and not whole:
+            return
+        head = data[at : max(body, at + 4) - 4].decode().split("\r\n")
+        if body < 4 or not head[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         fields = dict(line.split(": ", 1) for line in head[1:])
         end = body + int(fields["Content-Length"])
+        if end + 4 > len(data) and not whole:
+            return
         if data[end : end + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} does not end where its length says")
         yield at, end + 4 - at, fields, data[body:end]
         at = end + 4
 
 
+def _lines(batches):
+    """(file, whole lines as bytes). A file is named on the first line of each record, so on its own first line too."""
+    file = None
+    for batch in batches:
+        low = 0
+        for at in np.flatnonzero(batch.column("file").is_valid()).tolist():
+            name = batch.column("file")[at].as_py()
+            if name != file:
+                if at > low:
+                    yield file, _joined(batch.column("value").slice(low, at - low))
+                low, file = at, name
+        yield file, _joined(batch.column("value").slice(low))
+
+
+def _joined(lines: pa.Array) -> bytes:
+    data, offsets = column_bytes(lines)
+    return np.insert(data, offsets[1:], 10).tobytes()
+
+
+def _records(lines):
+    """(file, offset, length, headers, block) of each record of ``lines``. Holds the lines of one step and one record."""
+    for file, own in groupby(lines, key=itemgetter(0)):
+        parts, held, need, at = [], 0, 0, 0
+        for _, piece in own:
+            parts.append(piece)
+            held += len(piece)
+            if held < need:
+                continue
+            data, used = b"".join(parts), 0
+            for offset, length, fields, block in parse(data, whole=False):
+                yield file, at + offset, length, fields, block
+                used = offset + length
+            parts, held, at = [data[used:]], len(data) - used, at + used
+            need = 2 * held  # a long record is joined a few times only
+        for offset, length, fields, block in parse(b"".join(parts)):
+            yield file, at + offset, length, fields, block
+
+
 def _page(reference: str | None) -> int | None:
     number = (reference or "").strip("<>").removeprefix(RECORD_ID)
     return int(number) if number else None
@@ -100,43 +153,51 @@ _SQL = ", ".join(f"{n} {({pa.int64(): 'long', pa.binary(): 'binary'}).get(t, 'st
 
 
 def _read(batches, with_payload: bool):
-    for batch in batches:
-        for file, content in zip(batch.column("path"), batch.column("content")):
-            content = content.as_py()
-            data, out = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, []
-            for offset, length, fields, block in parse(data):
-                head, _, payload = block.partition(b"\r\n\r\n")
-                kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                size = int(dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])["Content-Length"])
-                if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"{file}: the payload at byte {offset} is not what its digest says")
-                out.append((file.as_py(), offset, length, _page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Date"],
-                            kind, _page(fields.get("WARC-Refers-To")), size, digest, payload if with_payload and kind == "response" else None))
-            for low in range(0, len(out), 500):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[low : low + 500]], t) for i, (_, t) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
+    out, held = [], 0
+    for file, offset, length, fields, block in _records(_lines(batches)):
+        head, _, payload = block.partition(b"\r\n\r\n")
+        kind, digest = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
+        size = int(dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])["Content-Length"])
+        if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError(f"{file}: the payload at byte {offset} is not what its digest says")
+        payload = payload if with_payload and kind == "response" else None
+        out.append((file, offset, length, _page(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), fields["WARC-Date"],
+                    kind, _page(fields.get("WARC-Refers-To")), size, digest, payload))
+        held += len(payload or b"")
+        if len(out) == 500 or held >= OUT_BYTES:
+            yield _batch(out)
+            out, held = [], 0
+    if out:
+        yield _batch(out)
+
+
+def _batch(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_FIELDS)], names=[n for n, _ in _FIELDS])
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archive files in ``path``: where each stands, its fields, and a response's payload.
+    """The records of all compressed archive files in ``path``: where each stands, its fields, and a response's payload.
 
-    The place counts bytes of the uncompressed file. Length and digest of every response are checked.
+    The place counts bytes of the uncompressed file. Length and digest of every response are checked. A file is
+    read line by line, so it may be of any size; a task holds its longest record.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(lambda batches: _read(batches, with_payload), _SQL)
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*.gz").text(path)
+    named = F.when(F.col("value") == VERSION + "\r", F.col("_metadata.file_path"))
+    return lines.select("value", named.alias("file")).mapInArrow(lambda batches: _read(batches, with_payload), _SQL)
 
 
 class LoserTree:
     """Merges sorted runs of (key, row): each inner node keeps the loser of the match below it, the winner goes up."""
 
-    def __init__(self, runs: list[list]):
-        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
+    def __init__(self, runs: list):
+        self.runs, self.k = [iter(run) for run in runs], len(runs)
+        self.heads = [next(run, None) for run in self.runs]
         self.losers = [-1] * self.k
         self.winner = self._play(1) if self.k > 1 else 0
 
     def _wins(self, a: int, b: int) -> bool:
-        if self.at[b] == len(self.runs[b]):
-            return True
-        return self.at[a] < len(self.runs[a]) and (self.runs[a][self.at[a]][0], a) < (self.runs[b][self.at[b]][0], b)
+        one, other = self.heads[a], self.heads[b]
+        return other is None or one is not None and (one[0], a) < (other[0], b)
 
     def _play(self, node: int) -> int:
         """Play the matches below ``node`` and its own; nodes from k on are the runs."""
@@ -147,10 +208,10 @@ class LoserTree:
         return winner
 
     def __iter__(self):
-        while self.k and self.at[self.winner] < len(self.runs[self.winner]):
+        while self.k and (head := self.heads[self.winner]) is not None:
+            yield head[1]
             run = self.winner
-            yield self.runs[run][self.at[run]][1]
-            self.at[run] += 1
+            self.heads[run] = next(self.runs[run], None)
             node = (run + self.k) // 2
             while node:
                 if self._wins(self.losers[node], run):
@@ -162,27 +223,37 @@ class LoserTree:
 _ENTRY = ["urlkey", "captured", "page_id", "file", "position", "record_bytes", "record_type", "refers_to", "payload_bytes", "payload_digest"]
 
 
+def _entries(table: pa.Table, low: int, high: int):
+    """(key, row) of the rows from ``low`` to ``high``, a step unpacked at a time."""
+    for at in range(low, high, STEP_ROWS):
+        step = table.slice(at, min(STEP_ROWS, high - at))
+        for row, (urlkey, captured, page, file, position) in enumerate(zip(*(step.column(c).to_pylist() for c in _ENTRY[:5])), at):
+            yield (urlkey, captured, page is not None, page or 0, file, position), row
+
+
 def _merge(batches):
-    """Merge the runs of one range of keys. Pieces of a run that arrive out of order are put in order first."""
-    runs: dict[str, list] = {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for row in zip(*(column.to_pylist() for column in batch.columns)):
-            urlkey, captured, page, file, position = row[:5]
-            runs.setdefault(file, []).append(((urlkey, captured, page is not None, page or 0, position), row))
-    for run in runs.values():
-        run.sort(key=lambda entry: entry[0])
-    merged = list(LoserTree(list(runs.values())))
-    for low in range(0, len(merged), 2_000):
-        yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in merged[low : low + 2_000]], f.type) for i, f in enumerate(schema)], schema=schema)
+    """Merge what arrives of the runs for one range of keys. The pieces come one after another, each in its order; a new
+    one begins where the order breaks."""
+    batches = list(batches)
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches).combine_chunks()
+    del batches
+    starts, last = [], None
+    for key, row in _entries(table, 0, len(table)):
+        if last is None or key < last:
+            starts.append(row)
+        last = key
+    runs = [_entries(table, low, high) for low, high in pairwise([*starts, len(table)])]
+    for rows in batched(LoserTree(runs), 2_000):
+        yield from table.take(rows).combine_chunks().to_batches()
 
 
 def index(archived: DataFrame) -> DataFrame:
     """An entry for each record of :func:`read_archives`, in the order of URL key, time and page over all partitions.
 
-    The entries of each file are sorted first; these runs are then dealt to ranges of about RANGE_ROWS entries
-    and merged. Key, time and page together set the ranges, so one much captured key is split as well.
+    The entries of each file are sorted first and stored; these runs are then dealt to ranges of about RANGE_ROWS
+    entries, in their order, and merged. Key, time and page together set the ranges, so one much captured key is split as well.
     """
     captured = F.regexp_replace("captured", "[^0-9]", "")
     entries = archived.select(urls.sort_key(F.col("url")).alias("urlkey"), captured.alias("captured"), *_ENTRY[2:])

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -324,6 +325,43 @@ def test_index_is_in_global_order(spark):
     assert len(entries) == 500 and entries == sorted(entries)
 
 
+def test_long_records_come_back_in_pieces(spark):
+    pages = spark.createDataFrame([(i, "http://a.test/", "\n".join(["WARC/1.1\r", "\r", "x" * i] * 4_000)) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)  # a record is many batches
+    try:
+        back = warc.read_archives(spark, path).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in back} == {r["page_id"]: r["html"] for r in pages.collect()}
+    assert sorted(r["position"] for r in back) == np.cumsum([0] + [r["record_bytes"] for r in sorted(back, key=lambda r: r["position"])])[:-1].tolist()
+
+
+def test_archives_are_read_from_pieces_of_any_length():
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\na\r\n\r\nb\n\nc\r\n\r\n"
+    for size in (1, 2, 7, len(record), 1000):
+        data = record * 5
+        pieces = [("f", data[i : i + size]) for i in range(0, len(data), size)] + [("g", record)]
+        assert [(f, o, b) for f, o, _, _, b in warc._records(pieces)] == [("f", i * len(record), b"a\r\n\r\nb\n\nc") for i in range(5)] + [("g", 0, b"a\r\n\r\nb\n\nc")]
+    with pytest.raises(ValueError):
+        list(warc._records([("f", record[:-1]), ("g", record)]))
+
+
+def test_pieces_of_runs_are_merged():
+    rng = np.random.default_rng(3)
+    entries = [(f"k{rng.integers(20)}", "2024", None if rng.random() < 0.1 else int(rng.integers(9)), f"f{i % 3}", i, 1, "response", None, 1, "d") for i in range(3_000)]
+    key = lambda e: (e[0], e[1], e[2] is not None, e[2] or 0, e[3], e[4])
+    types = ["string", "string", "int64", "string", "int64", "int64", "string", "int64", "int64", "string"]
+    batches = []
+    for low in range(0, 3_000, 70):
+        piece = sorted(entries[low : low + 70], key=key)
+        batches.append(pa.RecordBatch.from_arrays([pa.array([e[i] for e in piece], getattr(pa, t)()) for i, t in enumerate(types)], names=warc._ENTRY))
+    merged = [tuple(r.values()) for batch in warc._merge(iter(batches)) for r in batch.to_pylist()]
+    assert merged == sorted(entries, key=key) and list(warc._merge(iter([]))) == []
+
+
 def test_loser_tree_merges():
     rng = np.random.default_rng(0)
     for k in (0, 1, 2, 3, 7, 8):
@@ -357,7 +395,7 @@ def test_top_k(spark):
         if q % 50 == 0:
             best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in fit if i != q and len(y) == len(x))[:5]
             want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
-    for shard in (16_384, 100):
+    for shard in (16_384, 100, 25):
         topk.SHARD_ROWS = shard
         try:
             assert rows(topk.top_k(df, F.col("vec_id") % 50 == 0), "query_id", "rank", "vec_id", "score") == sorted(want)
