@@ -2,23 +2,29 @@
 
 A shard's vectors are split into nested balls. For a query q, no vector in a ball of centre c and radius r has
 an inner product above q.c + |q| r. Nodes are visited in the order of that bound, and a node whose bound is
-under the query's current k-th score is left out with all below it. A first round asks one shard only; its
-k-th score is then shared with all other shards, which start from it.
+under the query's current k-th score is left out with all below it. A first round asks one shard only; each
+later one asks MORE times as many as all before, and starts from the k-th score that these have found.
 """
 
 from __future__ import annotations
 
 import heapq
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from realpay.llm.tables import stored
+from realpay.llm.tables import shuffle_partitions, stored
 
 #: Vectors of a shard, about; it holds one tree in memory.
 SHARD_ROWS = 16_384
+#: Vectors of a shard at least, where there are fewer shards than shuffle partitions.
+LEAST_ROWS = 4_096
+#: Shards asked up to a round, against those asked before it.
+MORE = 4
 LEAF_ROWS = 64
 #: Leaves whose products are computed at once.
 LEAVES = 16
@@ -103,30 +109,35 @@ def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def _search(batches, k: int):
-    """Rows come by shard: its vectors first, then the queries put to it."""
-    shard, ids, vectors, tree = None, [], [], None
+    """The rows of one shard: the vectors of a length first, then the queries of that length."""
+    width, ids, vectors, tree = None, [], [], None
     for batch in batches:
-        out = []
-        for own, is_query, i, x, floor in zip(*(batch.column(c).to_pylist() for c in ("shard", "is_query", "id", "x", "floor"))):
-            if own != shard:
-                shard, ids, vectors, tree = own, [], [], None
-            if not is_query:
-                ids.append(i)
-                vectors.append(np.array(x))
+        x, is_query, own_ids = batch.column("x"), batch.column("is_query").to_numpy(zero_copy_only=False), batch.column("id").to_numpy()
+        floors, at, flat = pc.fill_null(batch.column("floor"), -np.inf).to_numpy(), x.offsets.to_numpy(), x.values.to_numpy()
+        sizes, out = np.diff(at), []
+        cuts = np.flatnonzero((np.diff(sizes) != 0) | (np.diff(is_query.astype(np.int8)) != 0)) + 1
+        for low, high in pairwise([0, *cuts.tolist(), len(batch)] if len(batch) else []):
+            rows = flat[at[low] : at[high]].reshape(high - low, sizes[low])
+            if sizes[low] != width:
+                width, ids, vectors, tree = sizes[low], [], [], None
+            if not is_query[low]:
+                ids.append(own_ids[low:high])
+                vectors.append(rows)
                 continue
             if tree is None and vectors:
-                tree = BallTree(np.array(vectors), np.array(ids))
+                tree = BallTree(np.concatenate(vectors), np.concatenate(ids))
                 vectors = []
             if tree is not None:
-                out += [(i, -j, min(max(score, -LONG), LONG)) for score, j in tree.search(np.array(x), i, k, -np.inf if floor is None else floor)]
+                for i, query, floor in zip(own_ids[low:high].tolist(), rows, floors[low:high].tolist()):
+                    out += [(i, -j, min(max(score, -LONG), LONG)) for score, j in tree.search(query, i, k, floor)]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
 
-def _asked(vectors: DataFrame, queries: DataFrame, k: int, partitions: int) -> DataFrame:
-    """The best of each shard for each query that is put to it."""
+def _asked(vectors: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFrame:
+    """The best of each shard for each query that is put to it; a shard is a partition."""
     rows = vectors.select("shard", F.lit(False).alias("is_query"), "id", "x", F.lit(None).cast("double").alias("floor")).unionByName(
         queries.select("shard", F.lit(True).alias("is_query"), "id", "x", "floor"))
-    rows = rows.repartition(partitions, "shard").sortWithinPartitions("shard", "is_query")
+    rows = rows.withColumn("width", F.size("x")).repartitionById(shards, "shard").sortWithinPartitions("width", "is_query").drop("shard", "width")
     return rows.mapInArrow(lambda batches: _search(batches, k), "query_id long, vec_id long, score long")
 
 
@@ -139,20 +150,27 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", v
     them. A row that repeats an id is a candidate each time, and an id that repeats among the queries is one
     query for each different vector. Other columns are ignored; an empty table gives an empty result.
 
-    Rows go to shards of about SHARD_ROWS by hash. Queries are a stated set and go to every shard: in the
-    first round to one of them, by hash of their id, in the second to all others, with the k-th score of the
-    first as a floor.
+    Rows go to shards of about SHARD_ROWS by hash, a partition each. Queries are a stated set and go to every
+    shard: in the first round to one of them, by hash of their id, then to the next MORE - 1, and so on, with the
+    k-th score of all rounds before as a floor.
     """
     whole = whole_vectors(vectors.withColumn("_q", is_query).withColumn("_id", F.struct(F.col(id_column).alias("id"), F.col("_q").alias("q"))), "_id", vector_column)
     whole = stored(whole.select("id.id", F.coalesce("id.q", F.lit(False)).alias("q"), "x").where("id is not null"), "vectors")
-    shards = max(1, round(whole.count() / SHARD_ROWS))
-    own = F.concat_ws("/", F.size("x"), F.pmod(F.xxhash64("id"), F.lit(shards)))
-    put = whole.select("id", "x", own.alias("shard"))
-    queries = stored(whole.where("q").select("id", "x").distinct().withColumn("home", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")), "queries")
-    to = lambda column: F.concat_ws("/", F.size("x"), column)
-    first = stored(_asked(put, queries.select("id", "x", to(F.col("home")).alias("shard"), F.lit(None).cast("double").alias("floor")), k, shards), "first_round")
+    n = whole.count()
+    shards = max(1, round(n / SHARD_ROWS), min(shuffle_partitions(whole.sparkSession), n // LEAST_ROWS))
+    dealt = lambda *by: F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")
+    put = whole.select("id", "x", dealt("id").alias("shard"))
+    queries = stored(whole.where("q").select("id", "x").distinct().withColumn("home", dealt("id", F.lit(1))), "queries")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = first.withColumn("rank", F.row_number().over(by_score)).where(f"rank = {k}").select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
-    rest = queries.join(floors, "id", "left").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("to != home")
-    found = first.unionByName(_asked(put, rest.select("id", "x", to(F.col("to")).alias("shard"), "floor"), k, shards)) if shards > 1 else first
-    return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best, low, high = None, 0, 1
+    while low < shards:
+        asks = queries.withColumn("step", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
+        asks = asks.withColumn("shard", F.pmod(F.col("home") + F.col("step"), F.lit(shards)))
+        if best is None:
+            found = _asked(put, asks.withColumn("floor", F.lit(None).cast("double")), k, shards)
+        else:
+            floors = best.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+            found = _asked(put, asks.join(floors, "id", "left"), k, shards).unionByName(best.drop("rank"))
+        best = stored(found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k), "best")
+        low, high = high, min(high * MORE, shards)
+    return best.select("query_id", "rank", "vec_id", "score")
