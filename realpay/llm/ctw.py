@@ -23,7 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from realpay.llm.tables import shuffle_partitions, stored
@@ -435,13 +435,11 @@ def scores(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
     blocks = stored(rows.mapInArrow(lambda batches: _blocks(batches, sent.value), _BLOCK_SQL), "blocks")
     asked = blocks.select("block", F.posexplode(F.arrays_zip("token", "n")).alias("place", "x")).select("block", "place", "x.token", "x.n")
-    by_token = Window.partitionBy("token")
-    asked = asked.withColumns({"c": F.sum("n").over(by_token), "blocks": F.count("*").over(by_token), "nth": F.row_number().over(by_token.orderBy("block"))})
-    shared = stored(asked.where("blocks > 1").select("block", "place", "c", (F.col("n") > 0).alias("trains"), (F.col("nth") == 1).alias("is_first")), "shared_tokens")
-    # different training tokens: each of those in one block alone, and one of each shared one's
-    own = blocks.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"), F.sum(F.size(F.filter("n", lambda x: x > 0))).alias("kinds")).first()
-    of_shared = shared.agg(F.count_if("trains").alias("places"), F.count_if(F.expr("is_first and c > 0")).alias("kinds")).first()
-    trained, vocabulary = own["tokens"] or 0, (own["kinds"] or 0) - of_shared["places"] + of_shared["kinds"]
+    # a common token's rows are added up before the shuffle, and the join can be split where one token has many
+    counts = stored(asked.groupBy("token").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "token_counts")
+    known = counts.agg(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("kinds")).first()
+    trained, vocabulary = known["tokens"] or 0, known["kinds"] or 0
+    shared = asked.select("block", "place", "token").join(counts.where("blocks > 1").select("token", "c").hint("merge"), "token")
     answers = shared.groupBy("block").agg(F.collect_list(F.struct("place", "c")).alias("x")).select("block", F.col("x.place").alias("place"), F.col("x.c").alias("c"))
     # without the hint Spark would judge the exploded strings by the size of the lists' files, and might send them to all
     lacking = blocks.select("block", F.posexplode("code").alias("place", "code")).join(rest.hint("merge"), "code")
