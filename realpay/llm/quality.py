@@ -88,7 +88,6 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 def _discounted(counts: DataFrame, order: int, below: DataFrame) -> DataFrame:
     """``gram, p`` for all n-grams of ``order``: counts less their discount, plus the context's weight times ``below``."""
-    counts = stored(counts, f"counts_{order}")
     d = _discounts(counts)
     off = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
     seen = counts.select("gram", "n", off.alias("off"), (F.col("gram") / CLASSES).cast("long").alias("context"))
@@ -98,7 +97,7 @@ def _discounted(counts: DataFrame, order: int, below: DataFrame) -> DataFrame:
     rows = rows.join(contexts, "context", "left").withColumn("shorter", F.col("gram") % CLASSES ** (order - 1))
     rows = rows.join(below.select(F.col("gram").alias("shorter"), F.col("p").alias("low")), "shorter")
     high = F.coalesce((F.col("n") - F.col("off")) / F.col("total"), F.lit(0.0))
-    return stored(rows.select("gram", (high + F.coalesce(F.col("left") / F.col("total"), F.lit(1.0)) * F.col("low")).alias("p")), f"model_{order}")
+    return rows.select("gram", (high + F.coalesce(F.col("left") / F.col("total"), F.lit(1.0)) * F.col("low")).alias("p"))
 
 
 def train(texts: DataFrame) -> np.ndarray:
@@ -107,13 +106,13 @@ def train(texts: DataFrame) -> np.ndarray:
     Without any text all characters are equally likely.
     """
     spark = texts.sparkSession
-    top = stored(texts.select("text").mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counts")
-    counts = {ORDER: top}
+    counts = {ORDER: stored(texts.select("text").mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counts")}
     for order in range(ORDER - 1, 0, -1):  # below the top, the number of different characters that come before
-        counts[order] = counts[order + 1].groupBy((F.col("gram") % CLASSES**order).alias("gram")).agg(F.count("*").alias("n"))
+        counts[order] = stored(counts[order + 1].groupBy((F.col("gram") % CLASSES**order).alias("gram")).agg(F.count("*").alias("n")), f"counts_{order}")
     model = spark.range(1).select(F.col("id").alias("gram"), F.lit(1.0 / CLASSES).alias("p"))
-    for order in range(1, ORDER + 1):
-        model = _discounted(counts[order], order, model)
+    for order in range(1, ORDER):
+        model = stored(_discounted(counts[order], order, model), f"model_{order}")
+    model = _discounted(counts[ORDER], ORDER, model)
     rows = model.select("gram", F.log2("p").cast("float").alias("bits")).toArrow()  # as many rows for any corpus: CLASSES**ORDER
     out = np.zeros(CLASSES**ORDER, np.float32)
     out[rows["gram"].to_numpy()] = rows["bits"].to_numpy()
@@ -190,7 +189,9 @@ def probabilities(rows: DataFrame) -> DataFrame:
             low, left = F.col("low"), F.col("left")
         total = ["total"] if order == BYTES else []
         # what the bytes say, and the weight that is left for the small model
-        below = stored(own.select("code", *total, (high + F.col("weight") * low).alias("own"), (F.col("weight") * left).alias("left")), f"byte_model_{order}")
+        below = own.select("code", *total, (high + F.col("weight") * low).alias("own"), (F.col("weight") * left).alias("left"))
+        if order < BYTES:  # the last and largest is stored with its bits
+            below = stored(below, f"byte_model_{order}")
 
     def bits(batches):
         for batch in batches:

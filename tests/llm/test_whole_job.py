@@ -105,6 +105,15 @@ def test_large_model_is_kneser_ney(spark):
     assert np.isclose(quality._lowest(after + np.arange(256), small).sum(), 1, atol=1e-3)
 
 
+def test_model_writes_its_largest_tables_once(spark, monkeypatch):
+    """The counts of the top order were written twice, its probabilities only to be read back whole."""
+    written, store = [], quality.stored
+    monkeypatch.setattr(quality, "stored", lambda df, name: written.append(name) or store(df, name))
+    assert quality.probabilities(spark.createDataFrame([("The cat sat on the mat.", True), ("zz Z9", False)], "text string, trains boolean")).count() == 28
+    small = ["counts", *(f"{name}_{order}" for name in ("counts", "model") for order in range(1, quality.ORDER))]
+    assert sorted(written) == sorted([*small, "codes", *(f"{name}_{order}" for name in ("codes", "byte_model") for order in range(1, quality.BYTES)), "code_bits"])
+
+
 def test_many_loose_numbers_take_linear_time():
     import time
 
