@@ -22,7 +22,7 @@ def con_small():
 
 def test_keys_have_oracles():
     assert sorted(oracle_sql()) == KEYS
-    assert len(KEYS) == 24
+    assert len(KEYS) == 26
 
 
 @pytest.mark.parametrize("key", KEYS)
